@@ -32,8 +32,7 @@ def has_answer(answer_lines: Column, line: Column) -> Column:
 
 def exact_match(prediction: Column, truths: Column) -> Column:
     """1 when the prediction equals a truth after normalisation."""
-    mine = normalize_answer(prediction)
-    return F.exists(truths, lambda t: normalize_answer(t) == mine)
+    return F.array_contains(F.transform(truths, normalize_answer), normalize_answer(prediction))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1 +1,47 @@
-"""Checked queries."""
+"""Checked queries over streams; each must equal its batch answer."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from findery.functions.context import context_hash
+from findery.operators.logs import query_events
+from findery.operators.votes import KEYS
+from findery.plans.event_queries import REQUESTS_SQL, VOTES_SQL, requests, vote_events
+from findery.plans.registry import query
+from findery.schemas import QUERY_EVENT, VOTE_EVENT
+from findery.session import scratch_path
+from findery.streaming import keyed
+
+LOG_FILES = 6
+
+
+def _spread_log(events, path: str) -> None:
+    """The log as several files, so that a stream sees several micro-batches."""
+    events.repartition(LOG_FILES).write.json(path)
+
+
+@query("stream_latest_votes", f"WITH {VOTES_SQL} SELECT * FROM latest")
+def stream_latest_votes(spark, sf):
+    log, out = scratch_path(spark, "vote-log"), scratch_path(spark, "vote-state")
+    _spread_log(vote_events(spark, sf).drop("ctx_hash"), log)
+    events = keyed.read_log(spark, log, VOTE_EVENT, files_per_batch=3)
+    events = events.withColumn("config", F.struct(
+        "config.diverse_search", "config.exact_search", "config.lambda", "config.nprobe"))
+    events = events.withColumn("ctx_hash", context_hash(F.col("config")))
+    keyed.store_updates(keyed.running_latest_votes(events), out, scratch_path(spark, "vote-offsets")).awaitTermination()
+    return keyed.current_state(spark, out, KEYS)
+
+
+@query("stream_latency_stats", f"""WITH {REQUESTS_SQL}
+SELECT coalesce(nprobe, 0) AS nprobe, diverse_search, count(*) AS n_requests, round(avg(latency), 6) AS mean_latency,
+  round(stddev_pop(latency), 6) AS std_latency FROM requests GROUP BY 1, 2""")
+def stream_latency_stats(spark, sf):
+    log, out = scratch_path(spark, "query-log"), scratch_path(spark, "query-state")
+    _spread_log(query_events(requests(spark, sf)), log)
+    events = keyed.read_log(spark, log, QUERY_EVENT, files_per_batch=3)
+    by = [F.coalesce(F.col("config.nprobe"), F.lit(0)).alias("nprobe"), F.col("config.diverse_search")]
+    keyed.store_updates(keyed.running_latency(events, by), out, scratch_path(spark, "query-offsets")).awaitTermination()
+    state = keyed.current_state(spark, out, ["nprobe", "diverse_search"])
+    return state.withColumn("mean_latency", F.round("mean_latency", 6)).withColumn(
+        "std_latency", F.round("std_latency", 6))

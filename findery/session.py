@@ -30,7 +30,8 @@ def build_session(app: str = "findery", cpus: int | None = None) -> SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one of the given parquet tables."""
+    """Scan one of the given parquet tables; their zone-less times are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
