@@ -13,11 +13,14 @@ from findery.operators.kmeans import assign, packed_frame, train_centroids
 from findery.operators.prefix import blocked_row_number
 from findery.operators.topk import (
     BROADCAST_BYTES,
+    SCORE_DIGITS,
     Packed,
-    keep_best,
     best_per_query,
     cell_topk,
+    keep_best,
+    knn_flat,
     pack_if_small,
+    rank_in_group,
     row_topk,
     scan_topk,
 )
@@ -46,15 +49,30 @@ def train_coarse(sample: DataFrame, n_lists: int, iterations: int = 10, **names)
     return train_centroids(sample, n_lists, iterations, **names)
 
 
-def probe_lists(queries: Packed, centroids: Packed, nprobe: int) -> dict[int, np.ndarray]:
-    """For each list, the positions of the queries whose ``nprobe`` best centroids include it."""
-    scores = np.round(queries.matrix @ centroids.matrix.T, 9)
+def probe_lists(queries: Packed, centroids: Packed, nprobe: int | np.ndarray) -> dict[int, np.ndarray]:
+    """For each list, the positions of the queries whose ``nprobe`` best centroids include it.
+
+    ``nprobe`` is one number, or one per query.
+    """
+    scores = np.round(queries.matrix @ centroids.matrix.T, SCORE_DIGITS)
     n = len(centroids.ids)
     q = np.repeat(np.arange(queries.rows), n)
-    q, _, lists = keep_best(q, scores.ravel(), np.tile(centroids.ids, queries.rows), nprobe)
+    q, _, lists = keep_best(q, scores.ravel(), np.tile(centroids.ids, queries.rows), int(np.max(nprobe)))
+    near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
+    q, lists = q[near], lists[near]
     return {int(one): q[lists == one] for one in np.unique(lists)}
 
 
+def nprobe_of(queries: DataFrame, packed: Packed, query_col: str, nprobe: int | str) -> int | np.ndarray:
+    """A fixed number as is; a column name as one number per packed query, null meaning the default."""
+    if isinstance(nprobe, int):
+        return nprobe
+    asked = queries.select(F.col(query_col).cast("long").alias("i"),
+                           F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE)).alias("n")).toArrow()
+    by_id = dict(zip(asked.column("i").to_pylist(), asked.column("n").to_pylist()))
+    return np.array([by_id[int(i)] for i in packed.ids], dtype=np.int64)
+
+
 def build_postings(vectors: DataFrame, centroids: Packed, id_col: str = "vec_id",
                    vec_col: str = "embedding") -> DataFrame:
     """Every vector with its list; a map-only pass."""
@@ -80,21 +98,28 @@ def knn_ivf(
     postings: DataFrame,
     centroids: Packed,
     k: int,
-    nprobe: int = DEFAULT_NPROBE,
+    nprobe: int | str = DEFAULT_NPROBE,
     query_col: str = "query_id",
     query_vec: str = "query_emb",
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Top-k over the ``nprobe`` best lists of each query."""
+    """Top-k over the ``nprobe`` best lists of each query; ``nprobe`` may name a column."""
     packed = pack_if_small(queries, query_col, query_vec, max_bytes)
     if packed is not None:
-        probes = probe_lists(packed, centroids, nprobe)
+        if packed.rows == 0:
+            return knn_flat(queries, postings, k, query_col, query_vec, id_col, vec_col)
+        probes = probe_lists(packed, centroids, nprobe_of(queries, packed, query_col, nprobe))
         probed = postings.where(F.col("list_id").isin([int(x) for x in probes]))
         hits = scan_topk(probed, packed, k, id_col, vec_col, query_col, probes)
     else:
-        looked = row_topk(queries, query_col, query_vec, centroids, nprobe, "list_id", [query_vec])
+        if isinstance(nprobe, str):
+            asked = queries.withColumn(nprobe, F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE)).cast("long"))
+            looked = row_topk(asked, query_col, query_vec, centroids, centroids.rows, "list_id", [query_vec, nprobe])
+            looked = looked.where(F.col("rank") <= F.col(nprobe))
+        else:
+            looked = row_topk(queries, query_col, query_vec, centroids, nprobe, "list_id", [query_vec])
         hits = cell_topk(looked, postings, k, query_col, query_vec, id_col, vec_col, "list_id")
     return best_per_query(hits, k, query_col, id_col)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.operators.ivf import probe_lists
+from findery.operators.ivf import DEFAULT_NPROBE, knn_ivf, nprobe_of, probe_lists
 from findery.operators.kmeans import SUMS_SCHEMA, sums_batch, fold_means, start_centroids
 from findery.operators.topk import (
     BROADCAST_BYTES,
@@ -172,7 +172,8 @@ def decode(codes: DataFrame, centroids: Packed, books: Codebooks, id_col: str =
 
 
 def knn_ivfpq(
-    queries: DataFrame, codes: DataFrame, centroids: Packed, books: Codebooks, k: int, nprobe: int = 32,
+    queries: DataFrame, codes: DataFrame, centroids: Packed, books: Codebooks, k: int,
+    nprobe: int | str = DEFAULT_NPROBE,
     query_col: str = "query_id", query_vec: str = "query_emb", id_col: str = "vec_id",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -182,12 +183,10 @@ def knn_ivfpq(
     against the decoded vectors in cells, which gives the same sums.
     """
     packed = pack_if_small(queries, query_col, query_vec, max_bytes)
-    if packed is None:
-        from findery.operators.ivf import knn_ivf
-
+    if packed is None or packed.rows == 0:
         approx = decode(codes, centroids, books, id_col)
         return knn_ivf(queries, approx, centroids, k, nprobe, query_col, query_vec, id_col, "approx", max_bytes)
-    probes = probe_lists(packed, centroids, nprobe)
+    probes = probe_lists(packed, centroids, nprobe_of(queries, packed, query_col, nprobe))
     shared = codes.sparkSession.sparkContext.broadcast((centroids.ids, centroids.matrix, books.words))
 
     def scorer_for(one: int):

@@ -79,13 +79,17 @@ def pack_if_small(
     return Packed(ids[order], list_matrix(got.column("v"))[order])
 
 
+def rank_in_group(q: np.ndarray) -> np.ndarray:
+    """Position of each row within its run of equal values, from 0."""
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
+    return np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+
+
 def keep_best(q: np.ndarray, s: np.ndarray, i: np.ndarray, k: int):
     """First k of every query by (score desc, id)."""
     order = np.lexsort((i, -s, q))
     q, s, i = q[order], s[order], i[order]
-    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-    keep = rank < k
+    keep = rank_in_group(q) < k
     return q[keep], s[keep], i[keep]
 
 
@@ -217,8 +221,7 @@ def row_topk(
                 best = RunningTopK(part.stop - part.start, k)
                 best.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids)
                 take = pa.array(best.q + part.start)
-                first = np.flatnonzero(np.r_[True, best.q[1:] != best.q[:-1]])
-                rank = 1 + np.arange(len(best.q)) - np.repeat(first, np.diff(np.r_[first, len(best.q)]))
+                rank = 1 + rank_in_group(best.q)
                 out = [batch.column(0).take(take)]
                 out += [batch.column(2 + n).take(take) for n in range(len(keep))]
                 out += [pa.array(rank), pa.array(best.i), pa.array(best.s)]
