@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findery.functions.text import nfd, normalize_answer, tokens, words
+from findery.functions.vectors import let
 
 _SEP = "\u0001"
 
@@ -27,7 +28,8 @@ def line_has_answer(line: Column, answer_line: Column) -> Column:
 
 def has_answer(answer_lines: Column, line: Column) -> Column:
     """Any of an array of answers; a missing text has none."""
-    return F.coalesce(F.exists(answer_lines, lambda a: line_has_answer(line, a)), F.lit(False))
+    found = let(line, lambda one: F.exists(answer_lines, lambda a: line_has_answer(one, a)))
+    return F.coalesce(found, F.lit(False))
 
 
 def exact_match(prediction: Column, truths: Column) -> Column:

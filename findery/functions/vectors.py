@@ -6,6 +6,8 @@ depend on how the rows were stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +17,11 @@ from pyspark.sql import types as T
 NORM_FLOOR = 1e-12
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, even where a lambda repeats it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -44,7 +51,7 @@ def l2_distance(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector divided by its norm; a zero vector stays zero."""
     length = F.greatest(norm(v), F.lit(NORM_FLOOR))
-    return F.transform(as_double(v), lambda x: x / length)
+    return let(length, lambda n: F.transform(as_double(v), lambda x: x / n))
 
 
 def is_finite(v: Column) -> Column:

@@ -8,7 +8,7 @@ out; a query that retrieved nothing scores 0. Gains are linear in the grade.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("ndcg", "map", "recall", "precision", "mrr", "recall_cap", "hole")
@@ -34,13 +34,13 @@ def _ideal(qrels: DataFrame, ks: list[int]) -> DataFrame:
     spots = F.when(F.col("before") < max(ks), F.sequence(F.col("before") + 1, last)).otherwise(
         F.array().cast("array<bigint>"))
     # sum of 1/log2(position+1) over the positions a grade fills, for every cut
-    gains = [
-        F.aggregate(F.filter(spots, lambda p, k=k: p <= k), F.lit(0.0),
-                    lambda a, p: a + F.lit(1.0) / F.log2(p + 1)) * F.col("rel")
-        for k in ks
-    ]
+    def gain(k: int) -> Column:
+        weights = F.aggregate(F.filter(spots, lambda p: p <= k), F.lit(0.0),
+                              lambda a, p: a + F.lit(1.0) / F.log2(p + 1))
+        return weights * F.col("rel")
+
     per_k = placed.groupBy("query_id").agg(
-        F.sum("n").alias("n_rel"), *[F.sum(g).alias(f"_i{k}") for k, g in zip(ks, gains)])
+        F.sum("n").alias("n_rel"), *[F.sum(gain(k)).alias(f"_i{k}") for k in ks])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"_i{k}").alias("idcg")) for k in ks]))
     return per_k.select("query_id", "n_rel", pairs.alias("_p")).select("query_id", "n_rel", "_p.k", "_p.idcg")
 
