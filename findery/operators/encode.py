@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +18,34 @@ from findery.functions.vectors import is_finite, unit
 
 Encoder = Callable[[list[str]], np.ndarray]
 MAX_BATCH = 128
+MAX_REMEMBERED = 1 << 18
 
 
-@lru_cache(maxsize=1 << 16)
-def _word_slot(word: str, dim: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+class _Slots(dict):
+    """Word to dimension, remembered for the life of a task up to a bound."""
 
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
-def _encode_words(texts: list[str], dim: int) -> np.ndarray:
-    out = np.zeros((len(texts), dim))
-    for row, text in enumerate(texts):
-        slots = [_word_slot(w, dim) for w in text.split()]
-        out[row] = np.bincount(slots, minlength=dim) if slots else 0.0
+    def __missing__(self, word: str) -> int:
+        slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        if len(self) < MAX_REMEMBERED:
+            self[word] = slot
+        return slot
+
+
+def _encode_words(texts: list[str], slots: _Slots) -> np.ndarray:
+    bags = [[slots[w] for w in text.split()] for text in texts]
+    rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    flat = rows * slots.dim + np.array([x for b in bags for x in b], dtype=np.int64)
+    out = np.bincount(flat, minlength=len(bags) * slots.dim).reshape(len(bags), slots.dim).astype(np.float64)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def hashed_words(dim: int = 64) -> Encoder:
     """Deterministic stand-in for a trained encoder: hashed word counts at unit length."""
-    return partial(_encode_words, dim=dim)
+    return partial(_encode_words, slots=_Slots(dim))
 
 
 def embed_texts(

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.functions.draws import draw
-from findery.operators.topk import Packed, list_matrix, row_topk
+from findery.functions.draws import hash32
+from findery.operators.topk import SCORE_DIGITS, Packed, list_matrix, row_blocks, row_topk
+from findery.session import materialize
 
 SUMS_SCHEMA = "g long, n long, s array<double>"
 
@@ -25,18 +26,37 @@ def sums_batch(groups: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.R
 
 
 def fold_means(partials: DataFrame) -> DataFrame:
-    """Add up partial sums element by element: (g, n, mean)."""
-    return (
-        partials.select("g", "n", F.posexplode("s"))
-        .groupBy("g", "pos")
-        .agg(F.sum("n").alias("n"), F.sum("col").alias("total"))
-        .groupBy("g")
-        .agg(
-            F.max("n").alias("n"),
-            F.array_sort(F.collect_list(F.struct("pos", (F.col("total") / F.col("n")).alias("m")))).alias("ms"),
-        )
-        .select("g", "n", F.transform("ms", lambda e: e["m"]).alias("mean"))
-    )
+    """Add up partial sums per group: (g, n, mean).
+
+    Sums travel as whole arrays; sorted by group, they are merged batch by batch
+    and only the open group is held back.
+    """
+
+    def mean(groups: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return sums_batch(groups, counts, sums / counts[:, None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            g, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            groups, counts = g[first], np.add.reduceat(n, first)
+            sums = np.add.reduceat(list_matrix(batch.column(2)), first, axis=0)
+            if held is not None and held[0][0] == groups[0]:
+                counts[0] += held[1][0]
+                sums[0] += held[2][0]
+            elif held is not None:
+                yield mean(*held)
+            if len(groups) > 1:
+                yield mean(groups[:-1], counts[:-1], sums[:-1])
+            held = (groups[-1:], counts[-1:].copy(), sums[-1:].copy())
+        if held is not None:
+            yield mean(*held)
+
+    ordered = partials.repartition("g").sortWithinPartitions("g")
+    return ordered.mapInArrow(run, SUMS_SCHEMA).withColumnRenamed("s", "mean")
 
 
 def group_means(vectors: DataFrame, group_col: str, vec_col: str) -> DataFrame:
@@ -56,14 +76,17 @@ def group_means(vectors: DataFrame, group_col: str, vec_col: str) -> DataFrame:
     return fold_means(chosen.mapInArrow(run, SUMS_SCHEMA))
 
 
-def start_centroids(vectors: DataFrame, id_col: str, vec_col: str, n: int, seed: str) -> np.ndarray:
-    """Matrix of ``n`` start vectors; ``n`` rows reach the driver, as the centroids do anyway."""
-    top = (
-        vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"),
-                       draw(seed, F.col(id_col)).alias("d"))
-        .orderBy("d", "i").limit(n).toArrow()
-    )
-    return list_matrix(top.column("v"))
+def start_vectors(vectors: DataFrame, id_col: str, vec_col: str, n: int, seed: str) -> np.ndarray:
+    """Matrix of the ``n`` vectors with the smallest hash draws, in draw order.
+
+    The draw looks at ids only; vectors are read for the chosen ids. ``n`` rows
+    reach the driver, as the centroids do anyway.
+    """
+    drawn = vectors.select(F.col(id_col).cast("long").alias("i"), hash32(seed, F.col(id_col)).alias("d"))
+    chosen = drawn.orderBy("d", "i").limit(n)
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    got = rows.join(F.broadcast(chosen), "i").toArrow().sort_by([("d", "ascending"), ("i", "ascending")])
+    return list_matrix(got.column("v"))
 
 
 def train_centroids(
@@ -79,9 +102,10 @@ def train_centroids(
 
     One job per iteration. A task returns one partial sum per centroid, so what
     is shuffled depends on ``n_lists`` and the number of tasks, not on the rows.
-    A centroid that loses all members keeps its last position.
+    The sample is drawn once and read from the shared folder by every pass. A centroid that loses all members keeps its last position.
     """
-    centroids = start_centroids(vectors, id_col, vec_col, n_lists, seed)
+    vectors = materialize(vectors.select(id_col, vec_col))
+    centroids = start_vectors(vectors, id_col, vec_col, n_lists, seed)
     if centroids.size * 8 > max_bytes:
         raise ValueError("centroids exceed the broadcast budget; lower n_lists")
     sc = vectors.sparkSession.sparkContext
@@ -94,10 +118,12 @@ def train_centroids(
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                mat = list_matrix(batch.column(0))
-                owner = np.argmax(np.round(mat @ current.T, 9), axis=1)
-                np.add.at(sums, owner, mat)
-                counts += np.bincount(owner, minlength=len(current))
+                whole = list_matrix(batch.column(0))
+                for part in row_blocks(len(whole), len(current)):
+                    mat = whole[part]
+                    owner = np.argmax(np.round(mat @ current.T, SCORE_DIGITS), axis=1)
+                    np.add.at(sums, owner, mat)
+                    counts += np.bincount(owner, minlength=len(current))
             used = np.flatnonzero(counts)
             if len(used):
                 yield sums_batch(used, counts[used], sums[used])

@@ -51,7 +51,7 @@ def expand_context(hits: DataFrame, passages: DataFrame, offset: int = 1, within
     centre = F.col("_near") == F.col(id_col)
     item = F.struct("_near", "text", *([F.col(within).alias("_side")] if within else []))
     grouped = near.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(item)).alias("_items"),
+        F.sort_array(F.collect_list(item)).alias("_items"),
         F.max(F.when(centre, F.struct("filename", "position", "text"))).alias("_c"),
         *([F.max(F.when(centre, F.col(within))).alias("_side")] if within else []),
     ).where(F.col("_c").isNotNull())

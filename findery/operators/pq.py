@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.operators.ivf import DEFAULT_NPROBE, knn_ivf, nprobe_of, probe_lists
-from findery.operators.kmeans import SUMS_SCHEMA, sums_batch, fold_means, start_centroids
+from findery.operators.kmeans import SUMS_SCHEMA, sums_batch, fold_means, start_vectors
 from findery.operators.topk import (
     BROADCAST_BYTES,
+    SCORE_DIGITS,
     Packed,
     best_per_query,
     list_matrix,
     pack_if_small,
     scan_topk,
 )
+from findery.session import materialize
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def nearest_codes(residuals: np.ndarray, words: np.ndarray) -> np.ndarray:
     for s in range(m):
         part = residuals[:, s * d:(s + 1) * d]
         gap = (words[s] ** 2).sum(axis=1)[None, :] - 2.0 * part @ words[s].T
-        codes[:, s] = np.argmin(np.round(gap, 9), axis=1)
+        codes[:, s] = np.argmin(np.round(gap, SCORE_DIGITS), axis=1)
     return codes
 
 
@@ -67,12 +69,14 @@ def train_codebooks(
     """Per sub-space Euclidean k-means over residuals; all sub-spaces share each pass.
 
     A task ships one partial sum per (sub-space, codeword). A codeword without
-    members keeps its last value.
+    members keeps its last value. Pass the postings of the training sample; they
+    are stored once and read by every pass.
     """
+    postings = materialize(postings.select("list_id", id_col, vec_col))
     sc = postings.sparkSession.sparkContext
     coarse = sc.broadcast((centroids.ids, centroids.matrix))
     residual = residual_table(postings, centroids, id_col, vec_col)
-    start = start_centroids(residual, id_col, "residual", n_words, seed)
+    start = start_vectors(residual, id_col, "residual", n_words, seed)
     dim = start.shape[1] // m
     words = np.stack([start[:, s * dim:(s + 1) * dim] for s in range(m)])
     for _ in range(iterations):

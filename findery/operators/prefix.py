@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from findery.session import materialize
 
 BLOCK_ROWS = 1 << 16
+MAX_BROADCAST_STARTS = 1_000_000
 
 
 def _starts(df: DataFrame, keys: list[str], block: str, value: Column) -> DataFrame:
+    # Joined with a merge hint: the rows stay hashed by (keys, block). A broadcast the
+    # other way round would hand on a partitioning by keys alone, one task per group.
     totals = df.groupBy(*keys, block).agg(F.sum(value).alias("_t"))
     w = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*keys, block, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
@@ -36,7 +39,7 @@ def blocked_running_sum(
     inside = df.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     starts = _starts(df, keys, block, value)
     return (
-        inside.join(starts, [*keys, block])
+        inside.join(starts.hint("merge"), [*keys, block])
         .withColumn(out, F.col("_start") + F.col("_in"))
         .drop("_start", "_in")
     )
@@ -48,7 +51,7 @@ def blocked_row_number(df: DataFrame, keys: list[str], block: str, order: list[s
     inside = df.withColumn("_in", F.row_number().over(w).cast("long"))
     starts = _starts(df, keys, block, F.lit(1))
     return (
-        inside.join(starts, [*keys, block])
+        inside.join(starts.hint("merge"), [*keys, block])
         .withColumn(out, F.col("_start") + F.col("_in"))
         .drop("_start", "_in")
     )
@@ -75,6 +78,8 @@ def ranked_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -
     firsts = ranged.groupBy(*keys, "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_t"))
     w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = firsts.select(*keys, "_p", "_first", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
+    if firsts.limit(MAX_BROADCAST_STARTS + 1).count() <= MAX_BROADCAST_STARTS:
+        starts = F.broadcast(starts)  # the ranged rows then stay where they are
     return (
         ranged.join(starts, [*keys, "_p"])
         .withColumn(out, F.col("_m") - F.col("_first") + F.col("_start") + 1)

@@ -3,7 +3,7 @@
 Three plans, picked by measured size:
 
 * few queries   -> broadcast them, scan the corpus once, keep a running top-k per
-                   task; only ``tasks x queries x k`` rows are shuffled;
+                   task; a score bar from a few partitions keeps the rest small;
 * few vectors   -> broadcast those (centroids, say) and finish each query row in
                    place: no shuffle at all;
 * many of both  -> hash both sides into cells of bounded size; each cell is one
@@ -17,17 +17,20 @@ the smaller id wins, however the rows were batched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_DIGITS = 9
 BROADCAST_BYTES = 64 << 20
 CELL_ROWS = 4096
+BAR_PARTITIONS = 16
 _SCORE_BLOCK = 1 << 22
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -96,9 +99,9 @@ def keep_best(q: np.ndarray, s: np.ndarray, i: np.ndarray, k: int):
 class RunningTopK:
     """Best k of each query seen so far, with the k-th score as an entry bar."""
 
-    def __init__(self, n_queries: int, k: int):
+    def __init__(self, n_queries: int, k: int, bar: np.ndarray | None = None):
         self.k = k
-        self.bar = np.full(n_queries, -np.inf)
+        self.bar = np.full(n_queries, -np.inf) if bar is None else bar.copy()
         self.q = np.empty(0, np.int64)
         self.s = np.empty(0)
         self.i = np.empty(0, np.int64)
@@ -118,10 +121,10 @@ class RunningTopK:
         )
         full = np.flatnonzero(np.bincount(self.q, minlength=len(self.bar)) >= self.k)
         last = np.searchsorted(self.q, full, side="right") - 1
-        self.bar[full] = self.s[last]
+        self.bar[full] = np.maximum(self.bar[full], self.s[last])
 
 
-def _blocks(n_rows: int, n_queries: int) -> Iterator[slice]:
+def row_blocks(n_rows: int, n_queries: int) -> Iterator[slice]:
     step = max(1, _SCORE_BLOCK // max(1, n_queries))
     for start in range(0, n_rows, step):
         yield slice(start, min(n_rows, start + step))
@@ -153,22 +156,27 @@ def scan_topk(
     probes: dict[int, np.ndarray] | None = None,
     list_col: str = "list_id",
     scorer_for: Callable[[int], Scorer] | None = None,
+    bar: np.ndarray | None = None,
+    stride: int = 1,
 ) -> DataFrame:
     """Per-task candidates of a broadcast query block over one scan of ``vectors``.
 
     ``probes`` maps a list to the positions of the queries that look into it;
-    without it every query sees every row.
+    without it every query sees every row. ``bar`` holds a score per query below
+    which a row cannot be among its best; ``stride`` reads every n-th partition only.
     """
     sc = vectors.sparkSession.sparkContext
-    shared = sc.broadcast((queries.ids, queries.matrix, probes))
+    shared = sc.broadcast((queries.ids, queries.matrix, probes, bar))
     columns = [F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")]
     if probes is not None:
         columns.append(F.col(list_col).cast("long").alias("l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, wanted = shared.value
+        if TaskContext.get().partitionId() % stride:
+            return
+        qids, qmat, wanted, floor = shared.value
         everyone = np.arange(len(qids))
-        best = RunningTopK(len(qids), k)
+        best = RunningTopK(len(qids), k, floor)
         for batch in batches:
             if batch.num_rows == 0 or len(qids) == 0:
                 continue
@@ -185,7 +193,7 @@ def scan_topk(
                 ]
             for one, rows, members in groups:
                 score = scorer_for(one) if scorer_for else inner_product
-                for part in _blocks(len(members), len(rows)):
+                for part in row_blocks(len(members), len(rows)):
                     pick = members[part]
                     best.offer(rows, score(qmat[rows], mat[pick]), ids[pick])
         yield _hits_batch(qids, best, (query_col, id_col))
@@ -195,6 +203,25 @@ def scan_topk(
     )
 
 
+def entry_bars(vectors: DataFrame, queries: Packed, k: int, id_col: str, vec_col: str) -> np.ndarray | None:
+    """A safe lower bound of every query's k-th best score, from about sqrt(P) of P partitions.
+
+    The k-th best of some rows is never above the k-th best of all, so rows below
+    it can be left out of the shuffle without changing the answer. A full scan then
+    ships about ``sqrt(P) * k`` rows per query instead of ``P * k``. Few partitions
+    need no bar.
+    """
+    parts = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    if parts is None or parts + 1 < BAR_PARTITIONS or queries.rows == 0:
+        return None
+    stride = math.isqrt(parts + 1)
+    some = best_per_query(scan_topk(vectors, queries, k, id_col, vec_col, stride=stride), k, "query_id", id_col)
+    found = some.where(F.col("rank") == k).select("query_id", "score").toArrow()
+    bar = np.full(queries.rows, -np.inf)
+    bar[np.searchsorted(queries.ids, found.column("query_id").to_numpy())] = found.column("score").to_numpy()
+    return bar
+
+
 def row_topk(
     rows: DataFrame,
     row_id: str,
@@ -217,7 +244,7 @@ def row_topk(
             if batch.num_rows == 0 or len(ids) == 0:
                 continue
             vecs = list_matrix(batch.column(1))
-            for part in _blocks(batch.num_rows, len(ids)):
+            for part in row_blocks(batch.num_rows, len(ids)):
                 best = RunningTopK(part.stop - part.start, k)
                 best.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids)
                 take = pa.array(best.q + part.start)
@@ -277,7 +304,7 @@ def cell_topk(
         ids, mat = right.column("i").to_numpy(), list_matrix(right.column("v"))
         qmat = list_matrix(left.column("qv"))
         best = RunningTopK(len(qids), k)
-        for part in _blocks(len(ids), len(qids)):
+        for part in row_blocks(len(ids), len(qids)):
             best.offer(np.arange(len(qids)), qmat @ mat[part].T, ids[part])
         return pa.Table.from_batches([_hits_batch(qids, best, (query_col, id_col))])
 
@@ -300,7 +327,8 @@ def knn_flat(
     """Exact inner-product top-k of every query over every vector."""
     packed = pack_if_small(queries, query_col, query_vec, max_bytes)
     if packed is not None:
-        hits = scan_topk(vectors, packed, k, id_col, vec_col, query_col)
+        bar = entry_bars(vectors, packed, k, id_col, vec_col)
+        hits = scan_topk(vectors, packed, k, id_col, vec_col, query_col, bar=bar)
         return best_per_query(hits, k, query_col, id_col)
     small = pack_if_small(vectors, id_col, vec_col, max_bytes)
     if small is not None:

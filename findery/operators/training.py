@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.functions.draws import draw, draw_int, hash32
+from findery.functions.draws import draw, draw_int, hash32, position_draw, position_hash
 from findery.functions.text import normalize_punctuation, title_text, words
 from findery.functions.vectors import let
 from findery.operators.prefix import blocked_running_sum, id_block
@@ -56,7 +56,7 @@ def token_chunks(docs: DataFrame, length: int, seed: str, dataset_col: str = "da
     gathered = pieces.select(dataset_col, "chunk_id", F.struct(low.alias("at"), piece.alias("piece")).alias("_p"))
     return (
         gathered.groupBy(dataset_col, "chunk_id")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["piece"])).alias("tokens"))
+        .agg(F.flatten(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["piece"])).alias("tokens"))
         .where(F.size("tokens") == length)
     )
 
@@ -70,28 +70,38 @@ def random_crop(tokens: Column, ratio_min: float, ratio_max: float, seed: str, *
 
 
 def delete_words(tokens: Column, p: float, seed: str, *key: Column) -> Column:
-    return F.filter(tokens, lambda t, i: draw(seed, *key, i) > p)
+    """Each token stays when its draw is above ``p``."""
+    return let(hash32(seed, *key), lambda h: F.filter(tokens, lambda t, i: position_draw(h, i) > p))
 
 
 def replace_words(tokens: Column, low: int, high: int, p: float, seed: str, *key: Column) -> Column:
     """Each token, with probability ``p``, becomes a random id in [low, high]."""
-    return F.transform(tokens, lambda t, i: F.when(draw(seed, *key, i) > p, t).otherwise(
-        draw_int(F.lit(low), F.lit(high), f"{seed}-id", *key, i).cast("int")))
+
+    def change(h: Column) -> Column:
+        other = lambda i: (low + F.floor(position_draw(h["id"], i) * (high - low + 1))).cast("int")
+        return F.transform(tokens, lambda t, i: F.when(position_draw(h["keep"], i) > p, t).otherwise(other(i)))
+
+    return let(F.struct(hash32(seed, *key).alias("keep"), hash32(f"{seed}-id", *key).alias("id")), change)
 
 
 def mask_words(tokens: Column, mask_id: int, p: float, seed: str, *key: Column) -> Column:
-    return F.transform(tokens, lambda t, i: F.when(draw(seed, *key, i) > p, t).otherwise(F.lit(mask_id)))
+    """Each token, with probability ``p``, becomes the mask id."""
+    return let(hash32(seed, *key), lambda h: F.transform(
+        tokens, lambda t, i: F.when(position_draw(h, i) > p, t).otherwise(F.lit(mask_id))))
 
 
 def shuffle_words(tokens: Column, p: float, seed: str, *key: Column) -> Column:
     """As many positions as draws below ``p`` are chosen and their tokens permuted."""
-    spots = F.transform(tokens, lambda t, i: F.struct(
-        hash32(f"{seed}-spot", *key, i).alias("h"), i.alias("i"), t.alias("t")))
-    count = F.size(F.filter(tokens, lambda t, i: draw(seed, *key, i) < p))
 
-    def permuted(chosen: Column) -> Column:
-        moved = F.array_sort(F.transform(chosen, lambda s: F.struct(
-            hash32(f"{seed}-move", *key, s["i"]).alias("h"), s["i"].alias("i"), s["t"].alias("t"))))
+    def choose(h: Column) -> Column:
+        spots = F.transform(tokens, lambda t, i: F.struct(
+            position_hash(h["spot"], i).alias("h"), i.alias("i"), t.alias("t")))
+        count = F.size(F.filter(tokens, lambda t, i: position_draw(h["n"], i) < p))
+        return F.slice(F.sort_array(spots), 1, count)
+
+    def permuted(chosen: Column, h: Column) -> Column:
+        moved = F.sort_array(F.transform(chosen, lambda s: F.struct(
+            position_hash(h["move"], s["i"]).alias("h"), s["i"].alias("i"), s["t"].alias("t"))))
         return F.struct(F.transform(chosen, lambda s: s["i"]).alias("spots"),
                         F.transform(moved, lambda s: s["t"]).alias("tokens"))
 
@@ -100,7 +110,9 @@ def shuffle_words(tokens: Column, p: float, seed: str, *key: Column) -> Column:
         return F.transform(tokens, lambda t, i: F.when(
             F.array_contains(new["spots"], i), F.get(new["tokens"], at(i))).otherwise(t))
 
-    return let(F.slice(F.array_sort(spots), 1, count), lambda chosen: let(permuted(chosen), placed))
+    hashes = F.struct(hash32(seed, *key).alias("n"), hash32(f"{seed}-spot", *key).alias("spot"),
+                      hash32(f"{seed}-move", *key).alias("move"))
+    return let(hashes, lambda h: let(choose(h), lambda chosen: let(permuted(chosen, h), placed)))
 
 
 def add_ends(tokens: Column, bos: int | None, eos: int | None) -> Column:
@@ -157,7 +169,7 @@ def mix_datasets(rows: DataFrame, samples: DataFrame, coeff: float, seed: str, d
 
 def _sample(items: Column, n: Column, seed: str, *key: Column) -> Column:
     """``n`` items without replacement, in draw order."""
-    order = F.array_sort(F.transform(items, lambda x, i: F.struct(hash32(seed, *key, i).alias("h"), i.alias("i"))))
+    order = F.sort_array(F.transform(items, lambda x, i: F.struct(hash32(seed, *key, i).alias("h"), i.alias("i"))))
     return F.transform(F.slice(order, 1, n), lambda s: F.get(items, s["i"]))
 
 
@@ -193,7 +205,7 @@ def training_examples(examples: DataFrame, negatives: int, hard_ratio: float, ha
 
 def batch_passages(examples: DataFrame, batch_col: str = "batch_id", id_col: str = "example_id") -> DataFrame:
     """(batch, passages): golds in example order, then all negatives; a batch is a bounded group."""
-    rows = F.array_sort(F.collect_list(F.struct(id_col, "gold", "negatives")))
+    rows = F.sort_array(F.collect_list(F.struct(id_col, "gold", "negatives")))
     grouped = examples.groupBy(batch_col).agg(rows.alias("_e"))
     return grouped.select(batch_col, F.concat(
         F.transform("_e", lambda e: e["gold"]), F.flatten(F.transform("_e", lambda e: e["negatives"]))).alias("passages"))

@@ -10,6 +10,7 @@ from findery.operators.prefix import blocked_running_sum, id_block
 from findery.operators.topk import knn_flat, pack_if_small
 from findery.plans import sqltext as Q
 from findery.plans.registry import query
+from findery.plans.text_queries import documents
 from findery.plans.vector_queries import K, TOPICS_SQL, embeddings, hits_sql, topics
 from findery.session import scratch_path, table
 from findery.sources import lines as L
@@ -130,7 +131,7 @@ def load_queries(spark, sf):
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a numbered corpus; the byte position runs within a source."""
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         F.col("doc_id").alias("index_id"), F.col("doc_id").cast("string").alias("passage_id"), "text", "source",
         F.concat("source", F.lit("--raw_passages_0-0-of-1.jsonl")).alias("filename"),
         (F.octet_length("text") + 1).cast("long").alias("n_bytes"))

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions.text import word_count
+from findery.functions.vectors import cosine
 from findery.operators import ivf, pq
 from findery.operators.passages import bounded, fetch_passages
 from findery.operators.rerank import rerank_mmr
 from findery.operators.topk import SCORE_DIGITS, Packed, knn_flat
-from findery.functions.vectors import cosine
+from findery.session import materialize
 
 FETCH_K = 1000
 
@@ -120,6 +121,8 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
     search was asked for, ``exact_score``. A request with ``n_docs`` above
     ``fetch_k`` raises the fetch for the batch.
     """
+    # the batch is read several times; its encoder must not run again for each
+    requests = materialize(requests)
     options = ["query_id", "query_emb", "n_docs", "exact_search", "diverse_search", "lambda", "min_words"]
     size = requests.agg(F.count("*").alias("n"), F.max("n_docs").alias("k")).first()
     fetch = max(fetch_k, size["k"] or 1)
@@ -154,7 +157,7 @@ def fill_summary(checked: DataFrame) -> DataFrame:
 def nested_response(results: DataFrame, fields: list[str], score: str = "retrieval_score") -> DataFrame:
     """One row per request: ``scores`` and ``passages`` arrays in rank order, and the JSON text."""
     item = F.struct("rank", F.col(score).alias("score"), F.struct(*fields).alias("passage"))
-    grouped = results.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("_i"))
+    grouped = results.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("_i"))
     return grouped.select(
         "query_id", F.transform("_i", lambda i: i["score"]).alias("scores"),
         F.transform("_i", lambda i: i["passage"]).alias("passages"),

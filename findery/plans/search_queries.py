@@ -17,6 +17,7 @@ from findery.plans import search as S
 from findery.plans import sqltext as Q
 from findery.plans.corpus_queries import PASSAGES_SQL, STRIP, passages
 from findery.plans.registry import query
+from findery.plans.text_queries import documents
 from findery.plans.vector_queries import (
     CODES_SQL, COARSE_SQL, K, NPROBE, N_SUB, PROBES_SQL, TOPICS_SQL, _books, embeddings, hits_sql, topics,
 )
@@ -34,8 +35,11 @@ def encoder():
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return embed_texts(table(spark, sf, "documents"), "doc_id", "text", encoder, **ENCODE).withColumnRenamed(
-        "doc_id", "vec_id")
+    """Encoded documents, stored as the vector table a search then reads."""
+    path = scratch_path(spark, "vectors")
+    encoded = embed_texts(documents(spark, sf), "doc_id", "text", encoder, **ENCODE)
+    encoded.withColumnRenamed("doc_id", "vec_id").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +148,7 @@ SELECT doc_id, l.doc_id IS NOT NULL AS cached, round(list_sum(e), 6) AS total
 FROM dvec LEFT JOIN (SELECT doc_id FROM labels) l USING (doc_id)""")
 def embedding_cache(spark, sf):
     """Labelled documents are cached first; the second pass encodes only the others."""
-    docs, cache = table(spark, sf, "documents"), scratch_path(spark, "cache")
+    docs, cache = documents(spark, sf), scratch_path(spark, "cache")
     labelled = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     embed_with_cache(labelled, cache, encoder, "doc_id", **ENCODE)
     full = embed_with_cache(docs, cache, encoder, "doc_id", **ENCODE)
@@ -282,7 +286,7 @@ def text_hits(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
     ask = embed_texts(items, "item_id", "text", encoder, out="query_emb", **ENCODE).withColumnRenamed("item_id", "query_id")
     hits = knn_flat(ask, document_vectors(spark, sf), TOP).drop("score")
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    texts = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
     answer = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     return texts.join(hits, "vec_id").join(answer, "query_id")
 

@@ -10,11 +10,11 @@ from findery.functions.context import canonical_context, context_hash
 from findery.functions.qa import exact_match, token_f1
 from findery.plans import sqltext as Q
 from findery.plans.registry import query
-from findery.session import table
+from findery.session import spread, table
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 # Letters swapped for typographic characters, so that the punctuation rule has work to do.

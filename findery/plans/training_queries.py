@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findery.functions import draws as D
 from findery.operators import training as T
 from findery.operators.prefix import ranked_rows
 from findery.plans import sqltext as Q
 from findery.plans.registry import query
+from findery.plans.text_queries import documents
 from findery.plans.vector_queries import draw_sql, embeddings
-from findery.session import table
+from findery.session import materialize, scratch_path, table
 
 LENGTH, P = 64, 0.1
 RATIO = (0.25, 0.75)
@@ -18,16 +20,36 @@ LOW, HIGH, MASK, BOS, EOS, VOCABULARY = 1000, 29_999, 103, 101, 102, 30_000
 BATCH, WORLD, COEFF = 16, 7, 0.5
 
 
+def token_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as token arrays, stored as the token files a training job starts from."""
+    path = scratch_path(spark, "tokens")
+    documents(spark, sf).select(
+        F.col("lang").alias("dataset"), "doc_id", T.token_ids(F.col("text"), VOCABULARY).alias("tokens"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
-        F.col("lang").alias("dataset"), "doc_id", T.token_ids(F.col("text"), VOCABULARY).alias("tokens"))
-    return T.token_chunks(docs, LENGTH, "offset")
+    return T.token_chunks(token_table(spark, sf), LENGTH, "offset")
 
 
 def unit_draw(seed: str, *keys: str) -> str:
     return f"({draw_sql(seed, *keys)} / 4294967296.0::DOUBLE)"
 
 
+def spot_hash(seed: str, i: str = "i") -> str:
+    """Mixed hash of a position in a chunk, as ``position_hash`` does it."""
+    x = f"(({draw_sql(seed, 'dataset', 'chunk_id')} + {i}::BIGINT * {D.STEP}) & {D.MASK32})"
+    for factor, prime, mask in D.ROUNDS:
+        x = f"({x} * {factor}::BIGINT % {prime})"
+        x = f"xor({x}, {mask}::BIGINT)" if mask else x
+    return x
+
+
+def spot_draw(seed: str) -> str:
+    return f"({spot_hash(seed)} / 4294967296.0::DOUBLE)"
+
+
 CHUNKS_SQL = f"""
 stream AS (
   SELECT dataset, t, row_number() OVER (PARTITION BY dataset ORDER BY doc_id, pos) - 1 AS place FROM (
@@ -63,26 +85,26 @@ def _chunk_query(name: str, value: str, change, extra: str = "") -> None:
 
 _chunk_query("token_chunks", line_sql("t"), lambda x: x)
 _chunk_query(
-    "augment_delete", f"coalesce({line_sql('t')} FILTER ({unit_draw('delete', 'dataset', 'chunk_id', 'i')} > {P}), '')",
+    "augment_delete", f"coalesce({line_sql('t')} FILTER ({spot_draw('delete')} > {P}), '')",
     lambda x: T.delete_words(x, P, "delete", *key()))
 _chunk_query(
     "augment_replace",
-    line_sql(f"""CASE WHEN {unit_draw('replace', 'dataset', 'chunk_id', 'i')} > {P} THEN t
-      ELSE ({LOW} + floor({unit_draw('replace-id', 'dataset', 'chunk_id', 'i')} * {HIGH - LOW + 1}))::INTEGER END"""),
+    line_sql(f"""CASE WHEN {spot_draw('replace')} > {P} THEN t
+      ELSE ({LOW} + floor({spot_draw('replace-id')} * {HIGH - LOW + 1}))::INTEGER END"""),
     lambda x: T.replace_words(x, LOW, HIGH, P, "replace", *key()))
 _chunk_query(
-    "augment_mask", line_sql(f"CASE WHEN {unit_draw('mask', 'dataset', 'chunk_id', 'i')} > {P} THEN t ELSE {MASK} END"),
+    "augment_mask", line_sql(f"CASE WHEN {spot_draw('mask')} > {P} THEN t ELSE {MASK} END"),
     lambda x: T.mask_words(x, MASK, P, "mask", *key()))
 _chunk_query("add_bos_eos", f"'{BOS},' || {line_sql('t')} || ',{EOS}'", lambda x: T.add_ends(x, BOS, EOS))
 
 
 @query("augment_shuffle", f"""WITH {CHUNKS_SQL},
-d AS (SELECT *, {unit_draw('shuffle', 'dataset', 'chunk_id', 'i')} AS u,
-  row_number() OVER (PARTITION BY dataset, chunk_id ORDER BY {draw_sql('shuffle-spot', 'dataset', 'chunk_id', 'i')}, i) AS spot
+d AS (SELECT *, {spot_draw('shuffle')} AS u,
+  row_number() OVER (PARTITION BY dataset, chunk_id ORDER BY {spot_hash('shuffle-spot')}, i) AS spot
   FROM tok),
 c AS (SELECT *, count(*) FILTER (u < {P}) OVER (PARTITION BY dataset, chunk_id) AS n FROM d),
 m AS (SELECT dataset, chunk_id, t, row_number() OVER (PARTITION BY dataset, chunk_id
-    ORDER BY {draw_sql('shuffle-move', 'dataset', 'chunk_id', 'i')}, i) AS spot FROM c WHERE spot <= n),
+    ORDER BY {spot_hash('shuffle-move')}, i) AS spot FROM c WHERE spot <= n),
 r AS (SELECT c.dataset, c.chunk_id, c.i, coalesce(m.t, c.t) AS t
   FROM c LEFT JOIN m ON m.dataset = c.dataset AND m.chunk_id = c.chunk_id AND m.spot = c.spot AND c.spot <= c.n)
 SELECT dataset, chunk_id, {line_sql('t')} AS tokens FROM r GROUP BY dataset, chunk_id""")
@@ -141,7 +163,8 @@ SELECT sample_id, dataset, chunk_id, tokens FROM picks JOIN c USING (dataset, ch
 def mix_datasets(spark, sf):
     """One draw per document over the chunk sets of the four languages."""
     samples = table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"))
-    mixed = T.mix_datasets(chunks(spark, sf), samples, COEFF, "mix")
+    stored = materialize(chunks(spark, sf))
+    mixed = T.mix_datasets(stored, samples, COEFF, "mix")
     return mixed.select("sample_id", "dataset", "chunk_id", line(F.col("tokens")).alias("tokens"))
 
 

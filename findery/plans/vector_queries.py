@@ -35,9 +35,12 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
     return means.select(F.col("g").alias("query_id"), F.col("mean").alias("query_emb"))
 
 
+def sample(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.train_sample(sharded(spark, sf), SAMPLE, N_SHARDS)
+
+
 def coarse(spark: SparkSession, sf: str) -> Packed:
-    sample = ivf.train_sample(sharded(spark, sf), SAMPLE, N_SHARDS)
-    return ivf.train_coarse(sample, N_LISTS, TRAIN_STEPS)
+    return ivf.train_coarse(sample(spark, sf), N_LISTS, TRAIN_STEPS)
 
 
 def with_index(spark: SparkSession, sf: str) -> ivf.IvfIndex:
@@ -129,13 +132,13 @@ res AS (
   FROM owned o JOIN embeddings v USING (vec_id) JOIN coarse c USING (list_id), range({N_SUB}) s(m)),
 first_words AS (
   SELECT row_number() OVER (ORDER BY w, vec_id) - 1 AS code, vec_id FROM (
-    SELECT vec_id, {draw_sql('codes', 'vec_id')} AS w FROM embeddings) ORDER BY w, vec_id LIMIT {N_WORDS}),
+    SELECT vec_id, {draw_sql('codes', 'vec_id')} AS w FROM train_rows) ORDER BY w, vec_id LIMIT {N_WORDS}),
 word0 AS (SELECT m, code, r AS w FROM first_words JOIN res USING (vec_id)),
 code0 AS (
   SELECT vec_id, m, code, r FROM (
     SELECT x.vec_id, x.m, w.code, x.r, row_number() OVER (PARTITION BY x.vec_id, x.m
       ORDER BY round(list_inner_product(w.w, w.w) - 2 * list_inner_product(x.r, w.w), 9), w.code) AS n
-    FROM res x JOIN word0 w ON x.m = w.m) WHERE n = 1),
+    FROM res x JOIN train_rows USING (vec_id) JOIN word0 w ON x.m = w.m) WHERE n = 1),
 mean_words AS (
   SELECT m, code, list(a ORDER BY d) AS w FROM (
     SELECT m, code, d, avg(x) AS a FROM (
@@ -296,7 +299,8 @@ def ivf_append(spark, sf):
 
 def _books(spark, sf):
     index = with_index(spark, sf)
-    return index, pq.train_codebooks(index.postings, index.centroids, N_SUB, N_WORDS, PQ_STEPS)
+    learn = ivf.build_postings(sample(spark, sf), index.centroids)
+    return index, pq.train_codebooks(learn, index.centroids, N_SUB, N_WORDS, PQ_STEPS)
 
 
 @query("train_pq", f"""WITH {COARSE_SQL}, {CODES_SQL}

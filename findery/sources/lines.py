@@ -106,7 +106,7 @@ def valid_counts(validity: DataFrame) -> DataFrame:
 def corpus_ids(staged: DataFrame, validity: DataFrame, deprioritized: list[str] | None = None) -> DataFrame:
     """Lines of the valid files with ``index_id`` 0..N-1 in corpus order and their ``line_no``."""
     good = validity.where("valid").select("filename")
-    splits = split_table(staged).join(F.broadcast(good), "filename", "left_semi")
+    splits = split_table(staged).join(good, "filename", "left_semi")
     numbered = attach(staged, with_starts(splits, deprioritized))
     offset = F.col("seq") - F.col("first_seq")
     return numbered.withColumn("index_id", F.col("id_start") + offset).withColumn(
