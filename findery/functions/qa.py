@@ -17,8 +17,8 @@ _SEP = "\u0001"
 
 def token_line(text: Column) -> Column:
     """Lower-cased tokens of the decomposed text, each fenced by a character no token can hold."""
-    line = F.array_join(tokens(nfd(text), uncased=True), _SEP)
-    return F.when(line == "", F.lit(_SEP)).otherwise(F.concat(F.lit(_SEP), line, F.lit(_SEP)))
+    edge = F.array(F.lit(""))
+    return F.array_join(F.concat(edge, tokens(nfd(text), uncased=True), edge), _SEP)
 
 
 def line_has_answer(line: Column, answer_line: Column) -> Column:
@@ -28,7 +28,8 @@ def line_has_answer(line: Column, answer_line: Column) -> Column:
 
 def has_answer(answer_lines: Column, line: Column) -> Column:
     """Any of an array of answers; a missing text has none."""
-    found = let(line, lambda one: F.exists(answer_lines, lambda a: line_has_answer(one, a)))
+    both = F.struct(line.alias("line"), answer_lines.alias("answers"))
+    found = let(both, lambda x: F.exists(x["answers"], lambda a: line_has_answer(x["line"], a)))
     return F.coalesce(found, F.lit(False))
 
 

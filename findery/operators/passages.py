@@ -33,18 +33,22 @@ def fetch_passages(hits: DataFrame, passages: DataFrame, id_col: str = "index_id
     return fields.join(bounded(hits, max_hits), id_col)
 
 
-def expand_context(hits: DataFrame, passages: DataFrame, offset: int = 1, within: str | None = None,
+def expand_context(hits: DataFrame, passages: DataFrame, offset: int | str = 1, within: str | None = None,
                    key_cols: tuple[str, ...] = ("query_id",), id_col: str = "index_id",
                    max_hits: int | None = None) -> DataFrame:
     """Each hit's text with its ``offset`` neighbours on either side, in id order.
 
     Missing and empty neighbours are skipped. Neighbours come from the corpus-wide
     id line; ``within='filename'`` (or ``'source'``) stops at that boundary.
-    ``original_text`` is given for offset 1 only.
+    ``offset`` may name a column. ``original_text`` is given for offset 1 only. A
+    broadcast by ``max_hits`` needs a fixed offset.
     """
-    keys = [*key_cols, id_col]
+    varies = isinstance(offset, str)
+    step = F.col(offset) if varies else F.lit(offset)
+    keys = [*key_cols, id_col, *([offset] if varies else [])]
     wanted = hits.select(*keys).withColumn(
-        "_near", F.explode(F.sequence(F.col(id_col) - offset, F.col(id_col) + offset)))
+        "_near", F.explode(F.sequence(F.col(id_col) - step, F.col(id_col) + step)))
+    max_hits = None if varies else max_hits
     rows = passages.select(F.col("index_id").alias("_near"), "text", "filename", "position",
                            *([within] if within and within != "filename" else []))
     near = rows.join(bounded(wanted, None if max_hits is None else max_hits * (2 * offset + 1)), "_near")
@@ -65,6 +69,8 @@ def expand_context(hits: DataFrame, passages: DataFrame, offset: int = 1, within
         strip(F.array_join(blocks, " ")).alias("text"), source_label(F.col("_c.filename")).alias("source"),
         F.col("_c.filename").alias("filename"), F.col("_c.position").alias("position"),
     ]
-    if offset == 1:
+    if varies:
+        out.append(F.when(step == 1, strip(F.col("_c.text"))).alias("original_text"))
+    elif offset == 1:
         out.append(strip(F.col("_c.text")).alias("original_text"))
     return grouped.select(*out)

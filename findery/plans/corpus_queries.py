@@ -10,6 +10,7 @@ from findery.operators.prefix import blocked_running_sum, id_block
 from findery.operators.topk import knn_flat, pack_if_small
 from findery.plans import sqltext as Q
 from findery.plans.registry import query
+from findery.plans.search import expand_requests
 from findery.plans.text_queries import documents
 from findery.plans.vector_queries import K, TOPICS_SQL, embeddings, hits_sql, topics
 from findery.session import scratch_path, table
@@ -189,3 +190,19 @@ def expand_within_file(spark, sf):
     """Hits with up to twenty neighbours on each side that lie in the same file."""
     hits, most = topic_hits(spark, sf)
     return expand_context(hits, passages(spark, sf), 20, within="filename", max_hits=most)
+
+
+@query("expand_requests", f"""WITH {PASSAGES_SQL},
+asked AS (SELECT doc_id, 1 + quality + toxic AS o FROM labels),
+near AS (SELECT a.doc_id, a.o, {STRIP.format("string_agg(n.text, ' ' ORDER BY n.index_id)")} AS text
+  FROM asked a JOIN passages n ON n.index_id BETWEEN a.doc_id - a.o AND a.doc_id + a.o
+    AND (n.text <> '' OR n.index_id = a.doc_id) GROUP BY a.doc_id, a.o)
+SELECT x.doc_id AS query_id, x.doc_id AS index_id, x.o::BIGINT AS expand_offset, x.text, c.source, c.filename, c.position,
+  CASE WHEN x.o = 1 THEN {STRIP.format('c.text')} END AS original_text
+FROM near x JOIN passages c ON c.index_id = x.doc_id""")
+def expand_requests_labels(spark, sf):
+    """One expansion request per labelled document, the offset from its labels."""
+    asked = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("query_id"), F.col("doc_id").alias("expand_index_id"),
+        (1 + F.col("quality") + F.col("toxic")).alias("expand_offset"))
+    return expand_requests(asked, passages(spark, sf))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from findery.functions.text import word_count
 from findery.functions.vectors import cosine
 from findery.operators import ivf, pq
-from findery.operators.passages import bounded, fetch_passages
+from findery.operators.passages import bounded, expand_context, fetch_passages
 from findery.operators.rerank import rerank_mmr
 from findery.operators.topk import SCORE_DIGITS, Packed, knn_flat
 from findery.session import materialize
@@ -63,6 +63,9 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     """Requests with every optional field filled in."""
     defaults = {"n_docs": 1, "nprobe": ivf.DEFAULT_NPROBE, "exact_search": False, "diverse_search": False}
     out = requests
+    for name, kind in {"expand_index_id": "long", "expand_offset": "int"}.items():
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast(kind))
     for name, value in defaults.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return out
@@ -71,7 +74,7 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 def request_error() -> Column:
     """Why a request cannot run; null when it can."""
     return (
-        F.when(F.col("query").isNull(), F.lit("missing_query"))
+        F.when(F.col("query").isNull() & F.col("expand_index_id").isNull(), F.lit("missing_query"))
         .when(F.col("diverse_search") & F.col("lambda").isNull(), F.lit("missing_lambda"))
     )
 
@@ -82,6 +85,14 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("error").isNull()).drop("error"), checked.where(F.col("error").isNotNull())
 
 
+def expand_requests(requests: DataFrame, passages: DataFrame) -> DataFrame:
+    """Answers of the requests that name an ``expand_index_id``: its context, without scores."""
+    asked = requests.where(F.col("expand_index_id").isNotNull()).select(
+        "query_id", F.col("expand_index_id").alias("index_id"),
+        F.coalesce("expand_offset", F.lit(1)).cast("long").alias("expand_offset"))
+    return expand_context(asked, passages, "expand_offset")
+
+
 def passage_stats(passages: DataFrame) -> DataFrame:
     """(index_id, n_words); taken from the table when it was stored there at ingest."""
     n = F.col("n_words") if "n_words" in passages.columns else word_count(F.col("text"))

@@ -33,4 +33,6 @@ REQUEST = T.StructType([
     T.StructField("diverse_search", T.BooleanType()),
     T.StructField("lambda", T.DoubleType()),
     T.StructField("min_words", T.IntegerType()),
+    T.StructField("expand_index_id", T.LongType()),
+    T.StructField("expand_offset", T.IntegerType()),
 ])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from findery.operators.encode import embed_texts
-from findery.plans.search import Index, search, split_requests
+from findery.plans.search import Index, expand_requests, search, split_requests
 
 
 def answer_requests(requests: DataFrame, index: Index, vectors: DataFrame, passages: DataFrame, make_encoder,
@@ -14,11 +14,13 @@ def answer_requests(requests: DataFrame, index: Index, vectors: DataFrame, passa
     """Search every micro-batch of a request stream as one batch.
 
     Answers go to a folder per batch number, so a repeated batch replaces itself;
-    rejected requests are kept beside them.
+    expansions and rejected requests are kept beside them.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
         valid, rejected = split_requests(batch)
+        expand_requests(valid, passages).write.mode("overwrite").parquet(f"{out}/expanded/batch={number}")
+        valid = valid.where("expand_index_id IS NULL")
         embedded = embed_texts(valid, "query_id", "query", make_encoder, out="query_emb", **encode_options)
         asked = valid.join(embedded, "query_id")
         results = search(asked, index, vectors, passages, fetch_k)
