@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.draws import hash32
 from findery.operators.kmeans import assign, packed_frame, train_centroids
-from findery.operators.prefix import blocked_row_number
+from findery.operators.passages import bounded
 from findery.operators.topk import (
     BROADCAST_BYTES,
     SCORE_DIGITS,
@@ -35,14 +35,24 @@ def train_sample(
 ) -> DataFrame:
     """``sample_size // n_shards`` rows of every shard without replacement, all of a smaller shard.
 
-    Rows are ordered by a hash draw; the draw's high bits cut each shard into
-    blocks, so even a very large shard is never sorted in one task.
+    Rows are ordered by a hash draw, and the draw's high bits cut a shard into
+    blocks. Block counts tell which block holds a shard's last wanted row: rows of
+    earlier blocks are taken where they lie, and only that one block is ranked.
     """
     per_shard = sample_size // n_shards
-    drawn = vectors.withColumn("_d", hash32(seed, F.col(id_col)))
-    drawn = drawn.withColumn("_b", F.floor(F.col("_d") / ((1 << 32) // SAMPLE_BLOCKS)).cast("long"))
-    numbered = blocked_row_number(drawn, [shard_col], "_b", ["_d", id_col], "_n")
-    return numbered.where(F.col("_n") <= per_shard).drop("_d", "_b", "_n")
+    drawn = vectors.withColumn("_d", hash32(seed, F.col(id_col))).withColumn(
+        "_b", F.floor(F.col("_d") / ((1 << 32) // SAMPLE_BLOCKS)).cast("long"))
+    sizes = drawn.groupBy(shard_col, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(shard_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_start") < per_shard)
+    cuts = reach.groupBy(shard_col).agg(
+        F.max("_b").alias("_cut"), (per_shard - F.max("_start")).alias("_room"))  # one row per shard
+    placed = drawn.join(bounded(cuts, n_shards), shard_col)
+    edge = Window.partitionBy(shard_col).orderBy("_d", id_col)
+    sure = placed.where(F.col("_b") < F.col("_cut"))
+    last = placed.where(F.col("_b") == F.col("_cut")).withColumn("_n", F.row_number().over(edge))
+    last = last.where(F.col("_n") <= F.col("_room")).drop("_n")
+    return sure.unionByName(last).drop("_d", "_b", "_cut", "_room")
 
 
 def train_coarse(sample: DataFrame, n_lists: int, iterations: int = 10, **names) -> Packed:

@@ -12,15 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions.vectors import NORM_FLOOR, cosine, l2_distance
+from findery.operators.passages import bounded
 from findery.operators.topk import SCORE_DIGITS
 
 
 def candidate_l2(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, query_col: str = "query_id",
-                 query_vec: str = "query_emb", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Negative Euclidean distance of given (query, id) candidates."""
+                 query_vec: str = "query_emb", id_col: str = "vec_id", vec_col: str = "embedding",
+                 max_candidates: int | None = None) -> DataFrame:
+    """Negative Euclidean distance of given (query, id) candidates.
+
+    With a proven ``max_candidates`` the vectors are scanned in place.
+    """
     return (
-        candidates.select(query_col, id_col)
-        .join(vectors.select(id_col, vec_col), id_col)
+        vectors.select(id_col, vec_col)
+        .join(bounded(candidates.select(query_col, id_col), max_candidates), id_col)
         .join(queries.select(query_col, query_vec), query_col)
         .select(query_col, id_col, (-l2_distance(F.col(query_vec), F.col(vec_col))).alias("neg_l2"))
     )
@@ -71,8 +76,9 @@ def rerank_exact(candidates: DataFrame, query_vec: str, vec_col: str, query_col:
 
 def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relevance: float | None = None,
                lambda_col: str | None = None, limit_col: str | None = None, limit: int | None = None,
-               query_col: str = "query_id", id_col: str = "vec_id", rank_col: str = "rank") -> DataFrame:
-    """Maximal marginal relevance: (query, id, rank, mmr_score).
+               query_col: str = "query_id", id_col: str = "vec_id", rank_col: str = "rank",
+               keep: list[str] | None = None) -> DataFrame:
+    """Maximal marginal relevance: (query, id, rank, mmr_score) and the ``keep`` columns.
 
     The most relevant candidate first, then repeatedly the one with the largest
     ``lambda * relevance - (1 - lambda) * max cosine to those chosen``. A larger
@@ -82,9 +88,11 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
     """
     lam = F.lit(lambda_relevance) if lambda_col is None else F.col(lambda_col)
     top = F.lit(limit) if limit_col is None else F.col(limit_col)
+    keep = keep or []
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in candidates.schema.fields if f.name in keep)
     chosen = candidates.select(
         F.col(query_col), F.col(id_col), F.col(rank_col).alias("_r"), F.col(relevance).cast("double").alias("_rel"),
-        F.col(vec_col).alias("_v"), lam.cast("double").alias("_lam"), top.cast("long").alias("_top"),
+        F.col(vec_col).alias("_v"), lam.cast("double").alias("_lam"), top.cast("long").alias("_top"), *keep,
     )
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,10 +115,11 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
         return pd.DataFrame({
             query_col: pdf[query_col].to_numpy()[picks], id_col: pdf[id_col].to_numpy()[picks],
             "rank": np.arange(1, len(picks) + 1), "mmr_score": values,
+            **{c: pdf[c].to_numpy()[picks] for c in keep},
         })
 
     return chosen.groupBy(query_col).applyInPandas(
-        one, f"{query_col} long, {id_col} long, rank long, mmr_score double"
+        one, f"{query_col} long, {id_col} long, rank long, mmr_score double{kept}"
     )
 
 

@@ -15,6 +15,7 @@ from findery.functions.text import normalize_query
 
 REJECTED = "Missing query, passage_id, or relevant"
 LOOKUP_LIMIT = 50
+SEQ_SPAN = 10**18
 KEYS = ["query_hash", "ctx_hash", "passage_id"]
 
 
@@ -39,23 +40,24 @@ def record_votes(raw: DataFrame) -> DataFrame:
     )
 
 
-def _latest(keys: list[str]):
-    when = F.struct("ts", "seq")
-    last = F.max_by(F.struct("relevant", "ts", "seq"), when)
-    return last.alias("_last"), [*keys, F.col("_last.relevant").alias("relevant"), F.col("_last.ts").alias("ts")]
+def arrival() -> Column:
+    """(ts, seq) as one number, so that the newest vote is kept in a hash aggregation."""
+    wide = "decimal(19,0)"
+    return F.col("ts").cast(wide) * F.lit(SEQ_SPAN).cast(wide) + F.col("seq").cast(wide)
+
+
+def _latest(events: DataFrame, keys: list[str]) -> DataFrame:
+    return events.groupBy(*keys).agg(F.max_by("relevant", arrival()).alias("relevant"), F.max("ts").alias("ts"))
 
 
 def latest_votes(events: DataFrame) -> DataFrame:
     """Newest vote per (query, context, passage)."""
-    agg, out = _latest(KEYS)
-    return events.groupBy(*KEYS).agg(agg).select(*out)
+    return _latest(events, KEYS)
 
 
 def latest_votes_any_context(events: DataFrame) -> DataFrame:
     """Newest vote per (query, passage) whatever the context was."""
-    keys = ["query_hash", "passage_id"]
-    agg, out = _latest(keys)
-    return events.groupBy(*keys).agg(agg).select(*out)
+    return _latest(events, ["query_hash", "passage_id"])
 
 
 def peek_votes(asked: DataFrame, events: DataFrame) -> DataFrame:
@@ -65,13 +67,17 @@ def peek_votes(asked: DataFrame, events: DataFrame) -> DataFrame:
 
 def vote_queries(events: DataFrame) -> DataFrame:
     """One row per query hash; the first arrival wins."""
-    return events.groupBy("query_hash").agg(F.min_by("query_norm", "seq").alias("query_norm"))
+    spellings = events.groupBy("query_hash", "query_norm").agg(F.min("seq").alias("seq"))
+    return spellings.groupBy("query_hash").agg(F.min_by("query_norm", "seq").alias("query_norm"))
 
 
 def vote_contexts(events: DataFrame) -> DataFrame:
     """One row per context hash; the first arrival wins."""
-    first = events.groupBy("ctx_hash").agg(F.min_by("config", "seq").alias("c"))
-    return first.select("ctx_hash", "c.nprobe", "c.exact_search", "c.diverse_search", "c.lambda")
+    fields = ["nprobe", "exact_search", "diverse_search", "lambda"]
+    seen = events.select("ctx_hash", "seq", *[f"config.{c}" for c in fields])
+    spellings = seen.groupBy("ctx_hash", *fields).agg(F.min("seq").alias("seq"))
+    first = spellings.groupBy("ctx_hash").agg(F.min_by(F.struct(*fields), "seq").alias("c"))
+    return first.select("ctx_hash", "c.*")
 
 
 def votes_of(votes: DataFrame, asked: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.functions.text import word_count
+from findery.functions.text import has_min_words
 from findery.functions.vectors import cosine
 from findery.operators import ivf, pq
 from findery.operators.passages import bounded, expand_context, fetch_passages
 from findery.operators.rerank import rerank_mmr
-from findery.operators.topk import SCORE_DIGITS, Packed, knn_flat
+from findery.operators.topk import BROADCAST_BYTES, SCORE_DIGITS, Packed, knn_flat
 from findery.session import materialize
 
 FETCH_K = 1000
@@ -93,35 +93,52 @@ def expand_requests(requests: DataFrame, passages: DataFrame) -> DataFrame:
     return expand_context(asked, passages, "expand_offset")
 
 
-def passage_stats(passages: DataFrame) -> DataFrame:
-    """(index_id, n_words); taken from the table when it was stored there at ingest."""
-    n = F.col("n_words") if "n_words" in passages.columns else word_count(F.col("text"))
-    return passages.select("index_id", n.alias("n_words"))
+def long_enough(hits: DataFrame, requests: DataFrame, passages: DataFrame, max_hits: int) -> DataFrame:
+    """Hits whose passage has the words its request asks for.
+
+    Word counts come from the table's ``n_words`` when they were stored at ingest;
+    otherwise they are taken from the text of the hits, not of the corpus.
+    """
+    source = "n_words" if "n_words" in passages.columns else "text"
+    rows = passages.select("index_id", F.col(source).alias("_s")).join(bounded(hits, max_hits), "index_id")
+    rows = rows.join(requests.select("query_id", "min_words"), "query_id")
+    least = F.col("min_words")
+    enough = has_min_words(F.col("_s"), least) if source == "text" else (
+        least.isNull() | (least <= 0) | (F.col("_s") >= least))
+    return rows.where(enough).select(*hits.columns)
 
 
-def rank_candidates(requests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, index_id, rank, retrieval_score, exact_score) of the rows each request returns.
+def with_exact_score(hits: DataFrame, requests: DataFrame, vectors: DataFrame, max_hits: int,
+                     small_requests: bool) -> DataFrame:
+    """Hits with their vector and, for exact requests, the cosine to the query (NaN counts as -1).
 
-    ``candidates`` carry the request's options, the retrieval rank and score and both
-    vectors. Diverse requests go through MMR on the exact score where one was asked
-    for, else on the retrieval score; the others are a bounded top-n.
+    Narrow hits meet the vectors first; query vectors join afterwards, so they are
+    never copied into a broadcast of hits.
     """
+    near = vectors.select(F.col("vec_id").alias("index_id"), "embedding").join(bounded(hits, max_hits), "index_id")
+    asked = requests.select("query_id", "query_emb", "exact_search")
+    near = near.join(F.broadcast(asked) if small_requests else asked, "query_id")
     sim = cosine(F.col("query_emb"), F.col("embedding"))
     safe = F.when(sim.isNull() | F.isnan(sim), F.lit(-1.0)).otherwise(F.round(sim, SCORE_DIGITS))
-    scored = candidates.withColumn("exact_score", F.when(F.col("exact_search"), safe)).withColumn(
-        "_rel", F.coalesce("exact_score", "score"))
-    by_score = Window.partitionBy("query_id").orderBy(
-        F.when(F.col("exact_search"), F.col("exact_score")).desc(), F.col("rank"))
-    out = ["query_id", "index_id", "rank", F.col("score").alias("retrieval_score"), "exact_score"]
-    plain = (
-        scored.where(~F.col("diverse_search"))
-        .withColumn("_n", F.row_number().over(by_score).cast("long"))
-        .where(F.col("_n") <= F.col("n_docs")).withColumn("rank", F.col("_n")).select(*out)
-    )
-    diverse = scored.where("diverse_search")
-    picked = rerank_mmr(diverse, "embedding", "_rel", lambda_col="lambda", limit_col="n_docs", id_col="index_id")
-    mixed = diverse.drop("rank").join(picked, ["query_id", "index_id"]).select(*out)
-    return plain.unionByName(mixed)
+    return near.select(*hits.columns, "embedding", F.when(F.col("exact_search"), safe).alias("exact_score"))
+
+
+def plain_order(scored: DataFrame, requests: DataFrame) -> DataFrame:
+    """First ``n_docs`` of the requests without MMR: by exact score where there is one, then retrieval rank."""
+    w = Window.partitionBy("query_id").orderBy(F.col("exact_score").desc(), F.col("rank"))
+    mine = requests.where(~F.col("diverse_search")).select("query_id", "n_docs")
+    ranked = scored.join(mine, "query_id").withColumn("_n", F.row_number().over(w).cast("long"))
+    return ranked.where(F.col("_n") <= F.col("n_docs")).select(
+        "query_id", "index_id", F.col("_n").alias("rank"), F.col("score").alias("retrieval_score"), "exact_score")
+
+
+def diverse_order(scored: DataFrame, requests: DataFrame) -> DataFrame:
+    """First ``n_docs`` of the diverse requests by MMR on the exact score, else on the retrieval score."""
+    mine = requests.where("diverse_search").select("query_id", "n_docs", "lambda")
+    rows = scored.join(mine, "query_id").withColumn("_rel", F.coalesce("exact_score", "score"))
+    picked = rerank_mmr(rows, "embedding", "_rel", lambda_col="lambda", limit_col="n_docs", id_col="index_id",
+                        keep=["score", "exact_score"])
+    return picked.select("query_id", "index_id", "rank", F.col("score").alias("retrieval_score"), "exact_score")
 
 
 def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: DataFrame, fetch_k: int = FETCH_K,
@@ -130,26 +147,30 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
 
     Scores stay on their rows: ``retrieval_score`` from the index and, where exact
     search was asked for, ``exact_score``. A request with ``n_docs`` above
-    ``fetch_k`` raises the fetch for the batch.
+    ``fetch_k`` raises the fetch for the batch. Stages no request needs are left out
+    of the plan.
     """
     # the batch is read several times; its encoder must not run again for each
     requests = materialize(requests)
-    options = ["query_id", "query_emb", "n_docs", "exact_search", "diverse_search", "lambda", "min_words"]
-    size = requests.agg(F.count("*").alias("n"), F.max("n_docs").alias("k")).first()
-    fetch = max(fetch_k, size["k"] or 1)
+    needs = requests.agg(
+        F.count("*").alias("n"), F.max("n_docs").alias("k"), F.max("min_words").alias("words"),
+        F.max(F.size("query_emb")).alias("dim"), F.max("exact_search").alias("exact"),
+        F.max("diverse_search").alias("diverse")).first()
+    fetch = max(fetch_k, needs["k"] or 1)
+    most = needs["n"] * fetch
     hits = index.search(requests.select("query_id", "query_emb", "nprobe"), fetch, "nprobe")
     hits = hits.withColumnRenamed("vec_id", "index_id")
-    most = size["n"] * fetch
-    # one scan of the word counts and one of the vectors, each joined to a bounded hit list
-    counted = passage_stats(passages).join(bounded(hits, most), "index_id")
-    asked = counted.join(bounded(requests.select(*options), size["n"]), "query_id")
-    long_enough = F.col("min_words").isNull() | (F.col("min_words") <= 0) | (F.col("n_words") >= F.col("min_words"))
-    kept = asked.where(long_enough)
-    near = vectors.select(F.col("vec_id").alias("index_id"), "embedding").join(bounded(kept, most), "index_id")
-    ranked = rank_candidates(requests, near)
-    if not with_text:
-        return ranked
-    return fetch_passages(ranked, passages, max_hits=size["n"] * fetch)
+    if (needs["words"] or 0) > 0:
+        hits = long_enough(hits, requests, passages, most)
+    if needs["exact"] or needs["diverse"]:
+        small = needs["n"] * (needs["dim"] or 0) * 8 <= BROADCAST_BYTES
+        scored = with_exact_score(hits, requests, vectors, most, small)
+    else:
+        scored = hits.withColumn("exact_score", F.lit(None).cast("double"))
+    ranked = plain_order(scored, requests)
+    if needs["diverse"]:
+        ranked = ranked.unionByName(diverse_order(scored, requests))
+    return fetch_passages(ranked, passages, max_hits=most) if with_text else ranked
 
 
 def fill_check(results: DataFrame, requests: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.functions.qa import line_has_answer, token_line
-from findery.functions.vectors import as_double, unit
+from findery.functions.vectors import as_double
 from findery.operators.encode import embed_texts, embed_with_cache, hashed_words
 from findery.operators.kmeans import group_means
 from findery.operators.metrics import hit_curve
-from findery.operators.passages import fetch_passages
+from findery.operators.passages import bounded
 from findery.operators.rerank import drop_redundant, rerank_exact, rerank_mmr
 from findery.operators.topk import knn_flat
 from findery.plans import search as S
@@ -26,7 +26,7 @@ from findery.schemas import REQUEST
 from findery.session import scratch_path, table
 from findery.streaming.requests import answer_requests
 
-DIM, FETCH, MMR_FETCH, MMR_PICKS, LAMBDA = 64, 50, 50, 5, 0.5
+DIM, FETCH, MMR_FETCH, MMR_PICKS, LAMBDA = 64, S.FETCH_K, 50, 5, 0.5
 ENCODE = {"lower": True, "normalize_text": True}
 
 
@@ -288,7 +288,7 @@ def text_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = knn_flat(ask, document_vectors(spark, sf), TOP).drop("score")
     texts = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
     answer = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
-    return texts.join(hits, "vec_id").join(answer, "query_id")
+    return texts.join(bounded(hits, items.count() * TOP), "vec_id").join(answer, "query_id")
 
 
 @query("drop_redundant", f"""WITH RECURSIVE {TEXT_HITS_SQL},

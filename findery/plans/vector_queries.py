@@ -222,7 +222,7 @@ SELECT query_id, vec_id, round(-list_distance(q, embedding::DOUBLE[]), 6) AS neg
 FROM hits JOIN topics USING (query_id) JOIN embeddings USING (vec_id)""")
 def candidate_l2_topics(spark, sf):
     t, e = topics(spark, sf), embeddings(spark, sf)
-    scored = candidate_l2(knn_flat(t, e, K), t, e)
+    scored = candidate_l2(knn_flat(t, e, K), t, e, max_candidates=t.count() * K)
     return scored.select("query_id", "vec_id", F.round("neg_l2", 6).alias("neg_l2"))
 
 

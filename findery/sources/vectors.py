@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.functions.vectors import is_finite
+from findery.operators.passages import bounded
 from findery.operators.prefix import blocked_row_number, id_block
 from findery.schemas import EMBEDDING_LINE
 
@@ -98,15 +99,21 @@ def read_converted(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_prefix(source: DataFrame, written: DataFrame, first: int, file_col: str = "file",
                   id_col: str = "vec_id", vec_col: str = "embedding", tolerance: float = 1e-6) -> DataFrame:
-    """Compare the first rows of each file with what was written: (file, need, matched, ok)."""
-    blocked = source.withColumn("_b", id_block(id_col))
-    head = blocked_row_number(blocked, [file_col], "_b", [id_col], "_n").where(F.col("_n") <= first)
-    head = head.select(file_col, F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("_a"))
+    """Compare the first rows of each file with what was written: (file, need, matched, ok).
+
+    Ids alone are numbered; vectors are read for the chosen rows.
+    """
+    ids = source.select(file_col, id_col).withColumn("_b", id_block(id_col))
+    head = blocked_row_number(ids, [file_col], "_b", [id_col], "_n").where(F.col("_n") <= first)
+    most = source.select(file_col).distinct().count() * first
+    near = source.select(file_col, id_col, vec_col).join(bounded(head.select(file_col, id_col), most), [file_col, id_col])
+    head = near.select(file_col, F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("_a"))
     back = written.select(file_col, "id", F.col("embedding").cast("array<double>").alias("_w"))
     gap = F.zip_with("_a", "_w", lambda a, w: F.abs(a - w) <= tolerance + tolerance * F.abs(a))
     close = (F.size("_a") == F.size("_w")) & F.forall(gap, lambda x: F.coalesce(x, F.lit(False)))
+    found = back.join(bounded(head.select(file_col, "id"), most), [file_col, "id"])
     return (
-        head.join(back, [file_col, "id"], "left")
+        head.join(found, [file_col, "id"], "left")
         .groupBy(file_col)
         .agg(F.count("*").alias("need"), F.count(F.when(close, 1)).alias("matched"))
         .withColumn("ok", F.col("need") == F.col("matched"))

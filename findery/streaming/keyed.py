@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from findery.operators.votes import KEYS
+from findery.operators.votes import latest_votes
 
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -41,9 +41,7 @@ def current_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 def running_latest_votes(events: DataFrame) -> DataFrame:
     """Newest vote per (query, context, passage), streaming."""
-    last = F.max_by(F.struct("relevant", "ts"), F.struct("ts", "seq"))
-    return events.groupBy(*KEYS).agg(last.alias("_l")).select(
-        *KEYS, F.col("_l.relevant").alias("relevant"), F.col("_l.ts").alias("ts"))
+    return latest_votes(events)
 
 
 def running_latency(events: DataFrame, by: list[Column]) -> DataFrame:
