@@ -73,8 +73,19 @@ def half_precision(v: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), rounded, mask=v.is_null())
 
 
-def joined(v: Column, digits: int = 6) -> Column:
-    """Comma-separated fixed-point text of a vector, for reports."""
-    return F.array_join(
-        F.transform(as_double(v), lambda x: F.format_string(f"%.{digits}f", x)), ","
-    )
+@F.arrow_udf(T.DoubleType())
+def cosine_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``cosine`` over whole Arrow batches; pays off for long vectors and many rows.
+
+    Rows whose vectors are missing or of different lengths give null.
+    """
+    wide_a, wide_b = (x.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for x in (a, b))
+    out = np.full(len(a), np.nan)
+    missing = (wide_a != wide_b) | (wide_a < 0)
+    for dim in np.unique(wide_a[~missing]):
+        rows = np.flatnonzero(~missing & (wide_a == dim))
+        x, y = (v.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+                for v in (a, b))
+        lengths = [np.maximum(np.sqrt(np.einsum("ij,ij->i", m, m)), NORM_FLOOR) for m in (x, y)]
+        out[rows] = np.einsum("ij,ij->i", x, y) / (lengths[0] * lengths[1])
+    return pa.array(out, mask=missing)

@@ -21,6 +21,7 @@ from findery.operators.topk import (
     knn_flat,
     pack_if_small,
     rank_in_group,
+    row_blocks,
     row_topk,
     scan_topk,
 )
@@ -64,13 +65,18 @@ def probe_lists(queries: Packed, centroids: Packed, nprobe: int | np.ndarray) ->
 
     ``nprobe`` is one number, or one per query.
     """
-    scores = np.round(queries.matrix @ centroids.matrix.T, SCORE_DIGITS)
-    n = len(centroids.ids)
-    q = np.repeat(np.arange(queries.rows), n)
-    q, _, lists = keep_best(q, scores.ravel(), np.tile(centroids.ids, queries.rows), int(np.max(nprobe)))
-    near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
-    q, lists = q[near], lists[near]
-    return {int(one): q[lists == one] for one in np.unique(lists)}
+    n, deepest = len(centroids.ids), int(np.max(nprobe))
+    found = []
+    for part in row_blocks(queries.rows, n):
+        rows = np.arange(part.start, part.stop)
+        scores = np.round(queries.matrix[part] @ centroids.matrix.T, SCORE_DIGITS)
+        q, _, lists = keep_best(np.repeat(rows, n), scores.ravel(), np.tile(centroids.ids, len(rows)), deepest)
+        near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
+        found.append((q[near], lists[near]))
+    q, lists = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(lists, kind="stable")
+    names, first = np.unique(lists[order], return_index=True)
+    return {int(one): rows for one, rows in zip(names, np.split(q[order], first[1:]))}
 
 
 def nprobe_of(queries: DataFrame, packed: Packed, query_col: str, nprobe: int | str) -> int | np.ndarray:

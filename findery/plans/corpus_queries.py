@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findery.functions.text import word_count
 from findery.operators.passages import expand_context, fetch_passages
 from findery.operators.prefix import blocked_running_sum, id_block
 from findery.operators.topk import knn_flat, pack_if_small
@@ -131,14 +132,17 @@ def load_queries(spark, sf):
 
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as a numbered corpus; the byte position runs within a source."""
+    """Documents as the passage table an ingest stores: ids, byte position within the source, word count."""
     docs = documents(spark, sf).select(
         F.col("doc_id").alias("index_id"), F.col("doc_id").cast("string").alias("passage_id"), "text", "source",
         F.concat("source", F.lit("--raw_passages_0-0-of-1.jsonl")).alias("filename"),
         (F.octet_length("text") + 1).cast("long").alias("n_bytes"))
     sized = docs.select("index_id", "source", "n_bytes").withColumn("_b", id_block("index_id"))
     placed = blocked_running_sum(sized, ["source"], "_b", ["index_id"], F.col("n_bytes"), "position")
-    return docs.drop("n_bytes").join(placed.select("index_id", "position"), "index_id")
+    path = scratch_path(spark, "passage-table")
+    table_rows = docs.drop("n_bytes").join(placed.select("index_id", "position"), "index_id")
+    table_rows.withColumn("n_words", word_count(F.col("text"))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 PASSAGES_SQL = """

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions.text import has_min_words
-from findery.functions.vectors import cosine
+from findery.functions.vectors import cosine_batch
 from findery.operators import ivf, pq
 from findery.operators.passages import bounded, expand_context, fetch_passages
 from findery.operators.rerank import rerank_mmr
@@ -118,7 +118,7 @@ def with_exact_score(hits: DataFrame, requests: DataFrame, vectors: DataFrame, m
     near = vectors.select(F.col("vec_id").alias("index_id"), "embedding").join(bounded(hits, max_hits), "index_id")
     asked = requests.select("query_id", "query_emb", "exact_search")
     near = near.join(F.broadcast(asked) if small_requests else asked, "query_id")
-    sim = cosine(F.col("query_emb"), F.col("embedding"))
+    sim = cosine_batch("query_emb", "embedding")
     safe = F.when(sim.isNull() | F.isnan(sim), F.lit(-1.0)).otherwise(F.round(sim, SCORE_DIGITS))
     return near.select(*hits.columns, "embedding", F.when(F.col("exact_search"), safe).alias("exact_score"))
 
