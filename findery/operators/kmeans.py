@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.functions.draws import hash32
+from findery.functions.vectors import NORM_FLOOR
 from findery.operators.topk import SCORE_DIGITS, Packed, list_matrix, row_blocks, row_topk
 from findery.session import materialize
 
@@ -89,6 +90,10 @@ def start_vectors(vectors: DataFrame, id_col: str, vec_col: str, n: int, seed: s
     return list_matrix(got.column("v"))
 
 
+def unit_rows(mat: np.ndarray) -> np.ndarray:
+    return mat / np.maximum(np.sqrt((mat * mat).sum(axis=1, keepdims=True)), NORM_FLOOR)
+
+
 def train_centroids(
     vectors: DataFrame,
     n_lists: int,
@@ -105,7 +110,7 @@ def train_centroids(
     The sample is drawn once and read from the shared folder by every pass. A centroid that loses all members keeps its last position.
     """
     vectors = materialize(vectors.select(id_col, vec_col))
-    centroids = start_vectors(vectors, id_col, vec_col, n_lists, seed)
+    centroids = unit_rows(start_vectors(vectors, id_col, vec_col, n_lists, seed))
     if centroids.size * 8 > max_bytes:
         raise ValueError("centroids exceed the broadcast budget; lower n_lists")
     sc = vectors.sparkSession.sparkContext
@@ -132,8 +137,7 @@ def train_centroids(
         fresh = centroids.copy()
         if got.num_rows:
             fresh[got.column("g").to_numpy()] = list_matrix(got.column("mean"))
-        lengths = np.sqrt((fresh * fresh).sum(axis=1, keepdims=True))
-        centroids = fresh / np.maximum(lengths, 1e-12)
+        centroids = unit_rows(fresh)
         shared.unpersist()
     return Packed(np.arange(len(centroids), dtype=np.int64), centroids)
 

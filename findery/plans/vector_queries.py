@@ -104,8 +104,9 @@ COARSE_SQL = (
     SAMPLE_SQL
     + f""",
 cen0 AS (
-  SELECT row_number() OVER (ORDER BY w, vec_id) - 1 AS list_id, embedding::DOUBLE[] AS c FROM (
-    SELECT vec_id, embedding, {draw_sql('coarse', 'vec_id')} AS w FROM train_rows)
+  SELECT row_number() OVER (ORDER BY w, vec_id) - 1 AS list_id,
+    list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) AS c FROM (
+    SELECT vec_id, embedding::DOUBLE[] AS e, {draw_sql('coarse', 'vec_id')} AS w FROM train_rows)
   ORDER BY w, vec_id LIMIT {N_LISTS}),"""
     + ",".join(_lloyd_step(i) for i in range(TRAIN_STEPS))
     + f""",
