@@ -9,7 +9,6 @@ from findery.functions.text import word_count
 from findery.operators.passages import expand_context, fetch_passages
 from findery.operators.prefix import blocked_running_sum, id_block
 from findery.operators.topk import knn_flat, pack_if_small
-from findery.plans import sqltext as Q
 from findery.plans.registry import query
 from findery.plans.search import expand_requests
 from findery.plans.text_queries import documents
