@@ -80,9 +80,24 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def code_table(rule: Callable[[str], str]) -> np.ndarray:
-    """Look-up over all code points; ``rule`` gives the first character that stands for one."""
-    return np.array([ord(rule(chr(c))[:1] or " ") for c in range(0x110000)], dtype=np.uint32)
+class CodeTable:
+    """Maps code points by ``rule``, which gives a text whose first character stands for one.
+
+    The rule runs once for each code point that occurs; the rest is a look-up.
+    """
+
+    UNSEEN = 0xFFFFFFFF
+
+    def __init__(self, rule: Callable[[str], str]):
+        self.rule, self.table = rule, np.full(0x110000, self.UNSEEN, np.uint32)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.table[at]
+        if (new := out == self.UNSEEN).any():
+            for c in np.unique(at[new]):
+                self.table[c] = ord(self.rule(chr(c))[:1] or " ")
+            out = self.table[at]
+        return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -187,13 +202,13 @@ def running_start(df: DataFrame, keys: list[str], order: str, value: str, out: s
         df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), label)
     totals = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, "_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_at"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    matched = [ranged[k].eqNullSafe(starts[k]) for k in keys] + [ranged["_part"] == starts["_part"]]
-    condition = matched[0]
-    for more in matched[1:]:
-        condition = condition & more
+    condition = F.col("_part") == F.col("_at")
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     joined = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = joined.join(starts.hint("merge"), condition)
-    kept = [ranged[c] for c in df.columns]
-    return joined.select(*kept, (F.col("_start") + F.col("_in")).alias(out))
+    return joined.select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
