@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import exact_dedup, langid, quality, secrets, toxicity
+from findery.llm import exact_dedup, html, langid, quality, secrets, toxicity
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
 
@@ -36,3 +36,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_resample")
 def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_html_extract")
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
