@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import exact_dedup, html, langid, quality, secrets, toxicity
+from findery.llm import exact_dedup, html, langid, mixing, quality, secrets, toxicity
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
 
@@ -41,3 +41,8 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extract")
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_mix_sources")
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
