@@ -120,7 +120,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.empty(0, np.uint64), starts, ends
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(mix64(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: len(data)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * down[starts]
@@ -132,7 +132,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the life of a worker and grown on demand."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(1 << 17, 1 << int(n).bit_length())
