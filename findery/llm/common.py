@@ -109,8 +109,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end of every word in an array of byte or code values.
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word in an array of bytes, in order.
 
     A polynomial in an odd base, evaluated over the whole array at once; the part before a
     word is taken off and the power divided out, so equal words hash alike anywhere.
@@ -119,16 +119,21 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.empty(0, np.uint64), starts, ends
+        return np.empty(0, np.uint64)
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix64(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64)), starts, ends
+    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def utf8(text: str) -> np.ndarray:
+    """Bytes of a text, ASCII capitals lowered."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
 
 
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -155,6 +160,54 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+FILTER_BITS = 26
+_BITMAP_BYTES = 1 << 12  # size of one of Spark's bitmaps
+
+
+class Filter:
+    """One bit for every place that a value of a table falls on: none is missed, others may pass.
+
+    The size is fixed (8 MiB), whatever the table; on a very large one it only lets more pass.
+    """
+
+    def __init__(self, values: DataFrame):
+        place = F.col(values.columns[0]).cast("long").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        placed = values.select(place.alias("p")).where("p is not null")
+        parts = placed.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+        bits = bytearray((1 << FILTER_BITS) // 8 + 2 * _BITMAP_BYTES)
+        for row in parts:  # bitmaps are numbered from 1; 0 holds the place 0 alone
+            bits[row["k"] * _BITMAP_BYTES: row["k"] * _BITMAP_BYTES + len(row["bits"])] = row["bits"]
+        self.shared = values.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def __getstate__(self):
+        return {"shared": self.shared}
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        bits = np.frombuffer(self.shared.value, np.uint8)
+        place = values.astype(np.int64) & ((1 << FILTER_BITS) - 1)
+        per = _BITMAP_BYTES * 8
+        bucket = np.where(place > 0, 1 + (place - 1) // per, 0)
+        bit = np.where(place > 0, (place - 1) % per, 0)
+        return (bits[bucket * _BITMAP_BYTES + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
+
+
+def passing(df: DataFrame, column: str, wanted: Filter) -> DataFrame:
+    """The rows whose value may be in the filter; nulls never are."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column)
+            mask = wanted.passes(values.fill_null(0).to_numpy(zero_copy_only=False))
+            if values.null_count:
+                mask &= values.is_valid().to_numpy(zero_copy_only=False)
+            if mask.any():
+                yield batch.filter(pa.array(mask))
+
+    return df.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the undirected (a, b) pairs.
 

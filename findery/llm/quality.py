@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from findery.llm.common import (
-    CodeTable, codes, fold_texts, map_texts, running_start, shingles, stage, text_rows, word_hashes,
+    CodeTable, codes, fold_texts, map_texts, running_start, shingles, stage, text_rows, utf8, word_hashes,
 )
 from findery.llm.langid import gram_buckets
 
@@ -47,7 +47,7 @@ class Grams:
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """None without a word."""
         raw = codes(text)
-        words, _, _ = word_hashes(raw)
+        words = word_hashes(utf8(text))
         if not len(words):
             return None
         c = self.table[raw]

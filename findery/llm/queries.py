@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import decontaminate, exact_dedup, html, langid, mixing, quality, secrets, toxicity
+from findery.llm import decontaminate, exact_dedup, html, langid, line_dedup, mixing, quality, secrets, toxicity
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
 
@@ -51,3 +51,8 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_chunks(table(spark, sf_dir, "documents"))
