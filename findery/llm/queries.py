@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import decontaminate, exact_dedup, html, langid, line_dedup, mixing, quality, secrets, toxicity
+from findery.llm import decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, quality, secrets, toxicity
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
 
@@ -56,3 +56,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_chunks(table(spark, sf_dir, "documents"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
