@@ -1,27 +1,56 @@
-"""A corpus pipeline; each stage reads what the one before kept."""
+"""A corpus pipeline: quality, exact copies, near copies, benchmark passages, mix.
+
+Each stage reads what the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import exact_dedup
+from findery.llm import decontaminate, exact_dedup, jaccard, mixing, quality
 from findery.llm.common import stage
 from findery.session import table
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays: the one with the smallest id."""
-    return exact_dedup.drop_duplicates(docs)
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws, towards those labelled good."""
+    return quality.keep_drawn(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return exact_dedup.drop_duplicates(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles the one with the smallest id stays."""
+    return jaccard.drop_similar(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: shard, slot, part, source, doc_id, text."""
+    return mixing.mixed_text(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("mix", mix),
+]
 
-#: The stages draw, train and link; no SQL states them.
+#: Trained models, set joins and pseudorandom draws: no SQL states them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
+    """All stages over the documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
