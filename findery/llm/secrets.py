@@ -117,18 +117,14 @@ def _node(op, arg) -> tuple[set[str] | None, object, bool]:
             return strings | {""}, True, False
         if low == 0:
             return None, True, False
-        plain = need is True and _spelt(body)
-        return (strings if plain else None), need, True
+        if need is True and all(o is K.LITERAL for o, _ in body):
+            return strings, True, True
+        return None, _all([need, _of_strings(strings)]), False
     if op is K.AT:
         return {""}, True, False
     return None, True, False
 
 
-def _spelt(body) -> bool:
-    """Whether a repeated part is spelt out by its strings, not by an open class."""
-    return all(op is K.LITERAL for op, _ in body)
-
-
 def trigrams(query: object) -> set[str]:
     if query is True:
         return set()
