@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.functions.draws import hash32
@@ -13,20 +14,21 @@ from findery.operators.kmeans import assign, packed_frame, train_centroids
 from findery.operators.passages import bounded
 from findery.operators.topk import (
     BROADCAST_BYTES,
-    SCORE_DIGITS,
     Packed,
+    pack,
+    barred_topk,
     best_per_query,
-    cell_topk,
     keep_best,
-    knn_flat,
-    pack_if_small,
+    lengths,
+    query_blocks,
     rank_in_group,
     row_blocks,
-    row_topk,
-    scan_topk,
+    snap,
 )
 
 DEFAULT_NPROBE = 32
+#: Neighbouring lists that share a folder, and the column that names it.
+GROUP_LISTS, GROUP_COL = 64, "list_group"
 SAMPLE_BLOCKS = 1 << 16
 
 
@@ -69,7 +71,8 @@ def probe_lists(queries: Packed, centroids: Packed, nprobe: int | np.ndarray) ->
     found = []
     for part in row_blocks(queries.rows, n):
         rows = np.arange(part.start, part.stop)
-        scores = np.round(queries.matrix[part] @ centroids.matrix.T, SCORE_DIGITS)
+        near = queries.matrix[part]
+        scores = snap(near @ centroids.matrix.T, lengths(near)[:, None] * lengths(centroids.matrix)[None, :])
         q, _, lists = keep_best(np.repeat(rows, n), scores.ravel(), np.tile(centroids.ids, len(rows)), deepest)
         near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
         found.append((q[near], lists[near]))
@@ -83,7 +86,8 @@ def nprobe_of(queries: DataFrame, packed: Packed, query_col: str, nprobe: int |
     """A fixed number as is; a column name as one number per packed query, null meaning the default."""
     if isinstance(nprobe, int):
         return nprobe
-    asked = queries.select(F.col(query_col).cast("long").alias("i"),
+    own = F.col(query_col).between(int(packed.ids[0]), int(packed.ids[-1]))
+    asked = queries.where(own).select(F.col(query_col).cast("long").alias("i"),
                            F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE)).alias("n")).toArrow()
     by_id = dict(zip(asked.column("i").to_pylist(), asked.column("n").to_pylist()))
     return np.array([by_id[int(i)] for i in packed.ids], dtype=np.int64)
@@ -102,11 +106,28 @@ def append_postings(postings: DataFrame, fresh: DataFrame, centroids: Packed, id
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per list, so that a probe reads only the lists it names.
+    """Postings or codes stored by groups of neighbouring lists, sorted by list inside each file.
 
-    No shuffle on ``list_id``: a hot list is written by every task that holds rows of it.
+    A probe reads the folders of its lists only, and inside them the row groups of its lists. Some
+    lists share a folder, which bounds the number of files. No shuffle on ``list_id``: a hot list
+    is written by every task that holds rows of it.
     """
-    postings.sortWithinPartitions("list_id").write.mode(mode).partitionBy("list_id").parquet(path)
+    grouped = postings.withColumn(GROUP_COL, F.floor(F.col("list_id") / GROUP_LISTS).cast("int"))
+    grouped.sortWithinPartitions("list_id").write.mode(mode).partitionBy(GROUP_COL).parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored postings or codes; the folder column stays, so that a probe can prune on it."""
+    return spark.read.parquet(path)
+
+
+def write_centroids(spark: SparkSession, centroids: Packed, path: str) -> None:
+    packed_frame(spark, centroids, "list_id", "centroid").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_centroids(spark: SparkSession, path: str) -> Packed:
+    """Stored centroids; as many as were trained, so they fit where training held them."""
+    return pack(spark.read.parquet(path), "list_id", "centroid")
 
 
 def knn_ivf(
@@ -121,23 +142,27 @@ def knn_ivf(
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Top-k over the ``nprobe`` best lists of each query; ``nprobe`` may name a column."""
-    packed = pack_if_small(queries, query_col, query_vec, max_bytes)
-    if packed is not None:
-        if packed.rows == 0:
-            return knn_flat(queries, postings, k, query_col, query_vec, id_col, vec_col)
-        probes = probe_lists(packed, centroids, nprobe_of(queries, packed, query_col, nprobe))
-        probed = postings.where(F.col("list_id").isin([int(x) for x in probes]))
-        hits = scan_topk(probed, packed, k, id_col, vec_col, query_col, probes)
-    else:
-        if isinstance(nprobe, str):
-            asked = queries.withColumn(nprobe, F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE)).cast("long"))
-            looked = row_topk(asked, query_col, query_vec, centroids, centroids.rows, "list_id", [query_vec, nprobe])
-            looked = looked.where(F.col("rank") <= F.col(nprobe))
-        else:
-            looked = row_topk(queries, query_col, query_vec, centroids, nprobe, "list_id", [query_vec])
-        hits = cell_topk(looked, postings, k, query_col, query_vec, id_col, vec_col, "list_id")
-    return best_per_query(hits, k, query_col, id_col)
+    """Top-k over the ``nprobe`` best lists of each query; ``nprobe`` may name a column.
+
+    Postings that are stored by list (:func:`write_postings`) are read only where a query looks.
+    """
+    return probed_topk(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes)
+
+
+def probed_topk(
+    queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
+    query_vec: str, id_col: str, vec_col: str, max_bytes: int, extra_bytes: int = 0, **how,
+) -> DataFrame:
+    """One probe per block of queries over the lists it names; ``how`` goes on to the scan."""
+    hits = []
+    for block in query_blocks(queries, query_col, query_vec, k, max_bytes, extra_bytes):
+        probes = probe_lists(block, centroids, nprobe_of(queries, block, query_col, nprobe)) if block.rows else {}
+        named = [int(x) for x in probes]
+        probed = postings.where(F.col("list_id").isin(named))
+        if GROUP_COL in postings.columns:
+            probed = probed.where(F.col(GROUP_COL).isin(sorted({x // GROUP_LISTS for x in named})))
+        hits.append(barred_topk(probed, block, k, id_col, vec_col, query_col, probes=probes, **how))
+    return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)
 
 
 def index_stats(postings: DataFrame, vectors: DataFrame) -> DataFrame:

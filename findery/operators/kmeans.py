@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.draws import hash32
 from findery.functions.vectors import NORM_FLOOR
-from findery.operators.topk import SCORE_DIGITS, Packed, list_matrix, row_blocks, row_topk
+from findery.operators.topk import Packed, lengths, list_matrix, row_blocks, row_topk, snap
 from findery.session import materialize
 
 SUMS_SCHEMA = "g long, n long, s array<double>"
@@ -109,16 +109,18 @@ def train_centroids(
     is shuffled depends on ``n_lists`` and the number of tasks, not on the rows.
     The sample is drawn once and read from the shared folder by every pass. A centroid that loses all members keeps its last position.
     """
+    dim = vectors.select(F.max(F.size(vec_col))).first()[0] or 0
+    if n_lists * dim * 8 > max_bytes:
+        raise ValueError(f"{n_lists} centroids exceed max_bytes; raise it or lower n_lists")
     vectors = materialize(vectors.select(id_col, vec_col))
     centroids = unit_rows(start_vectors(vectors, id_col, vec_col, n_lists, seed))
-    if centroids.size * 8 > max_bytes:
-        raise ValueError("centroids exceed the broadcast budget; lower n_lists")
     sc = vectors.sparkSession.sparkContext
     for _ in range(iterations):
         shared = sc.broadcast(centroids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current = shared.value  # noqa: B023
+            sizes = lengths(current)
             sums, counts = np.zeros(current.shape), np.zeros(len(current), np.int64)
             for batch in batches:
                 if batch.num_rows == 0:
@@ -126,7 +128,7 @@ def train_centroids(
                 whole = list_matrix(batch.column(0))
                 for part in row_blocks(len(whole), len(current)):
                     mat = whole[part]
-                    owner = np.argmax(np.round(mat @ current.T, SCORE_DIGITS), axis=1)
+                    owner = np.argmax(snap(mat @ current.T, lengths(mat)[:, None] * sizes[None, :]), axis=1)
                     np.add.at(sums, owner, mat)
                     counts += np.bincount(owner, minlength=len(current))
             used = np.flatnonzero(counts)

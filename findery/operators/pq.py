@@ -1,6 +1,6 @@
 """Product quantisation on residuals to the coarse centroid.
 
-A code is one byte-sized integer per sub-space. The score of a coded vector is
+A code is one byte per sub-space, kept as ``binary``. The score of a coded vector is
 ``q . centroid + sum_m (q_m . codeword[m, code_m])``, exact for the decoded vector.
 """
 
@@ -11,19 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.operators.ivf import DEFAULT_NPROBE, knn_ivf, nprobe_of, probe_lists
+from findery.operators.ivf import DEFAULT_NPROBE, build_postings, probed_topk
 from findery.operators.kmeans import SUMS_SCHEMA, sums_batch, fold_means, start_vectors
 from findery.operators.topk import (
     BROADCAST_BYTES,
-    SCORE_DIGITS,
     Packed,
-    best_per_query,
+    Scorer,
+    lengths,
     list_matrix,
-    pack_if_small,
-    scan_topk,
+    snap,
 )
 from findery.session import materialize
 
@@ -47,6 +46,23 @@ class Codebooks:
         }))
 
 
+def write_codebooks(spark: SparkSession, books: Codebooks, path: str) -> None:
+    books.frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_codebooks(spark: SparkSession, path: str) -> Codebooks:
+    """Stored codebooks: sub-spaces x at most 256 codewords."""
+    got = spark.read.parquet(path).toArrow().sort_by([("m", "ascending"), ("code", "ascending")])
+    m = len(got.column("m").unique())
+    words = list_matrix(got.column("codeword"))
+    return Codebooks(words.reshape(m, len(words) // m, -1))
+
+
+def byte_matrix(column: pa.Array) -> np.ndarray:
+    """Codes as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _residuals(mat: np.ndarray, lists: np.ndarray, centroids: Packed) -> np.ndarray:
     return mat - centroids.matrix[np.searchsorted(centroids.ids, lists)]
 
@@ -57,8 +73,9 @@ def nearest_codes(residuals: np.ndarray, words: np.ndarray) -> np.ndarray:
     codes = np.empty((len(residuals), m), np.int64)
     for s in range(m):
         part = residuals[:, s * d:(s + 1) * d]
-        gap = (words[s] ** 2).sum(axis=1)[None, :] - 2.0 * part @ words[s].T
-        codes[:, s] = np.argmin(np.round(gap, SCORE_DIGITS), axis=1)
+        far = (words[s] ** 2).sum(axis=1)
+        gap = far[None, :] - 2.0 * part @ words[s].T
+        codes[:, s] = np.argmin(snap(gap, (part ** 2).sum(axis=1)[:, None] + far.max()), axis=1)
     return codes
 
 
@@ -70,8 +87,10 @@ def train_codebooks(
 
     A task ships one partial sum per (sub-space, codeword). A codeword without
     members keeps its last value. Pass the postings of the training sample; they
-    are stored once and read by every pass.
+    are stored once and read by every pass. A code is a byte, so there are 256 codewords at most.
     """
+    if n_words > 256:
+        raise ValueError("a code has one byte")
     postings = materialize(postings.select("list_id", id_col, vec_col))
     sc = postings.sparkSession.sparkContext
     coarse = sc.broadcast((centroids.ids, centroids.matrix))
@@ -144,12 +163,13 @@ def encode(postings: DataFrame, centroids: Packed, books: Codebooks, id_col: str
             lists = batch.column(0).to_numpy(zero_copy_only=False)
             codes = nearest_codes(_residuals(list_matrix(batch.column(2)), lists, known), words)
             offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
-            packed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel().astype(np.int32)))
+            body = pa.py_buffer(codes.astype(np.uint8).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), body])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed],
                                              names=["list_id", id_col, "code"])
 
     chosen = postings.select(F.col("list_id").cast("long"), F.col(id_col).cast("long"), F.col(vec_col))
-    return chosen.mapInArrow(run, f"list_id long, {id_col} long, code array<int>")
+    return chosen.mapInArrow(run, f"list_id long, {id_col} long, code binary")
 
 
 def decode(codes: DataFrame, centroids: Packed, books: Codebooks, id_col: str = "vec_id") -> DataFrame:
@@ -162,7 +182,7 @@ def decode(codes: DataFrame, centroids: Packed, books: Codebooks, id_col: str =
             if batch.num_rows == 0:
                 continue
             lists = batch.column(0).to_numpy(zero_copy_only=False)
-            code = list_matrix(batch.column(2)).astype(np.int64)
+            code = byte_matrix(batch.column(2))
             rest = np.concatenate([words[s][code[:, s]] for s in range(words.shape[0])], axis=1)
             full = mat[np.searchsorted(ids, lists)] + rest
             offsets = np.arange(0, full.size + 1, full.shape[1], dtype=np.int32)
@@ -183,30 +203,31 @@ def knn_ivfpq(
 ) -> DataFrame:
     """Top-k by table lookup over the probed lists.
 
-    The scan reads codes only. A query set beyond the broadcast budget is scored
-    against the decoded vectors in cells, which gives the same sums.
+    The scan reads codes only; a query's products with all codewords are made once per task.
     """
-    packed = pack_if_small(queries, query_col, query_vec, max_bytes)
-    if packed is None or packed.rows == 0:
-        approx = decode(codes, centroids, books, id_col)
-        return knn_ivf(queries, approx, centroids, k, nprobe, query_col, query_vec, id_col, "approx", max_bytes)
-    probes = probe_lists(packed, centroids, nprobe_of(queries, packed, query_col, nprobe))
     shared = codes.sparkSession.sparkContext.broadcast((centroids.ids, centroids.matrix, books.words))
 
-    def scorer_for(one: int):
+    def scorer(qmat: np.ndarray) -> Scorer:
         ids, mat, words = shared.value
-        centre = mat[np.searchsorted(ids, one)]
         m, _, d = words.shape
+        tables = np.stack([qmat[:, s * d:(s + 1) * d] @ words[s].T for s in range(m)])
+        longest = sum(lengths(words[s]).max() for s in range(m))
 
-        def score(qmat: np.ndarray, code: np.ndarray) -> np.ndarray:
-            code = code.astype(np.int64)
-            total = np.repeat((qmat @ centre)[:, None], len(code), axis=1)
+        def score(one: int, rows: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            centre = mat[np.searchsorted(ids, one)]
+            total = np.repeat((qmat[rows] @ centre)[:, None], len(code), axis=1)
             for s in range(m):
-                total += (qmat[:, s * d:(s + 1) * d] @ words[s].T)[:, code[:, s]]
-            return total
+                total += tables[s][rows][:, code[:, s]]
+            return total, np.full(len(code), np.sqrt(centre @ centre) + longest)
 
         return score
 
-    probed = codes.where(F.col("list_id").isin([int(x) for x in probes]))
-    hits = scan_topk(probed, packed, k, id_col, "code", query_col, probes, scorer_for=scorer_for)
-    return best_per_query(hits, k, query_col, id_col)
+    return probed_topk(queries, codes, centroids, k, nprobe, query_col, query_vec, id_col, "code", max_bytes,
+                       extra_bytes=books.words.shape[0] * books.words.shape[1] * 8, read=byte_matrix, scorer=scorer)
+
+
+def append_codes(codes: DataFrame, fresh: DataFrame, centroids: Packed, books: Codebooks, id_col: str = "vec_id",
+                 vec_col: str = "embedding") -> DataFrame:
+    """Add new vectors to a coded index without touching what is there."""
+    coded = encode(build_postings(fresh, centroids, id_col, vec_col), centroids, books, id_col, vec_col)
+    return codes.select("list_id", id_col, "code").unionByName(coded)

@@ -1,18 +1,15 @@
 """Inner-product top-k between two vector tables, without emitting the pairs.
 
-Three plans, picked by measured size:
-
-* few queries   -> broadcast them, scan the corpus once, keep a running top-k per
-                   task; a score bar from a few partitions keeps the rest small;
-* few vectors   -> broadcast those (centroids, say) and finish each query row in
-                   place: no shuffle at all;
-* many of both  -> hash both sides into cells of bounded size; each cell is one
-                   matrix product that hands back its own top-k.
-
-A probe list restricts which vectors a query may see (``list_id``), which makes
-the same code serve the flat and the inverted-list searches. Scores are rounded
-to ``SCORE_DIGITS`` before they are compared: equal vectors then tie exactly and
-the smaller id wins, however the rows were batched.
+* queries are read in blocks of a bounded size (usually there is one); each block is broadcast,
+  the corpus is scanned, and every task keeps a running top-k. A score bar from a few partitions
+  keeps what the tasks ship small;
+* many queries over few vectors (centroids, say) -> broadcast those and finish each query row in
+  place: no shuffle at all.
+
+A probe list restricts which vectors a query may see (``list_id``), which makes the same code
+serve the flat and the inverted-list searches. Scores are compared on a grid that follows the
+lengths of both vectors: equal vectors tie exactly, however the rows were batched, the smaller id
+then wins, and short vectors are told apart as well as long ones.
 """
 
 from __future__ import annotations
@@ -20,24 +17,43 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findery.operators.prefix import ranked_rows
+
+#: Decimals of cosines and other numbers of a fixed scale.
 SCORE_DIGITS = 9
+#: Cells of the comparison grid per unit of length, as a power of two: about nine decimals.
+GRID_BITS = 33
 BROADCAST_BYTES = 64 << 20
-CELL_ROWS = 4096
 BAR_PARTITIONS = 16
 _SCORE_BLOCK = 1 << 22
 
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: (list, query positions, block of vectors or codes) -> scores, and a length for each row of the block
+Scorer = Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def snap(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Values on a grid of 2^-GRID_BITS of the next power of two above ``scale``."""
+    exponent = np.frexp(scale)[1] - GRID_BITS
+    return np.ldexp(np.rint(np.ldexp(x, -exponent)), exponent)
+
+
+def lengths(mat: np.ndarray) -> np.ndarray:
+    return np.sqrt((mat * mat).sum(axis=1))
+
 
+def inner_products(qmat: np.ndarray) -> Scorer:
+    def score(one: int, rows: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return qmat[rows] @ block.T, lengths(block)
 
-def inner_product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return queries @ vectors.T
+    return score
 
 
 @dataclass(frozen=True)
@@ -65,23 +81,42 @@ def list_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), int(widths[0]))
 
 
-def pack_if_small(
-    df: DataFrame, id_col: str, vec_col: str, max_bytes: int = BROADCAST_BYTES
-) -> Packed | None:
-    """The table as arrays if it fits the budget, else ``None``; never reads past the budget."""
-    head = df.select(F.size(vec_col).alias("d")).limit(1).collect()
-    if not head:
+def _measure(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    found = df.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    return found["n"], max(0, found["d"] or 0)
+
+
+def pack(df: DataFrame, id_col: str, vec_col: str) -> Packed:
+    got = df.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")).toArrow()
+    if got.num_rows == 0:
         return Packed(np.empty(0, np.int64), np.empty((0, 0)))
-    budget = max(1, max_bytes // (8 * max(1, head[0]["d"]) + 8))
-    got = df.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
-    got = got.limit(budget + 1).toArrow()
-    if got.num_rows > budget:
-        return None
     ids = got.column("i").to_numpy()
     order = np.argsort(ids, kind="stable")
     return Packed(ids[order], list_matrix(got.column("v"))[order])
 
 
+def pack_if_small(
+    df: DataFrame, id_col: str, vec_col: str, max_bytes: int = BROADCAST_BYTES
+) -> Packed | None:
+    """The table as arrays if it fits the budget, else ``None``; counted before anything is moved."""
+    n, dim = _measure(df, vec_col)
+    return pack(df, id_col, vec_col) if n * (8 * dim + 8) <= max_bytes else None
+
+
+def query_blocks(
+    queries: DataFrame, query_col: str, vec_col: str, k: int, max_bytes: int = BROADCAST_BYTES, extra_bytes: int = 0,
+) -> Iterator[Packed]:
+    """The queries as arrays, in blocks whose vectors, k best rows and ``extra_bytes`` each fit the budget."""
+    n, dim = _measure(queries, vec_col)
+    block = max(1, max_bytes // (8 * dim + 8 + 16 * k + extra_bytes))
+    if n <= block:
+        yield pack(queries, query_col, vec_col)
+        return
+    numbered = ranked_rows(queries.select(query_col, vec_col), [], [F.col(query_col)], "_n")
+    for start in range(0, n, block):
+        yield pack(numbered.where(F.col("_n").between(start + 1, start + block)), query_col, vec_col)
+
+
 def rank_in_group(q: np.ndarray) -> np.ndarray:
     """Position of each row within its run of equal values, from 0."""
     first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, int)
@@ -97,31 +132,49 @@ def keep_best(q: np.ndarray, s: np.ndarray, i: np.ndarray, k: int):
 
 
 class RunningTopK:
-    """Best k of each query seen so far, with the k-th score as an entry bar."""
+    """Best k of each query seen so far, with the k-th score as an entry bar.
+
+    State is one dense row of k scores and ids per query. A block first loses the queries and the
+    vectors that no longer matter, then one partial selection per query merges it in.
+    """
 
-    def __init__(self, n_queries: int, k: int, bar: np.ndarray | None = None):
-        self.k = k
-        self.bar = np.full(n_queries, -np.inf) if bar is None else bar.copy()
-        self.q = np.empty(0, np.int64)
-        self.s = np.empty(0)
-        self.i = np.empty(0, np.int64)
+    def __init__(self, query_lengths: np.ndarray, k: int, bar: np.ndarray | None = None):
+        n = len(query_lengths)
+        self.k, self.lengths = k, query_lengths
+        self.bar = np.full(n, -np.inf) if bar is None else bar.copy()
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Add a block: ``scores[r, j]`` is query ``rows[r]`` against ``ids[j]``."""
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, scale: np.ndarray) -> None:
+        """Add a block: ``scores[r, j]`` is query ``rows[r]`` against ``ids[j]``, a vector as long as ``scale[j]``."""
         if scores.size == 0:
             return
-        scores = np.round(scores, SCORE_DIGITS)
-        bar = self.bar[rows]
-        if scores.shape[1] > self.k:
-            cut = scores.shape[1] - self.k
-            bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
-        r, j = np.nonzero(scores >= bar[:, None])
-        self.q, self.s, self.i = keep_best(
-            np.r_[self.q, rows[r]], np.r_[self.s, scores[r, j]], np.r_[self.i, ids[j]], self.k
-        )
-        full = np.flatnonzero(np.bincount(self.q, minlength=len(self.bar)) >= self.k)
-        last = np.searchsorted(self.q, full, side="right") - 1
-        self.bar[full] = np.maximum(self.bar[full], self.s[last])
+        near = self.lengths[rows] * (scale.max() * 2.0 ** (2 - GRID_BITS))
+        hit = scores >= (self.bar[rows] - near)[:, None]
+        r, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        if not len(r):
+            return
+        rows, ids = rows[r], ids[j]
+        fresh = snap(scores[np.ix_(r, j)], self.lengths[rows][:, None] * scale[j][None, :])
+        fresh[~(fresh >= self.bar[rows][:, None])] = -np.inf
+        s = np.concatenate((self.scores[rows], fresh), axis=1)
+        i = np.concatenate((self.ids[rows], np.broadcast_to(ids, fresh.shape)), axis=1)
+        last = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        keep, tied = s > last[:, None], s == last[:, None]
+        room = self.k - keep.sum(axis=1)
+        for at in np.flatnonzero(tied.sum(axis=1) > room):  # of equal last scores the smaller ids stay
+            places = np.flatnonzero(tied[at])
+            tied[at, places[np.argsort(i[at, places], kind="stable")[room[at]:]]] = False
+        keep |= tied
+        self.scores[rows], self.ids[rows] = s[keep].reshape(-1, self.k), i[keep].reshape(-1, self.k)
+        self.bar[rows] = np.maximum(self.bar[rows], last)
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, score, id) of all rows kept, each query's best first."""
+        q, at = np.nonzero(self.scores > -np.inf)
+        s, i = self.scores[q, at], self.ids[q, at]
+        order = np.lexsort((i, -s, q))
+        return q[order], s[order], i[order]
 
 
 def row_blocks(n_rows: int, n_queries: int) -> Iterator[slice]:
@@ -130,12 +183,6 @@ def row_blocks(n_rows: int, n_queries: int) -> Iterator[slice]:
         yield slice(start, min(n_rows, start + step))
 
 
-def _hits_batch(qids: np.ndarray, best: RunningTopK, names: tuple[str, str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(qids[best.q]), pa.array(best.i), pa.array(best.s)], names=[*names, "score"]
-    )
-
-
 def best_per_query(hits: DataFrame, k: int, query_col: str, id_col: str) -> DataFrame:
     """Final cut with a 1-based rank; Spark limits each group before and after the shuffle."""
     w = Window.partitionBy(query_col).orderBy(F.col("score").desc(), F.col(id_col))
@@ -155,15 +202,17 @@ def scan_topk(
     query_col: str = "query_id",
     probes: dict[int, np.ndarray] | None = None,
     list_col: str = "list_id",
-    scorer_for: Callable[[int], Scorer] | None = None,
+    read: Callable[[pa.Array], np.ndarray] = list_matrix,
+    scorer: Callable[[np.ndarray], Scorer] = inner_products,
     bar: np.ndarray | None = None,
     stride: int = 1,
 ) -> DataFrame:
     """Per-task candidates of a broadcast query block over one scan of ``vectors``.
 
-    ``probes`` maps a list to the positions of the queries that look into it;
-    without it every query sees every row. ``bar`` holds a score per query below
-    which a row cannot be among its best; ``stride`` reads every n-th partition only.
+    ``probes`` maps a list to the positions of the queries that look into it; without it every
+    query sees every row. ``scorer`` is made once per task from the query matrix. ``bar`` holds a
+    score per query below which a row cannot be among its best; ``stride`` reads every n-th
+    partition only.
     """
     sc = vectors.sparkSession.sparkContext
     shared = sc.broadcast((queries.ids, queries.matrix, probes, bar))
@@ -175,35 +224,37 @@ def scan_topk(
         if TaskContext.get().partitionId() % stride:
             return
         qids, qmat, wanted, floor = shared.value
+        if len(qids) == 0:
+            return
         everyone = np.arange(len(qids))
-        best = RunningTopK(len(qids), k, floor)
+        running, score = RunningTopK(lengths(qmat), k, floor), scorer(qmat)
         for batch in batches:
-            if batch.num_rows == 0 or len(qids) == 0:
+            if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            mat = list_matrix(batch.column(1))
+            mat = read(batch.column(1))
             if wanted is None:
                 groups = [(-1, everyone, np.arange(len(ids)))]
             else:
                 lists = batch.column(2).to_numpy(zero_copy_only=False)
-                groups = [
-                    (int(one), wanted[int(one)], np.flatnonzero(lists == one))
-                    for one in np.unique(lists)
-                    if int(one) in wanted
-                ]
+                order = np.argsort(lists, kind="stable")
+                names, first = np.unique(lists[order], return_index=True)
+                groups = [(int(one), wanted[int(one)], members)
+                          for one, members in zip(names, np.split(order, first[1:])) if int(one) in wanted]
             for one, rows, members in groups:
-                score = scorer_for(one) if scorer_for else inner_product
                 for part in row_blocks(len(members), len(rows)):
                     pick = members[part]
-                    best.offer(rows, score(qmat[rows], mat[pick]), ids[pick])
-        yield _hits_batch(qids, best, (query_col, id_col))
+                    running.offer(rows, (made := score(one, rows, mat[pick]))[0], ids[pick], made[1])
+        q, s, i = running.best()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids[q]), pa.array(i), pa.array(s)], names=[query_col, id_col, "score"])
 
     return vectors.select(*columns).mapInArrow(
         run, f"{query_col} long, {id_col} long, score double"
     )
 
 
-def entry_bars(vectors: DataFrame, queries: Packed, k: int, id_col: str, vec_col: str) -> np.ndarray | None:
+def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how) -> np.ndarray | None:
     """A safe lower bound of every query's k-th best score, from about sqrt(P) of P partitions.
 
     The k-th best of some rows is never above the k-th best of all, so rows below
@@ -211,17 +262,24 @@ def entry_bars(vectors: DataFrame, queries: Packed, k: int, id_col: str, vec_col
     ships about ``sqrt(P) * k`` rows per query instead of ``P * k``. Few partitions
     need no bar.
     """
+    if queries.rows == 0:
+        return None
     parts = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
-    if parts is None or parts + 1 < BAR_PARTITIONS or queries.rows == 0:
+    if parts is None or parts + 1 < BAR_PARTITIONS:
         return None
-    stride = math.isqrt(parts + 1)
-    some = best_per_query(scan_topk(vectors, queries, k, id_col, vec_col, stride=stride), k, "query_id", id_col)
-    found = some.where(F.col("rank") == k).select("query_id", "score").toArrow()
+    some = scan_topk(vectors, queries, k, *names, stride=math.isqrt(parts + 1), **how)
+    id_col, query_col = names[0], names[2] if len(names) > 2 else "query_id"
+    found = best_per_query(some, k, query_col, id_col).where(F.col("rank") == k).select(query_col, "score").toArrow()
     bar = np.full(queries.rows, -np.inf)
-    bar[np.searchsorted(queries.ids, found.column("query_id").to_numpy())] = found.column("score").to_numpy()
+    bar[np.searchsorted(queries.ids, found.column(query_col).to_numpy())] = found.column("score").to_numpy()
     return bar
 
 
+def barred_topk(vectors: DataFrame, queries: Packed, k: int, *names: str, **how) -> DataFrame:
+    """Candidates of one query block: a few partitions give the bar, then all are scanned."""
+    return scan_topk(vectors, queries, k, *names, bar=entry_bars(vectors, queries, k, *names, **how), **how)
+
+
 def row_topk(
     rows: DataFrame,
     row_id: str,
@@ -240,80 +298,25 @@ def row_topk(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, mat = shared.value
+        sizes = lengths(mat)
         for batch in batches:
             if batch.num_rows == 0 or len(ids) == 0:
                 continue
             vecs = list_matrix(batch.column(1))
             for part in row_blocks(batch.num_rows, len(ids)):
-                best = RunningTopK(part.stop - part.start, k)
-                best.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids)
-                take = pa.array(best.q + part.start)
-                rank = 1 + rank_in_group(best.q)
+                running = RunningTopK(lengths(vecs[part]), min(k, len(ids)))
+                running.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids, sizes)
+                q, s, i = running.best()
+                take = pa.array(q + part.start)
                 out = [batch.column(0).take(take)]
                 out += [batch.column(2 + n).take(take) for n in range(len(keep))]
-                out += [pa.array(rank), pa.array(best.i), pa.array(best.s)]
+                out += [pa.array(1 + rank_in_group(q)), pa.array(i), pa.array(s)]
                 yield pa.RecordBatch.from_arrays(out, names=[row_id, *keep, "rank", small_id, "score"])
 
     chosen = rows.select(F.col(row_id).cast("long").alias(row_id), F.col(row_vec).alias("_v"), *keep)
     return chosen.mapInArrow(run, schema)
 
 
-def _cell(id_col: str, n_blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), n_blocks)
-
-
-def cell_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    query_col: str,
-    query_vec: str,
-    id_col: str,
-    vec_col: str,
-    list_col: str | None = None,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """Candidates when neither side fits a broadcast.
-
-    Per list, both sides are hashed into blocks of about ``cell_rows`` rows and a
-    task sees one (query block, vector block) cell at a time, so a list holding a
-    third of the corpus becomes many equal cells rather than one large group.
-    """
-    q = queries.select(F.col(query_col).cast("long").alias("q"), F.col(query_vec).alias("qv"),
-                       (F.col(list_col).cast("long") if list_col else F.lit(0).cast("long")).alias("l"))
-    v = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"),
-                       (F.col(list_col).cast("long") if list_col else F.lit(0).cast("long")).alias("l"))
-    blocks = lambda n: F.ceil(F.col(n) / cell_rows).cast("long")
-    sizes = (
-        q.groupBy("l").agg(F.count("*").alias("nq"))
-        .join(v.groupBy("l").agg(F.count("*").alias("nv")), "l")
-        .select("l", blocks("nq").alias("qb"), blocks("nv").alias("vb"))
-    )
-    q = (q.join(sizes, "l").withColumn("x", _cell("q", F.col("qb")))
-         .withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)))
-         .select("l", "x", "y", "q", "qv"))
-    v = (v.join(sizes, "l").withColumn("y", _cell("i", F.col("vb")))
-         .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)))
-         .select("l", "x", "y", "i", "v"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({query_col: pa.array([], pa.int64()), id_col: pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        qids = left.column("q").to_numpy()
-        ids, mat = right.column("i").to_numpy(), list_matrix(right.column("v"))
-        qmat = list_matrix(left.column("qv"))
-        best = RunningTopK(len(qids), k)
-        for part in row_blocks(len(ids), len(qids)):
-            best.offer(np.arange(len(qids)), qmat @ mat[part].T, ids[part])
-        return pa.Table.from_batches([_hits_batch(qids, best, (query_col, id_col))])
-
-    keys = ("l", "x", "y")
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(
-        run, f"{query_col} long, {id_col} long, score double"
-    )
-
-
 def knn_flat(
     queries: DataFrame,
     vectors: DataFrame,
@@ -324,15 +327,17 @@ def knn_flat(
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Exact inner-product top-k of every query over every vector."""
-    packed = pack_if_small(queries, query_col, query_vec, max_bytes)
-    if packed is not None:
-        bar = entry_bars(vectors, packed, k, id_col, vec_col)
-        hits = scan_topk(vectors, packed, k, id_col, vec_col, query_col, bar=bar)
-        return best_per_query(hits, k, query_col, id_col)
-    small = pack_if_small(vectors, id_col, vec_col, max_bytes)
-    if small is not None:
+    """Exact inner-product top-k of every query over every vector.
+
+    Beyond one block of queries a small vector table is broadcast instead; a large one is scanned
+    once per block, and what is shuffled stays in proportion to queries x k.
+    """
+    blocks = query_blocks(queries, query_col, query_vec, k, max_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is not None and (small := pack_if_small(vectors, id_col, vec_col, max_bytes)) is not None:
         done = row_topk(queries, query_col, query_vec, small, k, id_col)
         return done.select(query_col, "rank", id_col, "score")
-    hits = cell_topk(queries, vectors, k, query_col, query_vec, id_col, vec_col)
-    return best_per_query(hits, k, query_col, id_col)
+    every = [first] if second is None else [first, second, *blocks]
+    hits = [barred_topk(vectors, block, k, id_col, vec_col, query_col) for block in every]
+    return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)

@@ -318,7 +318,9 @@ SELECT vec_id, list_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS code FROM c
 def pq_encode(spark, sf):
     index, books = _books(spark, sf)
     codes = pq.encode(index.postings, index.centroids, books)
-    return codes.select("vec_id", "list_id", F.array_join(F.col("code").cast("array<string>"), ",").alias("code"))
+    each = F.transform(F.sequence(F.lit(1), F.lit(N_SUB)),
+                       lambda m: F.conv(F.hex(F.substring("code", m, F.lit(1))), 16, 10))
+    return codes.select("vec_id", "list_id", F.array_join(each, ",").alias("code"))
 
 
 @query("pq_decode", f"""WITH {COARSE_SQL}, {CODES_SQL}

@@ -36,28 +36,36 @@ def rows(df, id_col="vec_id"):
     return {(r["query_id"], r["rank"], r[id_col]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("budget_q, budget_v", [(1 << 20, 1 << 20), (1, 1 << 20), (1, 1)])
+@pytest.mark.parametrize("budget_q, budget_v", [(1 << 20, 1 << 20), (2000, 1 << 20), (2000, 1), (1, 1)])
 def test_flat_strategies_agree(spark, data, monkeypatch, budget_q, budget_v):
     vecs, qs = data
     q = frame(spark, range(9), qs, "query_id", "query_emb")
     v = frame(spark, range(600), vecs, "vec_id", "embedding").repartition(5)
     real = topk.pack_if_small
+    monkeypatch.setattr(topk, "pack_if_small", lambda df, i, c, _: real(df, i, c, budget_v))
+    assert rows(topk.knn_flat(q, v, 25, max_bytes=budget_q)) == brute(qs, vecs, 25)
 
-    def packed(df, id_col, vec_col, max_bytes=0):
-        return real(df, id_col, vec_col, budget_q if id_col == "query_id" else budget_v)
 
-    monkeypatch.setattr(topk, "pack_if_small", packed)
-    monkeypatch.setattr(topk, "CELL_ROWS", 64)
-    assert rows(topk.knn_flat(q, v, 25)) == brute(qs, vecs, 25)
+def test_many_blocks_of_queries_ship_no_more_rows(spark, data):
+    vecs, qs = data
+    q = frame(spark, range(9), qs, "query_id", "query_emb")
+    blocks = list(topk.query_blocks(q, "query_id", "query_emb", 25, max_bytes=2000))
+    assert [b.rows for b in blocks] == [3, 3, 3] and [list(b.ids) for b in blocks][1] == [3, 4, 5]
+    assert [b.rows for b in topk.query_blocks(q.where("query_id < 0"), "query_id", "query_emb", 25)] == [0]
 
 
-def test_cells_stay_small_and_exact(spark, data):
+@pytest.mark.parametrize("size", [1e-9, 1e-6, 1.0, 1e6])
+def test_lengths_do_not_change_the_order(data, size):
     vecs, qs = data
-    q = frame(spark, range(9), qs, "query_id", "query_emb")
-    v = frame(spark, range(600), vecs, "vec_id", "embedding")
-    hits = topk.cell_topk(q, v, 30, "query_id", "query_emb", "vec_id", "embedding", cell_rows=50)
-    assert hits.count() > 9 * 30  # several cells answered
-    assert rows(topk.best_per_query(hits, 30, "query_id", "vec_id")) == brute(qs, vecs, 30)
+    order = lambda best: best[2].reshape(len(qs), -1).tolist()
+    whole = topk.RunningTopK(topk.lengths(qs), 25)
+    whole.offer(np.arange(9), qs @ vecs.T, np.arange(600), topk.lengths(vecs))
+    small, running = vecs * size, topk.RunningTopK(topk.lengths(qs * size), 25)
+    for at in range(0, 600, 37):
+        part = small[at: at + 37]
+        running.offer(np.arange(9), (qs * size) @ part.T, np.arange(at, at + len(part)), topk.lengths(part))
+    assert order(running.best()) == order(whole.best())
+    assert {(q, r + 1, i) for q, ids in enumerate(order(whole.best())) for r, i in enumerate(ids)} == brute(qs, vecs, 25)
 
 
 def test_entry_bars_change_nothing_but_the_traffic(spark, data):
@@ -100,7 +108,7 @@ def test_partial_probe_sees_its_lists_only(spark, data, index):
     allowed = {i: {v for v, one in own.items() if one in order[i, : [1, 2, 3][i % 3]]} for i in range(9)}
     want = brute(qs, vecs, 10, allowed)
     assert rows(ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe="n")) == want
-    beyond = ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe="n", max_bytes=1)
+    beyond = ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe="n", max_bytes=1000)
     assert rows(beyond) == want  # the plan for many queries
 
 
@@ -120,7 +128,7 @@ def test_code_search_is_exact_on_decoded_vectors(spark, data, index):
     looked = pq.knn_ivfpq(q, codes, index.centroids, books, 10, nprobe=4)
     decoded = pq.decode(codes, index.centroids, books)
     assert rows(looked) == rows(ivf.knn_ivf(q, decoded, index.centroids, 10, 4, vec_col="approx"))
-    assert rows(pq.knn_ivfpq(q, codes, index.centroids, books, 10, nprobe=4, max_bytes=1)) == rows(looked)
+    assert rows(pq.knn_ivfpq(q, codes, index.centroids, books, 10, nprobe=4, max_bytes=20_000)) == rows(looked)
 
 
 def test_codes_keep_most_neighbours(spark, data, index):
@@ -153,3 +161,35 @@ def test_group_means_over_many_batches(spark, data):
     for g in range(7):
         n, mean = got[g]
         assert n == (groups == g).sum() and np.allclose(mean, vecs[groups == g].mean(axis=0))
+
+
+def test_a_probe_reads_only_the_folders_of_its_lists(spark, data, index, tmp_path, monkeypatch):
+    _, qs = data
+    monkeypatch.setattr(ivf, "GROUP_LISTS", 2)
+    path = str(tmp_path / "lists")
+    ivf.write_postings(index.postings, path)
+    ivf.write_centroids(spark, index.centroids, f"{path}-centroids")
+    centroids = ivf.read_centroids(spark, f"{path}-centroids")
+    assert np.array_equal(centroids.matrix, index.centroids.matrix)
+    q = frame(spark, range(2), qs[:2], "query_id", "query_emb")
+    found = ivf.knn_ivf(q, ivf.read_postings(spark, path), centroids, 10, nprobe=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list_group" in plan or "PartitionFilters: [list_group" in plan
+    assert "PushedFilters: [In(list_id" in plan or "PushedFilters: [Or(" in plan
+    assert rows(found) == rows(ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe=2))
+
+
+def test_stored_codes_answer_like_fresh_ones(spark, data, index, tmp_path):
+    vecs, qs = data
+    q = frame(spark, range(9), qs, "query_id", "query_emb")
+    books = pq.train_codebooks(index.postings, index.centroids, 4, 16, 3)
+    path = str(tmp_path / "codes")
+    old, new = index.postings.where("vec_id < 400"), frame(spark, range(400, 600), vecs[400:], "vec_id", "embedding")
+    codes = pq.append_codes(pq.encode(old, index.centroids, books), new, index.centroids, books)
+    ivf.write_postings(codes, path)
+    pq.write_codebooks(spark, books, f"{path}-books")
+    back = pq.read_codebooks(spark, f"{path}-books")
+    assert np.array_equal(back.words, books.words)
+    whole = pq.encode(index.postings, index.centroids, books)
+    assert rows(pq.knn_ivfpq(q, ivf.read_postings(spark, path), index.centroids, back, 10, 4)) == rows(
+        pq.knn_ivfpq(q, whole, index.centroids, books, 10, 4))
