@@ -72,7 +72,7 @@ def probe_lists(queries: Packed, centroids: Packed, nprobe: int | np.ndarray) ->
     for part in row_blocks(queries.rows, n):
         rows = np.arange(part.start, part.stop)
         near = queries.matrix[part]
-        scores = snap(near @ centroids.matrix.T, lengths(near)[:, None] * lengths(centroids.matrix)[None, :])
+        scores = snap(near @ centroids.matrix.T, lengths(near)[:, None], lengths(centroids.matrix))
         q, _, lists = keep_best(np.repeat(rows, n), scores.ravel(), np.tile(centroids.ids, len(rows)), deepest)
         near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
         found.append((q[near], lists[near]))

@@ -128,7 +128,7 @@ def train_centroids(
                 whole = list_matrix(batch.column(0))
                 for part in row_blocks(len(whole), len(current)):
                     mat = whole[part]
-                    owner = np.argmax(snap(mat @ current.T, lengths(mat)[:, None] * sizes[None, :]), axis=1)
+                    owner = np.argmax(snap(mat @ current.T, lengths(mat)[:, None], sizes), axis=1)
                     np.add.at(sums, owner, mat)
                     counts += np.bincount(owner, minlength=len(current))
             used = np.flatnonzero(counts)

@@ -39,10 +39,12 @@ _SCORE_BLOCK = 1 << 22
 Scorer = Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def snap(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Values on a grid of 2^-GRID_BITS of the next power of two above ``scale``."""
-    exponent = np.frexp(scale)[1] - GRID_BITS
-    return np.ldexp(np.rint(np.ldexp(x, -exponent)), exponent)
+def snap(x: np.ndarray, scale: np.ndarray, other: np.ndarray | float = 1.0) -> np.ndarray:
+    """Values on a grid of 2^-GRID_BITS times the next powers of two above ``scale`` and ``other``."""
+    up = np.ldexp(1.0, GRID_BITS - np.frexp(scale)[1])
+    more = np.ldexp(1.0, -np.frexp(other)[1])
+    # powers of two: nothing but the rounding changes a bit
+    return np.rint(x * up * more) / up / more
 
 
 def lengths(mat: np.ndarray) -> np.ndarray:
@@ -134,8 +136,8 @@ def keep_best(q: np.ndarray, s: np.ndarray, i: np.ndarray, k: int):
 class RunningTopK:
     """Best k of each query seen so far, with the k-th score as an entry bar.
 
-    State is one dense row of k scores and ids per query. A block first loses the queries and the
-    vectors that no longer matter, then one partial selection per query merges it in.
+    State is one dense row of k scores and ids per query. A block first loses what is below the
+    bars, then one partial selection per query merges the rest in.
     """
 
     def __init__(self, query_lengths: np.ndarray, k: int, bar: np.ndarray | None = None):
@@ -149,16 +151,22 @@ class RunningTopK:
         """Add a block: ``scores[r, j]`` is query ``rows[r]`` against ``ids[j]``, a vector as long as ``scale[j]``."""
         if scores.size == 0:
             return
-        near = self.lengths[rows] * (scale.max() * 2.0 ** (2 - GRID_BITS))
-        hit = scores >= (self.bar[rows] - near)[:, None]
-        r, j = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+        near = self.lengths[rows] * (scale.max() * 2.0 ** (3 - GRID_BITS))
+        r, j = np.nonzero(scores >= (self.bar[rows] - near)[:, None])
         if not len(r):
             return
-        rows, ids = rows[r], ids[j]
-        fresh = snap(scores[np.ix_(r, j)], self.lengths[rows][:, None] * scale[j][None, :])
-        fresh[~(fresh >= self.bar[rows][:, None])] = -np.inf
+        value = snap(scores[r, j], self.lengths[rows][r], scale[j])
+        value[~(value >= self.bar[rows][r])] = -np.inf
+        # what is left of each query, moved together to the left
+        counts = np.bincount(r, minlength=len(rows))
+        place = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+        line = (np.cumsum(counts > 0) - 1)[r]
+        rows = rows[counts > 0]
+        fresh = np.full((len(rows), counts.max()), -np.inf)
+        fresh_ids = np.full(fresh.shape, np.iinfo(np.int64).max)
+        fresh[line, place], fresh_ids[line, place] = value, ids[j]
         s = np.concatenate((self.scores[rows], fresh), axis=1)
-        i = np.concatenate((self.ids[rows], np.broadcast_to(ids, fresh.shape)), axis=1)
+        i = np.concatenate((self.ids[rows], fresh_ids), axis=1)
         last = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
         keep, tied = s > last[:, None], s == last[:, None]
         room = self.k - keep.sum(axis=1)
