@@ -106,7 +106,8 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
         open_rows = np.ones(len(pdf), dtype=bool)
         picks, values = [], []
         for _ in range(wanted):
-            at = int(np.argmax(np.where(open_rows, np.round(score, SCORE_DIGITS), -np.inf)))
+            size = np.abs(score[open_rows]).max() or 1.0  # nine decimals of the largest value still open
+            at = int(np.argmax(np.where(open_rows, np.round(score / size, SCORE_DIGITS), -np.inf)))
             picks.append(at)
             values.append(score[at])
             open_rows[at] = False

@@ -31,6 +31,7 @@ def load_all() -> None:
     from findery.plans import (  # noqa: F401
         corpus_queries,
         event_queries,
+        index_queries,
         ranking_queries,
         search_queries,
         stream_queries,

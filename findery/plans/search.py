@@ -21,6 +21,9 @@ from findery.operators.topk import BROADCAST_BYTES, SCORE_DIGITS, Packed, knn_fl
 from findery.session import materialize
 
 FETCH_K = 1000
+#: Largest request: every task holds this many rows per query of the same depth, and a reranked
+#: candidate set or a context is one group.
+MAX_DOCS, MAX_OFFSET = 100_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -76,6 +79,9 @@ def request_error() -> Column:
     return (
         F.when(F.col("query").isNull() & F.col("expand_index_id").isNull(), F.lit("missing_query"))
         .when(F.col("diverse_search") & F.col("lambda").isNull(), F.lit("missing_lambda"))
+        .when(~F.col("n_docs").between(1, MAX_DOCS), F.lit("bad_n_docs"))
+        .when(F.col("nprobe") < 1, F.lit("bad_nprobe"))
+        .when(~F.col("expand_offset").between(0, MAX_OFFSET), F.lit("bad_expand_offset"))
     )
 
 
@@ -110,17 +116,39 @@ def long_enough(hits: DataFrame, requests: DataFrame, passages: DataFrame, max_h
 
 def with_exact_score(hits: DataFrame, requests: DataFrame, vectors: DataFrame, max_hits: int,
                      small_requests: bool) -> DataFrame:
-    """Hits with their vector and, for exact requests, the cosine to the query (NaN counts as -1).
+    """Hits of exact and diverse requests with their vector and, for exact ones, the cosine to the query.
 
-    Narrow hits meet the vectors first; query vectors join afterwards, so they are
+    A hit without a vector, or a NaN, counts as -1; a missing vector is nobody's neighbour in a
+    diverse order. Narrow hits meet the vectors first; query vectors join afterwards, so they are
     never copied into a broadcast of hits.
     """
-    near = vectors.select(F.col("vec_id").alias("index_id"), "embedding").join(bounded(hits, max_hits), "index_id")
+    ids = bounded(hits.select("index_id").distinct(), max_hits)
+    near = vectors.select(F.col("vec_id").alias("index_id"), "embedding").join(ids, "index_id")
     asked = requests.select("query_id", "query_emb", "exact_search")
-    near = near.join(F.broadcast(asked) if small_requests else asked, "query_id")
+    rows = hits.join(F.broadcast(asked) if small_requests else asked, "query_id").join(near, "index_id", "left")
     sim = cosine_batch("query_emb", "embedding")
     safe = F.when(sim.isNull() | F.isnan(sim), F.lit(-1.0)).otherwise(F.round(sim, SCORE_DIGITS))
-    return near.select(*hits.columns, "embedding", F.when(F.col("exact_search"), safe).alias("exact_score"))
+    nowhere = F.transform("query_emb", lambda x: F.lit(0.0))
+    return rows.select(*hits.columns, F.coalesce(F.col("embedding").cast("array<double>"), nowhere).alias("embedding"),
+                       F.when(F.col("exact_search"), safe).alias("exact_score"))
+
+
+def retrieve(requests: DataFrame, index: Index, fetch_k: int, deepest: int) -> DataFrame:
+    """Each request's own ``max(fetch_k, n_docs)`` best hits, whatever else the batch asks for.
+
+    Requests are searched in classes of depth that double from ``fetch_k``, so one deep request
+    does not make all others carry as many rows.
+    """
+    depth = F.greatest(F.lit(fetch_k), F.col("n_docs")).cast("long")
+    asked = requests.select("query_id", "query_emb", "nprobe", depth.alias("depth"))
+    found, low, high = None, 0, fetch_k
+    while low < deepest:
+        part = asked.where((F.col("depth") > low) & (F.col("depth") <= high))
+        hits = index.search(part.drop("depth"), min(high, deepest), "nprobe").join(part.select("query_id", "depth"), "query_id")
+        hits = hits.where(F.col("rank") <= F.col("depth")).drop("depth")
+        found = hits if found is None else found.unionByName(hits)
+        low, high = high, 2 * high
+    return found.withColumnRenamed("vec_id", "index_id")
 
 
 def plain_order(scored: DataFrame, requests: DataFrame) -> DataFrame:
@@ -145,32 +173,34 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
            with_text: bool = True) -> DataFrame:
     """Answer a batch of valid requests (``query_emb`` included), one row per returned passage.
 
-    Scores stay on their rows: ``retrieval_score`` from the index and, where exact
-    search was asked for, ``exact_score``. A request with ``n_docs`` above
-    ``fetch_k`` raises the fetch for the batch. Stages no request needs are left out
-    of the plan.
+    Scores stay on their rows: ``retrieval_score`` from the index and, where exact search was asked
+    for, ``exact_score``. What a request gets does not depend on the others of its batch: each has
+    its own depth, and only exact and diverse ones meet the vectors. Stages no request needs are
+    left out of the plan.
     """
     # the batch is read several times; its encoder must not run again for each
     requests = materialize(requests)
     needs = requests.agg(
-        F.count("*").alias("n"), F.max("n_docs").alias("k"), F.max("min_words").alias("words"),
-        F.max(F.size("query_emb")).alias("dim"), F.max("exact_search").alias("exact"),
-        F.max("diverse_search").alias("diverse")).first()
-    fetch = max(fetch_k, needs["k"] or 1)
-    most = needs["n"] * fetch
-    hits = index.search(requests.select("query_id", "query_emb", "nprobe"), fetch, "nprobe")
-    hits = hits.withColumnRenamed("vec_id", "index_id")
+        F.count("*").alias("n"), F.sum(F.greatest(F.lit(fetch_k), "n_docs")).alias("most"), F.sum("n_docs").alias("docs"),
+        F.max("n_docs").alias("k"), F.max("min_words").alias("words"), F.max(F.size("query_emb")).alias("dim"),
+        F.max("exact_search").alias("exact"), F.max("diverse_search").alias("diverse")).first()
+    most = needs["most"] or 0
+    scored = retrieve(requests, index, fetch_k, max(fetch_k, needs["k"] or 1))
     if (needs["words"] or 0) > 0:
-        hits = long_enough(hits, requests, passages, most)
+        scored = long_enough(scored, requests, passages, most)
+    plain = scored.withColumn("exact_score", F.lit(None).cast("double"))
     if needs["exact"] or needs["diverse"]:
         small = needs["n"] * (needs["dim"] or 0) * 8 <= BROADCAST_BYTES
-        scored = with_exact_score(hits, requests, vectors, most, small)
+        weighed = F.col("exact_search") | F.col("diverse_search")
+        mine = scored.join(requests.where(weighed).select("query_id"), "query_id", "left_semi")
+        mine = with_exact_score(mine, requests, vectors, most, small)
+        plain = plain.join(requests.where(~weighed).select("query_id"), "query_id", "left_semi")
+        ranked = plain_order(plain.unionByName(mine.drop("embedding")), requests)
+        if needs["diverse"]:
+            ranked = ranked.unionByName(diverse_order(mine, requests))
     else:
-        scored = hits.withColumn("exact_score", F.lit(None).cast("double"))
-    ranked = plain_order(scored, requests)
-    if needs["diverse"]:
-        ranked = ranked.unionByName(diverse_order(scored, requests))
-    return fetch_passages(ranked, passages, max_hits=most) if with_text else ranked
+        ranked = plain_order(plain, requests)
+    return fetch_passages(ranked, passages, max_hits=needs["docs"] or 0) if with_text else ranked
 
 
 def fill_check(results: DataFrame, requests: DataFrame) -> DataFrame:

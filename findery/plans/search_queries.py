@@ -98,7 +98,8 @@ def _mmr_steps(pool: str, lam: str, rel: str, key: str, vec: str, picks: int) ->
         else:
             chosen = " UNION ALL ".join(f"SELECT query_id, {key}, {vec} FROM pick{i}" for i in range(1, n))
             body = f"""SELECT p.*, p.{lam} * p.{rel} - (1 - p.{lam}) * c.far AS mmr FROM {pool} p JOIN (
-        SELECT a.query_id, a.{key}, max(list_cosine_similarity(a.{vec}, s.{vec})) AS far,
+        SELECT a.query_id, a.{key}, max(coalesce(CASE WHEN list_inner_product(a.{vec}, a.{vec}) > 0
+            AND list_inner_product(s.{vec}, s.{vec}) > 0 THEN list_cosine_similarity(a.{vec}, s.{vec}) END, 0)) AS far,
           bool_or(a.{key} = s.{key}) AS used
         FROM {pool} a JOIN ({chosen}) s USING (query_id) GROUP BY a.query_id, a.{key}) c
       ON c.query_id = p.query_id AND c.{key} = p.{key} WHERE NOT c.used"""
@@ -109,18 +110,30 @@ pick{n} AS (SELECT * EXCLUDE (w) FROM (
     return ",".join(out)
 
 
-ANSWERS_SQL = f"""{REQUESTS_SQL}, {DOC_VEC_SQL}, {ASK_VEC_SQL}, {PASSAGES_SQL},
+FLAT_FOUND_SQL = """
+scored AS (SELECT r.query_id, d.doc_id, round(list_inner_product(q.e, d.e), 9) AS score
+  FROM requests r JOIN qvec q ON q.item_id = r.query_id, dvec d WHERE r.error IS NULL)"""
+
+
+def answers_sql(requests_sql: str, found_sql: str, fetch: int, has_vector: str = "true") -> str:
+    """Answers of requests from ``scored`` (query_id, doc_id, score): each to its own depth.
+
+    ``has_vector`` tells which documents the second stage has a vector of.
+    """
+    picks = " UNION ALL ".join(
+        f"SELECT query_id, {n}::BIGINT AS w, doc_id, score, exact_score, n_docs FROM pick{n}" for n in range(1, MMR_PICKS + 1))
+    return f"""{requests_sql}, {DOC_VEC_SQL}, {ASK_VEC_SQL}, {PASSAGES_SQL}, {found_sql},
 found AS (
   SELECT query_id, rank, doc_id, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-      SELECT r.query_id, d.doc_id, round(list_inner_product(q.e, d.e), 9) AS score
-      FROM requests r JOIN qvec q ON q.item_id = r.query_id, dvec d WHERE r.error IS NULL)) WHERE rank <= {FETCH}),
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+  JOIN requests USING (query_id) WHERE rank <= greatest({fetch}, n_docs)),
 pool AS (
-  SELECT f.*, r.n_docs, r.exact_search, r.diverse_search, r."lambda" AS lam, d.e,
-    CASE WHEN r.exact_search THEN CASE WHEN list_inner_product(d.e, d.e) = 0 THEN 0.0
+  SELECT f.*, r.n_docs, r.exact_search, r.diverse_search, r."lambda" AS lam,
+    coalesce(d.e, list_transform(q.e, lambda x: 0.0)) AS e,
+    CASE WHEN r.exact_search THEN CASE WHEN d.e IS NULL THEN -1.0 WHEN list_inner_product(d.e, d.e) = 0 THEN 0.0
       ELSE round(list_cosine_similarity(q.e, d.e), 9) END END AS exact_score
-  FROM found f JOIN requests r USING (query_id) JOIN qvec q ON q.item_id = f.query_id JOIN dvec d USING (doc_id)
-  JOIN documents t USING (doc_id)
+  FROM found f JOIN requests r USING (query_id) JOIN qvec q ON q.item_id = f.query_id
+  LEFT JOIN (SELECT * FROM dvec WHERE {has_vector}) d USING (doc_id) JOIN documents t USING (doc_id)
   WHERE r.min_words IS NULL OR len({Q.words('t.text')}) >= r.min_words),
 mpool AS (SELECT *, coalesce(exact_score, score) AS rel FROM pool WHERE diverse_search),
 {_mmr_steps('mpool', 'lam', 'rel', 'doc_id', 'e', MMR_PICKS)},
@@ -130,9 +143,10 @@ answers AS (
       ORDER BY CASE WHEN exact_search THEN exact_score END DESC, rank) AS n
     FROM pool WHERE NOT diverse_search) WHERE n <= n_docs
   UNION ALL
-  SELECT query_id, w, doc_id, score, exact_score FROM (
-    {' UNION ALL '.join(f'SELECT query_id, {n}::BIGINT AS w, doc_id, score, exact_score, n_docs FROM pick{n}' for n in range(1, MMR_PICKS + 1))})
-  WHERE w <= n_docs)"""
+  SELECT query_id, w, doc_id, score, exact_score FROM ({picks}) WHERE w <= n_docs)"""
+
+
+ANSWERS_SQL = answers_sql(REQUESTS_SQL, FLAT_FOUND_SQL, FETCH)
 
 
 @query("embed_passages", f"""WITH {DOC_VEC_SQL}
