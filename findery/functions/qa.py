@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from findery.functions.text import nfd, normalize_answer, tokens, words
 from findery.functions.vectors import let
@@ -38,26 +34,25 @@ def exact_match(prediction: Column, truths: Column) -> Column:
     return F.array_contains(F.transform(truths, normalize_answer), normalize_answer(prediction))
 
 
-@F.pandas_udf(T.DoubleType())
-def _best_f1(prediction: pd.Series, truths: pd.Series) -> pd.Series:
-    """Best F1 of one word bag against several; bags are counted once, in linear time."""
+def _numbered(bag: Column) -> Column:
+    """Each word with its number among its equals, so that a bag becomes a set."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
-    def one(mine, many) -> float:
-        bag, best = Counter(mine), 0.0
-        for theirs in many:
-            same = sum((bag & Counter(theirs)).values())
-            if same:
-                p, r = same / len(mine), same / len(theirs)
-                best = max(best, 2 * p * r / (p + r))
-        return best
+    def step(s: Column, w: Column) -> Column:
+        n = F.when(w == s["word"], s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("word"), n.alias("n"), F.array_append(s["out"], F.concat_ws(_SEP, w, n)).alias("out"))
 
-    return pd.Series([one(m, t) for m, t in zip(prediction, truths)])
+    return F.aggregate(F.sort_array(bag), start, step, lambda s: s["out"])
 
 
 def token_f1(prediction: Column, truths: Column) -> Column:
-    """Best F1 of word bags over the truths; 0 when nothing is shared.
+    """Best F1 of word bags over the truths; 0 when nothing is shared."""
+
+    def one(mine: Column, theirs: Column) -> Column:
+        same = F.size(F.array_intersect(mine, theirs))
+        p, r = same / F.size(mine), same / F.size(theirs)
+        return F.when(same > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
-    Normalising and splitting run in the JVM; only the bag counts need Python.
-    """
-    bags = F.transform(truths, lambda t: words(normalize_answer(t)))
-    return _best_f1(words(normalize_answer(prediction)), bags)
+    best = lambda mine: F.aggregate(
+        F.transform(truths, lambda t: one(mine, _numbered(words(normalize_answer(t))))), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    return F.coalesce(let(_numbered(words(normalize_answer(prediction))), best), F.lit(0.0))

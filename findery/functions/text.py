@@ -107,9 +107,14 @@ def tokens(c: Column, uncased: bool = False) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfd(text: pd.Series) -> pd.Series:
-    """Canonical decomposition; Spark has no built-in for it."""
-    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFD", s))
+def _nfd(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
+
+
+def nfd(text: Column | str) -> Column:
+    """Canonical decomposition; Spark has no built-in for it. Only texts beyond ASCII travel to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_nfd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def title_text(title: Column, text: Column) -> Column:

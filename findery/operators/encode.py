@@ -86,7 +86,9 @@ def read_cache(spark: SparkSession, path: str, id_col: str, kind: str) -> DataFr
     """The cache table as it is now (its files are listed here); an absent one is empty."""
     try:
         return spark.read.parquet(path).select(id_col, "embedding")
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{id_col} {kind}, embedding array<double>")
 
 
@@ -107,5 +109,7 @@ def embed_with_cache(passages: DataFrame, cache_path: str, make_encoder: Callabl
     fresh.where(is_finite(F.col("embedding"))).write.parquet(batch)
     # what was new is read back, so that encoding happens once
     stored = spark.read.parquet(batch)
-    hits = cache.join(passages.select(id_col), id_col, "left_semi").withColumn("cached", F.lit(True))
+    # runs that overlapped may have stored an id twice
+    hits = cache.join(passages.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    hits = hits.withColumn("cached", F.lit(True))
     return hits.unionByName(stored.withColumn("cached", F.lit(False)))

@@ -58,7 +58,10 @@ def blocked_row_number(df: DataFrame, keys: list[str], block: str, order: list[s
 
 
 def id_block(id_col: str, rows: int = BLOCK_ROWS) -> Column:
-    """Block of an integer id; holds at most ``rows`` distinct ids."""
+    """Block of a dense integer id; holds at most ``rows`` distinct ids.
+
+    Ids with wide gaps give about as many blocks as rows: use the ranged functions for those.
+    """
     return F.floor(F.col(id_col) / F.lit(rows)).cast("long")
 
 
@@ -85,3 +88,19 @@ def ranked_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -
         .withColumn(out, F.col("_m") - F.col("_first") + F.col("_start") + 1)
         .drop("_p", "_m", "_first", "_start")
     )
+
+
+def ranged_running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows before this one, inside ``keys`` in ``order``, for ids of any spacing.
+
+    Range partitions on (keys, order) hold a bounded run of rows each, whatever the ids; their
+    totals, one row per key and partition, give the starts.
+    """
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in keys], *order).withColumn("_p", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "_p").agg(F.sum(value).alias("_t"))
+    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(starts.hint("merge"), [*keys, "_p"]).withColumn(
+        out, F.col("_start") + F.col("_in")).drop("_p", "_start", "_in")

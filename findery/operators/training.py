@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from findery.functions.draws import draw, draw_int, hash32, position_draw, position_hash
 from findery.functions.text import normalize_punctuation, title_text, words
 from findery.functions.vectors import let
-from findery.operators.prefix import blocked_running_sum, id_block
+from findery.operators.prefix import ranged_running_sum
 
-MAX_DATASETS = 10_000
+#: Equal parts of the unit interval in which dataset shares are looked up.
+MIX_CELLS = 1 << 12
 
 
 def token_ids(text: Column, vocabulary: int = 30_000) -> Column:
@@ -37,23 +38,27 @@ def token_chunks(docs: DataFrame, length: int, seed: str, dataset_col: str = "da
     """(dataset, chunk_id, tokens): fixed-length chunks of each dataset's concatenated documents.
 
     The stream starts at the dataset's offset and its last partial chunk is dropped.
-    Documents learn their place from blocked sums over sizes; a chunk then gathers
+    Documents learn their place from sums over ranges of sizes; a chunk then gathers
     its pieces, ``length`` tokens at most, so a large dataset is as parallel as
     many small ones.
     """
-    sizes = docs.select(dataset_col, id_col, F.size(token_col).cast("long").alias("_n")).withColumn(
-        "_b", id_block(id_col))
-    placed = blocked_running_sum(sizes, [dataset_col], "_b", [id_col], F.col("_n"), "_at")
+    sizes = docs.select(dataset_col, id_col, F.size(token_col).cast("long").alias("_n"))
+    placed = ranged_running_sum(sizes, [dataset_col], [F.col(id_col)], F.col("_n"), "_at")
     rows = docs.select(id_col, token_col).join(placed.where("_n > 0"), id_col)
     offset = dataset_offset(F.col(dataset_col), length, seed)
     rows = rows.withColumn("_o", offset).withColumn("_end", F.col("_at") + F.col("_n")).where("_end > _o")
     first = F.floor((F.greatest("_at", "_o") - F.col("_o")) / length)
     last = F.floor((F.col("_end") - 1 - F.col("_o")) / length)
-    pieces = rows.withColumn("chunk_id", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("_at"), F.col("_o") + F.col("chunk_id") * length)
-    high = F.least(F.col("_end"), F.col("_o") + (F.col("chunk_id") + 1) * length)
-    piece = F.slice(token_col, (low - F.col("_at") + 1).cast("int"), (high - low).cast("int"))
-    gathered = pieces.select(dataset_col, "chunk_id", F.struct(low.alias("at"), piece.alias("piece")).alias("_p"))
+
+    def piece(chunk: Column) -> Column:
+        low = F.greatest(F.col("_at"), F.col("_o") + chunk * length)
+        high = F.least(F.col("_end"), F.col("_o") + (chunk + 1) * length)
+        cut = F.slice(token_col, (low - F.col("_at") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(chunk.alias("chunk_id"), F.struct(low.alias("at"), cut.alias("piece")).alias("p"))
+
+    # a document is cut first, so that no row carries all its tokens along
+    pieces = rows.select(dataset_col, F.explode(F.transform(F.sequence(first, last), piece)).alias("_c"))
+    gathered = pieces.select(dataset_col, "_c.chunk_id", F.col("_c.p").alias("_p"))
     return (
         gathered.groupBy(dataset_col, "chunk_id")
         .agg(F.flatten(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["piece"])).alias("tokens"))
@@ -93,26 +98,26 @@ def mask_words(tokens: Column, mask_id: int, p: float, seed: str, *key: Column)
 def shuffle_words(tokens: Column, p: float, seed: str, *key: Column) -> Column:
     """As many positions as draws below ``p`` are chosen and their tokens permuted."""
 
-    def choose(h: Column) -> Column:
-        spots = F.transform(tokens, lambda t, i: F.struct(
-            position_hash(h["spot"], i).alias("h"), i.alias("i"), t.alias("t")))
+    def spots(h: Column) -> Column:
+        ranked = F.sort_array(F.transform(tokens, lambda t, i: F.struct(
+            position_hash(h["spot"], i).alias("h"), i.alias("i"), t.alias("t"))))
         count = F.size(F.filter(tokens, lambda t, i: position_draw(h["n"], i) < p))
-        return F.slice(F.sort_array(spots), 1, count)
+        return F.struct(F.slice(ranked, 1, count).alias("chosen"),
+                        F.slice(ranked, count + 1, F.size(tokens)).alias("others"))
 
-    def permuted(chosen: Column, h: Column) -> Column:
-        moved = F.sort_array(F.transform(chosen, lambda s: F.struct(
+    def moved(chosen: Column, h: Column) -> Column:
+        return F.sort_array(F.transform(chosen, lambda s: F.struct(
             position_hash(h["move"], s["i"]).alias("h"), s["i"].alias("i"), s["t"].alias("t"))))
-        return F.struct(F.transform(chosen, lambda s: s["i"]).alias("spots"),
-                        F.transform(moved, lambda s: s["t"]).alias("tokens"))
 
-    def placed(new: Column) -> Column:
-        at = lambda i: (F.array_position(new["spots"], i) - 1).cast("int")
-        return F.transform(tokens, lambda t, i: F.when(
-            F.array_contains(new["spots"], i), F.get(new["tokens"], at(i))).otherwise(t))
+    def placed(s: Column, new: Column) -> Column:
+        # by position again: the chosen spots with their new tokens among the others
+        pairs = F.transform(s["chosen"], lambda c, j: F.struct(c["i"].alias("i"), F.get(new, j)["t"].alias("t")))
+        rest = F.transform(s["others"], lambda c: F.struct(c["i"].alias("i"), c["t"].alias("t")))
+        return F.transform(F.sort_array(F.concat(pairs, rest)), lambda c: c["t"])
 
     hashes = F.struct(hash32(seed, *key).alias("n"), hash32(f"{seed}-spot", *key).alias("spot"),
                       hash32(f"{seed}-move", *key).alias("move"))
-    return let(hashes, lambda h: let(choose(h), lambda chosen: let(permuted(chosen, h), placed)))
+    return let(hashes, lambda h: let(spots(h), lambda s: let(moved(s["chosen"], h), lambda new: placed(s, new))))
 
 
 def add_ends(tokens: Column, bos: int | None, eos: int | None) -> Column:
@@ -132,6 +137,37 @@ def pad_batch(rows: DataFrame, batch_cols: list[str], token_col: str = "tokens")
     )
 
 
+def augment(tokens: Column, how: str, p: float, seed: str, key: tuple[Column, ...], mask_id: int,
+            ids: tuple[int, int] = (0, 0)) -> Column:
+    """One of the augmentations by name; ``none`` leaves the tokens as they are."""
+    rules = {
+        "none": lambda: tokens, "delete": lambda: delete_words(tokens, p, seed, *key),
+        "replace": lambda: replace_words(tokens, *ids, p, seed, *key),
+        "mask": lambda: mask_words(tokens, mask_id, p, seed, *key),
+        "shuffle": lambda: shuffle_words(tokens, p, seed, *key),
+    }
+    return rules[how]()
+
+
+def training_pairs(rows: DataFrame, batch_cols: list[str], ratio: tuple[float, float], seed: str, key: tuple[Column, ...],
+                   how: str, p: float, bos: int | None, eos: int | None, mask_id: int, ids: tuple[int, int] = (0, 0),
+                   token_col: str = "tokens") -> DataFrame:
+    """Query and key of every chunk: two crops, augmented, fenced and padded to the longest of their batch.
+
+    Adds q_ids, q_mask, k_ids, k_mask and drops the tokens; a batch is a bounded group.
+    """
+
+    def view(side: str) -> Column:
+        crop = random_crop(F.col(token_col), *ratio, f"{seed}-{side}", *key)
+        changed = let(crop, lambda c: augment(c, how, p, f"{seed}-{side}-{how}", key, mask_id, ids))
+        return add_ends(changed, bos, eos)
+
+    out = rows.withColumns({"_q": view("q"), "_k": view("k")}).drop(token_col)
+    for side in ("q", "k"):
+        out = pad_batch(out, batch_cols, f"_{side}").withColumnsRenamed({"ids": f"{side}_ids", "mask": f"{side}_mask"})
+    return out
+
+
 # ---- mixing ------------------------------------------------------------------------
 
 def sampling_weights(rows: DataFrame, dataset_col: str, coeff: float) -> DataFrame:
@@ -146,22 +182,22 @@ def mix_datasets(rows: DataFrame, samples: DataFrame, coeff: float, seed: str, d
                  row_col: str = "chunk_id", sample_col: str = "sample_id") -> DataFrame:
     """For every sample a dataset by weight, then one of its rows at random, with replacement.
 
-    ``row_col`` numbers a dataset's rows from 0. The cumulative weights, one per
-    dataset, become a literal; drawing needs no join.
+    ``row_col`` numbers a dataset's rows from 0. The unit interval is cut into equal cells; a
+    dataset is listed in the cells its share touches, so a draw finds it by an equal join whatever
+    the number of datasets.
     """
-    weights = sampling_weights(rows, dataset_col, coeff).orderBy(dataset_col).limit(MAX_DATASETS + 1).collect()
-    if len(weights) > MAX_DATASETS:
-        raise ValueError("too many datasets to mix")
-    chance, total = draw(f"{seed}-set", F.col(sample_col)), 0.0
-    pick = None
-    for w in weights:
-        total += w["weight"]
-        choice = F.struct(F.lit(w[dataset_col]).alias(dataset_col), F.lit(w["size"]).alias("size"))
-        pick = F.when(chance < total, choice) if pick is None else pick.when(chance < total, choice)
-    pick = pick.otherwise(choice)
-    drawn = samples.select(sample_col, pick.alias("_d")).select(
-        sample_col, f"_d.{dataset_col}",
-        draw_int(F.lit(0), F.col("_d.size") - 1, f"{seed}-row", F.col(sample_col)).alias(row_col))
+    # one row per dataset
+    order = Window.orderBy(dataset_col)
+    until = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shares = sampling_weights(rows, dataset_col, coeff).withColumn("_to", until)
+    shares = shares.withColumn("_from", F.coalesce(F.lag("_to").over(order), F.lit(0.0)))
+    shares = shares.withColumn("_to", F.when(F.lead("_to").over(order).isNull(), F.lit(2.0)).otherwise(F.col("_to")))
+    cell = lambda c: F.least(F.floor(c * MIX_CELLS), F.lit(MIX_CELLS - 1))
+    listed = shares.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
+    chance = draw(f"{seed}-set", F.col(sample_col))
+    drawn = samples.select(sample_col, chance.alias("_c")).withColumn("_cell", cell(F.col("_c"))).join(listed, "_cell")
+    drawn = drawn.where((F.col("_c") >= F.col("_from")) & (F.col("_c") < F.col("_to"))).select(
+        sample_col, dataset_col, draw_int(F.lit(0), F.col("size") - 1, f"{seed}-row", F.col(sample_col)).alias(row_col))
     return drawn.join(rows, [dataset_col, row_col])
 
 

@@ -108,6 +108,43 @@ def stride_split(spark, sf):
     return share.select("counter", "question", F.col("positive_ctxs")[0]["text"].alias("turn_text"))
 
 
+MAX_LOAD, FIRST_QUERIES = 100, 50
+
+
+@query("array_examples", f"""
+SELECT counter, question FROM (
+  SELECT row_number() OVER (ORDER BY label, conv_id, turn) AS counter, text AS question
+  FROM (SELECT *, conv_id % 2 AS label FROM conversations)) WHERE counter <= {MAX_LOAD} AND counter % 2 = 0""")
+def array_examples(spark, sf):
+    """Two files that hold one JSON array each; the first MAX_LOAD examples, every second one."""
+    path = scratch_path(spark, "example-arrays")
+    turns = table(spark, sf, "conversations").select(
+        F.pmod("conv_id", F.lit(2)).alias("label"), "conv_id", "turn", F.col("text").alias("question"))
+    one = F.struct("conv_id", "turn", "question", F.array(F.struct(F.lit("").alias("title"), F.lit("x").alias("text")))
+                   .alias("positive_ctxs"))
+    # a fixture's file is one array, so its turns meet in one row
+    arrays = turns.groupBy("label").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("value"))
+    arrays.repartitionByRange(2, "label").sortWithinPartitions("label").select("value").write.text(path)
+    staged = P.stage_examples(spark, path, array=True)
+    numbered = L.attach(staged, L.with_starts(L.split_table(staged)))
+    return P.stride(numbered, world_size=2, rank=0, maxload=MAX_LOAD).select("counter", "question")
+
+
+@query("first_queries", f"""
+SELECT line_no, query FROM (
+  SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, text AS query FROM conversations)
+WHERE line_no < {FIRST_QUERIES}""")
+def first_queries(spark, sf):
+    """The first FIRST_QUERIES lines of a query file, which is the cut a bench asks for."""
+    path = scratch_path(spark, "query-file")
+    turns = table(spark, sf, "conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    turns.select(F.to_json(F.struct(F.col("text").alias("question"))).alias("value")).write.text(path)
+    staged = L.stage_text(spark, path)
+    numbered = L.attach(staged, L.with_starts(L.split_table(staged)))
+    numbered = numbered.withColumn("line_no", F.col("id_start") + F.col("seq") - F.col("first_seq"))
+    return P.load_queries(numbered, FIRST_QUERIES)
+
+
 @query("load_queries", f"""
 WITH q AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, turn % 5 AS kind, role, text FROM conversations)
 SELECT line_no, CASE kind WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN text

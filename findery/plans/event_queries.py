@@ -99,6 +99,16 @@ def vote_lookup(spark, sf):
     return votes.vote_lookup(votes.latest_votes(events), votes.vote_queries(events), votes.vote_contexts(events))
 
 
+@query("votes_of_pair", f"""WITH {VOTES_SQL}
+SELECT passage_id, relevant, ts, query_hash, ctx_hash FROM latest
+WHERE (query_hash, ctx_hash) IN (SELECT query_hash, min(ctx_hash) FROM vote_events GROUP BY query_hash)""")
+def votes_of_pair(spark, sf):
+    """The votes of one context of every query."""
+    events = vote_events(spark, sf)
+    asked = events.groupBy("query_hash").agg(F.min("ctx_hash").alias("ctx_hash"))
+    return votes.votes_of(votes.latest_votes(events), asked)
+
+
 @query("vote_log", f"""WITH {VOTES_SQL}
 SELECT seq, ts, query_hash, query_norm, passage_id, relevant, nprobe, exact_search, diverse_search, "lambda"
 FROM vote_events""")

@@ -143,6 +143,32 @@ def pad_batch(spark, sf):
     return out.select("dataset", "batch_id", "chunk_id", line(F.col("ids")).alias("ids"), bits.alias("mask"))
 
 
+def _pair_side(side: str) -> str:
+    """One side of a training pair in SQL: cropped, masked by position in the crop, fenced."""
+    n = f"floor({LENGTH} * ({RATIO[0]}::DOUBLE + {unit_draw(f'pair-{side}-ratio', 'dataset', 'chunk_id')} * {RATIO[1] - RATIO[0]}::DOUBLE))::BIGINT"
+    start = f"floor({unit_draw(f'pair-{side}-start', 'dataset', 'chunk_id')} * ({LENGTH} - {n} + 1))::BIGINT"
+    spot = f"({spot_hash(f'pair-{side}-mask', 'j')} / 4294967296.0::DOUBLE)"
+    return f"""
+{side}_cut AS (SELECT dataset, chunk_id, i - {start} AS j, t FROM tok WHERE i >= {start} AND i < {start} + {n}),
+{side} AS (SELECT dataset, chunk_id, chunk_id // {BATCH} AS batch_id, count(*) + 2 AS n,
+    '{BOS},' || {line_sql(f'CASE WHEN {spot} > {P} THEN t ELSE {MASK} END', 'j')} || ',{EOS}' AS x
+  FROM {side}_cut GROUP BY dataset, chunk_id),
+{side}_pad AS (SELECT dataset, chunk_id, batch_id, x || repeat(',0', max(n) OVER w - n) AS ids, n
+  FROM {side} WINDOW w AS (PARTITION BY dataset, batch_id))"""
+
+
+@query("training_pair", f"""WITH {CHUNKS_SQL}, {_pair_side('q')}, {_pair_side('k')}
+SELECT dataset, batch_id, chunk_id, q_pad.ids AS q_ids, q_pad.n AS q_n, k_pad.ids AS k_ids, k_pad.n AS k_n
+FROM q_pad JOIN k_pad USING (dataset, batch_id, chunk_id)""")
+def training_pair(spark, sf):
+    """Two views of every chunk as a trainer takes them: cropped, masked, fenced, padded in their batch."""
+    rows = chunks(spark, sf).withColumn("batch_id", F.floor(F.col("chunk_id") / BATCH))
+    pairs = T.training_pairs(rows, ["dataset", "batch_id"], RATIO, "pair", key(), "mask", P, BOS, EOS, MASK)
+    used = lambda side: F.size(F.filter(f"{side}_mask", lambda m: m)).cast("long")
+    return pairs.select("dataset", "batch_id", "chunk_id", line(F.col("q_ids")).alias("q_ids"), used("q").alias("q_n"),
+                        line(F.col("k_ids")).alias("k_ids"), used("k").alias("k_n"))
+
+
 WEIGHTS_SQL = f"""
 sizes AS (SELECT dataset, count(DISTINCT chunk_id) AS size FROM tok GROUP BY dataset),
 powers AS (SELECT dataset, size, pow(size / (SELECT sum(size) FROM sizes)::DOUBLE, {COEFF}) AS p FROM sizes),
@@ -188,7 +214,7 @@ def raw_examples(spark: SparkSession, sf: str) -> DataFrame:
         out = out.join(near(conv, turn, name), ["conv_id", "turn"], "left")
     there = lambda *cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
     return out.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("example_id"), "question", there("p1", "p2").alias("positive_ctxs"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("example_id"), "question", there("p1", "p2").alias("positive_ctxs"),
         there("n1", "n2", "n3").alias("negative_ctxs"), there("h1", "h2", "h3").alias("hard_negative_ctxs"),
     ).where(F.size("positive_ctxs") > 0)
 
@@ -199,7 +225,7 @@ EXAMPLES_SQL = f"""
 turns AS (SELECT conv_id, turn, role, text,
   CASE WHEN conv_id % 2 = 0 AND role <> '' THEN role || ' ' || text ELSE text END AS whole FROM conversations),
 raw AS (
-  SELECT c.conv_id * 1000 + c.turn AS example_id, c.text AS question,
+  SELECT c.conv_id * 1000000 + c.turn AS example_id, c.text AS question,
     list_filter([p1.whole, p2.whole], lambda x: x IS NOT NULL) AS pos,
     list_filter([n1.whole, n2.whole, n3.whole], lambda x: x IS NOT NULL) AS neg,
     list_filter([h1.whole, h2.whole, h3.whole], lambda x: x IS NOT NULL) AS hard
@@ -233,6 +259,15 @@ def training_examples(spark, sf):
     return examples(spark, sf).withColumn("negatives", F.array_join("negatives", " || "))
 
 
+@query("evaluation_examples", f"""WITH {EXAMPLES_SQL}
+SELECT example_id, {Q.normalize_punctuation('question')} AS query, {Q.normalize_punctuation('pos[1]')} AS gold,
+  coalesce({Q.normalize_punctuation('neg[1]')}, '') AS negatives FROM raw WHERE len(pos) > 0""")
+def evaluation_examples(spark, sf):
+    """The first positive and the first negative, texts normalised."""
+    out = T.training_examples(raw_examples(spark, sf), NEGATIVES, HARD_RATIO, HARD_MIN, "ex", training=False, normalize=True)
+    return out.withColumn("negatives", F.array_join("negatives", " || "))
+
+
 @query("batch_passages", f"""WITH {EXAMPLES_SQL},
 n AS (SELECT *, (row_number() OVER (ORDER BY example_id) - 1) // {GROUP} AS batch_id FROM examples),
 all_rows AS (

@@ -385,6 +385,16 @@ def load_shard(spark, sf):
                          F.round(total, 6).alias("total"))
 
 
+@query("load_one_shard", f"""WITH {CHUNK_SQL}
+SELECT * FROM (SELECT shard_id::INTEGER AS shard_id, row_number() OVER (ORDER BY shard_id, chunk_id) - 1 AS index_id, vec_id
+  FROM numbered) WHERE shard_id = 2""")
+def load_one_shard(spark, sf):
+    """One shard's folder; its ids keep the place they have among all shards."""
+    path = scratch_path(spark, "shards")
+    S.write_shards(S.chunk_ids(sharded(spark, sf)), path)
+    return S.load_shards(spark, path, "chunk_id", shard_id=2).select("shard_id", "index_id", "vec_id")
+
+
 PER_CHUNK = S.vectors_per_chunk(32 << 10, 64)
 
 

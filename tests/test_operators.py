@@ -9,6 +9,7 @@ from findery.operators import prefix, ranks, training
 from findery.operators.metrics import evaluate_run, without_self
 from findery.operators.passages import expand_context
 from findery.operators.rerank import drop_redundant, rerank_exact, rerank_mmr
+from findery.plans import search as S
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +196,50 @@ def test_inbatch_by_numpy(spark):
     log_p = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
     assert got["loss"] == pytest.approx(-np.diag(log_p).mean())
     assert got["accuracy"] == pytest.approx(100 * (s.argmax(axis=1) == np.arange(6)).mean())
+
+
+def test_an_answer_does_not_depend_on_its_batch(spark):
+    rng = np.random.default_rng(11)
+    vecs, asked = rng.normal(size=(300, 8)), rng.normal(size=(4, 8))
+    texts = [f"passage {i} " + "word " * (i % 7) for i in range(300)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    passages = spark.createDataFrame(
+        [(i, str(i), t, "f--raw_passages_0-0-of-1.jsonl", i) for i, t in enumerate(texts)],
+        "index_id long, passage_id string, text string, filename string, position long")
+    requests = spark.createDataFrame([
+        (0, "plain", 5, None, False, False, None, 4, asked[0].tolist()),
+        (1, "deep", 60, None, False, False, None, None, asked[1].tolist()),
+        (2, "exact", 5, None, True, False, None, None, asked[2].tolist()),
+        (3, "diverse", 5, None, False, True, 0.5, None, asked[3].tolist()),
+    ], "query_id long, query string, n_docs int, nprobe int, exact_search boolean, diverse_search boolean, lambda double, "
+       "min_words int, query_emb array<double>")
+    valid, rejected = S.split_requests(requests)
+    assert rejected.count() == 0
+    second = vectors.where("vec_id % 3 <> 0")  # a third of the hits has no vector
+
+    def answer(rows):
+        found = S.search(rows, S.FlatIndex(vectors), second, passages, fetch_k=20).collect()
+        return {(r["query_id"], r["rank"], r["index_id"], r["exact_score"]) for r in found}
+
+    whole = answer(valid)
+    alone = [answer(valid.where(F.col("query_id") == i)) for i in range(4)]
+    assert whole == set().union(*alone) and [len(a) for a in alone] == [5, 60, 5, 5]
+
+
+def test_requests_beyond_the_limits_are_rejected(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 0, None, None), (2, "b", 10**6, None, None), (3, "c", 5, 7, 10**6), (4, "d", 5, 7, 3), (5, "e", None, None, None)],
+        "query_id long, query string, n_docs int, expand_index_id long, expand_offset int")
+    rows = rows.selectExpr("*", "cast(null as int) as nprobe", "cast(null as boolean) as exact_search",
+                           "cast(null as boolean) as diverse_search", "cast(null as double) as lambda")
+    valid, rejected = S.split_requests(rows)
+    assert {r["query_id"]: r["error"] for r in rejected.collect()} == {1: "bad_n_docs", 2: "bad_n_docs", 3: "bad_expand_offset"}
+    assert {r["query_id"] for r in valid.collect()} == {4, 5}
+
+
+def test_running_sums_over_sparse_ids(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("id"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("g"),
+                                    (F.col("id") % 7).alias("n"))
+    got = prefix.ranged_running_sum(rows, ["g"], [F.col("id")], F.col("n"), "at").toPandas().sort_values(["g", "id"])
+    want = got.groupby("g").n.cumsum() - got.n
+    assert len(got) == 5000 and (got["at"] == want).all()
