@@ -14,8 +14,10 @@ from findery.plans.registry import query
 from findery.session import scratch_path, table
 from findery.sources import vectors as S
 
-N_SHARDS, SAMPLE, N_LISTS, NPROBE, TRAIN_STEPS = 4, 256, 16, 4, 2
-N_SUB, N_WORDS, PQ_STEPS = 8, 16, 1
+N_SHARDS, N_LISTS, NPROBE, TRAIN_STEPS = 4, 16, 4, 10
+N_SUB, N_WORDS, PQ_STEPS = 8, 128, 1
+#: Training takes one vector of so many.
+SAMPLE_PART = 2
 K = 10
 
 
@@ -36,7 +38,8 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sample(spark: SparkSession, sf: str) -> DataFrame:
-    return ivf.train_sample(sharded(spark, sf), SAMPLE, N_SHARDS)
+    rows = sharded(spark, sf)
+    return ivf.train_sample(rows, rows.count() // SAMPLE_PART, N_SHARDS)
 
 
 def coarse(spark: SparkSession, sf: str) -> Packed:
@@ -74,11 +77,11 @@ hits AS (
 
 
 SAMPLE_SQL = f"""
-train_rows AS (
+train_rows AS MATERIALIZED (
   SELECT vec_id, embedding, shard_id FROM (
     SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY {draw_sql('sample', 'vec_id')}, vec_id) AS n
     FROM (SELECT vec_id, embedding, vec_id % {N_SHARDS} AS shard_id FROM embeddings))
-  WHERE n <= {SAMPLE // N_SHARDS})"""
+  WHERE n <= (SELECT count(*) FROM embeddings) // {SAMPLE_PART} // {N_SHARDS})"""
 
 
 def _lloyd_step(step: int) -> str:
@@ -94,7 +97,7 @@ mean{step} AS (
     SELECT list_id, d, avg(x) AS m FROM (
       SELECT list_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM own{step}) GROUP BY list_id, d)
   GROUP BY list_id),
-cen{step + 1} AS (
+cen{step + 1} AS MATERIALIZED (
   SELECT list_id, list_transform(c, lambda x: x / n) AS c FROM (
     SELECT list_id, c, greatest(sqrt(list_inner_product(c, c)), 1e-12) AS n FROM (
       SELECT o.list_id, coalesce(n.c, o.c) AS c FROM cen{step} o LEFT JOIN mean{step} n USING (list_id))))"""
@@ -103,7 +106,7 @@ cen{step + 1} AS (
 COARSE_SQL = (
     SAMPLE_SQL
     + f""",
-cen0 AS (
+cen0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY w, vec_id) - 1 AS list_id,
     list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-12)) AS c FROM (
     SELECT vec_id, embedding::DOUBLE[] AS e, {draw_sql('coarse', 'vec_id')} AS w FROM train_rows)
@@ -246,7 +249,7 @@ def pairwise_cosine_topics(spark, sf):
 
 @query("train_sample", f"WITH {SAMPLE_SQL} SELECT shard_id::INTEGER AS shard_id, vec_id FROM train_rows")
 def train_sample(spark, sf):
-    return ivf.train_sample(sharded(spark, sf), SAMPLE, N_SHARDS).select("shard_id", "vec_id")
+    return sample(spark, sf).select("shard_id", "vec_id")
 
 
 @query("train_coarse", f"""WITH {COARSE_SQL}
