@@ -18,7 +18,41 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-@query("op4_secret_scan")
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _secret_rule_sql(kind: int, rule: secrets.Rule) -> str:
+    """Matches of one rule, and which of them are long enough."""
+    names = "password|passwd|secret|token|api_?key"  # DuckDB would fold beyond ASCII, so letters are spelt out
+    pattern = rule.pattern.replace(f"(?i:{names})", "|".join(map(_either_case, names.split("|")))).replace("'", "''")
+    return f"""SELECT doc_id, text, {kind} AS kind, regexp_extract_all(text, '{pattern}') AS found,
+    list_transform(regexp_extract_all(text, '{pattern}', {rule.group}), lambda x: length(x) >= {rule.least}) AS good FROM d"""
+
+
+_KINDS = ", ".join(f"'{r.kind}'" for r in secrets.RULES)
+
+# A match is the first place of its own text after the match before: an earlier place would have matched earlier.
+SECRETS_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_secret_rule_sql(i, r) for i, r in enumerate(secrets.RULES))}),
+walk AS (
+  SELECT doc_id, text, kind, found, good, 0 AS i, 0 AS start, 0 AS stop FROM m WHERE len(found) > 0
+  UNION ALL
+  SELECT doc_id, text, kind, found, good, i + 1, stop + instr(substr(text, stop + 1), found[i + 1]) - 1,
+    stop + instr(substr(text, stop + 1), found[i + 1]) - 1 + length(found[i + 1])
+  FROM walk WHERE i < len(found)),
+spans AS (SELECT doc_id, kind, start, stop, [{_KINDS}][kind + 1] || ':' || start || ':' || stop AS span
+  FROM walk WHERE i > 0 AND good[i])
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+  count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind > 2) AS n_more,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op4_secret_scan", sql=SECRETS_SQL)
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -58,6 +92,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_chunks(table(spark, sf_dir, "documents"))
 
 
-@query("op6_jaccard_join")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query("op6_jaccard_join", sql=f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c >= 75 * (s.n + t.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS doc_id, x AS other FROM both_ways UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
+""")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))

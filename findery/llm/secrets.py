@@ -48,7 +48,7 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,15}://[^\x09-\x0D\x20/:@]{1,64}:[^\x09-\x0D\x20/@]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
