@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.functions.draws import hash32
+from findery.functions.draws import DRAW_RANGE, hash32
 from findery.functions.vectors import NORM_FLOOR
 from findery.operators.topk import Packed, lengths, list_matrix, row_blocks, row_topk, snap
 from findery.session import materialize
@@ -60,18 +60,32 @@ def fold_means(partials: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, SUMS_SCHEMA).withColumnRenamed("s", "mean")
 
 
+#: Bytes of group sums that a task holds back before it ships them.
+HELD_BYTES = 64 << 20
+
+
 def group_means(vectors: DataFrame, group_col: str, vec_col: str) -> DataFrame:
-    """Mean vector per group (``g, n, mean``); each Arrow batch ships one sum per group it holds."""
+    """Mean vector per group (``g, n, mean``); a task ships one sum per group, as far as they fit its memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            groups, where = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            mat = list_matrix(batch.column(1))
-            sums = np.zeros((len(groups), mat.shape[1]))
+            g, mat = batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1))
+            n = np.ones(len(g), np.int64)
+            if held is not None:
+                g, n, mat = (np.concatenate(x) for x in zip(held, (g, n, mat)))
+            groups, where = np.unique(g, return_inverse=True)
+            sums, counts = np.zeros((len(groups), mat.shape[1])), np.zeros(len(groups), np.int64)
             np.add.at(sums, where, mat)
-            yield sums_batch(groups, np.bincount(where, minlength=len(groups)), sums)
+            np.add.at(counts, where, n)
+            held = (groups, counts, sums)
+            if sums.nbytes > HELD_BYTES:
+                yield sums_batch(*held)
+                held = None
+        if held is not None:
+            yield sums_batch(*held)
 
     chosen = vectors.select(F.col(group_col).cast("long").alias("g"), F.col(vec_col).alias("v"))
     return fold_means(chosen.mapInArrow(run, SUMS_SCHEMA))
@@ -84,7 +98,10 @@ def start_vectors(vectors: DataFrame, id_col: str, vec_col: str, n: int, seed: s
     reach the driver, as the centroids do anyway.
     """
     drawn = vectors.select(F.col(id_col).cast("long").alias("i"), hash32(seed, F.col(id_col)).alias("d"))
-    chosen = drawn.orderBy("d", "i").limit(n)
+    # draws are even, so few of them can be among the n smallest; only those are sorted
+    total = vectors.count()
+    likely = drawn.where(F.col("d") < F.lit(int(DRAW_RANGE * min(1.0, (2 * n + 1000) / max(1, total)))))
+    chosen = (likely if likely.count() >= n else drawn).orderBy("d", "i").limit(n)
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
     got = rows.join(F.broadcast(chosen), "i").toArrow().sort_by([("d", "ascending"), ("i", "ascending")])
     return list_matrix(got.column("v"))
