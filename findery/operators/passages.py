@@ -19,6 +19,31 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return F.broadcast(df) if max_rows is not None and max_rows <= MAX_BROADCAST_HITS else df
 
 
+#: Ids that share a folder of a stored table, and the column that names the folder.
+BLOCK_IDS, BLOCK_COL = 1 << 16, "id_block"
+#: Folders that a read names one by one; beyond, all are read.
+MAX_BLOCKS = 10_000
+
+
+def write_blocks(rows: DataFrame, path: str, id_col: str) -> None:
+    """A table stored by blocks of neighbouring ids, sorted by id inside: a look-up reads its blocks only."""
+    block = F.floor(F.col(id_col) / BLOCK_IDS).cast("long")
+    ranged = rows.withColumn(BLOCK_COL, block).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    ranged.write.mode("overwrite").partitionBy(BLOCK_COL).parquet(path)
+
+
+def in_blocks(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The stored blocks that hold an id of ``ids``; a table without blocks comes back as it is.
+
+    ``ids`` is read for it, so pass rows that are stored already.
+    """
+    if BLOCK_COL not in rows.columns:
+        return rows
+    found = ids.select(F.floor(F.col(id_col) / BLOCK_IDS).cast("long").alias("b")).distinct().limit(MAX_BLOCKS + 1).collect()
+    kept = rows if len(found) > MAX_BLOCKS else rows.where(F.col(BLOCK_COL).isin([r["b"] for r in found]))
+    return kept.drop(BLOCK_COL)
+
+
 def fetch_passages(hits: DataFrame, passages: DataFrame, id_col: str = "index_id",
                    max_hits: int | None = None) -> DataFrame:
     """Passage fields of every hit; a hit without a passage is dropped.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findery.operators import ivf, pq
 from findery.operators.encode import embed_texts
+from findery.operators.passages import write_blocks
 from findery.operators.topk import Packed, list_matrix
 from findery.plans import search as S
 from findery.plans.corpus_queries import passages
@@ -116,10 +117,18 @@ def stored_codes(spark: SparkSession, vectors: DataFrame) -> S.CodeIndex:
                        ivf.read_postings(spark, path))
 
 
+def stored_blocks(spark: SparkSession, rows: DataFrame, id_col: str) -> DataFrame:
+    path = scratch_path(spark, "blocks")
+    write_blocks(rows, path, id_col)
+    return spark.read.parquet(path)
+
+
 @query("search_lists", f"WITH {answers_sql(MIXED_SQL, LIST_FOUND_SQL, SHALLOW)} {ANSWER_ROWS_SQL}")
 def search_lists(spark, sf):
+    """Vectors and passages lie in blocks of ids, so the later stages read the blocks of the hits."""
     vectors = document_vectors(spark, sf)
-    return _rows(S.search(mixed(spark, sf), stored_lists(spark, vectors), vectors, passages(spark, sf), SHALLOW))
+    blocks = stored_blocks(spark, vectors, "vec_id"), stored_blocks(spark, passages(spark, sf), "index_id")
+    return _rows(S.search(mixed(spark, sf), stored_lists(spark, vectors), *blocks, SHALLOW))
 
 
 @query("search_codes", f"WITH {answers_sql(MIXED_SQL, CODE_FOUND_SQL, SHALLOW)} {ANSWER_ROWS_SQL}")

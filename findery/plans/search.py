@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from findery.functions.text import has_min_words
 from findery.functions.vectors import cosine_batch
 from findery.operators import ivf, pq
-from findery.operators.passages import bounded, expand_context, fetch_passages
+from findery.operators.passages import BLOCK_COL, bounded, expand_context, fetch_passages, in_blocks
 from findery.operators.rerank import rerank_mmr
 from findery.operators.topk import BROADCAST_BYTES, SCORE_DIGITS, Packed, knn_flat
 from findery.session import materialize
@@ -186,8 +186,15 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
         F.max("exact_search").alias("exact"), F.max("diverse_search").alias("diverse")).first()
     most = needs["most"] or 0
     scored = retrieve(requests, index, fetch_k, max(fetch_k, needs["k"] or 1))
+    blocked = BLOCK_COL in vectors.columns or BLOCK_COL in passages.columns
+    if blocked:  # the ids found name the folders that the later stages read
+        scored = materialize(scored)
+        vectors = in_blocks(vectors, scored, "index_id")
+        counted = in_blocks(passages, scored, "index_id")
+    else:
+        counted = passages
     if (needs["words"] or 0) > 0:
-        scored = long_enough(scored, requests, passages, most)
+        scored = long_enough(scored, requests, counted, most)
     plain = scored.withColumn("exact_score", F.lit(None).cast("double"))
     if needs["exact"] or needs["diverse"]:
         small = needs["n"] * (needs["dim"] or 0) * 8 <= BROADCAST_BYTES
@@ -200,7 +207,12 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
             ranked = ranked.unionByName(diverse_order(mine, requests))
     else:
         ranked = plain_order(plain, requests)
-    return fetch_passages(ranked, passages, max_hits=needs["docs"] or 0) if with_text else ranked
+    if not with_text:
+        return ranked
+    if blocked:
+        ranked = materialize(ranked)
+        passages = in_blocks(passages, ranked, "index_id")
+    return fetch_passages(ranked, passages, max_hits=needs["docs"] or 0)
 
 
 def fill_check(results: DataFrame, requests: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from findery.operators import passages as passages_module
 from findery.operators import prefix, ranks, training
 from findery.operators.metrics import evaluate_run, without_self
 from findery.operators.passages import expand_context
@@ -226,6 +227,19 @@ def test_an_answer_does_not_depend_on_its_batch(spark):
     assert whole == set().union(*alone) and [len(a) for a in alone] == [5, 60, 5, 5]
 
 
+def test_a_fetch_reads_only_the_blocks_of_its_hits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(passages_module, "BLOCK_IDS", 50)
+    rows = spark.range(1000).select(F.col("id").alias("index_id"), F.concat(F.lit("text "), "id").alias("text"))
+    passages_module.write_blocks(rows, str(tmp_path / "blocks"), "index_id")
+    stored = spark.read.parquet(str(tmp_path / "blocks"))
+    hits = spark.createDataFrame([(1, 3), (1, 49), (2, 870)], "query_id long, index_id long")
+    kept = passages_module.in_blocks(stored, hits, "index_id")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [id_block" in plan
+    assert kept.count() == 100 and kept.columns == rows.columns
+    assert passages_module.in_blocks(rows, hits, "index_id") is rows
+
+
 def test_requests_beyond_the_limits_are_rejected(spark):
     rows = spark.createDataFrame(
         [(1, "a", 0, None, None), (2, "b", 10**6, None, None), (3, "c", 5, 7, 10**6), (4, "d", 5, 7, 3), (5, "e", None, None, None)],
