@@ -21,15 +21,32 @@ def _spread_log(events, path: str) -> None:
     events.repartition(LOG_FILES).write.json(path)
 
 
-@query("stream_latest_votes", f"WITH {VOTES_SQL} SELECT * FROM latest")
-def stream_latest_votes(spark, sf):
-    log, out = scratch_path(spark, "vote-log"), scratch_path(spark, "vote-state")
-    _spread_log(vote_events(spark, sf).drop("ctx_hash"), log)
+def _store_votes(spark, log: str, out: str, offsets: str) -> None:
     events = keyed.read_log(spark, log, VOTE_EVENT, files_per_batch=3)
     events = events.withColumn("config", F.struct(
         "config.diverse_search", "config.exact_search", "config.lambda", "config.nprobe"))
     events = events.withColumn("ctx_hash", context_hash(F.col("config")))
-    keyed.store_updates(keyed.running_latest_votes(events), out, scratch_path(spark, "vote-offsets")).awaitTermination()
+    keyed.store_updates(keyed.running_latest_votes(events), out, offsets).awaitTermination()
+
+
+@query("stream_latest_votes", f"WITH {VOTES_SQL} SELECT * FROM latest")
+def stream_latest_votes(spark, sf):
+    log, out = scratch_path(spark, "vote-log"), scratch_path(spark, "vote-state")
+    _spread_log(vote_events(spark, sf).drop("ctx_hash"), log)
+    _store_votes(spark, log, out, scratch_path(spark, "vote-offsets"))
+    return keyed.current_state(spark, out, KEYS)
+
+
+@query("stream_compacted_votes", f"WITH {VOTES_SQL} SELECT * FROM latest")
+def stream_compacted_votes(spark, sf):
+    """Half of the log, a compaction, the other half: the state goes on from what was compacted."""
+    log, out, offsets = (scratch_path(spark, x) for x in ("vote-log", "vote-state", "vote-offsets"))
+    events = vote_events(spark, sf).drop("ctx_hash")
+    for half in (0, 1):
+        events.where(F.pmod("seq", F.lit(2)) == half).repartition(LOG_FILES // 2).write.mode("append").json(log)
+        _store_votes(spark, log, out, offsets)
+        if half == 0:
+            keyed.compact_state(spark, out, KEYS)
     return keyed.current_state(spark, out, KEYS)
 
 

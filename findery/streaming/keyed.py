@@ -8,6 +8,7 @@ newest row of each key.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,14 +32,38 @@ def store_updates(updates: DataFrame, out: str, checkpoint: str) -> StreamingQue
     )
 
 
+def _snapshot(spark: SparkSession, out: str) -> tuple[int, DataFrame | None]:
+    """The newest compacted state and the last batch it holds."""
+    try:
+        stored = spark.read.parquet(f"{out}_compacted")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, None
+    last = stored.agg(F.max("upto")).first()[0]
+    return last, stored.where(F.col("upto") == last).withColumn("batch", F.col("upto").cast("int")).drop("upto")
+
+
 def current_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Newest stored row per key."""
-    stored = spark.read.option("basePath", out).parquet(out)
+    """Newest stored row per key: the last compacted state and the batches after it."""
+    upto, base = _snapshot(spark, out)
+    stored = spark.read.option("basePath", out).parquet(out).where(F.col("batch") > upto)
+    stored = stored if base is None else stored.unionByName(base)
     rest = [c for c in stored.columns if c not in (*keys, "batch")]
     last = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s"))
     return last.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
 
 
+def compact_state(spark: SparkSession, out: str, keys: list[str]) -> int:
+    """Store the state as it is; later reads start there and never open the batches it holds.
+
+    Returns the last batch held; folders up to it may be removed once no read is under way.
+    """
+    last = spark.read.option("basePath", out).parquet(out).agg(F.max("batch")).first()[0]
+    current_state(spark, out, keys).write.mode("overwrite").parquet(f"{out}_compacted/upto={last}")
+    return last
+
+
 def running_latest_votes(events: DataFrame) -> DataFrame:
     """Newest vote per (query, context, passage), streaming."""
     return latest_votes(events)

@@ -20,12 +20,14 @@ def answer_requests(requests: DataFrame, index: Index, vectors: DataFrame, passa
     def answer(batch: DataFrame, number: int) -> None:
         valid, rejected = split_requests(batch)
         expand_requests(valid, passages).write.mode("overwrite").parquet(f"{out}/expanded/batch={number}")
+        rejected.select("query_id", "error").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
         valid = valid.where("expand_index_id IS NULL")
+        if valid.isEmpty():
+            return
         embedded = embed_texts(valid, "query_id", "query", make_encoder, out="query_emb", **encode_options)
         asked = valid.join(embedded, "query_id")
         results = search(asked, index, vectors, passages, fetch_k)
         results.write.mode("overwrite").parquet(f"{out}/answers/batch={number}")
-        rejected.select("query_id", "error").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
 
     return (
         requests.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
