@@ -68,9 +68,9 @@ def drop_duplicates(
 ) -> DataFrame:
     """The documents that stay, with all their columns; one row of each (id, text) that repeats."""
     groups = duplicate_groups(docs, id_col, text_col, keep, normalise).where("kept")
-    wanted = groups.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"))
+    wanted = groups.select(F.struct("doc_id", F.unhex("text_sha256").alias("sha")).alias("key"))
     body = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    held = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("sha"), F.struct("*").alias("row"))
-    met = held.join(wanted.hint("merge"), held["id"].eqNullSafe(wanted["id"]) & (held["sha"] == wanted["sha"]),
-                    "left_semi")
-    return met.dropDuplicates(["id", "sha"]).select("row.*")
+    key = F.struct(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    # one key for both steps, so the texts move once; a struct of nulls equals its like
+    held = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    return held.join(wanted.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
