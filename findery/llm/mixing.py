@@ -85,6 +85,15 @@ def draw_slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     return drawn.select(F.floor(F.col("slot") / SHARD_BLOCKS).alias("shard"), "slot", "source", "block")
 
 
+def _key(df: DataFrame, *names: str) -> Column:
+    """Columns as one key whose fields may be null: structs compare nulls as equal.
+
+    The cast gives both sides of a join one type, else an implicit one would deal the rows out again.
+    """
+    fields = ", ".join(f"{n}: {df.schema[n].dataType.simpleString()}" for n in names)
+    return F.struct(*names).cast(f"struct<{fields}>")
+
+
 class Mix:
     """The parts of one mix: documents in their places, source targets and the drawn slots."""
 
@@ -97,7 +106,7 @@ class Mix:
                                  body.alias("text"), F.xxhash64(body).alias("hash"))
         sized = self.texts.select(
             "doc_id", "source", "hash", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"))
-        sized = sized.withColumn("place", F.struct("doc_id", "hash", "source"))
+        sized = sized.withColumn("place", _key(sized, "doc_id", "hash", "source"))
         #: (doc_id, source, hash, size, place, start): its words are start ... start + size - 1 of its source
         self.placed = stage(running_start(sized, ["source"], "place", "size", "start", "mix-sizes"), "mix-places")
         self.sources = stage(source_targets(self.placed.select("source", "size"), weights, share, most), "mix-sources")
@@ -143,7 +152,7 @@ def mixed_text(docs: DataFrame, **options) -> DataFrame:
     """
     mix = Mix(docs, **options)
     # one key of three columns that may be null; the text moves once for both steps
-    texts = mix.texts.select(F.struct("doc_id", "hash", "source").alias("place"), "text").dropDuplicates(["place"])
+    texts = mix.texts.select(_key(mix.texts, "doc_id", "hash", "source").alias("place"), "text").dropDuplicates(["place"])
     places = mix.placed.where("size > 0").select("place", "doc_id", "source", "start", "size")
     whole = texts.join(places.hint("merge"), "place")
     words = whole.select("doc_id", "source", "start", "size",
@@ -159,9 +168,10 @@ def mixed_text(docs: DataFrame, **options) -> DataFrame:
 
     # the slices of a document are made first, so no row carries the whole text along
     cut = words.select("doc_id", "source", "start", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-    pieces = cut.select("doc_id", F.col("source").alias("s"), "start", F.col("p.block").alias("b"), "p.text")
-    slots = mix.slots
-    met = slots.join(pieces.hint("merge"), slots["source"].eqNullSafe(pieces["s"]) & (slots["block"] == pieces["b"]))
-    # at most BLOCK_WORDS pieces, each of a word or more, share a slot
-    order = Window.partitionBy("slot").orderBy("start")
-    return met.select("shard", "slot", (F.row_number().over(order) - 1).alias("part"), "source", "doc_id", "text")
+    pieces = cut.select("doc_id", "source", "start", "p.block", "p.text")
+    pieces = pieces.select("doc_id", _key(pieces, "source", "block").alias("at"), "start", "text")
+    # at most BLOCK_WORDS pieces, each of a word or more, share a block; the join reads them as they lie
+    order = Window.partitionBy("at").orderBy("start")
+    pieces = pieces.withColumn("part", F.row_number().over(order) - 1)
+    slots = mix.slots.select("shard", "slot", _key(mix.slots, "source", "block").alias("at"))
+    return slots.join(pieces.hint("merge"), "at").select("shard", "slot", "part", "at.source", "doc_id", "text")
