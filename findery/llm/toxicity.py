@@ -34,6 +34,8 @@ SAMPLE_ROWS = 10_000
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEXICON_SIZE = 4096
 LEAST_DOCS = 4
+#: Share of a stem's toxic documents that a longer one must find to stand for it.
+SAME_DOCS = 0.95
 LEAST_WEIGHT = math.log(12.0)
 
 
@@ -157,12 +159,20 @@ def _lexicon(stem_docs: DataFrame) -> dict[str, float]:
     strong = sums.where("stem <> ''").withColumn("weight", odds).where(
         (F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT))
     best = strong.orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("stem"), "stem").limit(LEXICON_SIZE)
+    rows = {r["stem"]: r for r in best.collect()}
     kept: dict[str, float] = {}
-    for row in sorted(best.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
-        shorter = max((kept.get(row["stem"][:n], 0.0) for n in range(4, len(row["stem"]))), default=0.0)
-        if row["weight"] > shorter + 0.7:
-            kept[row["stem"]] = float(row["weight"])
-    return kept
+    for stem in sorted(rows, key=lambda x: (len(x), x)):
+        shorter = max((kept.get(stem[:n], 0.0) for n in range(4, len(stem))), default=0.0)
+        if rows[stem]["weight"] > shorter + 0.7:
+            kept[stem] = float(rows[stem]["weight"])
+    # a longer beginning that finds nearly the same documents says the same and catches less else
+    longest: dict[str, float] = {}
+    for stem in kept:
+        same = [x for x in rows if x.startswith(stem) and not x.endswith(" ")
+                and rows[x]["toxic"] >= SAME_DOCS * rows[stem]["toxic"]]
+        chosen = max(same, key=len, default=stem)
+        longest[chosen] = float(rows[chosen]["weight"])
+    return longest
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
