@@ -33,7 +33,8 @@ SAMPLE_ROWS = 10_000
 #: Lengths of the word beginnings that may become entries; longer words enter whole up to the last.
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEXICON_SIZE = 4096
-LEAST_DOCS = 4
+#: Toxic documents, in number and as a share of all, that an entry must be found in; copies of one text are fewer.
+LEAST_DOCS, LEAST_SHARE = 4, 0.01
 #: Share of a stem's toxic documents that a longer one must find to stand for it.
 SAME_DOCS = 0.95
 LEAST_WEIGHT = math.log(12.0)
@@ -157,7 +158,7 @@ def _lexicon(stem_docs: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("toxic") + 0.5) / (sizes["toxic"] + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (sizes["clean"] + 1.0))
     strong = sums.where("stem <> ''").withColumn("weight", odds).where(
-        (F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT))
+        (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * sizes["toxic"])) & (F.col("weight") >= LEAST_WEIGHT))
     best = strong.orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("stem"), "stem").limit(LEXICON_SIZE)
     rows = {r["stem"]: r for r in best.collect()}
     kept: dict[str, float] = {}
