@@ -67,13 +67,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/findery/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/findery/{spark.sparkContext.applicationId}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove the tables a finished job has staged below the shared folder; nothing may read them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/findery")
+    """Remove the tables this application has staged in the shared folder; nothing may read them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
