@@ -5,8 +5,8 @@ which any two linked sets must meet. Two relations between sets spare work:
 
 * inside the index: a list is cut into blocks by set size, blocks of sizes that cannot link are
   skipped, and so are entries whose position in their sets leaves too few shingles to share;
-* between answers: every set is first compared with the leader of the lists it shares most. What
-  is already connected needs no other comparison, and the known distances of two sets to one leader
+* between answers: a set is first compared with the leader of the lists it shares most. What is
+  connected then needs no other comparison, and the known distances of two sets to one leader
   bound the distance between both, so most of a set's answers follow from its leader's.
 
 Links are checked on the whole sets, made from the whole texts.
@@ -20,23 +20,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, BinaryType, ByteType, IntegerType, LongType, StructField, StructType,
+    ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
 )
 
 from findery.llm.common import (
-    Filter, components, fold_texts, map_texts, passing, shingles, stage, text_rows, utf8, word_hashes,
+    Filter, components, map_texts, passing, shingles, stage, text_rows, utf8, word_hashes,
 )
 
 SHINGLE = 5
 #: A link has 100 * shared >= LEAST_PERCENT * united.
 LEAST_PERCENT = 75
-#: Buckets in which shingles are counted to tell common ones from rare ones.
-ORDER_BITS = 22
-#: Tokens gathered before they are counted.
-BUFFER = 1 << 21
+#: Levels of the order: shingles of more documents than these come later and later.
+COMMON = (8, 64, 512, 4096)
+#: Every so many shingles by hash are counted first, and then those so near to a common one.
+SAMPLED, REACH = np.uint64(8), 24
+#: Bits of a shingle hash that place it inside its level.
+PLACE = np.uint64((1 << 56) - 1)
+#: Lists of more sets than this are read by pairs of sets only that may need them.
+LONG_LIST = 64
 #: Size blocks of a list grow by more than the largest ratio of linked sizes, 100 / 75.
 BLOCK_RATIO = 1.34
 
@@ -46,65 +50,75 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingles(word_hashes(utf8(text)), SHINGLE))
 
 
-class _Common:
-    """Buckets of a task that hold clearly more shingles than chance puts there."""
+def _tokens(rows: DataFrame, pick: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(token): the shingles that ``pick`` takes from each document's shingles in text order, each once."""
+
+    def make() -> Callable[[list], dict]:
+        def one(text: str) -> np.ndarray:
+            return np.unique(pick(shingles(word_hashes(utf8(text)), SHINGLE))).view(np.int64)
+
+        return lambda texts: {"tokens": [one(t or "") for t in texts]}
+
+    listed = map_texts(rows.select("text"), "text", make, [StructField("tokens", ArrayType(LongType()))])
+    return listed.select(F.explode("tokens").alias("token"))
 
-    def __init__(self):
-        self.counts, self.waiting, self.size = np.zeros(1 << ORDER_BITS, np.int64), [], 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        for text in batch.column("text").to_pylist():
-            tokens = shingle_set(text)
-            self.waiting.append(tokens >> np.uint64(64 - ORDER_BITS))
-            self.size += len(tokens)
-            if self.size >= BUFFER:
-                self._count()
+def _around(tokens: np.ndarray, common: Filter) -> np.ndarray:
+    """Shingles, in text order, within REACH of a sampled one that is common."""
+    at = np.flatnonzero(tokens % SAMPLED == 0)
+    at = at[common.passes(tokens[at].view(np.int64))]
+    steps = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(steps, np.maximum(at - REACH, 0), 1)
+    np.add.at(steps, np.minimum(at + REACH + 1, len(tokens)), -1)
+    return tokens[np.cumsum(steps)[:-1] > 0]
 
-    def _count(self) -> None:
-        if self.waiting:
-            self.counts += np.bincount(np.concatenate(self.waiting).astype(np.int64), minlength=1 << ORDER_BITS)
-        self.waiting, self.size = [], 0
 
-    def rows(self) -> dict:
-        self._count()
-        at = np.flatnonzero(self.counts >= max(8, int(4 * self.counts.mean())))
-        return {"bucket": at, "n": self.counts[at]}
+def _lowest(tokens: np.ndarray) -> np.ndarray:
+    """The third of a set with the lowest places, somewhat more than a prefix; ``tokens`` are distinct."""
+    length = min(len(tokens), len(tokens) // 3 + 2)
+    return tokens[np.argsort(tokens & PLACE, kind="stable")[:length]]
 
 
-def _order(rows: DataFrame) -> np.ndarray:
-    """Class of each bucket: 0 for rare shingles, else the magnitude of its count over all documents.
+def _counted(rows: DataFrame) -> tuple[Filter, DataFrame]:
+    """What is counted before the order is made: a filter, and (token, n) of the shingles counted twice or more.
 
-    Any order gives the same links; this one keeps common shingles out of the prefixes. The result
-    has 2^ORDER_BITS bytes.
+    One shingle in SAMPLED, chosen by its hash, is counted over all documents. Passages that many
+    documents share hold some of those, so the shingles around the common ones are counted next,
+    together with those that would stand in a prefix by their hash alone.
     """
-    schema = StructType([StructField("bucket", LongType()), StructField("n", LongType())])
-    sums = fold_texts(rows.select("text"), _Common, schema).groupBy("bucket").agg(
-        F.least(F.floor(F.log2(F.sum("n"))), F.lit(60)).cast(ByteType()).alias("level")).toPandas()
-    classes = np.zeros(1 << ORDER_BITS, np.uint8)
-    classes[sums["bucket"].to_numpy(dtype=np.int64)] = sums["level"].to_numpy(dtype=np.uint8)
-    return classes
+    sampled = _tokens(rows, lambda t: t[t % SAMPLED == 0]).groupBy("token").agg(F.count("*").alias("n"))
+    first = Filter(sampled.where(F.col("n") > COMMON[0]).select("token"))
+    near = _tokens(rows, lambda t: np.concatenate((_around(t, first), _lowest(np.unique(t)))))
+    counted = near.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return first, stage(counted, "jaccard-counted")
 
 
-SETS = [StructField("n", LongType()), StructField("digest", BinaryType()), StructField("prefix", ArrayType(LongType()))]
+SETS = [StructField("n", LongType()), StructField("digest", BinaryType()), StructField("prefix", ArrayType(LongType())),
+        StructField("late", ArrayType(LongType()))]
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, prefix): size, identity and ordered prefix of each document's set."""
-    shared = rows.sparkSession.sparkContext.broadcast(_order(rows))
+def _sets(rows: DataFrame, first: Filter, counted: DataFrame) -> DataFrame:
+    """(doc_id, n, digest, prefix, late): size, identity and ordered prefix of each document's set.
 
-    def make() -> Callable[[list], dict]:
-        classes = shared.value
+    Shingles come by level, rare ones first, then by place. Any order gives the same links: one whose
+    level is too low only makes a list longer. ``late`` holds what of the prefix was not counted.
+    """
+    levels = [Filter(counted.where(F.col("n") > level).select("token")) for level in COMMON]
 
-        def one(text: str) -> tuple[int, bytes | None, np.ndarray]:
-            tokens = shingle_set(text)
+    def make() -> Callable[[list], dict]:
+        def one(text: str) -> tuple[int, bytes | None, np.ndarray, np.ndarray]:
+            listed = shingles(word_hashes(utf8(text)), SHINGLE)
+            tokens = np.unique(listed)
             n = len(tokens)
             if not n:
-                return 0, None, np.empty(0, np.int64)
-            placed = classes[tokens >> np.uint64(64 - ORDER_BITS)].astype(np.uint64) << np.uint64(56)
-            placed |= tokens & np.uint64((1 << 56) - 1)
+                return 0, None, np.empty(0, np.int64), np.empty(0, np.int64)
+            level = sum(f.passes(tokens.view(np.int64)).astype(np.uint64) for f in levels)
+            placed = (level << np.uint64(56)) | (tokens & PLACE)
             length = n + 1 - -(-LEAST_PERCENT * n // 100)
             prefix = np.sort(np.partition(placed, length - 1)[:length])
-            return n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), prefix.view(np.int64)
+            seen = np.concatenate((_around(listed, first), _lowest(tokens))) & PLACE
+            late = prefix[np.isin(prefix & PLACE, seen, invert=True)]
+            return n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), prefix.view(np.int64), late.view(np.int64)
 
         def work(texts: list) -> dict:
             made = [one(t or "") for t in texts]
@@ -128,8 +142,6 @@ def _verify(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     pairs = stage(pairs, f"{label}-pairs")
     ends = pairs.select("a").union(pairs.select("b")).distinct()
     texts = passing(rows, "doc_id", Filter(ends)).select(F.col("doc_id").alias("id"), "text")
-    # a document's text is the same in all rows that repeat its id, or the longest one stands for it
-    texts = texts.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
 
@@ -158,13 +170,12 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """Index entries of the shingles that several sets hold: token, doc_id, n, position, leader."""
-    listed = sets.select("doc_id", F.explode("prefix").alias("token"))
-    leaders = listed.groupBy("token").agg(F.min("doc_id").alias("leader"), F.count("*").alias("many"))
-    leaders = stage(leaders.where("many > 1").select("token", "leader"), "jaccard-leaders")
-    wanted = Filter(leaders.select("token"))
+def _entries(sets: DataFrame, counted: DataFrame) -> DataFrame:
+    """Index entries of the shingles that several sets hold: token, doc_id, n, position, leader.
 
+    A shingle that two prefixes hold was counted twice, or is late in one of them; others stay out.
+    """
+    twice, late = Filter(counted.select("token")), Filter(sets.select(F.explode("late").alias("token")))
     schema = StructType([StructField("doc_id", LongType()), StructField("n", LongType()),
                          StructField("token", LongType()), StructField("position", IntegerType())])
 
@@ -175,13 +186,17 @@ def _entries(sets: DataFrame) -> DataFrame:
             sizes = pc.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             position = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = np.flatnonzero(wanted.passes(tokens))
+            kept = np.flatnonzero(twice.passes(tokens) | late.passes(tokens))
             take = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("n").take(take), pa.array(tokens[kept], pa.int64()),
                  pa.array(position[kept], pa.int32())], names=schema.fieldNames())
 
-    likely = sets.where("n > 0").select("doc_id", "n", "prefix").mapInArrow(run, schema)
+    likely = stage(sets.where("n > 0").select("doc_id", "n", "prefix").mapInArrow(run, schema), "jaccard-likely")
+    # the set with the fewest rarer shingles before this one is the most like all others
+    leaders = likely.groupBy("token").agg(
+        F.min(F.struct("position", "doc_id")).alias("first"), F.count("*").alias("many"))
+    leaders = leaders.where("many > 1").select("token", F.col("first.doc_id").alias("leader"), "many")
     return stage(likely.join(leaders.hint("merge"), "token"), "jaccard-index")
 
 
@@ -191,54 +206,73 @@ def _candidates(entries: DataFrame, groups: DataFrame, checked: DataFrame) -> Da
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
     split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_lists = named.join(split.where("lo < hi").select("token"), "token")
-    away = checked.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"),
-                          (F.col("na") + F.col("nb") - 2 * F.col("shared")).alias("away"))
+    distance = F.col("na") + F.col("nb") - 2 * F.col("shared")
+    away = checked.groupBy(F.col("b").alias("doc_id"), F.col("a").alias("leader")).agg(
+        F.when(F.min(distance) == F.max(distance), F.min(distance)).alias("away"))
     known = open_lists.join(away, ["doc_id", "leader"], "left")
     known = known.withColumn("away", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("away")))
+    known = known.withColumn("long", (F.col("many") > LONG_LIST).cast("long"))
+    # one row per shingle of a document's prefix
+    known = known.withColumn("longs", F.sum("long").over(Window.partitionBy("doc_id")))
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_RATIO)))
     known = stage(known.withColumn("block", block), "jaccard-open")
-    left = known.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("position").alias("pa"),
-                        F.col("component").alias("ca"), F.col("away").alias("da"), "block",
+    left = known.select("token", "long", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("position").alias("pa"),
+                        F.col("component").alias("ca"), F.col("away").alias("da"), F.col("longs").alias("la"), "block",
                         F.col("block").alias("own_a"))
     right = known.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("position").alias("pb"),
-                         F.col("component").alias("cb"), F.col("away").alias("db"),
+                         F.col("component").alias("cb"), F.col("away").alias("db"), F.col("longs").alias("lb"),
                          F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("block").alias("own_b"))
-    met = left.join(right, ["token", "block"])
     both = F.col("na") + F.col("nb")
-    # shared shingles needed: LEAST_PERCENT / (100 + LEAST_PERCENT) of both sizes together
-    share = LEAST_PERCENT * both
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    behind = F.greatest(_behind(F.col("na")), _behind(F.col("nb")))
     apart = F.abs(F.col("da") - F.col("db"))
-    # the first shingle both share is at these positions in one list at least, so nothing is lost
-    return met.where(
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # Two sets whose long lists alone could not make a link need not meet there: if they link they
+    # share a shorter list too, and are found in that.
+    enough = _may_link(F.least("la", "lb") + behind, both)
+    met = left.join(right, ["token", "block"]).where(
         (F.col("ca") != F.col("cb")) & ((F.col("own_b") > F.col("own_a")) | (F.col("a") < F.col("b")))
         & (100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
-        & ((100 + LEAST_PERCENT) * rest >= share)
         & (apart.isNull() | ((100 + LEAST_PERCENT) * apart <= (100 - LEAST_PERCENT) * both))
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        & ((F.col("long") == 0) | enough))
+    # the first shingle that both share leaves room for all others in both sets
+    pairs = met.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
+        F.sum(1 - F.col("long")).alias("short"), F.sum("long").alias("long"), F.max(_may_link(rest, both)).alias("fits"),
+        F.max(both).alias("both"), F.max(behind).alias("behind"),
+        F.max(F.least("la", "lb")).alias("longs"), F.max(enough).alias("enough"))
+    # What the set whose prefix ends first shares of its prefix is among what both prefixes share, so
+    # both share no more than that and the longer of the remainders.
+    shared = F.col("short") + F.when(F.col("enough"), F.col("long")).otherwise(F.col("longs"))
+    fits = F.col("fits") | ~F.col("enough")
+    return pairs.where(fits & _may_link(shared + F.col("behind"), F.col("both"))).select(
+        F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _may_link(shared: Column, both: Column) -> Column:
+    """Whether so many shared shingles are enough for sets of so many together."""
+    return (100 + LEAST_PERCENT) * shared >= LEAST_PERCENT * both
 
 
-def _link_groups(sets: DataFrame, rows: DataFrame) -> DataFrame:
+def _behind(n: Column) -> Column:
+    """Shingles of a set of ``n`` that are not in its prefix."""
+    return F.ceil(LEAST_PERCENT * n / 100) - 1
+
+
+def _link_groups(sets: DataFrame, rows: DataFrame, counted: DataFrame) -> DataFrame:
     """(node, component) of all sets with a link."""
     same = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("a"), F.count("*").alias("many"))
     copies = sets.where("n > 0").join(same.where("many > 1"), "digest").where("doc_id <> a")
     links = stage(copies.select("a", F.col("doc_id").alias("b")), "jaccard-copies")
-    entries = _entries(sets)
+    entries = _entries(sets, counted)
     starred = entries.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("met"))
     starred = stage(starred, "jaccard-stars")
     groups = components(links, "jaccard-groups")
-    best = starred.groupBy(F.col("doc_id").alias("b")).agg(
+    # Leaders only prepare: a pair left out here is still among the candidates below.
+    sizes = starred.join(sets.select("doc_id", "n"), "doc_id").where(20 * F.col("met") >= F.col("n"))
+    best = sizes.groupBy(F.col("doc_id").alias("b")).agg(
         F.max_by("leader", F.struct("met", -F.col("leader"))).alias("a"))
-    checked = None
-    rounds = (best.select("a", "b"), starred.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
-    for pairs in rounds:
-        todo = _apart(pairs, groups)
-        if checked is not None:
-            todo = todo.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = _verify(todo, rows, "jaccard")
-        checked = found if checked is None else checked.unionByName(found)
-        links = links.union(found.where(_links(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b"))
-        groups = components(links, "jaccard-groups")
+    checked = _verify(_apart(best.select("a", "b"), groups), rows, "jaccard")
+    links = links.union(checked.where(_links(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b"))
+    groups = components(links, "jaccard-groups")
     rest = _candidates(entries, groups, checked).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     found = _verify(rest, rows, "jaccard")
     links = links.union(found.where(_links(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b"))
@@ -251,12 +285,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are runs without ASCII white space, A-Z lowered; a set holds the distinct runs of five
     words. Documents link from a similarity of 0.75; the component is the smallest id reachable.
     Null, empty and blank texts have no shingle and link with nothing, not even each other. Ids are
-    whole numbers; rows that repeat an id are one document, its longest text counts for links; a
+    whole numbers; rows that repeat an id are one document that links where any of them does; a
     null id stays alone with a null component. An empty table gives no rows.
     """
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = stage(_sets(rows), "jaccard-sets")
-    groups = _link_groups(sets.where("doc_id is not null"), rows)
+    first, counted = _counted(rows)
+    sets = stage(_sets(rows, first, counted), "jaccard-sets")
+    groups = _link_groups(sets.where("doc_id is not null"), rows, counted)
     named = sets.join(groups, sets["doc_id"] == groups["node"], "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
