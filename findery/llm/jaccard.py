@@ -202,18 +202,23 @@ def _entries(sets: DataFrame, counted: DataFrame) -> DataFrame:
 
 def _candidates(entries: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
     """Pairs of not yet connected sets that meet in a list and may link, each pair once."""
-    named = entries.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_lists = named.join(split.where("lo < hi").select("token"), "token")
+    # Lists with two components or more; the filter lets some others pass, which then make no pair.
+    held = groups.select(F.col("node").alias("doc_id"), "component")
+    spread = entries.select("token", "doc_id").join(held, "doc_id", "left").groupBy("token").agg(
+        F.min(F.coalesce("component", "doc_id")).alias("lo"), F.max(F.coalesce("component", "doc_id")).alias("hi"))
+    open_lists = passing(entries, "token", Filter(spread.where("lo < hi").select("token")))
+    # Each set was compared with one leader, so its component, that distance and its long lists all go by its id.
     distance = F.col("na") + F.col("nb") - 2 * F.col("shared")
-    away = checked.groupBy(F.col("b").alias("doc_id"), F.col("a").alias("leader")).agg(
-        F.when(F.min(distance) == F.max(distance), F.min(distance)).alias("away"))
-    known = open_lists.join(away, ["doc_id", "leader"], "left")
-    known = known.withColumn("away", F.when(F.col("doc_id") == F.col("leader"), 0).otherwise(F.col("away")))
+    away = checked.groupBy(F.col("b").alias("doc_id")).agg(
+        F.max("a").alias("compared"), (F.min("a") == F.max("a")).alias("one"), F.min(distance).alias("near"),
+        F.max(distance).alias("far"))
+    away = away.where("one and near = far").select("doc_id", "compared", "far")
+    known = open_lists.join(held, "doc_id", "left").join(away, "doc_id", "left")
+    known = known.withColumn("component", F.coalesce("component", "doc_id")).withColumn("away", F.when(
+        F.col("doc_id") == F.col("leader"), 0).when(F.col("compared") == F.col("leader"), F.col("far")))
     known = known.withColumn("long", (F.col("many") > LONG_LIST).cast("long"))
     # one row per shingle of a document's prefix
-    known = known.withColumn("longs", F.sum("long").over(Window.partitionBy("doc_id")))
+    known = known.withColumn("longs", F.sum("long").over(Window.partitionBy("doc_id"))).drop("compared", "far", "leader", "many")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BLOCK_RATIO)))
     known = stage(known.withColumn("block", block), "jaccard-open")
     left = known.select("token", "long", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("position").alias("pa"),
