@@ -1,144 +1,338 @@
-"""Repeated passages by content-defined chunks of lines.
+"""Repeated passages by content-defined chunks.
 
-A rolling hash over the hashes of neighbouring lines chooses chunk boundaries, so an insertion
-shifts only the chunks around it. Chunks of several lines that occur again anywhere are compared
-byte by byte, and all but the first occurrence go.
-
-A long physical line counts as several lines, wrapped at its sentence ends or else in the middle,
-and is cut off from the lines around it: a passage on a line of its own is then a chunk of its own.
+A rolling hash over the hashes of neighbouring words chooses places by content alone: a place is
+where it is smallest among its neighbours, so an insertion shifts only the places around it. The
+words around a place are a chunk, in a line of many words as in a run of short lines. Chunks that
+occur again anywhere are compared byte by byte; each is then extended, word by word in its line and
+line by line beyond it, as far as its first occurrence reads the same, and all but the first go.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from findery.llm.common import Filter, map_texts, stage, text_rows
+from findery.llm.common import Filter, codes, map_texts, mix64, passing, powers, stage, text_rows
 
-SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+(?=\S)")
-#: Lines the rolling hash covers, and one boundary in so many places.
+#: Words that the rolling hash covers.
 WINDOW = 2
-DIVISOR = 4
-#: A line of so many words is long even without a sentence end.
-LONG_LINE = 24
-#: A long line is cut inside only beyond this many sentences.
-WHOLE_LINE = 24
-LEAST_LINES = 2
+#: A place has the smallest hash of so many on either side, among those not repeated so near.
+REACH, PERIOD = 4, 6
+#: Words of a chunk around a place; lines of fewer words are short, and taken with their neighbours.
 LEAST_WORDS = 12
+#: More words than this without a place are a chunk of their own.
+SPARSE = 32
+
+
+#: Characters of texts that are read at once.
+AT_ONCE = 1 << 17
+
+
+def _places(hashes: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Words at which the rolling hash is smallest around; none where the words repeat at once."""
+    n = len(hashes)
+    rolled = hashes.copy()
+    for k in range(1, min(WINDOW, n)):
+        rolled[k:] = mix64(rolled[k:] * np.uint64(0x9E3779B97F4A7C15) + hashes[: n - k])
+    repeated = np.zeros(n, bool)
+    for k in range(1, min(PERIOD, n - 1) + 1):
+        same = (rolled[k:] == rolled[:-k]) & (segment[k:] == segment[:-k])
+        repeated[k:] |= same
+        repeated[:-k] |= same
+    rolled[repeated] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = ~repeated
+    for k in range(1, min(REACH, n - 1) + 1):
+        apart = segment[k:] != segment[:-k]
+        least[k:] &= (rolled[k:] < rolled[:-k]) | apart
+        least[:-k] &= (rolled[:-k] < rolled[k:]) | apart
+    return np.flatnonzero(least)
+
+
+def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, number of the text, start and end of the chunks of several texts, in order."""
+    c = codes("\n".join(texts))
+    blank = (c == 32) | ((c >= 9) & (c <= 13))
+    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.int64), *(np.empty(0, np.int64) for _ in range(3))
+    up, down = powers(len(c) + 1)
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum((c.astype(np.uint64) + np.uint64(977)) * up[: len(c)], out=sums[1:])
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    origin = np.cumsum(size + 1) - size - 1
+    text_of = np.searchsorted(origin, starts, "right") - 1
+    line = np.cumsum(c == 10)[starts]
+    opens = np.concatenate(([True], line[1:] != line[:-1]))
+    number = np.cumsum(opens) - 1
+    firsts = np.flatnonzero(opens)
+    lasts = np.append(firsts[1:], n) - 1
+    short = (lasts - firsts + 1 < LEAST_WORDS)[number]
+    new = np.concatenate(([True], opens[1:] & ~(short[1:] & short[:-1]) | (text_of[1:] != text_of[:-1])))
+    segment = np.cumsum(new) - 1
+    at = _places(mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), segment)
+    low, high = at - LEAST_WORDS // 2, at + (LEAST_WORDS - 1) // 2
+    inside = (low >= 0) & (high < n)
+    inside[inside] = segment[low[inside]] == segment[high[inside]]
+    at, low, high = at[inside], low[inside], high[inside]
+    # stretches between places and the edges of segments
+    is_edge = np.append(new, True)
+    mark = is_edge.copy()
+    mark[at] = True
+    marks = np.flatnonzero(mark)
+    width = np.diff(marks)
+    bare = is_edge[marks[:-1]] & is_edge[marks[1:]] & (width >= LEAST_WORDS) | (width > SPARSE)
+    low = np.concatenate((low, marks[:-1][bare]))
+    high = np.concatenate((high, marks[1:][bare] - 1))
+    low, high = np.where(short[low], firsts[number[low]], low), np.where(short[high], lasts[number[high]], high)
+    low, high = np.divmod(np.unique(low * n + high), n)
+    a, b, of = starts[low], ends[high], text_of[low]
+    hashes = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
+    return hashes, of, a - origin[of], b - origin[of]
 
 
-def units(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Segments of (start, end) lines: a long line wrapped at sentences, or neighbouring short lines."""
-    short: list[tuple[int, int]] = []
-    at = 0
-    for line in text.split("\n"):
-        cuts = [m.end() for m in SENTENCE_END.finditer(line)]
-        if not cuts and len(line.split(None, LONG_LINE)) >= LONG_LINE:
-            cuts = [line.find(" ", len(line) // 2) + 1 or len(line) // 2]
-        if cuts:
-            if short:
-                yield short
-                short = []
-            edges = [0, *cuts, len(line)]
-            yield [(at + a, at + b) for a, b in zip(edges, edges[1:])]
-        elif line.strip():
-            short.append((at, at + len(line)))
-        at += len(line) + 1
-    if short:
-        yield short
+def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of AT_ONCE characters together, and the number of the first."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= AT_ONCE:
+            yield first, texts[first: i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of at least LEAST_LINES lines and LEAST_WORDS words."""
-    out = []
-    for segment in units(text):
-        if len(segment) < LEAST_LINES:
-            continue
-        one_line = text.find("\n", segment[0][0], segment[-1][1]) < 0
-        first = 0
-        if not (one_line and len(segment) <= WHOLE_LINE):
-            rolled = 0
-            hashes = [zlib.crc32(text[a:b].strip().encode("utf-8", "surrogatepass")) for a, b in segment]
-            for i in range(len(segment)):
-                rolled = zlib.crc32(b"".join(h.to_bytes(4, "little") for h in hashes[max(0, i - WINDOW + 1): i + 1]))
-                if i - first + 1 >= LEAST_LINES and rolled % DIVISOR == 0:
-                    out.append((segment[first][0], segment[i][1]))
-                    first = i + 1
-        if len(segment) - first >= LEAST_LINES:
-            out.append((segment[first][0], segment[-1][1]))
-    return [(a, b) for a, b in out if len(text[a:b].split(None, LEAST_WORDS)) >= LEAST_WORDS]
-
-
-def chunk_hash(chunk: str) -> int:
-    h = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-CHUNK = StructType([StructField("hash", LongType()), StructField("start", LongType()), StructField("end", LongType()),
-                    StructField("body", StringType())])
+    """(start, end) of the chunks, in order: at least LEAST_WORDS words each, neighbours overlap.
+
+    A line of that many words is a segment, and so are neighbouring shorter lines; in these a chunk
+    has whole lines. A segment, or a long stretch of one, without a place is one chunk.
+    """
+    _, _, starts, ends = _read([text])
+    return list(zip(starts.tolist(), ends.tolist()))
+
+
+BLANK = frozenset(" \t\n\v\f\r")
+
+
+def same_length(one: str, other: str) -> int:
+    """Characters both have in common from the start: whole words of the first line, whole lines after it."""
+    most = min(len(one), len(other))
+    if one[:most] == other[:most]:
+        n = most
+    else:
+        n = bisect_left(range(most), True, key=lambda i: one[: i + 1] != other[: i + 1])
+    line = one.find("\n")
+    while n:
+        if n < most and one[n - 1] not in BLANK and (
+                one[n] == other[n] == "\n" if 0 <= line < n else one[n] in BLANK and other[n] in BLANK):
+            return n
+        n -= 1
+    return 0
+
+
+CHUNK = StructType([
+    StructField("hash", LongType()), StructField("start", LongType()), StructField("end", LongType()),
+    StructField("lead", LongType()), StructField("near", StringType())])
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
-    def make() -> Callable[[list], dict]:
-        return lambda texts: {"hashes": [[chunk_hash(t[a:b]) for a, b in chunks(t)] for t in texts]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _groups(batch.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_read(texts)[0])], names=["hash"])
 
-    listed = map_texts(rows.select("text"), "text", make, [StructField("hashes", ArrayType(LongType()))])
-    return listed.select(F.explode("hashes").alias("hash"))
+    return rows.select("text").mapInArrow(run, StructType([StructField("hash", LongType())]))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every occurrence of a chunk that occurs again: doc_id, start, end, copies, keep_doc_id, keep_start, removed.
+def _near(text: str, low: int, high: int) -> str:
+    """The text from low to high and a character more at both sides; a line end stands for the ends of the text."""
+    return ("" if low else "\n") + text[max(0, low - 1): high + 1] + ("" if high < len(text) else "\n")
 
-    Start and end are code points. The occurrence with the smallest (doc_id, start) stays, the others
-    are ``removed``. Null and empty texts have no chunk; a chunk that one document holds twice counts;
-    of repeated rows (same id, same text) the chunks are the same occurrence. Nulls among the ids come first.
+
+def _beyond(of: np.ndarray, at: np.ndarray, last: np.ndarray | int) -> np.ndarray:
+    """The next larger value of ``at`` within each text, or ``last``."""
+    order = of * (1 << 40) + at
+    known = np.unique(order)
+    following = np.searchsorted(known, order, "right")
+    there = following < len(known)
+    value = known[np.where(there, following, 0)]
+    same = there & ((value + (1 << 39)) >> 40 == of)
+    return np.where(same, value - of * (1 << 40), last)
+
+
+def _found(rows: DataFrame, wanted: Filter) -> DataFrame:
+    """(doc_id, hash, start, end, lead, near): chunks that the filter passes, in the text around them.
+
+    It goes from the last start before the chunk's own to the next end behind its own; ``lead`` characters precede the chunk.
     """
-    rows = text_rows(docs, id_col, text_col)
-    again = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = Filter(again)
+    schema = StructType([rows.schema["doc_id"], *CHUNK.fields])
 
-    def make() -> Callable[[list], dict]:
-        def one(text: str) -> list[dict]:
-            found = [(chunk_hash(text[a:b]), a, b) for a, b in chunks(text)]
-            likely = wanted.passes(np.array([h for h, _, _ in found], np.int64))
-            return [{"hash": h, "start": a, "end": b, "body": text[a:b]}
-                    for (h, a, b), ok in zip(found, likely) if ok]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            ids = batch.column("doc_id").cast(arrow.field("doc_id").type)
+            for first, texts in _groups(batch.column("text").to_pylist()):
+                hashes, of, starts, ends = _read(texts)
+                likely = np.flatnonzero(wanted.passes(hashes)) if len(hashes) else np.empty(0, np.int64)
+                if not len(likely):
+                    continue
+                size = np.fromiter(map(len, texts), np.int64, len(texts))[of]
+                low = _beyond(of, -starts, 0)
+                high = _beyond(of, ends, size)
+                low = np.where(low < 0, -low, 0)
+                near = [_near(texts[t], a, b) for t, a, b in zip(
+                    of[likely].tolist(), low[likely].tolist(), high[likely].tolist())]
+                lead = (starts - low + 1)[likely]
+                columns = [ids.take(pa.array(of[likely] + first)), pa.array(hashes[likely]), pa.array(starts[likely]),
+                           pa.array(ends[likely]), pa.array(lead), pa.array(near, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
-        return lambda texts: {"found": [one(t or "") for t in texts]}
 
-    listed = map_texts(rows, "text", make, [StructField("found", ArrayType(CHUNK))])
-    found = stage(listed.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*"), "line-chunks")
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Likely chunks in their surroundings, and the occurrences of those that do occur again."""
+    rows = text_rows(docs, id_col, text_col)
+    again = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = stage(_found(rows, Filter(again)), "line-chunks")
+    body = F.substring(F.col("near"), (F.col("lead") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    places = found.select("doc_id", "start", "end", "hash", body.alias("body"))
     # grouping by the body compares bytes; partial sums keep a very common chunk small
-    groups = found.groupBy("hash", "body").agg(
+    groups = places.groupBy("hash", "body").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("keep")).where("copies > 1")
-    met = found.join(groups.hint("merge"), ["hash", "body"])
-    return met.select(
+    met = places.join(groups.hint("merge"), ["hash", "body"])
+    return found, met.select(
         "doc_id", "start", "end", "copies", F.col("keep.doc_id").alias("keep_doc_id"),
         F.col("keep.start").alias("keep_start"), (~F.struct("doc_id", "start").eqNullSafe(F.col("keep"))).alias("removed"))
 
 
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every occurrence of a chunk that occurs again: doc_id, start, end, copies, keep_doc_id, keep_start, removed.
+
+    Start and end are code points. The occurrence with the smallest (doc_id, start) stays, the others
+    are ``removed``. Texts below LEAST_WORDS words have no chunk; a chunk that one document holds twice
+    counts; of repeated rows (same id, same text) the chunks are the same occurrence. Nulls among the
+    ids come first.
+    """
+    return _repeats(docs, id_col, text_col)[1]
+
+
+SPAN = ["start", "end", "copies", "keep_doc_id", "keep_start", "removed"]
+
+
+def _joined(spans: DataFrame, ends: bool) -> DataFrame:
+    """Spans that overlap and stand alike to one document, as one; with ``ends``, also its first and last chunk."""
+    # the spans of one document
+    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct(*SPAN)).alias("spans"))
+    more = [StructField("head", LongType()), StructField("tail", LongType())] if ends else []
+    schema = StructType([StructField(f.name, f.dataType) for f in spans.select(*SPAN).schema] + more)
+
+    def order(s: dict) -> tuple:
+        return s["removed"], s["keep_doc_id"] is not None, s["keep_doc_id"], s["keep_start"] - s["start"], s["start"], s["end"]
+
+    def one(found: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for s in sorted(found, key=order):
+            last = out[-1] if out else None
+            if last and order(s)[:4] == order(last)[:4] and s["start"] <= last["end"]:
+                if s["end"] > last["end"]:
+                    last["end"], last["tail"] = s["end"], s["start"]
+                last["copies"] = max(last["copies"], s["copies"])
+            else:
+                out.append({**s, "head": s["end"], "tail": s["start"]})
+        return out
+
+    def make() -> Callable[[list], dict]:
+        return lambda lists: {"joined": [one(x) for x in lists]}
+
+    merged = map_texts(listed, "spans", make, [StructField("joined", ArrayType(schema))])
+    return merged.select("doc_id", F.explode("joined").alias("j")).select("doc_id", "j.*")
+
+
+def _extended(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs of chunks (doc_id, the columns of SPAN, head, tail) with ``left`` and ``right``: by how many
+    characters they and their first occurrence go on alike.
+
+    Head is the end of the first chunk, tail the start of the last one.
+    """
+    shift = F.col("keep_start") - F.col("start")
+    runs = runs.withColumn("run", F.struct("doc_id", "start", "end", "keep_doc_id", "keep_start"))
+    asked = []
+    for right, a, b in ((False, F.col("start"), F.col("head")), (True, F.col("tail"), F.col("end"))):
+        for mine, doc, by in ((True, "doc_id", F.lit(0)), (False, "keep_doc_id", shift)):
+            asked.append(runs.select(F.struct(F.col(doc).alias("doc_id"), (a + by).alias("start"), (b + by).alias("end")
+                                              ).alias("place"), "run", F.lit(right).alias("right"), F.lit(mine).alias("mine")))
+    wanted = stage(asked[0].union(asked[1]).union(asked[2]).union(asked[3]), "line-edges")
+    key = F.xxhash64("place")
+    held = found.select(F.struct("doc_id", "start", "end").alias("place"), "lead", "near",
+                        (F.col("end") - F.col("start")).alias("size")).withColumn("key", key)
+    held = passing(held.select("key", "place.*", "lead", "near", "size"), "key", Filter(wanted.select(key.alias("key"))))
+    held = held.select(F.struct("doc_id", "start", "end").alias("place"), "lead", "near", "size").dropDuplicates(["place"])
+    before = F.reverse(F.substring(F.col("near"), F.lit(1), F.col("lead").cast("int")))
+    behind = F.substring(F.col("near"), (F.col("lead") + F.col("size") + 1).cast("int"), F.length("near"))
+    sides = wanted.join(held.hint("merge"), "place").select(
+        "run", "right", "mine", F.when(F.col("right"), behind).otherwise(before).alias("beside"))
+    pairs = sides.groupBy("run", "right").agg(
+        F.max(F.when(F.col("mine"), F.col("beside"))).alias("one"), F.max(F.when(~F.col("mine"), F.col("beside"))).alias("other"))
+
+    def make() -> Callable[[list], dict]:
+        return lambda both: {"same": [same_length(x["one"], x["other"]) for x in both]}
+
+    same = map_texts(pairs.select("run", "right", F.struct("one", "other").alias("both")), "both", make,
+                     [StructField("same", LongType())])
+    same = same.groupBy("run").agg(F.max(F.when(~F.col("right"), F.col("same"))).alias("left"),
+                                   F.max(F.when(F.col("right"), F.col("same"))).alias("right"))
+    return runs.join(same.hint("merge"), "run").drop("run")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeated passages, whole: doc_id, start, end, copies, keep_doc_id, keep_start, removed.
+
+    Repeated chunks that overlap and stand alike to one document are one run, which is extended as far
+    as its first occurrence reads the same. A ``removed`` row equals the text of keep_doc_id at
+    keep_start; the others, which stay, name their own place. Copies are those of the most frequent
+    chunk. Documents of one id have one text.
+    """
+    found, chunks_met = _repeats(docs, id_col, text_col)
+    runs = stage(_joined(chunks_met.where("removed"), True), "line-runs")
+    long = stage(_extended(found, runs), "line-extended")
+    later = long.select(
+        "doc_id", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
+        "copies", "keep_doc_id", (F.col("keep_start") - F.col("left")).alias("keep_start"), F.lit(True).alias("removed"))
+    first = later.select(
+        F.col("keep_doc_id").alias("doc_id"), F.col("keep_start").alias("start"),
+        (F.col("keep_start") + F.col("end") - F.col("start")).alias("end"), "copies")
+    first = first.groupBy("doc_id", "start", "end").agg(F.max("copies").alias("copies"))
+    first = first.select("*", F.col("doc_id").alias("keep_doc_id"), F.col("start").alias("keep_start"),
+                         F.lit(False).alias("removed"))
+    return _joined(later.unionByName(first), False)
+
+
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with removed chunks cut out of their text; every row and column stays.
+    """The documents with removed passages cut out of their text; every row and column stays.
 
-    A line that is empty after the cut goes with it. Texts without a removed chunk are untouched,
+    A line that is empty after the cut goes with it. Texts without a removed passage are untouched,
     null texts stay null.
     """
-    cuts = repeated_chunks(docs, id_col, text_col).where("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))  # bounded by one document's chunks
+    cuts = repeated_passages(docs, id_col, text_col).where("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))  # bounded by one document's passages
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
     met = held.join(cuts, held["id"].eqNullSafe(cuts["cut_id"]), "left")
     kept = F.aggregate(
         "cuts", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda s, c: F.struct(
             F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int"))
-                     ).alias("text"), c["end"].alias("at")),
+                     ).alias("text"), F.greatest(s["at"], c["end"]).alias("at")),
         lambda s: F.concat(s["text"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
     cleaned = F.regexp_replace(kept, r"\n{2,}", "\n")
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.regexp_replace(cleaned, r"^\n|\n$", ""))

@@ -89,7 +89,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_chunks(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

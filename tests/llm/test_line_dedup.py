@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from findery.llm import line_dedup
@@ -47,3 +48,41 @@ def test_odd_tables(odd_docs, no_docs):
     assert sorted((tuple(r) for r in got.where("doc_id <> 11 or doc_id is null").collect()), key=repr) == [
         r for r in before if r[0] != 11]
     assert line_dedup.repeated_chunks(no_docs).count() == 0 and line_dedup.drop_repeated(no_docs).count() == 0
+
+
+def random_words(seed, n):
+    draw = random.Random(seed)
+    return ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+
+
+def shared_words(one, other):
+    """Words of ``other`` inside a run of 12 or more words that ``one`` has too, by comparing all pairs."""
+    covered, last = set(), [0] * (len(other) + 1)
+    for word in one:
+        row = [0] * (len(other) + 1)
+        for j, w in enumerate(other):
+            if w == word:
+                row[j + 1] = last[j] + 1
+                if row[j + 1] >= 12:
+                    covered.update(range(j + 1 - row[j + 1], j + 1))
+        last = row
+    return covered
+
+
+def test_passages_inside_paragraphs_come_out_whole(spark):
+    rows, want = [], {}
+    for k in range(60):
+        passage = random_words(f"p{k}", 50 + k)
+        one, other = ([*random_words(f"a{k}{i}", 40), *passage, *random_words(f"b{k}{i}", 35)] for i in (0, 1))
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = shared_words(one, other)
+        assert want[2 * k + 1] == set(range(40, 90 + k))
+    got = {i: set() for i in want}
+    for r in line_dedup.repeated_passages(make_docs(spark, rows)).where("removed").collect():
+        text = rows[r["doc_id"]][1]
+        assert text[r["start"]:r["end"]] == rows[r["keep_doc_id"]][1][r["keep_start"]:][:r["end"] - r["start"]]
+        before = len(text[:r["start"]].split())
+        got[r["doc_id"]] |= set(range(before, before + len(text[r["start"]:r["end"]].split())))
+    assert got == want
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(make_docs(spark, rows)).collect()}
+    assert all(cut[i].split() == [w for j, w in enumerate(rows[i][1].split()) if j not in want[i]] for i in want)
