@@ -86,3 +86,18 @@ def test_passages_inside_paragraphs_come_out_whole(spark):
     assert got == want
     cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(make_docs(spark, rows)).collect()}
     assert all(cut[i].split() == [w for j, w in enumerate(rows[i][1].split()) if j not in want[i]] for i in want)
+
+
+def test_passages_of_short_lines_come_out_whole(spark):
+    def lines(seed, n):
+        words = random_words(seed, 9 * n)
+        return [" ".join(words[9 * i: 9 * i + 9]) for i in range(n)]
+
+    rows = []
+    for k in range(60):
+        passage = lines(f"p{k}", 6 + k % 4)
+        rows += [(2 * k + i, "\n".join([*lines(f"a{k}{i}", 5), *passage, *lines(f"b{k}{i}", 4)])) for i in (0, 1)]
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(make_docs(spark, rows)).collect()}
+    for k in range(60):
+        assert cut[2 * k] == rows[2 * k][1]
+        assert cut[2 * k + 1].split("\n") == [*lines(f"a{k}1", 5), *lines(f"b{k}1", 4)]
