@@ -33,8 +33,10 @@ SAMPLE_ROWS = 10_000
 #: Lengths of the word beginnings that may become entries; longer words enter whole up to the last.
 STEMS = (4, 5, 6, 7, 8, 9, 10)
 LEXICON_SIZE = 4096
-#: Toxic documents, in number and as a share of all, that an entry must be found in; copies of one text are fewer.
-LEAST_DOCS, LEAST_SHARE = 4, 0.01
+#: Toxic documents that an entry must be found in; copies of one text count once.
+LEAST_DOCS = 4
+#: Least log likelihood ratio of an entry's documents against a word that does not care about the classes.
+LEAST_RATIO = math.log(1000.0)
 #: Share of a stem's toxic documents that a longer one must find to stand for it.
 SAME_DOCS = 0.95
 LEAST_WEIGHT = math.log(12.0)
@@ -150,15 +152,19 @@ def features(weight: float, matches: int, words: int) -> tuple[float, ...]:
 
 
 def _lexicon(stem_docs: DataFrame) -> dict[str, float]:
-    """Stems with enough toxic documents and odds, the strongest first, none longer than it need be."""
+    """Stems with enough toxic documents and odds that chance does not explain, the strongest first, none longer than it need be."""
     sums = stem_docs.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = sums.where("stem = ''").first()
     if sizes is None or not sizes["toxic"]:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (sizes["toxic"] + 1.0)) - F.log(
         (F.col("clean") + 0.5) / (sizes["clean"] + 1.0))
+    share = max(1, sizes["clean"]) / (max(1, sizes["clean"]) + sizes["toxic"])
+    both = F.col("toxic") + F.col("clean")
+    ratio = F.col("toxic") * F.log(F.col("toxic") / (both * (1.0 - share))) + F.when(F.col("clean") == 0, 0.0).otherwise(
+        F.col("clean") * F.log(F.col("clean") / (both * share)))
     strong = sums.where("stem <> ''").withColumn("weight", odds).where(
-        (F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * sizes["toxic"])) & (F.col("weight") >= LEAST_WEIGHT))
+        (F.col("toxic") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT) & (ratio >= LEAST_RATIO))
     best = strong.orderBy(F.desc(F.col("toxic") * F.col("weight")), F.length("stem"), "stem").limit(LEXICON_SIZE)
     rows = {r["stem"]: r for r in best.collect()}
     kept: dict[str, float] = {}
@@ -203,7 +209,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon, weights and the logistic scale. Without a toxic example nothing is ever toxic."""
     rows = labelled(docs, labels, id_col, text_col)
-    lexicon = _lexicon(fold_texts(rows, _StemDocs, STEM_DOCS))
+    lexicon = _lexicon(fold_texts(rows.dropDuplicates(["toxic", "text"]), _StemDocs, STEM_DOCS))
     measured = measure(rows, lexicon).toPandas()
     x = np.array([features(*r) for r in measured[["weight", "matches", "words"]].itertuples(index=False)])
     if not lexicon or not len(x):

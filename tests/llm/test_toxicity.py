@@ -53,3 +53,14 @@ def test_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     rows = toxicity.score(bad, labels).collect()
     assert all(r["predicted"] == r["doc_id"] % 2 for r in rows)
+
+
+def test_rare_words_enter_the_lexicon_and_copies_do_not(spark):
+    counts = spark.createDataFrame([("", 10_000, 10_000), (" scumbag ", 0, 40), (" chance ", 0, 6), (" both ", 50, 60)],
+                                   toxicity.STEM_DOCS)
+    assert set(toxicity._lexicon(counts)) == {" scumbag "}
+    rows = [(i, f"you {'stupid' if i % 2 else 'lovely'} thing number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}")
+            for i in range(100)] + [(i, "ZEBRA, of one text.") for i in range(100, 160)]
+    labels = spark.createDataFrame([(i, 1 if i >= 100 else i % 2) for i in range(160)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(make_docs(spark, rows), labels).lexicon
+    assert any(x.startswith(" stup") for x in lexicon) and not any(x.startswith(" zebr") for x in lexicon)
