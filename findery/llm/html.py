@@ -34,6 +34,7 @@ FURNITURE_NAMES = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies "
     "reply respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar "
     "widget widgets alert contentinfo complementary search".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 NEGATIONS = frozenset("has no with without".split())
 RAW = "script|style|noscript|template|iframe|svg|math|noembed|noframes|xmp"
 
@@ -41,7 +42,7 @@ TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*|[^<>]*)>"""
     r"""|<[!?/][^<>]*>""", re.DOTALL | re.IGNORECASE)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NOT_NAME = re.compile(r"[^a-z]+")
 
 #: Scores of contexts no labelled page holds: words by their zone, tags all alike.
@@ -53,14 +54,26 @@ TAG_COST = 2.0
 FURNITURE_SHARE = 0.01
 
 
-def _named_furniture(rest: str) -> bool:
-    """Whether class, id or role name a part that is not content; "no-sidebar" and its like do not."""
+def _named_furniture(name: str, rest: str, in_article: bool) -> bool:
+    """Whether class, id or role name a part that is not content; "no-sidebar" and its like do not.
+
+    Ids of titles and paragraphs are anchors and name nothing, inside an article those of sections
+    too. Inside an article, and for the id of a section, all parts of a name must be furniture.
+    """
     for m in NAMED.finditer(rest):
+        value, is_id = (m[2] or m[3] or m[4] or "").lower(), m[1].lower() == "id"
+        if is_id and (name in TITLES or in_article and name == "section"):
+            continue
+        if in_article or is_id and name == "section":
+            parts = [[x for x in NOT_NAME.split(token) if x] for token in value.split()]
+            if any(x and FURNITURE_NAMES.issuperset(x) for x in parts):
+                return True
+            continue
         before = ""
-        for name in NOT_NAME.split((m[1] or m[2] or m[3] or "").lower()):
-            if name in FURNITURE_NAMES and before not in NEGATIONS:
+        for part in NOT_NAME.split(value):
+            if part in FURNITURE_NAMES and before not in NEGATIONS:
                 return True
-            before = name
+            before = part
     return False
 
 
@@ -69,7 +82,7 @@ def _furniture(name: str, rest: str, in_article: bool) -> bool:
         return False
     if name == "header":
         return not in_article
-    return name in FURNITURE_TAGS or (bool(rest) and _named_furniture(rest))
+    return name in FURNITURE_TAGS or (bool(rest) and _named_furniture(name, rest, in_article))
 
 
 class Walk:

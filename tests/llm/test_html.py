@@ -44,3 +44,16 @@ def test_broken_and_empty_pages(spark):
     assert got[:2] == [(1, ""), (2, "")] and got[2] == (3, "a\nb") and got[3] == (4, "no markup <at all")
     assert got[4:6] == [(5, ""), (5, "")] and len(got[6][1]) == 200_000 * 5 - 1 and got[7] == (7, "a < b\nc")
     assert html.extract(pages.where("page_id < 0")).count() == 0
+
+
+def test_anchors_and_parts_of_names_stay_in_an_article(spark, sf01):
+    page = ('<body><nav class="nav">Home</nav><article><h2 id="search-algorithms">Search algorithms</h2><p>They look for a '
+            'word in a text.</p><h2 id="how-to-share-files">How to share files</h2><p id="notice">Send them.</p>'
+            '<section id="related-work"><p>Others did so before.</p></section><div class="content-widget"><p>A table.</p>'
+            '</div><div class="social-share">Share this</div><div class="promo box">Buy now</div><p>The end of it.</p>'
+            '</article><div class="related-posts">More to read</div></body>')
+    want = ("Search algorithms\nThey look for a word in a text.\nHow to share files\nSend them.\n"
+            "Others did so before.\nA table.\nThe end of it.")
+    for scores in ({}, html.fit(table(spark, sf01, "pages"))):
+        assert html.main_text(page, scores) == want
+        assert html.main_text(page.replace("article", "main"), scores) == want
