@@ -91,3 +91,18 @@ def test_odd_tables(spark, odd_docs, no_docs, bench):
     part = " ".join(f"word{i} and" for i in range(500, 700))
     got = decontaminate.find_leaks(make_docs(spark, [(1, part), (2, "word word")]), long_item).collect()
     assert {r["doc_id"] for r in got} == {1}
+
+
+def test_short_items_are_found_as_they_are():
+    items = [(1, "Who was Ada?"), (2, "who was ada"), (3, "ada"), (4, ""), (5, "a passage of more than twenty letters")]
+    finder = decontaminate.Finder(decontaminate.build_index(items))
+    text = "So: who was  ADA, and who was Adam? Ada"
+    got = sorted((m["item_id"], text[m["start"]:m["end"]], m["edits"]) for m in finder.find(text))
+    assert got == [(1, "who was  ADA", 0), (2, "who was  ADA", 0), (3, "ADA", 0), (3, "Ada", 0)]
+    assert [m["item_id"] for m in finder.find("ada")] == [3] and finder.find("") == []
+
+
+def test_edits_allowed_are_those_stated():
+    sizes = range(20, 513)
+    edits = decontaminate.build_index([(n, "x" * n) for n in sizes]).edits
+    assert [n for n, e in zip(sizes, edits) if e != n // 10] == [*range(20, 27), *range(30, 35), *range(40, 43), 50]
