@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, quality, secrets, toxicity
+from findery.llm import (
+    decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, periodic, quality, secrets, toxicity,
+)
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
 
@@ -114,3 +116,9 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest USING (doc_id)
 """)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looped = periodic.loop_tails(table(spark, sf_dir, "documents"))
+    return periodic.run_digest(periodic.find_runs(looped))
