@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findery.llm import (
-    decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, periodic, quality, secrets, toxicity,
+    decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, periodic, pii, quality, secrets, toxicity,
 )
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
@@ -122,3 +122,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     looped = periodic.loop_tails(table(spark, sf_dir, "documents"))
     return periodic.run_digest(periodic.find_runs(looped))
+
+
+@query("op12_personal_data")
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
