@@ -121,8 +121,8 @@ class Field:
 
     def __init__(self, kinds: tuple[str, ...]):
         self.kinds, self.n = kinds, 1 + len(kinds)
-        self.names: dict[str, int] = {}
-        self.weights, self.moves = np.zeros((0, self.n)), np.zeros((self.n, self.n))
+        self.names: dict[str, int] = {"edge": 0}
+        self.weights, self.moves = np.zeros((len(BESIDE), self.n)), np.zeros((self.n, self.n))
         #: Most words of a span of each kind in the labelled table; longer spans are dropped.
         self.longest = np.zeros(len(kinds), np.int64)
 
