@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from findery.llm import (
-    decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, periodic, pii, quality, secrets, toxicity,
+    conversations, decontaminate, exact_dedup, html, jaccard, langid, line_dedup, mixing, periodic, pii, quality, secrets, toxicity,
 )
 from findery.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from findery.session import table
@@ -127,3 +127,81 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_personal_data")
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def _later(state: int, arrivals: list[tuple[int, str, str]]) -> str:
+    """Best entry of a state from (state before, cost, edit) or inserts; null ones are left out by least()."""
+    ways = [f"""CASE WHEN p{i}.c IS NOT NULL THEN {{'c': p{i}.c + {cost}, 'a': p{i}.a || '{edit}', 't': p{i}.t || {text}}} END"""
+            for i, cost, edit, text in arrivals]
+    return f"least({', '.join(ways)}) AS p{state}" if len(ways) > 1 else f"{ways[0]} AS p{state}"
+
+
+_KEEP, _RE = "role || ':' || text || chr(10)", "':' || text || chr(10)"
+# Inserted rows: a state after walks of none, one or two steps along user and assistant.
+_WALKS = {0: [(0, 0)], 1: [(1, 0)], 2: [(2, 0), (0, 1), (1, 1), (3, 1)], 3: [(3, 0), (2, 1), (0, 2), (1, 2)]}
+_INSERTED = ", ".join(_later(j, [
+    (i, 2 * n, "I" * n, "''" if n == 0 else "'user:' || chr(10) || 'assistant:' || chr(10)" if n == 2
+     else "'user:' || chr(10)" if j == 2 else "'assistant:' || chr(10)") for i, n in ways]) for j, ways in _WALKS.items())
+
+
+def _taken(j: int, role: str, before: list[int]) -> str:
+    """Entry of a state after a row: deleted, kept or given another role."""
+    name = {"s": "", "u": "user", "a": "assistant"}[role]
+    ways = [f"CASE WHEN p{j}.c IS NOT NULL THEN {{'c': p{j}.c + 3, 'a': p{j}.a || 'D', 't': p{j}.t}} END"]
+    for i in before:
+        can = f"p{i}.c IS NOT NULL AND fault NOT IN ('blank', 'duplicate')"
+        more = "(fault = 'truncated')::INT"
+        ways.append(f"CASE WHEN {can} AND initial = '{role}' THEN {{'c': p{i}.c + {more}, 'a': p{i}.a || 'K', 't': p{i}.t || {_KEEP}}} END")
+        if name:
+            ways.append(f"CASE WHEN {can} THEN {{'c': p{i}.c + 2 + {more}, 'a': p{i}.a || 'R', 't': p{i}.t || '{name}' || {_RE}}} END")
+    return f"least({', '.join(ways)}) AS p{j}"
+
+
+# CRC-32 by its table of 256 values, which the rule of its polynomial gives.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"""
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, beside a column crc_table."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)"
+    return f"""xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+
+_NOTHING = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+CONVERSATIONS_SQL = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, (crc % 20) AS k FROM (SELECT *, {_crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} AS crc FROM conversations, crc)) WHERE k <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) AS seen,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM damaged)),
+faults AS (SELECT *, left(role, 1) AS initial, CASE WHEN trimmed = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM numbered),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, max(r) AS n,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS r, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS p0, {_NOTHING} AS p1, {_NOTHING} AS p2, {_NOTHING} AS p3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, r, {_taken(0, "s", [])}, {_taken(1, "s", [0])}, {_taken(2, "u", [0, 1, 3])}, {_taken(3, "a", [2])}
+  FROM (SELECT f.conv_id, f.r, f.role, f.text, f.initial, f.fault, {_INSERTED}
+        FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.r = w.r + 1)),
+ends AS (SELECT conv_id, r, least(p0, p3) AS p FROM (SELECT conv_id, r, {_INSERTED} FROM walk))
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, p.c AS cost, p.a AS audit,
+  sha256(left(p.t, length(p.t) - 1)) AS repaired_sha256
+FROM ends e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.r = coalesce(s.n, 0)
+"""
+
+
+@query("op11_conversation_repair", sql=CONVERSATIONS_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(whole), ids=whole)
