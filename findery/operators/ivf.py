@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +16,19 @@ from findery.operators.passages import bounded
 from findery.operators.topk import (
     BROADCAST_BYTES,
     Packed,
-    pack,
+    RunningTopK,
+    Scorer,
     barred_topk,
     best_per_query,
-    keep_best,
+    block_size,
+    inner_products,
     lengths,
-    query_blocks,
-    rank_in_group,
+    list_matrix,
+    pack,
     row_blocks,
-    snap,
+    row_topk,
 )
+from findery.session import materialize
 
 DEFAULT_NPROBE = 32
 #: Neighbouring lists that share a folder, and the column that names it.
@@ -62,35 +66,28 @@ def train_coarse(sample: DataFrame, n_lists: int, iterations: int = 10, **names)
     return train_centroids(sample, n_lists, iterations, **names)
 
 
-def probe_lists(queries: Packed, centroids: Packed, nprobe: int | np.ndarray) -> dict[int, np.ndarray]:
-    """For each list, the positions of the queries whose ``nprobe`` best centroids include it.
+def probed_lists(queries: DataFrame, centroids: Packed, nprobe: int | str, query_col: str, query_vec: str,
+                 keep: list[str] | None = None) -> DataFrame:
+    """(query, list_id, ...): the ``nprobe`` best lists of every query, chosen in the tasks that read the queries.
 
-    ``nprobe`` is one number, or one per query.
+    ``nprobe`` is one number, or a column whose nulls mean the default. Centroids are broadcast: as many as were
+    trained.
     """
-    n, deepest = len(centroids.ids), int(np.max(nprobe))
-    found = []
-    for part in row_blocks(queries.rows, n):
-        rows = np.arange(part.start, part.stop)
-        near = queries.matrix[part]
-        scores = snap(near @ centroids.matrix.T, lengths(near)[:, None], lengths(centroids.matrix))
-        q, _, lists = keep_best(np.repeat(rows, n), scores.ravel(), np.tile(centroids.ids, len(rows)), deepest)
-        near = rank_in_group(q) < np.broadcast_to(nprobe, queries.rows)[q]
-        found.append((q[near], lists[near]))
-    q, lists = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(lists, kind="stable")
+    depth = F.lit(nprobe) if isinstance(nprobe, int) else F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE))
+    asked = queries.withColumn("_depth", depth.cast("long"))
+    deepest = nprobe if isinstance(nprobe, int) else asked.agg(F.max("_depth")).first()[0] or 1
+    near = row_topk(asked, query_col, query_vec, centroids, deepest, "list_id", ["_depth", *(keep or [])])
+    return near.where(F.col("rank") <= F.col("_depth")).select(query_col, "list_id", *(keep or []))
+
+
+def probes_of(queries: DataFrame, packed: Packed, centroids: Packed, nprobe: int | str, query_col: str,
+              query_vec: str) -> dict[int, np.ndarray]:
+    """For each list, the positions of the packed queries whose best centroids include it."""
+    pairs = probed_lists(queries, centroids, nprobe, query_col, query_vec).toArrow()  # a block's queries x nprobe
+    lists, at = pairs.column("list_id").to_numpy(), np.searchsorted(packed.ids, pairs.column(query_col).to_numpy())
+    order = np.lexsort((at, lists))
     names, first = np.unique(lists[order], return_index=True)
-    return {int(one): rows for one, rows in zip(names, np.split(q[order], first[1:]))}
-
-
-def nprobe_of(queries: DataFrame, packed: Packed, query_col: str, nprobe: int | str) -> int | np.ndarray:
-    """A fixed number as is; a column name as one number per packed query, null meaning the default."""
-    if isinstance(nprobe, int):
-        return nprobe
-    own = F.col(query_col).between(int(packed.ids[0]), int(packed.ids[-1]))
-    asked = queries.where(own).select(F.col(query_col).cast("long").alias("i"),
-                           F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE)).alias("n")).toArrow()
-    by_id = dict(zip(asked.column("i").to_pylist(), asked.column("n").to_pylist()))
-    return np.array([by_id[int(i)] for i in packed.ids], dtype=np.int64)
+    return {int(one): rows for one, rows in zip(names, np.split(at[order], first[1:]))}
 
 
 def build_postings(vectors: DataFrame, centroids: Packed, id_col: str = "vec_id",
@@ -151,18 +148,81 @@ def knn_ivf(
 
 def probed_topk(
     queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
-    query_vec: str, id_col: str, vec_col: str, max_bytes: int, extra_bytes: int = 0, **how,
+    query_vec: str, id_col: str, vec_col: str, max_bytes: int, extra_bytes: int = 0,
+    read: Callable[[pa.Array], np.ndarray] = list_matrix, scorer: Callable[[np.ndarray], Scorer] = inner_products,
+) -> DataFrame:
+    """Top-k of every query over the lists it probes.
+
+    One block of queries is broadcast and meets the lists where they lie. More of them meet their lists in a
+    join by list, which reads and moves the probed postings once, however many queries there are.
+    """
+    n, block = block_size(queries, query_vec, k, max_bytes, extra_bytes)
+    if n > block:
+        hits = list_join(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes,
+                         read, scorer)
+        return best_per_query(hits, k, query_col, id_col)
+    packed = pack(queries, query_col, query_vec)
+    probes = probes_of(queries, packed, centroids, nprobe, query_col, query_vec) if packed.rows else {}
+    named = [int(x) for x in probes]
+    probed = postings.where(F.col("list_id").isin(named))
+    if GROUP_COL in postings.columns:
+        probed = probed.where(F.col(GROUP_COL).isin(sorted({x // GROUP_LISTS for x in named})))
+    hits = barred_topk(probed, packed, k, id_col, vec_col, query_col, probes=probes, read=read, scorer=scorer)
+    return best_per_query(hits, k, query_col, id_col)
+
+
+def list_join(
+    queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
+    query_vec: str, id_col: str, vec_col: str, max_bytes: int, read: Callable[[pa.Array], np.ndarray],
+    scorer: Callable[[np.ndarray], Scorer],
 ) -> DataFrame:
-    """One probe per block of queries over the lists it names; ``how`` goes on to the scan."""
-    hits = []
-    for block in query_blocks(queries, query_col, query_vec, k, max_bytes, extra_bytes):
-        probes = probe_lists(block, centroids, nprobe_of(queries, block, query_col, nprobe)) if block.rows else {}
-        named = [int(x) for x in probes]
-        probed = postings.where(F.col("list_id").isin(named))
-        if GROUP_COL in postings.columns:
-            probed = probed.where(F.col(GROUP_COL).isin(sorted({x // GROUP_LISTS for x in named})))
-        hits.append(barred_topk(probed, block, k, id_col, vec_col, query_col, probes=probes, **how))
-    return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)
+    """Candidates of any number of queries: queries and postings of a list meet in cells of bounded size.
+
+    Queries find their lists in tasks. A list of many postings or many queries is cut into a grid: postings are
+    dealt over its rows by their id and queries over its columns by theirs, so a hot list becomes many cells. A
+    cell keeps the k best of each of its queries.
+    """
+    pairs = materialize(probed_lists(queries, centroids, nprobe, query_col, query_vec, [query_vec]))
+    probing = pairs.groupBy("list_id").agg(F.count("*").alias("_m"))
+    sizes = postings.groupBy("list_id").agg(F.count("*").alias("_n"))
+    width = max(1, centroids.matrix.shape[1] if centroids.matrix.size else 1)
+    most = max(1, max_bytes // (8 * width))  # rows of a cell, and queries of a cell
+    most_queries = max(1, max_bytes // (8 * width + 16 * k))
+    grid = sizes.join(probing, "list_id").select(
+        "list_id", F.ceil(F.col("_n") / most).cast("int").alias("_rows"), F.ceil(F.col("_m") / most_queries).cast("int").alias("_cols"))
+    grid = materialize(grid)
+    if GROUP_COL in postings.columns:  # folders of lists that nobody probes are not read
+        groups = grid.select(F.floor(F.col("list_id") / GROUP_LISTS).cast("int").alias("g")).distinct().collect()
+        postings = postings.where(F.col(GROUP_COL).isin([r["g"] for r in groups]))
+    grid = bounded(grid, centroids.rows)
+    asked = pairs.join(grid.select("list_id", "_rows", "_cols"), "list_id").select(
+        "list_id", F.col(query_col).alias("q"), F.col(query_vec).cast("array<double>").alias("v"),
+        F.pmod(F.xxhash64(query_col), F.col("_cols")).cast("int").alias("_col"), F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_row"))
+    held = postings.join(grid, "list_id").select(
+        "list_id", F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"),
+        F.pmod(F.xxhash64(id_col), F.col("_rows")).cast("int").alias("_row"),
+        F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("_col"))
+    names = [query_col, id_col, "score"]
+
+    def cell(asking: pa.Table, found: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        if asking.num_rows == 0 or found.num_rows == 0:
+            return empty
+        qids, qmat = asking.column("q").to_numpy(), list_matrix(asking.column("v"))
+        order = np.argsort(qids, kind="stable")
+        qids, qmat = qids[order], qmat[order]
+        running, score, everyone = RunningTopK(lengths(qmat), k), scorer(qmat), np.arange(len(qids))
+        ids, one = found.column("i").to_numpy(), int(found.column("list_id")[0].as_py())
+        vectors = read(found.column("v").combine_chunks())
+        for part in row_blocks(len(ids), len(qids)):
+            made, scale = score(one, everyone, vectors[part])
+            running.offer(everyone, made, ids[part], scale)
+        q, s, i = running.best()
+        return pa.table([pa.array(qids[q]), pa.array(i), pa.array(s)], names=names)
+
+    key = ["list_id", "_row", "_col"]
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(
+        cell, f"{query_col} long, {id_col} long, score double")
 
 
 def index_stats(postings: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Inner-product top-k between two vector tables, without emitting the pairs.
 
-* queries are read in blocks of a bounded size (usually there is one); each block is broadcast,
-  the corpus is scanned, and every task keeps a running top-k. A score bar from a few partitions
-  keeps what the tasks ship small;
+* queries are read in blocks of a bounded size (usually there is one); a block is broadcast,
+  the corpus is scanned, and every task keeps a running top-k. Many blocks share a scan: a task
+  holds a chunk of vectors while the blocks pass over it. A score bar from a few partitions keeps
+  what the tasks ship small;
 * many queries over few vectors (centroids, say) -> broadcast those and finish each query row in
   place: no shuffle at all.
 
@@ -21,17 +22,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.operators.prefix import ranked_rows
+from findery.session import materialize
 
 #: Decimals of cosines and other numbers of a fixed scale.
 SCORE_DIGITS = 9
 #: Cells of the comparison grid per unit of length, as a power of two: about nine decimals.
 GRID_BITS = 33
 BROADCAST_BYTES = 64 << 20
+#: Query vectors that one scan of the corpus serves, and vectors that a task holds while they pass.
+SCAN_BYTES, CHUNK_BYTES = 2 << 30, 64 << 20
 BAR_PARTITIONS = 16
 _SCORE_BLOCK = 1 << 22
 
@@ -105,16 +109,23 @@ def pack_if_small(
     return pack(df, id_col, vec_col) if n * (8 * dim + 8) <= max_bytes else None
 
 
+def block_size(
+    queries: DataFrame, vec_col: str, k: int, max_bytes: int = BROADCAST_BYTES, extra_bytes: int = 0,
+) -> tuple[int, int]:
+    """How many queries there are, and how many of them with k best rows and ``extra_bytes`` each fit the budget."""
+    n, dim = _measure(queries, vec_col)
+    return n, max(1, max_bytes // (8 * dim + 8 + 16 * k + extra_bytes))
+
+
 def query_blocks(
     queries: DataFrame, query_col: str, vec_col: str, k: int, max_bytes: int = BROADCAST_BYTES, extra_bytes: int = 0,
 ) -> Iterator[Packed]:
-    """The queries as arrays, in blocks whose vectors, k best rows and ``extra_bytes`` each fit the budget."""
-    n, dim = _measure(queries, vec_col)
-    block = max(1, max_bytes // (8 * dim + 8 + 16 * k + extra_bytes))
+    """The queries as arrays, in blocks that fit the budget; the driver holds one at a time."""
+    n, block = block_size(queries, vec_col, k, max_bytes, extra_bytes)
     if n <= block:
         yield pack(queries, query_col, vec_col)
         return
-    numbered = ranked_rows(queries.select(query_col, vec_col), [], [F.col(query_col)], "_n")
+    numbered = materialize(ranked_rows(queries.select(query_col, vec_col), [], [F.col(query_col)], "_n"))
     for start in range(0, n, block):
         yield pack(numbered.where(F.col("_n").between(start + 1, start + block)), query_col, vec_col)
 
@@ -262,6 +273,64 @@ def scan_topk(
     )
 
 
+def scan_blocks(
+    vectors: DataFrame, blocks: list[Broadcast], k: int, id_col: str, vec_col: str, query_col: str = "query_id",
+    bars: list[np.ndarray] | None = None, stride: int = 1,
+) -> DataFrame:
+    """Candidates of many query blocks, each a broadcast (ids, matrix), over a single scan of ``vectors``.
+
+    A task holds CHUNK_BYTES of vectors and lets one block after the other pass over them; what a block finds
+    in a chunk is put out at once, so neither the blocks nor their best rows are held together.
+    """
+    floors = vectors.sparkSession.sparkContext.broadcast(bars)  # one number per query
+
+    def found(ids: np.ndarray, mat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = lengths(mat)
+        for at, shared in enumerate(blocks):
+            qids, qmat = shared.value
+            running = RunningTopK(lengths(qmat), k, None if floors.value is None else floors.value[at])
+            everyone = np.arange(len(qids))
+            for part in row_blocks(len(ids), len(qids)):
+                running.offer(everyone, qmat @ mat[part].T, ids[part], sizes[part])
+            q, s, i = running.best()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[q]), pa.array(i), pa.array(s)], names=[query_col, id_col, "score"])
+            if getattr(shared, "_path", None):
+                vars(shared).pop("_value", None)  # read again from the executor's disk for the next chunk
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % stride:
+            return
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1))))
+            size += held[-1][1].nbytes
+            if size >= CHUNK_BYTES:
+                yield from found(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from found(*(np.concatenate(x) for x in zip(*held)))
+
+    chosen = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    return chosen.mapInArrow(run, f"{query_col} long, {id_col} long, score double")
+
+
+def scan_stride(vectors: DataFrame) -> int | None:
+    """Every how many partitions one is read for the bars; None where there are too few to need any."""
+    parts = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return None if parts is None or parts + 1 < BAR_PARTITIONS else math.isqrt(parts + 1)
+
+
+def kth_scores(some: DataFrame, ids: np.ndarray, k: int, id_col: str, query_col: str) -> np.ndarray:
+    """The k-th best score of each query among the rows found so far, minus infinity where there are fewer."""
+    found = best_per_query(some, k, query_col, id_col).where(F.col("rank") == k).select(query_col, "score").toArrow()
+    bar = np.full(len(ids), -np.inf)
+    bar[np.searchsorted(ids, found.column(query_col).to_numpy())] = found.column("score").to_numpy()
+    return bar
+
+
 def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how) -> np.ndarray | None:
     """A safe lower bound of every query's k-th best score, from about sqrt(P) of P partitions.
 
@@ -270,17 +339,43 @@ def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how)
     ships about ``sqrt(P) * k`` rows per query instead of ``P * k``. Few partitions
     need no bar.
     """
-    if queries.rows == 0:
+    stride = scan_stride(vectors) if queries.rows else None
+    if stride is None:
         return None
-    parts = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
-    if parts is None or parts + 1 < BAR_PARTITIONS:
-        return None
-    some = scan_topk(vectors, queries, k, *names, stride=math.isqrt(parts + 1), **how)
-    id_col, query_col = names[0], names[2] if len(names) > 2 else "query_id"
-    found = best_per_query(some, k, query_col, id_col).where(F.col("rank") == k).select(query_col, "score").toArrow()
-    bar = np.full(queries.rows, -np.inf)
-    bar[np.searchsorted(queries.ids, found.column(query_col).to_numpy())] = found.column("score").to_numpy()
-    return bar
+    some = scan_topk(vectors, queries, k, *names, stride=stride, **how)
+    return kth_scores(some, queries.ids, k, names[0], names[2] if len(names) > 2 else "query_id")
+
+
+def blocks_topk(
+    vectors: DataFrame, blocks: Iterator[Packed], k: int, id_col: str, vec_col: str, query_col: str,
+    scan_bytes: int = SCAN_BYTES,
+) -> list[DataFrame]:
+    """Candidates of many query blocks: as many blocks as fit ``scan_bytes`` share one scan (and one for their bars).
+
+    Blocks go to the executors' disks one by one as broadcasts of bounded size; the driver keeps ids only.
+    """
+    sc, stride, out = vectors.sparkSession.sparkContext, scan_stride(vectors), []
+
+    def scanned(shared: list[Broadcast], ids: list[np.ndarray]) -> DataFrame:
+        bars = None
+        if stride is not None:
+            every = np.concatenate(ids)  # blocks follow the order of the ids
+            some = scan_blocks(vectors, shared, k, id_col, vec_col, query_col, stride=stride)
+            whole = kth_scores(some, every, k, id_col, query_col)
+            bars = np.split(whole, np.cumsum([len(x) for x in ids])[:-1])
+        return scan_blocks(vectors, shared, k, id_col, vec_col, query_col, bars)
+
+    shared, ids, size = [], [], 0
+    for block in blocks:
+        shared.append(sc.broadcast((block.ids, block.matrix)))
+        ids.append(block.ids)
+        size += block.matrix.nbytes
+        if size >= scan_bytes:
+            out.append(scanned(shared, ids))
+            shared, ids, size = [], [], 0
+    if shared:
+        out.append(scanned(shared, ids))
+    return out
 
 
 def barred_topk(vectors: DataFrame, queries: Packed, k: int, *names: str, **how) -> DataFrame:
@@ -334,18 +429,20 @@ def knn_flat(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
+    scan_bytes: int = SCAN_BYTES,
 ) -> DataFrame:
     """Exact inner-product top-k of every query over every vector.
 
-    Beyond one block of queries a small vector table is broadcast instead; a large one is scanned
-    once per block, and what is shuffled stays in proportion to queries x k.
+    Beyond one block of queries (``max_bytes``) a small vector table is broadcast instead; over a large one many
+    blocks (``scan_bytes`` of query vectors) share a scan. What is shuffled stays in proportion to queries x k.
     """
-    blocks = query_blocks(queries, query_col, query_vec, k, max_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is not None and (small := pack_if_small(vectors, id_col, vec_col, max_bytes)) is not None:
+    n, block = block_size(queries, query_vec, k, max_bytes)
+    if n <= block:
+        hits = barred_topk(vectors, pack(queries, query_col, query_vec), k, id_col, vec_col, query_col)
+        return best_per_query(hits, k, query_col, id_col)
+    if (small := pack_if_small(vectors, id_col, vec_col, max_bytes)) is not None:
         done = row_topk(queries, query_col, query_vec, small, k, id_col)
         return done.select(query_col, "rank", id_col, "score")
-    every = [first] if second is None else [first, second, *blocks]
-    hits = [barred_topk(vectors, block, k, id_col, vec_col, query_col) for block in every]
+    hits = blocks_topk(vectors, query_blocks(queries, query_col, query_vec, k, max_bytes), k, id_col, vec_col, query_col,
+                       scan_bytes)
     return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)

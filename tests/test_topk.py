@@ -193,3 +193,62 @@ def test_stored_codes_answer_like_fresh_ones(spark, data, index, tmp_path):
     whole = pq.encode(index.postings, index.centroids, books)
     assert rows(pq.knn_ivfpq(q, ivf.read_postings(spark, path), index.centroids, back, 10, 4)) == rows(
         pq.knn_ivfpq(q, whole, index.centroids, books, 10, 4))
+
+
+def test_twenty_query_blocks_share_one_scan(spark, data, tmp_path, monkeypatch):
+    vecs, _ = data
+    rng = np.random.default_rng(3)
+    qs = rng.normal(size=(60, 16))
+    frame(spark, range(600), vecs, "vec_id", "embedding").repartition(6).write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    q = frame(spark, range(60), qs, "query_id", "query_emb")
+    monkeypatch.setattr(topk, "pack_if_small", lambda *_: None)
+    budget = 3 * (8 * 16 + 8 + 16 * 25)
+    found = topk.knn_flat(q, v, 25, max_bytes=budget)
+    assert len(list(topk.query_blocks(q, "query_id", "query_emb", 25, budget))) == 20
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert rows(found) == brute(qs, vecs, 25)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 40 * 16 * 8)  # several chunks of vectors in a task
+    assert rows(topk.knn_flat(q, v.coalesce(1), 25, max_bytes=budget)) == brute(qs, vecs, 25)
+    several = topk.knn_flat(q, v, 25, max_bytes=budget, scan_bytes=15 * 16 * 8)
+    assert several._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 4
+    assert rows(several) == brute(qs, vecs, 25)
+
+
+def test_bars_of_many_blocks(spark, data, monkeypatch):
+    vecs, _ = data
+    qs = np.random.default_rng(4).normal(size=(30, 16))
+    v = frame(spark, range(600), vecs, "vec_id", "embedding").repartition(25)
+    q = frame(spark, range(100, 130), qs, "query_id", "query_emb")
+    monkeypatch.setattr(topk, "pack_if_small", lambda *_: None)
+    found = {(a - 100, b, c) for a, b, c in rows(topk.knn_flat(q, v, 5, max_bytes=4 * (8 * 16 + 8 + 16 * 5)))}
+    assert found == brute(qs, vecs, 5)
+
+
+def test_list_join_with_hot_lists(spark, data, index, monkeypatch):
+    """Many queries meet their lists in cells; nothing about them is worked out on the driver."""
+    vecs, _ = data
+    qs = np.random.default_rng(5).normal(size=(200, 16))
+    q = frame(spark, range(200), qs, "query_id", "query_emb", n=[1, 2, 3, None] * 50)
+    own = {r["vec_id"]: r["list_id"] for r in index.postings.collect()}
+    order = np.argsort(-np.round(qs @ index.centroids.matrix.T, 9), axis=1, kind="stable")
+    allowed = {i: {v for v, one in own.items() if one in order[i, : [1, 2, 3, 32][i % 4]]} for i in range(200)}
+    monkeypatch.setattr(ivf, "probes_of", None)
+    for budget in (5_000, 30_000):  # lists of one cell and of many
+        found = ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe="n", max_bytes=budget)
+        assert rows(found) == brute(qs, vecs, 10, allowed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_list_join_prunes_stored_folders(spark, data, tmp_path):
+    vecs, _ = data
+    index = ivf.build_index(frame(spark, range(600), vecs, "vec_id", "embedding"), n_lists=130, sample_size=600, iterations=1)
+    ivf.write_postings(index.postings, str(tmp_path / "p"))
+    stored = ivf.read_postings(spark, str(tmp_path / "p"))
+    qs = np.repeat(vecs[:1], 50, axis=0)
+    q = frame(spark, range(50), qs, "query_id", "query_emb")
+    found = ivf.knn_ivf(q, stored, index.centroids, 3, nprobe=1, max_bytes=2_000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_group" in plan.replace("PartitionFilters: [isnotnull(list_group", "PartitionFilters: [list_group")
+    assert rows(found) == rows(ivf.knn_ivf(q, index.postings, index.centroids, 3, nprobe=1))
