@@ -19,6 +19,8 @@ N_SUB, N_WORDS, PQ_STEPS = 8, 128, 1
 #: Training takes one vector of so many.
 SAMPLE_PART = 2
 K = 10
+#: Depth of the deep answers, and a budget of a block that all vectors as queries exceed.
+DEEP_K, SMALL_BLOCK = 1000, 1 << 17
 
 
 # ---- tables the queries start from -------------------------------------------------
@@ -37,6 +39,11 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
     return means.select(F.col("g").alias("query_id"), F.col("mean").alias("query_emb"))
 
 
+def every_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """As many queries as vectors: the neighbour graph."""
+    return embeddings(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_emb"))
+
+
 def sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = sharded(spark, sf)
     return ivf.train_sample(rows, rows.count() // SAMPLE_PART, N_SHARDS)
@@ -61,6 +68,9 @@ topic_dims AS (
 topics AS (SELECT label::BIGINT AS query_id, list(m ORDER BY d) AS q FROM topic_dims GROUP BY label)"""
 
 
+EVERY_SQL = "topics AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings)"
+
+
 def draw_sql(seed: str, *keys: str) -> str:
     text = " || ':' || ".join(f"({k})::VARCHAR" for k in keys)
     return f"(('0x' || substr(md5('{seed}:' || {text}), 1, 8))::BIGINT)"
@@ -221,6 +231,14 @@ def knn_flat_topics(spark, sf):
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("knn_flat_deep", f"""WITH {EVERY_SQL}, {hits_sql(DEEP_K)}
+SELECT query_id, rank, vec_id, round(score, 3) AS score FROM hits""")
+def knn_flat_deep(spark, sf):
+    """Deep answers to many blocks of queries in one scan."""
+    hits = knn_flat(every_vector(spark, sf), embeddings(spark, sf), DEEP_K, max_bytes=SMALL_BLOCK)
+    return hits.withColumn("score", F.round("score", 3))
+
+
 @query("candidate_l2", f"""WITH {TOPICS_SQL}, {hits_sql(K)}
 SELECT query_id, vec_id, round(-list_distance(q, embedding::DOUBLE[]), 6) AS neg_l2
 FROM hits JOIN topics USING (query_id) JOIN embeddings USING (vec_id)""")
@@ -267,18 +285,29 @@ def ivf_assign(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("knn_ivf", f"""WITH {TOPICS_SQL}, {COARSE_SQL}, {PROBES_SQL}
+IVF_HITS_SQL = f"""{COARSE_SQL}, {PROBES_SQL}
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
     SELECT p.query_id, v.vec_id, round(list_inner_product(p.q, v.embedding::DOUBLE[]), 9) AS score
     FROM probes p JOIN owned o USING (list_id) JOIN embeddings v USING (vec_id)))
-WHERE rank <= {K}""")
+WHERE rank <= {K}"""
+
+
+@query("knn_ivf", f"WITH {TOPICS_SQL}, {IVF_HITS_SQL}")
 def knn_ivf(spark, sf):
     index = with_index(spark, sf)
     hits = ivf.knn_ivf(topics(spark, sf), index.postings, index.centroids, K, NPROBE)
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query("knn_ivf_join", f"WITH {EVERY_SQL}, {IVF_HITS_SQL}".replace("round(score, 6)", "round(score, 3)"))
+def knn_ivf_join(spark, sf):
+    """More queries than a block holds: they meet the postings in cells of a list."""
+    index = with_index(spark, sf)
+    hits = ivf.knn_ivf(every_vector(spark, sf), index.postings, index.centroids, K, NPROBE, max_bytes=SMALL_BLOCK)
+    return hits.withColumn("score", F.round("score", 3))
+
+
 @query("index_stats", f"""WITH {COARSE_SQL}
 SELECT list_id, count(*) AS list_size, (SELECT count(*) FROM owned) AS n_indexed,
   (SELECT count(*) FROM embeddings) AS n_vectors,
