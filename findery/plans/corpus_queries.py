@@ -21,7 +21,7 @@ LATE = ["src7", "src2"]
 
 
 def written_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as passage files, every 97th line cut short, read back as staged lines."""
+    """Documents as passage files, every 97th line cut short, read back as lines."""
     docs = table(spark, sf, "documents").select(
         F.concat("source", F.lit("--raw_passages_"), F.when(F.col("lang") == "en", 10).otherwise(2), F.lit("-"),
                  F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)), F.lit("-of-2.jsonl")).alias("passage_file"),
@@ -29,7 +29,7 @@ def written_corpus(spark: SparkSession, sf: str) -> DataFrame:
     cut = F.when(F.pmod("doc_id", F.lit(97)) == 5, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
     path = scratch_path(spark, "passages")
     P.write_passages(docs.select("passage_file", cut.alias("value")), path)
-    return L.stage_text(spark, path)
+    return L.scan_text(spark, path)
 
 
 LINES_SQL = """
@@ -62,26 +62,26 @@ def scan_passages(spark, sf):
 
 @query("valid_files", f"WITH {LINES_SQL} SELECT filename, valid FROM validity")
 def valid_files(spark, sf):
-    return L.file_validity(written_corpus(spark, sf))
+    return L.file_validity(L.split_table(written_corpus(spark, sf)))
 
 
 @query("valid_file_counts", f"WITH {LINES_SQL} SELECT valid, count(*) AS n_files FROM validity GROUP BY valid")
 def valid_file_counts(spark, sf):
-    return L.valid_counts(L.file_validity(written_corpus(spark, sf)))
+    return L.valid_counts(L.file_validity(L.split_table(written_corpus(spark, sf))))
 
 
 @query("corpus_index_ids", f"""WITH {CORPUS_SQL}
 SELECT index_id, filename, line_no, CASE WHEN NOT cut THEN doc_id::VARCHAR END AS passage_id FROM corpus""")
 def corpus_index_ids(spark, sf):
-    staged = written_corpus(spark, sf)
-    corpus = P.parse_passages(L.corpus_ids(staged, L.file_validity(staged), LATE))
+    lines = written_corpus(spark, sf)
+    corpus = P.parse_passages(L.corpus_ids(lines, L.split_table(lines), LATE))
     return corpus.select("index_id", "filename", "line_no", "passage_id")
 
 
 @query("line_offsets", f"WITH {CORPUS_SQL} SELECT index_id, filename, position FROM corpus")
 def line_offsets(spark, sf):
-    staged = written_corpus(spark, sf)
-    return L.line_offsets(L.corpus_ids(staged, L.file_validity(staged), LATE)).select("index_id", "filename", "position")
+    lines = written_corpus(spark, sf)
+    return L.line_offsets(L.corpus_ids(lines, L.split_table(lines), LATE)).select("index_id", "filename", "position")
 
 
 @query("scan_tsv", "SELECT doc_id::VARCHAR AS id, source AS title, text FROM documents")
@@ -139,7 +139,7 @@ def first_queries(spark, sf):
     path = scratch_path(spark, "query-file")
     turns = table(spark, sf, "conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
     turns.select(F.to_json(F.struct(F.col("text").alias("question"))).alias("value")).write.text(path)
-    staged = L.stage_text(spark, path)
+    staged = L.scan_text(spark, path)
     numbered = L.attach(staged, L.with_starts(L.split_table(staged)))
     numbered = numbered.withColumn("line_no", F.col("id_start") + F.col("seq") - F.col("first_seq"))
     return P.load_queries(numbered, FIRST_QUERIES)
@@ -162,7 +162,7 @@ def load_queries(spark, sf):
     path = scratch_path(spark, "query-file")
     turns = table(spark, sf, "conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
     turns.select(line.alias("value")).write.text(path)
-    staged = L.stage_text(spark, path)
+    staged = L.scan_text(spark, path)
     numbered = L.attach(staged, L.with_starts(L.split_table(staged)))
     return P.load_queries(numbered.withColumn("line_no", F.col("id_start") + F.col("seq") - F.col("first_seq")))
 
@@ -203,7 +203,7 @@ SELECT query_id, rank, index_id, round(score, 6) AS score, passage_id, {STRIP.fo
   text AS center_text, source, filename, position FROM hits JOIN passages ON vec_id = index_id""")
 def fetch(spark, sf):
     hits, most = topic_hits(spark, sf)
-    out = fetch_passages(hits, passages(spark, sf), max_hits=most)
+    out = fetch_passages(hits, passages(spark, sf))
     return out.select("query_id", "rank", "index_id", F.round("score", 6).alias("score"), "passage_id", "text",
                       "center_text", "source", "filename", "position")
 
@@ -227,8 +227,8 @@ JOIN passages n ON n.index_id BETWEEN c.index_id - 20 AND c.index_id + 20 AND n.
 GROUP BY h.query_id, c.index_id, c.source, c.filename, c.position""")
 def expand_within_file(spark, sf):
     """Hits with up to twenty neighbours on each side that lie in the same file."""
-    hits, most = topic_hits(spark, sf)
-    return expand_context(hits, passages(spark, sf), 20, within="filename", max_hits=most)
+    hits, _ = topic_hits(spark, sf)
+    return expand_context(hits, passages(spark, sf), 20, within="filename")
 
 
 @query("expand_requests", f"""WITH {PASSAGES_SQL},

@@ -1,10 +1,10 @@
 """Numbered lines of sharded text files.
 
-A text scan knows its file and split but not its line numbers. Lines are staged
-once as parquet together with (path, block, seq), which freezes the numbering
-whatever happens to executors later; a small table with one row per split then
-turns it into line numbers, byte offsets and corpus-wide ids. Only that small
-table is ever sorted as a whole.
+Lines come with (path, block, seq): their file, the split they begin in and their number
+in it. Text is read by planned byte ranges, whose places never change, so it can be read
+as often as needed and is never stored again. A small table with one row per split turns
+the places into line numbers, byte offsets and corpus-wide ids; only that table is ever
+sorted as a whole. Other formats are staged once as parquet, which freezes their order.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findery.session import scratch_path
+from findery.session import materialize, scratch_path
+from findery.sources.ranges import RANGE_BYTES, read_ranges, readable
 
 FILE_PATTERN = r"([^/=]+--raw_passages_\d+-\d+-of-\d+\.jsonl)"
 MAX_BROADCAST_SPLITS = 2_000_000
@@ -37,18 +38,43 @@ def stage(rows: DataFrame, out: str) -> DataFrame:
     return rows.sparkSession.read.parquet(out)
 
 
-def stage_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines below ``path``: filename, path, block, seq, value, n_bytes (line end included)."""
+def scan_text(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines below ``path``: filename, path, block, seq, offset in the path, n_bytes (line end included), value.
+
+    Nothing is stored. Only where tasks cannot open the store themselves is the text read by Spark and staged.
+    """
+    if readable(path):
+        return read_ranges(spark, path, range_bytes).withColumn("filename", logical_name(F.col("path")))
     lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
     sized = lines.select("value", (F.octet_length("value") + 1).alias("n_bytes"), "_metadata")
-    return stage(sized, scratch_path(spark, "lines"))
+    return with_offsets(stage(sized, scratch_path(spark, "lines")))
+
+
+def with_offsets(staged: DataFrame) -> DataFrame:
+    """Staged lines with ``seq`` and ``offset`` from 0 inside their split; only sizes are shuffled, never text."""
+    order = Window.partitionBy("path", "block").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    inside = staged.select("path", "block", "seq", (F.row_number().over(order) - 1).cast("long").alias("_n"),
+                           F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("offset"))
+    return staged.join(inside, ["path", "block", "seq"]).withColumn("seq", F.col("_n")).drop("_n")
 
 
-def split_table(staged: DataFrame) -> DataFrame:
-    """One row per split: first seq, number of lines and bytes."""
-    size = F.sum("n_bytes") if "n_bytes" in staged.columns else F.lit(0).cast("long")
-    return staged.groupBy("filename", "path", "block").agg(
-        F.min("seq").alias("first_seq"), F.count("*").alias("n_lines"), size.alias("split_bytes"))
+#: First lines of a file that are looked at to tell whether it is valid.
+HEAD_LINES = 3
+
+
+def split_table(lines: DataFrame) -> DataFrame:
+    """One row per split: first seq, lines, bytes, offset of its first line, and which of its first lines are no JSON.
+
+    One pass over the text; the table is stored, since numbering reads it several times.
+    """
+    text = "value" in lines.columns
+    broken = F.when(F.col("seq") < HEAD_LINES, F.struct("seq", F.try_parse_json("value").isNull().alias("broken"))) if text else None
+    return materialize(lines.groupBy("filename", "path", "block").agg(
+        F.min("seq").alias("first_seq"), F.count("*").alias("n_lines"),
+        (F.sum("n_bytes") if text else F.lit(0).cast("long")).alias("split_bytes"),
+        (F.min("offset") if text else F.lit(0).cast("long")).alias("first_offset"),
+        (F.collect_list(broken) if text else F.array()).alias("head")))
 
 
 def file_order(deprioritized: list[str]) -> list[Column]:
@@ -76,50 +102,44 @@ def with_starts(splits: DataFrame, deprioritized: list[str] | None = None) -> Da
     )
 
 
-def attach(staged: DataFrame, starts: DataFrame) -> DataFrame:
+def attach(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """Bring split starts to the lines; the split table is broadcast when its size allows."""
-    starts = starts.select("path", "block", "first_seq", "line_start", "byte_start", "id_start")
-    n_splits = staged.select("path", "block").distinct().limit(MAX_BROADCAST_SPLITS + 1).count()
-    if n_splits <= MAX_BROADCAST_SPLITS:
+    starts = materialize(starts.select("path", "block", "first_seq", "first_offset", "line_start", "byte_start", "id_start"))
+    if starts.count() <= MAX_BROADCAST_SPLITS:
         starts = F.broadcast(starts)
-    return staged.join(starts, ["path", "block"])
+    return lines.join(starts, ["path", "block"])
 
 
-def number_lines(staged: DataFrame) -> DataFrame:
-    """``line_no`` inside the file, from 0: arithmetic on the staged order, no shuffle of the text."""
-    numbered = attach(staged, with_starts(split_table(staged)))
+def number_lines(lines: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """``line_no`` inside the file, from 0: arithmetic on the places of the lines, no shuffle of the text."""
+    numbered = attach(lines, with_starts(split_table(lines) if splits is None else splits))
     return numbered.withColumn("line_no", F.col("line_start") + F.col("seq") - F.col("first_seq"))
 
 
-def file_validity(staged: DataFrame, first: int = 3) -> DataFrame:
-    """(filename, valid): false when one of the first lines is not JSON."""
-    head = number_lines(staged).where(F.col("line_no") < first)
-    broken = F.try_parse_json("value").isNull()
-    bad = head.groupBy("filename").agg(F.max(broken).alias("_bad"))
-    return bad.select("filename", (~F.col("_bad")).alias("valid"))
+def file_validity(splits: DataFrame) -> DataFrame:
+    """(filename, valid) from the split table: false when one of the first lines of a file is not JSON."""
+    heads = with_starts(splits).select("filename", "line_start", F.explode_outer("head").alias("h"))
+    bad = heads.groupBy("filename").agg(F.max(
+        (F.col("line_start") + F.col("h.seq") < HEAD_LINES) & F.col("h.broken")).alias("_bad"))
+    return bad.select("filename", (~F.coalesce("_bad", F.lit(False))).alias("valid"))
 
 
 def valid_counts(validity: DataFrame) -> DataFrame:
     return validity.groupBy("valid").agg(F.count("*").alias("n_files"))
 
 
-def corpus_ids(staged: DataFrame, validity: DataFrame, deprioritized: list[str] | None = None) -> DataFrame:
+def corpus_ids(lines: DataFrame, splits: DataFrame, deprioritized: list[str] | None = None) -> DataFrame:
     """Lines of the valid files with ``index_id`` 0..N-1 in corpus order and their ``line_no``."""
-    good = validity.where("valid").select("filename")
-    splits = split_table(staged).join(good, "filename", "left_semi")
-    numbered = attach(staged, with_starts(splits, deprioritized))
+    good = file_validity(splits).where("valid").select("filename")
+    numbered = attach(lines, with_starts(splits.join(good, "filename", "left_semi"), deprioritized))
     offset = F.col("seq") - F.col("first_seq")
     return numbered.withColumn("index_id", F.col("id_start") + offset).withColumn(
         "line_no", F.col("line_start") + offset)
 
 
 def line_offsets(numbered: DataFrame) -> DataFrame:
-    """Byte ``position`` of every line in its file.
+    """Byte ``position`` of every line in its file: the bytes of the splits before and the place in its own.
 
-    Summed inside a split, whose size the reader bounds, and shifted by the bytes
-    of the splits before. Only sizes are shuffled, never text.
+    Arithmetic on the lines where they are read; no shuffle.
     """
-    before = Window.partitionBy("path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("n_bytes").over(before), F.lit(0))
-    narrow = numbered.drop("value")
-    return narrow.withColumn("position", F.col("byte_start") + inside)
+    return numbered.drop("value").withColumn("position", F.col("byte_start") + F.col("offset") - F.col("first_offset"))

@@ -108,6 +108,38 @@ def test_expansion_edges(spark):
     assert expand_context(spark.createDataFrame([(1, 99)], "query_id long, index_id long"), corpus, 1).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_expansion_over_block_borders(spark, monkeypatch, few):
+    """Gaps, hot passages, mixed offsets and sides against a plain loop; blocks of eight ids, cells of three hits."""
+    monkeypatch.setattr(passages_module, "HALO_IDS", 8)
+    monkeypatch.setattr(passages_module, "HALO_HITS", 3)
+    if not few:
+        monkeypatch.setattr(passages_module, "_few", lambda *_: None)
+    rng = np.random.default_rng(8)
+    ids = sorted(rng.choice(120, 90, replace=False).tolist())
+    rows = [(i, None if i % 13 == 0 else "" if i % 7 == 0 else f"t{i}", ["f--a", "f--b", None][i // 40], i) for i in ids]
+    corpus = spark.createDataFrame(rows, "index_id long, text string, filename string, position long").repartition(5)
+    asked = [(q, int(rng.choice([*ids, 7, 300])) if q % 3 else ids[17], q % 4) for q in range(120)] + [(500, None, 1)]
+    hits = spark.createDataFrame(asked, "query_id long, index_id long, o int")
+
+    def plain(centre, o, within):
+        at = {r[0]: r for r in rows}
+        near = [at[i] for i in range(centre - o, centre + o + 1) if i in at and (i == centre or at[i][1])]
+        if within:
+            near = [r for r in near if r[2] is not None and r[2] == at[centre][2]]
+        return " ".join(r[1] or "" for r in near).strip()
+
+    present = set(ids)
+    for within in (None, "filename"):
+        fixed = {r["query_id"]: r["text"] for r in passages_module.expand_context(hits.drop("o"), corpus, 2, within=within).collect()}
+        assert fixed == {q: plain(i, 2, within) for q, i, _ in asked if i in present}
+        varied = passages_module.expand_context(hits, corpus, "o", within=within).collect()
+        assert {r["query_id"]: r["text"] for r in varied} == {q: plain(i, o, within) for q, i, o in asked if i in present}
+        assert all((r["original_text"] is None) == (r["o"] != 1 or dict((x[0], x[1]) for x in rows)[r["index_id"]] is None) for r in varied)
+    plan = passages_module.expand_context(hits.drop("o"), corpus, 2)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x for x in plan.split("\n")) == (1 if not few else 2)  # few: ids alone
+
+
 def test_metrics_by_hand(spark):
     run = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "x", 3), (2, "c", 1)], "query_id long, doc_id string, rank long")
     qrels = spark.createDataFrame([(1, "b", 2), (1, "z", 1), (1, "a", 0), (3, "q", 1)], "query_id long, doc_id string, rel int")

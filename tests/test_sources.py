@@ -1,5 +1,6 @@
 """Files: numbering over several splits, tolerant scans, conversion, caches, streams."""
 
+import gzip
 import json
 
 import numpy as np
@@ -10,6 +11,7 @@ from findery.operators.encode import embed_texts, embed_with_cache, hashed_words
 from findery.plans import search as S
 from findery.sources import lines as L
 from findery.sources import passages as P
+from findery.sources import ranges as R
 from findery.sources import vectors as V
 
 NAMES = ["late--raw_passages_0-0-of-1.jsonl", "b--raw_passages_10-0-of-1.jsonl", "b--raw_passages_2-0-of-1.jsonl",
@@ -32,18 +34,13 @@ def corpus(tmp_path):
 
 def test_numbering_over_many_splits(spark, corpus):
     path, written = corpus
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        staged = L.stage_text(spark, path)
-        assert staged.select("path", "block").distinct().count() > len(NAMES) * 2
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    validity = L.file_validity(staged)
+    staged = L.scan_text(spark, path, range_bytes=4096)
+    assert staged.select("path", "block").distinct().count() > len(NAMES) * 2
+    splits = L.split_table(staged)
+    validity = L.file_validity(splits)
     assert {r["filename"] for r in validity.where("NOT valid").collect()} == {NAMES[4]}
     assert {r["valid"]: r["n_files"] for r in L.valid_counts(validity).collect()} == {True: 4, False: 1}
-    numbered = L.corpus_ids(staged, validity, ["late"])
+    numbered = L.corpus_ids(staged, splits, ["late"])
     rows = P.parse_passages(numbered).join(L.line_offsets(numbered).select("index_id", "position"), "index_id")
     got = rows.orderBy("index_id").collect()
     order = [NAMES[3], NAMES[2], NAMES[1], NAMES[0]]
@@ -58,6 +55,63 @@ def test_numbering_over_many_splits(spark, corpus):
     assert [(r["index_id"], r["filename"], r["line_no"], r["position"], r["passage_id"], r["text"]) for r in got] == want
 
 
+def test_text_is_never_stored_or_shuffled_to_be_numbered(spark, corpus, monkeypatch):
+    path, _ = corpus
+    monkeypatch.setattr(L, "stage", None)
+    monkeypatch.setattr(L, "scratch_path", None)
+    lines = L.scan_text(spark, path, range_bytes=4096)
+    offsets = L.line_offsets(L.corpus_ids(lines, L.split_table(lines))).select("index_id", "position")
+    plan = offsets._jdf.queryExecution().executedPlan().toString()
+    assert "text_ranges" in plan and "Exchange hashpartitioning" not in plan
+    assert offsets.count() == 1600
+
+
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_ranges_hold_every_line_once(tmp_path, end):
+    body = "\n".join(["a", "", "bb" * 40, "", "", "é" * 9, "c"] * 7) + end
+    (tmp_path / "x.txt").write_text(body, encoding="utf-8")
+    data = body.encode()
+    want = [x for x in (body[:-1] if end else body).encode().split(b"\n")]
+    for size in (1, 2, 3, 7, 50, 1000):
+        for read in (1, 5, 64, 4096):
+            got = []
+            for r in R.planned(R.listed(str(tmp_path)), size):
+                with open(r.path, "rb") as f:
+                    for first, lines in R.lines_of(f, r.start, r.length, read):
+                        for line in lines:
+                            assert r.start <= first < r.start + r.length
+                            assert data[first: first + len(line)] == line
+                            got.append(line)
+                            first += len(line) + 1
+            assert got == want
+
+
+def test_ranges_of_odd_files(spark, tmp_path):
+    (tmp_path / "bad.txt").write_bytes(b"ok\n\xff\xfe\nend")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "_hidden.txt").write_bytes(b"no\n")
+    (tmp_path / "part").mkdir()
+    with gzip.open(tmp_path / "part" / "z.gz", "wb") as f:
+        f.write(b"one\ntwo\n")
+    rows = R.read_ranges(spark, f"file://{tmp_path}", 4).orderBy("path", "offset").collect()
+    assert [(r["path"].rsplit("/", 1)[1], r["offset"], r["n_bytes"], r["value"]) for r in rows] == [
+        ("bad.txt", 0, 3, "ok"), ("bad.txt", 3, 3, "\ufffd\ufffd"), ("bad.txt", 6, 4, "end"),
+        ("z.gz", 0, 4, "one"), ("z.gz", 4, 4, "two")]
+    (tmp_path / "none").mkdir()
+    assert R.read_ranges(spark, str(tmp_path / "none")).count() == 0
+    assert not R.readable("viewfs://store/x") and not R.readable(str(tmp_path / "missing"))
+
+
+def test_staged_lines_give_the_same_offsets(spark, corpus, monkeypatch):
+    path, _ = corpus
+    columns = ["filename", "line_no", "position", "index_id"]
+    ranged = L.scan_text(spark, path, 4096)
+    want = sorted(map(tuple, L.line_offsets(L.corpus_ids(ranged, L.split_table(ranged))).select(columns).collect()))
+    monkeypatch.setattr(L, "readable", lambda _: False)
+    staged = L.scan_text(spark, path)
+    assert sorted(map(tuple, L.line_offsets(L.corpus_ids(staged, L.split_table(staged))).select(columns).collect())) == want
+
+
 def test_tsv_with_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "p.tsv").write_text('id\ttext\ttitle\n1\t"say ""hi""\nthere"\tT\n2\t plain \t\n', encoding="utf-8")
     got = {r["id"]: (r["text"], r["title"]) for r in P.read_tsv(spark, str(tmp_path)).collect()}
@@ -79,7 +133,7 @@ def test_query_lines(spark, tmp_path):
     lines = ['{"query": "one"}', "", '{"query": "", "full_text": "two"}', '{"query": 5, "question": "x"}', "plain ",
              '{"question": "three"}', '{"query": [], "question": "four"}', '{"a": 1}', '"text"']
     (tmp_path / "q.jsonl").write_text("\n".join(lines) + "\n")
-    numbered = L.number_lines(L.stage_text(spark, str(tmp_path)))
+    numbered = L.number_lines(L.scan_text(spark, str(tmp_path)))
     got = [r["query"] for r in P.load_queries(numbered).orderBy("line_no").collect()]
     assert got == ["one", "two", '{"query": 5, "question": "x"}', "plain", "three", "four", '{"a": 1}', '"text"']
     assert P.load_queries(numbered, 3).count() == 2
