@@ -6,12 +6,15 @@ query's candidates are a bounded group; queries are what Spark spreads.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heapreplace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions.vectors import NORM_FLOOR, cosine, l2_distance
+from findery.operators.containment import first_apart
 from findery.operators.passages import bounded
 from findery.operators.topk import SCORE_DIGITS
 
@@ -31,30 +34,48 @@ def candidate_l2(candidates: DataFrame, queries: DataFrame, vectors: DataFrame,
     )
 
 
-def _cosines(pdf: pd.DataFrame, vec_col: str) -> np.ndarray:
-    mat = np.array(pdf[vec_col].tolist(), dtype=np.float64)
-    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_FLOOR)
-    return np.round(mat @ mat.T, SCORE_DIGITS)
+def _unit(vectors: pd.Series) -> np.ndarray:
+    mat = np.array(vectors.tolist(), dtype=np.float64)
+    return mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_FLOOR)
+
+
+#: Cosines of a query's candidates that a task holds at once.
+TILE_CELLS = 1 << 22
+
+
+def redundancy(mat: np.ndarray, cells: int = TILE_CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each unit row: largest cosine to another row, to an earlier row, and mean cosine; made tile by tile."""
+    n = len(mat)
+    other, earlier, mean = np.full(n, -np.inf), np.full(n, -np.inf), np.empty(n)
+    tile = max(1, cells // max(1, n))
+    for a in range(0, n, tile):
+        b = min(n, a + tile)
+        sims = np.round(mat[a:b] @ mat.T, SCORE_DIGITS)
+        mean[a:b] = sims.mean(axis=1)
+        rows = np.arange(a, b)
+        sims[rows - a, rows] = -np.inf
+        other[a:b] = sims.max(axis=1)
+        sims[np.arange(n)[None, :] > rows[:, None]] = -np.inf
+        earlier[a:b] = sims.max(axis=1)
+    return other, earlier, mean
 
 
 def pairwise_cosine(candidates: DataFrame, query_col: str = "query_id", id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """Redundancy of each candidate inside its query, from the candidate cosine matrix.
 
-    The matrix stays in the task; per row come its largest off-diagonal value, the
-    largest against better-ranked candidates, and its mean.
+    The matrix is made in tiles of bounded size and never held; per row come its largest
+    off-diagonal value, the largest against better-ranked candidates, and its mean.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
-        sims = _cosines(pdf, vec_col)
-        other = np.where(np.eye(len(pdf), dtype=bool), -np.inf, sims)
-        earlier = np.where(np.tri(len(pdf), k=-1, dtype=bool), sims, -np.inf)
-        pick = lambda m: [None if x == -np.inf else float(x) for x in m.max(axis=1)]
+        other, earlier, mean = redundancy(_unit(pdf[vec_col]))
+        pick = lambda m: [None if x == -np.inf else float(x) for x in m]
         return pd.DataFrame({
             query_col: pdf[query_col], "rank": pdf["rank"], id_col: pdf[id_col],
             "max_other": pd.Series(pick(other), dtype="Float64"),
-            "max_earlier": pd.Series(pick(earlier), dtype="Float64"), "mean_cosine": sims.mean(axis=1),
+            "max_earlier": pd.Series(pick(earlier), dtype="Float64"), "mean_cosine": mean,
         })
 
     schema = f"{query_col} long, rank long, {id_col} long, max_other double, max_earlier double, mean_cosine double"
@@ -74,6 +95,39 @@ def rerank_exact(candidates: DataFrame, query_vec: str, vec_col: str, query_col:
     return scored.withColumn(rank_col, F.row_number().over(w).cast("long"))
 
 
+def mmr_order(mat: np.ndarray, relevance: np.ndarray, weight: float, wanted: int) -> tuple[list[int], list[float], int]:
+    """Greedy picks among unit rows, their scores, and the products of rows it took.
+
+    A candidate's redundancy only grows with the picks, so a score worked out earlier is an upper bound. Candidates
+    wait in a heap by such bounds; the first one is brought up to date, and is the next pick if it stays first.
+    Scores are compared to nine decimals of the largest one possible, ties by place.
+    """
+    size = weight * np.abs(relevance).max(initial=0.0) + (1.0 - weight) or 1.0
+    rank = np.abs(relevance).max(initial=0.0) or 1.0
+    first = int(np.argmax(np.round(relevance / rank, SCORE_DIGITS))) if len(relevance) else 0
+    picks, values, products = ([first], [float(relevance[first])], 0) if wanted and len(relevance) else ([], [], 0)
+    closest, seen = np.full(len(mat), -np.inf), np.zeros(len(mat), np.int64)
+    bound = np.round((weight * relevance + (1.0 - weight)) / size, SCORE_DIGITS)  # no cosine is below -1
+    heap = [(-b, i) for i, b in enumerate(bound.tolist()) if i != first]
+    heapify(heap)
+    chosen = mat[picks[:1]] if picks else mat[:0]
+    chosen = np.concatenate((chosen, np.empty((max(0, wanted - len(chosen)), mat.shape[1])))) if picks else chosen
+    while len(picks) < wanted:
+        at = heap[0][1]
+        if seen[at] == len(picks):
+            heappop(heap)
+            chosen[len(picks)] = mat[at]
+            picks.append(at)
+            values.append(float(weight * relevance[at] - (1.0 - weight) * closest[at]))
+            continue
+        new = chosen[seen[at]: len(picks)] @ mat[at]
+        products += len(new)
+        closest[at], seen[at] = max(closest[at], new.max()), len(picks)
+        score = weight * relevance[at] - (1.0 - weight) * closest[at]
+        heapreplace(heap, (-round(score / size, SCORE_DIGITS), at))
+    return picks, values, products
+
+
 def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relevance: float | None = None,
                lambda_col: str | None = None, limit_col: str | None = None, limit: int | None = None,
                query_col: str = "query_id", id_col: str = "vec_id", rank_col: str = "rank",
@@ -83,8 +137,8 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
     The most relevant candidate first, then repeatedly the one with the largest
     ``lambda * relevance - (1 - lambda) * max cosine to those chosen``. A larger
     lambda therefore favours relevance; it is clamped to [0, 1]. Only as many
-    picks as asked for are made; the redundancy vector is updated per pick, so
-    the work is picks x candidates x dimension.
+    picks as asked for are made, and only candidates that may come next meet the
+    picks (:func:`mmr_order`).
     """
     lam = F.lit(lambda_relevance) if lambda_col is None else F.col(lambda_col)
     top = F.lit(limit) if limit_col is None else F.col(limit_col)
@@ -99,20 +153,7 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
         pdf = pdf.sort_values("_r", ignore_index=True)
         weight = min(1.0, max(0.0, float(pdf["_lam"].iat[0])))
         wanted = len(pdf) if pd.isna(pdf["_top"].iat[0]) else min(len(pdf), int(pdf["_top"].iat[0]))
-        mat = np.array(pdf["_v"].tolist(), dtype=np.float64)
-        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), NORM_FLOOR)
-        relevance_now = pdf["_rel"].to_numpy(dtype=np.float64)
-        score, closest = relevance_now.copy(), np.full(len(pdf), -np.inf)
-        open_rows = np.ones(len(pdf), dtype=bool)
-        picks, values = [], []
-        for _ in range(wanted):
-            size = np.abs(score[open_rows]).max() or 1.0  # nine decimals of the largest value still open
-            at = int(np.argmax(np.where(open_rows, np.round(score / size, SCORE_DIGITS), -np.inf)))
-            picks.append(at)
-            values.append(score[at])
-            open_rows[at] = False
-            closest = np.maximum(closest, mat @ mat[at])
-            score = weight * relevance_now - (1.0 - weight) * closest
+        picks, values, _ = mmr_order(_unit(pdf["_v"]), pdf["_rel"].to_numpy(dtype=np.float64), weight, wanted)
         return pd.DataFrame({
             query_col: pdf[query_col].to_numpy()[picks], id_col: pdf[id_col].to_numpy()[picks],
             "rank": np.arange(1, len(picks) + 1), "mmr_score": values,
@@ -126,17 +167,14 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
 
 def drop_redundant(candidates: DataFrame, text_col: str = "text", query_col: str = "query_id",
                    id_col: str = "vec_id", rank_col: str = "rank") -> DataFrame:
-    """Walk each query's candidates by rank and drop a text that contains, or lies in, one kept before."""
+    """Walk each query's candidates by rank and drop a text that contains, or lies in, one kept before.
+
+    Containment comes from an index over the texts of the query, in time that follows their length.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank_col, ignore_index=True)
-        kept: list[str] = []
-        rows: list[int] = []
-        for at, text in enumerate(pdf[text_col]):
-            if not any(text in old or old in text for old in kept):
-                kept.append(text)
-                rows.append(at)
-        return pdf.iloc[rows][[query_col, id_col, rank_col]]
+        return pdf.iloc[first_apart(pdf[text_col].tolist())][[query_col, id_col, rank_col]]
 
     chosen = candidates.select(query_col, id_col, rank_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     return chosen.groupBy(query_col).applyInPandas(one, f"{query_col} long, {id_col} long, {rank_col} long")

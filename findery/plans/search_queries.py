@@ -283,6 +283,26 @@ def rerank_mmr_topics(spark, sf):
     return out.withColumn("mmr_score", F.round("mmr_score", 6))
 
 
+@query("rerank_mmr_full", f"""WITH RECURSIVE {TOPICS_SQL}, {hits_sql(FETCH)},
+pool AS (SELECT h.query_id, h.vec_id, h.rank, h.score AS rel, v.embedding AS e FROM hits h JOIN embeddings v USING (vec_id)),
+walk AS (
+  SELECT query_id, vec_id, rank, rel, e, -2::DOUBLE AS far, 1::BIGINT AS step, rel AS mmr,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 9) DESC, rank) = 1 AS picked FROM pool
+  UNION ALL
+  SELECT query_id, vec_id, rank, rel, e, far, step, mmr,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(mmr, 9) DESC, rank) = 1 AS picked
+  FROM (SELECT *, {LAMBDA} * rel - (1 - {LAMBDA}) * far AS mmr FROM (
+    SELECT w.query_id, w.vec_id, w.rank, w.rel, w.e, w.step + 1 AS step,
+      greatest(w.far, list_cosine_similarity(w.e::DOUBLE[], p.e::DOUBLE[])) AS far
+    FROM walk w JOIN walk p ON p.query_id = w.query_id AND p.picked WHERE NOT w.picked)))
+SELECT query_id, vec_id, step AS rank, round(mmr, 3) AS mmr_score FROM walk WHERE picked""")
+def rerank_mmr_full(spark, sf):
+    """The whole order of a deep candidate set."""
+    vectors = embeddings(spark, sf)
+    near = knn_flat(topics(spark, sf), vectors, FETCH).join(vectors.select("vec_id", "embedding"), "vec_id")
+    return rerank_mmr(near, "embedding", "score", LAMBDA).withColumn("mmr_score", F.round("mmr_score", 3))
+
+
 # ---- text hits ---------------------------------------------------------------------
 
 TOP = 20

@@ -1,11 +1,17 @@
 """Prefix sums, reranking, expansion, ranks and training rules against plain Python."""
 
+import random
+import time
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from findery.operators import containment
 from findery.operators import passages as passages_module
+from findery.operators import rerank as rerank_module
 from findery.operators import prefix, ranks, training
 from findery.operators.metrics import evaluate_run, without_self
 from findery.operators.passages import expand_context
@@ -81,6 +87,82 @@ def test_mmr(spark, lam):
             assert mine == list(range(8))  # all weight on relevance keeps its order
 
 
+def test_lazy_picks_equal_the_plain_loop():
+    rng = np.random.default_rng(12)
+    for n, weight in ((1, 0.5), (40, 0.0), (40, 0.2), (40, 1.0), (300, 0.5), (300, 0.8)):
+        mat = rng.normal(size=(n, 8))
+        mat[n // 2:] = mat[: n - n // 2] + 0.01 * mat[n // 2:]  # near copies
+        mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+        relevance = np.sort(rng.random(n))[::-1].copy()
+        picks, values, products = rerank_module.mmr_order(mat, relevance, weight, n)
+        score, closest, open_rows, want = relevance.copy(), np.full(n, -np.inf), np.ones(n, bool), []
+        for _ in range(n):
+            at = int(np.argmax(np.where(open_rows, np.round(score, 9), -np.inf)))
+            want.append((at, score[at]))
+            open_rows[at] = False
+            closest = np.maximum(closest, mat @ mat[at])
+            score = weight * relevance - (1 - weight) * closest
+        assert picks == [a for a, _ in want]
+        np.testing.assert_allclose(values, [v for _, v in want], atol=1e-12)
+    few = rerank_module.mmr_order(mat, relevance, 0.8, 10)
+    assert len(few[0]) == 10 and few[2] < 10 * len(mat) / 4  # the plain loop takes picks x candidates
+    assert rerank_module.mmr_order(mat[:0], relevance[:0], 0.5, 0) == ([], [], 0)
+
+
+def test_redundancy_in_tiles():
+    mat = np.random.default_rng(2).normal(size=(57, 5))
+    mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+    whole = rerank_module.redundancy(mat)
+    sims = np.round(mat @ mat.T, 9)
+    np.testing.assert_allclose(whole[2], sims.mean(axis=1))
+    np.fill_diagonal(sims, -np.inf)
+    assert (whole[0] == sims.max(axis=1)).all()
+    assert (whole[1] == np.where(np.tri(57, k=-1, dtype=bool), sims, -np.inf).max(axis=1)).all()
+    for cells in (1, 100, 1000):
+        for a, b in zip(rerank_module.redundancy(mat, cells), whole):
+            np.testing.assert_allclose(a, b, atol=2e-9)
+
+
+def test_tiles_bound_the_memory():
+    mat = np.random.default_rng(2).normal(size=(20_000, 8))
+    mat /= np.linalg.norm(mat, axis=1, keepdims=True)
+    tracemalloc.start()
+    rerank_module.redundancy(mat)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_containment_index_equals_all_pairs():
+    rng = random.Random(4)
+    for alphabet, most in (("ab", 9), ("abc", 40), ("abcdefgh é", 120)):
+        for _ in range(60):
+            texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(most))) for _ in range(rng.randrange(1, 25))]
+            for _ in range(10):
+                outer = rng.choice(texts)
+                a, b = sorted((rng.randrange(len(outer) + 1), rng.randrange(len(outer) + 1)))
+                texts.append(outer[a:b])
+            rng.shuffle(texts)
+            named = sorted(set(texts) - {""})
+            pairs = {(i, o) for i, t in enumerate(named) for o, s in enumerate(named) if i != o and t in s}
+            assert set(containment.contained_pairs(named)) == pairs
+            kept: list[int] = []
+            for at, text in enumerate(texts):
+                if not any(text in texts[k] or texts[k] in text for k in kept):
+                    kept.append(at)
+            assert containment.first_apart(texts) == kept
+
+
+def test_containment_of_many_long_texts():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=800)) for _ in range(1000)]
+    texts[500] = texts[3][100:2000]
+    texts[700] = "x" + texts[8] + "y"
+    start = time.time()
+    kept = containment.first_apart(texts)
+    assert set(range(1000)) - set(kept) == {500, 700} and time.time() - start < 60
+
+
 def test_exact_rerank_is_stable_and_survives_nan(spark):
     df = spark.createDataFrame([
         (0, 10, 1, [float("nan"), 1.0]), (0, 11, 2, [1.0, 0.0]), (0, 12, 3, [2.0, 0.0]), (0, 13, 4, [0.0, 1.0]),
