@@ -50,6 +50,44 @@ def stream_compacted_votes(spark, sf):
     return keyed.current_state(spark, out, KEYS)
 
 
+def _in_order(events, path: str, parts: int = 4) -> None:
+    """The log as files that follow each other in time, one write for each."""
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    width = (high - low) // parts + 1
+    for n in range(parts):
+        events.where(F.floor((F.col("ts") - low) / width) == n).coalesce(1).write.mode("append").json(path)
+
+
+@query("stream_hourly_latency", f"""WITH {REQUESTS_SQL}
+SELECT ts // 3600 * 3600 AS window_start, count(*) AS n_requests, round(avg(latency), 9) AS mean_latency,
+  round(stddev_pop(latency), 9) AS std_latency FROM requests
+GROUP BY 1 HAVING window_start + 3600 <= (SELECT max(ts) - 600 FROM requests)""")
+def stream_hourly_latency(spark, sf):
+    """Hours that the watermark, ten minutes behind the newest request, has closed."""
+    log, out = scratch_path(spark, "query-log"), scratch_path(spark, "hours")
+    _in_order(query_events(requests(spark, sf)), log)
+    events = keyed.read_log(spark, log, QUERY_EVENT, files_per_batch=1)
+    keyed.store_appended(keyed.windowed_latency(events), out, scratch_path(spark, "hour-offsets")).awaitTermination()
+    return spark.read.parquet(out).withColumn("mean_latency", F.round("mean_latency", 9)).withColumn(
+        "std_latency", F.round("std_latency", 9))
+
+
+@query("stream_vote_log", f"""WITH {VOTES_SQL}
+SELECT seq, ts, query_hash, query_norm, passage_id, relevant, nprobe, exact_search, diverse_search, "lambda"
+FROM vote_events""")
+def stream_vote_log(spark, sf):
+    """Votes of a stream that sends everything twice, logged once; the second half after a restart."""
+    sent, out, offsets = (scratch_path(spark, x) for x in ("votes-sent", "votes-log", "votes-offsets"))
+    events = vote_events(spark, sf).drop("ctx_hash")
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    for half in (events.where(F.col("ts") <= middle), events.where(F.col("ts") > middle - 3600)):
+        _in_order(half.union(half), sent)
+        keyed.log_stream(keyed.read_log(spark, sent, VOTE_EVENT, files_per_batch=1), out, offsets, "seq").awaitTermination()
+    return spark.read.schema(VOTE_EVENT).json(out).select(
+        "seq", "ts", "query_hash", "query_norm", "passage_id", "relevant", "config.nprobe", "config.exact_search",
+        "config.diverse_search", "config.lambda")
+
+
 @query("stream_latency_stats", f"""WITH {REQUESTS_SQL}
 SELECT coalesce(nprobe, 0) AS nprobe, diverse_search, count(*) AS n_requests, round(avg(latency), 6) AS mean_latency,
   round(stddev_pop(latency), 6) AS std_latency FROM requests GROUP BY 1, 2""")
