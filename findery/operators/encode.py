@@ -1,20 +1,18 @@
-"""Encoder hook: texts to vectors in Arrow batches, with an optional cache table."""
+"""Encoder hook: texts to vectors in Arrow batches."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.functions.text import normalize_punctuation
-from findery.functions.vectors import is_finite, unit
+from findery.functions.vectors import unit
 
 Encoder = Callable[[list[str]], np.ndarray]
 MAX_BATCH = 128
@@ -80,36 +78,3 @@ def embed_texts(
     kind = df.schema[id_col].dataType.simpleString()
     encoded = df.select(id_col, text.alias("_text")).mapInArrow(run, f"{id_col} {kind}, {out} array<double>")
     return encoded.withColumn(out, unit(F.col(out))) if normalize else encoded
-
-
-def read_cache(spark: SparkSession, path: str, id_col: str, kind: str) -> DataFrame:
-    """The cache table as it is now (its files are listed here); an absent one is empty."""
-    try:
-        return spark.read.parquet(path).select(id_col, "embedding")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{id_col} {kind}, embedding array<double>")
-
-
-def embed_with_cache(passages: DataFrame, cache_path: str, make_encoder: Callable[[], Encoder],
-                     id_col: str = "passage_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, embedding, cached): vectors from the cache, the rest encoded and appended to it.
-
-    Vectors that are not finite are neither stored nor returned. Queries are never
-    cached: encode them with ``embed_texts``.
-    """
-    spark = passages.sparkSession
-    kind = passages.schema[id_col].dataType.simpleString()
-    cache = read_cache(spark, cache_path, id_col, kind)
-    known = cache.select(id_col).distinct()
-    misses = passages.join(known, id_col, "left_anti").dropDuplicates([id_col])
-    batch = f"{cache_path}/batch={uuid.uuid4().hex}"
-    fresh = embed_texts(misses, id_col, text_col, make_encoder, **options)
-    fresh.where(is_finite(F.col("embedding"))).write.parquet(batch)
-    # what was new is read back, so that encoding happens once
-    stored = spark.read.parquet(batch)
-    # runs that overlapped may have stored an id twice
-    hits = cache.join(passages.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    hits = hits.withColumn("cached", F.lit(True))
-    return hits.unionByName(stored.withColumn("cached", F.lit(False)))

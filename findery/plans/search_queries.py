@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from findery.functions.qa import line_has_answer, token_line
 from findery.functions.vectors import as_double
 from findery.operators import pq
-from findery.operators.encode import embed_texts, embed_with_cache, hashed_words
+from findery.operators.cache import embed_with_cache, merge_cache
+from findery.operators.encode import embed_texts, hashed_words
 from findery.operators.kmeans import group_means
 from findery.operators.metrics import hit_curve
 from findery.operators.passages import bounded
@@ -170,6 +171,20 @@ def embedding_cache(spark, sf):
     return full.select("doc_id", "cached", F.round(total, 6).alias("total"))
 
 
+@query("embedding_cache_merged", f"""WITH {DOC_VEC_SQL}
+SELECT doc_id, true AS cached, round(list_sum(e), 6) AS total FROM dvec""")
+def embedding_cache_merged(spark, sf):
+    """Four runs over parts that overlap, a merge of their batches, and a last run that finds everything stored."""
+    docs, cache = documents(spark, sf), scratch_path(spark, "cache")
+    for part in range(4):
+        some = docs.where((F.pmod("doc_id", F.lit(4)) == part) | (F.pmod("doc_id", F.lit(10)) == part))
+        embed_with_cache(some, cache, encoder, "doc_id", **ENCODE)
+    merge_cache(spark, cache, "doc_id", fanout=4)
+    full = embed_with_cache(docs, cache, encoder, "doc_id", **ENCODE)
+    total = F.aggregate(as_double(F.col("embedding")), F.lit(0.0), lambda a, x: a + x)
+    return full.select("doc_id", "cached", F.round(total, 6).alias("total"))
+
+
 @query("pool_tokens", """
 WITH t AS (SELECT vec_id // 16 AS seq_id, vec_id % 16 AS pos, label <> 3 AS used, unnest(embedding)::DOUBLE AS x,
   generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),

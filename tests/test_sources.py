@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from findery.operators.encode import embed_texts, embed_with_cache, hashed_words
+from findery.operators import cache as cache_module
+from findery.operators.cache import embed_with_cache, merge_cache
+from findery.operators.encode import embed_texts, hashed_words
 from findery.plans import search as S
 from findery.sources import lines as L
 from findery.sources import passages as P
@@ -193,6 +195,39 @@ def test_cache_encodes_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(cache).count() == 2
 
 
+def test_misses_are_found_from_ids_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "w" * (i % 9)) for i in range(1, 60)], "passage_id long, text string").repartition(4)
+    cache = str(tmp_path / "cache")
+    embed_with_cache(docs.where("passage_id < 30"), cache, Counting).count()
+    known = cache_module.read_cache(spark, cache, "passage_id", "bigint")
+    ids = cache_module.known_ids(docs, known, "passage_id")
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert moved and "text" not in "".join(moved) and "embedding" not in "".join(moved)
+    absent = ids.where("stored = 0")
+    texts = cache_module.with_ids(docs, absent, "passage_id", absent.count(), 1)
+    above = texts._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in above and "hashpartitioning" not in above
+    assert sorted(r["passage_id"] for r in texts.collect())[0] >= 1
+
+
+def test_merged_batches_hold_every_vector_once(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    for n in range(9):
+        docs = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(3 * n, 3 * n + 5)], "passage_id long, text string")
+        embed_with_cache(docs, cache, Counting).count()
+        merge_cache(spark, cache, fanout=2)
+    # an overlapping run stored ids again
+    spark.createDataFrame([(0, [1.0, 1.0])], "passage_id long, embedding array<double>").write.parquet(f"{cache}/generation=0/batch=again")
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 30 and stored.select("passage_id").distinct().count() == 29
+    assert stored.select("generation", "batch").distinct().count() <= 4
+    docs = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(30)] + [(3, "twice"), (None, "no id")], "passage_id long, text string")
+    got = embed_with_cache(docs, cache, Counting).collect()
+    assert sorted((r["passage_id"], r["cached"]) for r in got) == [(i, i < 29) for i in range(30)]
+    assert merge_cache(spark, str(tmp_path / "none")) == 0
+
+
 def test_encoder_options(spark):
     docs = spark.createDataFrame([(1, "AB"), (2, None)], "id long, text string")
     got = {r["id"]: r["embedding"] for r in embed_texts(docs, "id", "text", Counting, instruction="ask: ", lower=True, normalize=True).collect()}
