@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.draws import DRAW_RANGE, hash32
 from findery.functions.vectors import NORM_FLOOR
-from findery.operators.topk import Packed, lengths, list_matrix, row_blocks, row_topk, snap
+from findery.operators.topk import BROADCAST_BYTES, Packed, lengths, list_matrix, row_blocks, row_topk, snap
 from findery.session import materialize
 
 SUMS_SCHEMA = "g long, n long, s array<double>"
@@ -26,15 +27,18 @@ def sums_batch(groups: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.R
     )
 
 
-def fold_means(partials: DataFrame) -> DataFrame:
-    """Add up partial sums per group: (g, n, mean).
+#: Tasks whose partial sums one level of a fold brings together.
+FOLD_TASKS = 256
+
 
-    Sums travel as whole arrays; sorted by group, they are merged batch by batch
-    and only the open group is held back.
+def _folded(partials: DataFrame, means: bool, by: list[str]) -> DataFrame:
+    """Sums (or means) of the partial sums of a group that share the columns ``by``, merged batch by batch.
+
+    Sums travel as whole arrays, sorted by group; only the open group is held back.
     """
 
-    def mean(groups: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return sums_batch(groups, counts, sums / counts[:, None])
+    def out(groups: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return sums_batch(groups, counts, sums / counts[:, None] if means else sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -49,15 +53,28 @@ def fold_means(partials: DataFrame) -> DataFrame:
                 counts[0] += held[1][0]
                 sums[0] += held[2][0]
             elif held is not None:
-                yield mean(*held)
+                yield out(*held)
             if len(groups) > 1:
-                yield mean(groups[:-1], counts[:-1], sums[:-1])
+                yield out(groups[:-1], counts[:-1], sums[:-1])
             held = (groups[-1:], counts[-1:].copy(), sums[-1:].copy())
         if held is not None:
-            yield mean(*held)
+            yield out(*held)
+
+    ordered = partials.repartition(*by).sortWithinPartitions(*reversed(by))
+    return ordered.select("g", "n", "s").mapInArrow(run, SUMS_SCHEMA)
 
-    ordered = partials.repartition("g").sortWithinPartitions("g")
-    return ordered.mapInArrow(run, SUMS_SCHEMA).withColumnRenamed("s", "mean")
+
+def fold_means(partials: DataFrame, tasks: int = FOLD_TASKS) -> DataFrame:
+    """Add up partial sums per group: (g, n, mean).
+
+    Sums of more tasks than one level takes are added up in two: first those of some tasks, then what these give.
+    No task meets more than about the square root of a group's partial sums.
+    """
+    n = partials.rdd.getNumPartitions()
+    if n > tasks:
+        part = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(n) + 1))
+        partials = _folded(partials.withColumn("p", part), False, ["g", "p"])
+    return _folded(partials, True, ["g"]).withColumnRenamed("s", "mean")
 
 
 #: Bytes of group sums that a task holds back before it ships them.
@@ -118,19 +135,20 @@ def train_centroids(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     seed: str = "coarse",
-    max_bytes: int = 1 << 30,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> Packed:
     """Spherical k-means: assign by inner product, average, scale to unit length.
 
     One job per iteration. A task returns one partial sum per centroid, so what
     is shuffled depends on ``n_lists`` and the number of tasks, not on the rows.
+    Centroids beyond ``max_bytes`` are broadcast in blocks: vectors keep their best one so far
+    while the blocks pass, and tasks ship sums whenever they hold enough.
     The sample is drawn once and read from the shared folder by every pass. A centroid that loses all members keeps its last position.
     """
-    dim = vectors.select(F.max(F.size(vec_col))).first()[0] or 0
-    if n_lists * dim * 8 > max_bytes:
-        raise ValueError(f"{n_lists} centroids exceed max_bytes; raise it or lower n_lists")
     vectors = materialize(vectors.select(id_col, vec_col))
     centroids = unit_rows(start_vectors(vectors, id_col, vec_col, n_lists, seed))
+    if centroids.nbytes > max_bytes:
+        return _train_in_blocks(vectors, centroids, iterations, id_col, vec_col, max_bytes)
     sc = vectors.sparkSession.sparkContext
     for _ in range(iterations):
         shared = sc.broadcast(centroids)
@@ -161,6 +179,19 @@ def train_centroids(
     return Packed(np.arange(len(centroids), dtype=np.int64), centroids)
 
 
+def _train_in_blocks(vectors: DataFrame, centroids: np.ndarray, iterations: int, id_col: str, vec_col: str, max_bytes: int) -> Packed:
+    """Steps of k-means for centroids that no task can hold at once."""
+    for _ in range(iterations):
+        known = Packed(np.arange(len(centroids), dtype=np.int64), centroids)
+        owned = row_topk(vectors, id_col, vec_col, known, 1, "list_id", [vec_col], max_bytes)
+        got = group_means(owned, "list_id", vec_col).toArrow()
+        centroids = centroids.copy()
+        if got.num_rows:
+            centroids[got.column("g").to_numpy()] = list_matrix(got.column("mean"))
+        centroids = unit_rows(centroids)
+    return Packed(np.arange(len(centroids), dtype=np.int64), centroids)
+
+
 def packed_frame(spark, packed: Packed, id_col: str, vec_col: str) -> DataFrame:
     """A small packed table as a DataFrame again."""
     rows = pa.table({id_col: pa.array(packed.ids.astype(np.int64)), vec_col: pa.array(packed.matrix.tolist())})

@@ -391,30 +391,58 @@ def row_topk(
     k: int,
     small_id: str,
     keep: list[str] | None = None,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Each row's best k of a broadcast small table, finished inside its own task."""
+    """Each row's best k of a broadcast table, finished inside its own task.
+
+    A table beyond ``max_bytes`` is broadcast in blocks. A task then gathers a chunk of rows, which keep their best
+    so far while one block after the other passes over them.
+    """
     keep = keep or []
-    shared = rows.sparkSession.sparkContext.broadcast((small.ids, small.matrix))
+    step = len(small.ids) if small.matrix.nbytes <= max_bytes else max(1, max_bytes // max(1, small.matrix[:1].nbytes))
+    sc = rows.sparkSession.sparkContext
+    blocks = [sc.broadcast((small.ids[a: a + step], small.matrix[a: a + step])) for a in range(0, len(small.ids), max(1, step))]
+    most = min(k, len(small.ids))
     kept = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{row_id} long, " + "".join(f"{c} {kept[c]}, " for c in keep)
     schema += f"rank long, {small_id} long, score double"
 
+    def answered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        vecs = list_matrix(batch.column(1))
+        sizes = lengths(vecs)
+        parts = list(row_blocks(len(vecs), step))
+        state = [RunningTopK(sizes[part], most) for part in parts] if len(blocks) > 1 else None
+        for at, shared in enumerate(blocks):
+            ids, mat = shared.value
+            far = lengths(mat)
+            for n, part in enumerate(parts):
+                running = state[n] if state else RunningTopK(sizes[part], most)
+                running.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids, far)
+                if at == len(blocks) - 1:
+                    q, s, i = running.best()
+                    take = pa.array(q + part.start)
+                    out = [batch.column(0).take(take)]
+                    out += [batch.column(2 + c).take(take) for c in range(len(keep))]
+                    out += [pa.array(1 + rank_in_group(q)), pa.array(i), pa.array(s)]
+                    yield pa.RecordBatch.from_arrays(out, names=[row_id, *keep, "rank", small_id, "score"])
+            if len(blocks) > 1 and getattr(shared, "_path", None):
+                vars(shared).pop("_value", None)  # the next chunk reads it from the executor's disk
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mat = shared.value
-        sizes = lengths(mat)
+        held, size = [], 0
         for batch in batches:
-            if batch.num_rows == 0 or len(ids) == 0:
+            if batch.num_rows == 0 or not blocks:
+                continue
+            if len(blocks) == 1:
+                yield from answered(batch)
                 continue
-            vecs = list_matrix(batch.column(1))
-            for part in row_blocks(batch.num_rows, len(ids)):
-                running = RunningTopK(lengths(vecs[part]), min(k, len(ids)))
-                running.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids, sizes)
-                q, s, i = running.best()
-                take = pa.array(q + part.start)
-                out = [batch.column(0).take(take)]
-                out += [batch.column(2 + n).take(take) for n in range(len(keep))]
-                out += [pa.array(1 + rank_in_group(q)), pa.array(i), pa.array(s)]
-                yield pa.RecordBatch.from_arrays(out, names=[row_id, *keep, "rank", small_id, "score"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield from answered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, size = [], 0
+        if held:
+            yield from answered(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     chosen = rows.select(F.col(row_id).cast("long").alias(row_id), F.col(row_vec).alias("_v"), *keep)
     return chosen.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from findery.operators import ivf, pq, topk
+from findery.operators import ivf, kmeans, pq, topk
 from findery.operators.kmeans import group_means
 
 
@@ -252,3 +252,30 @@ def test_list_join_prunes_stored_folders(spark, data, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [list_group" in plan.replace("PartitionFilters: [isnotnull(list_group", "PartitionFilters: [list_group")
     assert rows(found) == rows(ivf.knn_ivf(q, index.postings, index.centroids, 3, nprobe=1))
+
+
+def test_centroids_in_blocks_are_the_same(spark, data):
+    vecs, _ = data
+    v = frame(spark, range(600), vecs, "vec_id", "embedding").repartition(5)
+    whole = ivf.train_coarse(v, 24, 3)
+    for size in (16 * 8, 7 * 16 * 8):  # one and seven centroids a block
+        parts = ivf.train_coarse(v, 24, 3, max_bytes=size)
+        np.testing.assert_allclose(parts.matrix, whole.matrix, atol=1e-9)
+        near = topk.row_topk(v, "vec_id", "embedding", whole, 3, "list_id", ["embedding"], max_bytes=size)
+        want = topk.row_topk(v, "vec_id", "embedding", whole, 3, "list_id", ["embedding"])
+        assert sorted(near.drop("embedding").collect()) == sorted(want.drop("embedding").collect())
+
+
+def test_folds_in_two_levels_are_the_same(spark, data, monkeypatch):
+    vecs, _ = data
+    v = frame(spark, range(600), vecs, "vec_id", "embedding", g=[i % 3 if i < 500 else 0 for i in range(600)]).repartition(20)
+    want = {r["g"]: (r["n"], r["mean"]) for r in group_means(v, "g", "embedding").collect()}
+    folds = []
+    real = kmeans._folded
+    monkeypatch.setattr(kmeans, "_folded", lambda *a: folds.append(a[1]) or real(*a))
+    monkeypatch.setattr(kmeans.fold_means, "__defaults__", (4,))
+    got = {r["g"]: (r["n"], r["mean"]) for r in group_means(v, "g", "embedding").collect()}
+    assert folds == [False, True] and got.keys() == want.keys()
+    for g in want:
+        assert got[g][0] == want[g][0]
+        np.testing.assert_allclose(got[g][1], want[g][1])
