@@ -8,7 +8,7 @@ decides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -30,6 +30,8 @@ LEAST_CHARS = 20
 #: Characters of the benchmark in one index; a larger benchmark is searched index by index.
 INDEX_CHARS = 1 << 22
 FILTER_BITS = 20
+#: Places of shared q-grams that are listed at once.
+PLACES = 1 << 20
 
 
 def _plain(c: str) -> str:
@@ -71,7 +73,7 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 class Index:
     """Pieces of benchmark items and the places of their q-grams, sorted by hash."""
 
-    items: np.ndarray
+    items: list  # ids; a null one is kept
     pieces: list[np.ndarray]
     edits: np.ndarray
     shared: np.ndarray
@@ -80,10 +82,10 @@ class Index:
     piece_of: np.ndarray
     place_of: np.ndarray
     filter: np.ndarray
-    short: list[tuple[int, str]] = field(default_factory=list)  # items searched without edits, at word edges
+    short: list[tuple[int | None, str]] = field(default_factory=list)  # items searched without edits, at word edges
 
 
-def build_index(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Index:
+def build_index(rows: list[tuple[int | None, str]], rate: float = EDIT_RATE) -> Index:
     plain, items, pieces, short = Plain(), [], [], []
     for item, text in rows:
         c, _ = plain(text)
@@ -104,14 +106,18 @@ def build_index(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> Index:
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[grams >> np.uint64(64 - FILTER_BITS)] = True
     return Index(
-        np.array(items, np.int64), pieces, edits, size - Q + 1 - Q * edits, grams,
+        items, pieces, edits, size - Q + 1 - Q * edits, grams,
         np.append(first, len(every)),
         np.repeat(np.arange(len(pieces)), [len(h) for h in hashes])[order] if pieces else np.empty(0, np.int64),
         np.concatenate([np.arange(len(h)) for h in hashes])[order] if pieces else np.empty(0, np.int64), seen, short)
 
 
-def shared_places(c: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, diagonal) of every q-gram the text shares with a piece."""
+def shared_places(c: np.ndarray, index: Index, at_once: int = PLACES) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(piece, diagonal) of every q-gram the text shares with a piece, window by window, and the window's diagonals.
+
+    A window holds all places of the bands that begin at its diagonals, low to high, and of others some; it is
+    as wide as ``at_once`` places let it be, but no narrower than a piece.
+    """
     h = gram_hashes(c)
     at = np.flatnonzero(index.filter[h >> np.uint64(64 - FILTER_BITS)])
     found = np.searchsorted(index.grams, h[at])
@@ -119,12 +125,24 @@ def shared_places(c: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     same = index.grams[found] == h[at]
     at, found = at[same], found[same]
     many = index.first[found + 1] - index.first[found]
-    place = np.repeat(index.first[found] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    return index.piece_of[place], np.repeat(at, many) - index.place_of[place]
-
-
-def bands(piece: np.ndarray, diagonal: np.ndarray, index: Index) -> list[tuple[int, int]]:
-    """(piece, half band) where this half band and the next one together reach the bound.
+    before = np.concatenate(([0], np.cumsum(many)))
+    # a band reaches over two half bands of diagonals and the length of its piece
+    reach = PIECE_CHARS + 2 * (int(index.edits.max(initial=0)) + 1)
+    low = -reach
+    while low < len(c):
+        a = int(np.searchsorted(at, low))
+        room = int(np.searchsorted(before, before[a] + at_once, "right")) - 1  # so many grams fit
+        high = max(low + reach, (int(at[room]) if room < len(at) else len(c) + reach) - reach)
+        b = int(np.searchsorted(at, high + reach))
+        n, first = many[a:b], index.first[found[a:b]]
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if len(place):
+            yield index.piece_of[place], np.repeat(at[a:b], n) - index.place_of[place], low, high
+        low = high
+
+
+def bands(piece: np.ndarray, diagonal: np.ndarray, low: int, high: int, index: Index) -> list[tuple[int, int]]:
+    """(piece, half band) where this half band and the next one together reach the bound; those from low up to high.
 
     Half bands are e + 1 diagonals wide, so any e + 1 neighbouring diagonals lie in two of them.
     """
@@ -133,10 +151,11 @@ def bands(piece: np.ndarray, diagonal: np.ndarray, index: Index) -> list[tuple[i
     with_next = count.copy()
     next_there = np.flatnonzero(key[1:] == key[:-1] + 1)
     with_next[next_there] += count[next_there + 1]
-    owner = key >> 40
-    good = with_next >= index.shared[owner]
+    owner, half = key >> 40, (key & ((1 << 40) - 1)) - (1 << 39)
+    start = half * (index.edits[owner] + 1)
+    good = (with_next >= index.shared[owner]) & (start >= low) & (start < high)
     # a band whose upper half alone reaches the bound is found again as the next one
-    return [(int(p), int(k)) for p, k in zip(owner[good], (key[good] & ((1 << 40) - 1)) - (1 << 39))]
+    return [(int(p), int(k)) for p, k in zip(owner[good], half[good])]
 
 
 def align(piece: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
@@ -172,7 +191,7 @@ class Finder:
         self.index, self.plain = index, Plain()
         self.short = ahocorasick.Automaton()
         for item, text in index.short:
-            self.short.add_word(text, (len(text) - 2, [*self.short.get(text, (0, []))[1], int(item)]))
+            self.short.add_word(text, (len(text) - 2, [*self.short.get(text, (0, []))[1], item]))
         if len(self.short):
             self.short.make_automaton()
 
@@ -186,7 +205,8 @@ class Finder:
         if len(c) < LEAST_CHARS or not self.index.pieces:
             return out
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for p, half in bands(*shared_places(c, self.index), self.index):
+        likely = (b for window in shared_places(c, self.index) for b in bands(*window, self.index))
+        for p, half in likely:
             piece, e = self.index.pieces[p], int(self.index.edits[p])
             low, high = half * (e + 1), (half + 2) * (e + 1) - 1
             # e more diagonals at both sides let the path leave the band by all its edits
@@ -200,7 +220,7 @@ class Finder:
                 continue
             back = align(piece[::-1], c[:end][::-1], -edits, edits, edits + len(piece))
             start = max(0, end - back[1])
-            out.append({"item_id": int(self.index.items[p]), "start": int(at[start]),
+            out.append({"item_id": self.index.items[p], "start": int(at[start]),
                         "end": int(at[end - 1]) + 1, "edits": edits})
         return out
 
@@ -229,8 +249,10 @@ def find_leaks(
     Case, punctuation and white space do not count; up to a tenth of a passage's other characters
     may be edited, one edit less in items of 20 to 26, 30 to 34, 40 to 42 and 50 characters. Start and
     end are code points of the document as it is. Items of fewer than LEAST_CHARS characters are found
-    without edits and at word edges only; null and empty texts hold nothing; repeated
-    documents and items give their rows each. The benchmark is read in bounded blocks, each one an
+    without edits and at word edges only. An item of more than PIECE_CHARS characters is looked for in
+    pieces of about that size, and a document that holds one of them holds the item. Null and empty texts
+    hold nothing; an item without an id is found like others, under a null id; repeated documents and
+    items give their rows each. The benchmark is read in bounded blocks, each one an
     index that all tasks share, and every block goes over all documents.
     """
     placed, blocks = _blocks(benchmark, item_col, item_text_col)

@@ -106,3 +106,38 @@ def test_edits_allowed_are_those_stated():
     sizes = range(20, 513)
     edits = decontaminate.build_index([(n, "x" * n) for n in sizes]).edits
     assert [n for n, e in zip(sizes, edits) if e != n // 10] == [*range(20, 27), *range(30, 35), *range(40, 43), 50]
+
+
+def test_items_without_an_id_are_found(spark, no_docs):
+    text = "the quick brown fox jumps over the lazy dog and then runs away into the dark wood"
+    items = spark.createDataFrame([(None, text), (7, text), (None, "short one"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {text} behind"), (2, "a short one here"), (3, "nothing")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()), key=repr)
+    assert got == [(1, 7), (1, None), (2, None)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()] == [3]
+
+
+def test_windows_find_the_same_bands():
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcde") for _ in range(draw.randrange(1, 6))) for _ in range(30)]
+    items = [(i, " ".join(draw.choices(words, k=draw.randrange(8, 160)))) for i in range(12)]
+    index = decontaminate.build_index(items)
+    text = " ".join(w for i in range(60) for w in (draw.choices(words, k=40) + items[i % 12][1].split()[: draw.randrange(1, 160)]))
+    c, _ = decontaminate.Plain()(text)
+    found = []
+    for at_once in (1, 1000, 1 << 30):
+        windows = list(decontaminate.shared_places(c, index, at_once))
+        found.append([b for w in windows for b in decontaminate.bands(*w, index)])
+        assert len(found[-1]) == len(set(found[-1]))
+    assert found[2] and set(found[0]) == set(found[1]) == set(found[2])
+
+
+def test_frequent_grams_in_a_long_text_stay_bounded():
+    draw = random.Random(8)
+    words = ["the", "and", "of", "to", "in"] + ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    weights = [40, 30, 25, 20, 15] + [1] * 60
+    index = decontaminate.build_index([(i, " ".join(draw.choices(words, weights, k=80))) for i in range(400)])
+    c, _ = decontaminate.Plain()(" ".join(draw.choices(words, weights, k=100_000)))
+    sizes = [len(w[0]) for w in decontaminate.shared_places(c, index)]
+    narrowest = max(len(w[0]) for w in decontaminate.shared_places(c, index, 1))
+    assert sum(sizes) > 4 * decontaminate.PLACES and max(sizes) <= decontaminate.PLACES + narrowest
