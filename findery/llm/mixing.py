@@ -75,7 +75,9 @@ def draw_slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, slot, source, block): which block of which source fills each slot of the output."""
     last = F.floor((F.col("slots") - 1) / F.lit(CHUNK))
     chunks = sources.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    numbered = chunks.repartition("source", "chunk").withColumn(
+    # a count of its own: few small rows would be merged into one task, which then made all slots
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = chunks.repartition(tasks, "source", "chunk").withColumn(
         "j", F.explode(F.sequence(F.col("chunk") * CHUNK,
                                   F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)))
     epoch = F.floor(F.col("j") / F.col("blocks"))

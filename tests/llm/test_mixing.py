@@ -101,3 +101,10 @@ def test_no_python_in_the_plan(odd_docs):
     for plan in (mixing.taken_words(odd_docs), mixing.mixed_text(odd_docs)):
         shape = plan._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in shape and "Arrow" not in shape and "Cartesian" not in shape and "NestedLoop" not in shape
+
+
+def test_slots_are_made_by_many_tasks(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "repeat('word ', 60) as text", "cast(id % 3 as string) as source")
+    slots = mixing.Mix(docs).slots
+    used = slots.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(used) > 2 and "REPARTITION_BY_NUM" in slots._jdf.queryExecution().executedPlan().toString()
