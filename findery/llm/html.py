@@ -34,13 +34,20 @@ FURNITURE_NAMES = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies "
     "reply respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription toolbar "
     "widget widgets alert contentinfo complementary search".split())
+#: Words that say what shape a part has, not what it holds.
+SHAPES = frozenset(
+    "area bar block box card column container group holder inner item items list outer panel row section slot unit wrap "
+    "wrapper zone".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 NEGATIONS = frozenset("has no with without".split())
 RAW = "script|style|noscript|template|iframe|svg|math|noembed|noframes|xmp"
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*|[^<>]*)>"""
+    # bounds on the attributes keep tags that never end from being read again and again
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]{{0,2048}}>.*?(?:</(?P=raw)\s*>|\Z)"""
+    # a quoted value may hold < or >, not both
+    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>[^<>"']*(?:(?:"[^"<]*"|'[^'<]*'"""
+    r"""|"[^"<>]*<[^">]{0,2048}"|'[^'<>]*<[^'>]{0,2048}')[^<>"']*){0,64}|[^<>]*)>"""
     r"""|<[!?/][^<>]*>""", re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NOT_NAME = re.compile(r"[^a-z]+")
@@ -54,18 +61,19 @@ TAG_COST = 2.0
 FURNITURE_SHARE = 0.01
 
 
-def _named_furniture(name: str, rest: str, in_article: bool) -> bool:
+def _named_furniture(name: str, rest: str, in_article: bool, strict: bool) -> bool:
     """Whether class, id or role name a part that is not content; "no-sidebar" and its like do not.
 
     Ids of titles and paragraphs are anchors and name nothing, inside an article those of sections
-    too. Inside an article, and for the id of a section, all parts of a name must be furniture.
+    too. Inside an article, for the id of a section, and when ``strict``, all parts of a name must be
+    furniture but for those that tell a shape ("ad-slot").
     """
     for m in NAMED.finditer(rest):
         value, is_id = (m[2] or m[3] or m[4] or "").lower(), m[1].lower() == "id"
         if is_id and (name in TITLES or in_article and name == "section"):
             continue
-        if in_article or is_id and name == "section":
-            parts = [[x for x in NOT_NAME.split(token) if x] for token in value.split()]
+        if strict or in_article or is_id and name == "section":
+            parts = [[x for x in NOT_NAME.split(token) if x and x not in SHAPES] for token in value.split()]
             if any(x and FURNITURE_NAMES.issuperset(x) for x in parts):
                 return True
             continue
@@ -77,19 +85,19 @@ def _named_furniture(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def _furniture(name: str, rest: str, in_article: bool) -> bool:
+def _furniture(name: str, rest: str, in_article: bool, strict: bool) -> bool:
     if name in ("html", "body", "article", "main"):
         return False
     if name == "header":
         return not in_article
-    return name in FURNITURE_TAGS or (bool(rest) and _named_furniture(name, rest, in_article))
+    return name in FURNITURE_TAGS or (bool(rest) and _named_furniture(name, rest, in_article, strict))
 
 
 class Walk:
     """The tokens of a page: (key, number of words or -1 for a tag, text or tag, furniture)."""
 
-    def __init__(self, html: str, trust_article: bool = True):
-        self.html, self.trust = html, trust_article
+    def __init__(self, html: str, trust_article: bool = True, strict: bool = False):
+        self.html, self.trust, self.strict = html, trust_article, strict
         self.has_article = trust_article and re.search(r"<(?:article|main)\b", html, re.IGNORECASE) is not None
 
     def __iter__(self) -> Iterator[tuple[str, int, str, bool]]:
@@ -113,11 +121,17 @@ class Walk:
                         if top[0] == name:
                             break
             elif name not in VOID and not m["rest"].endswith("/"):
-                if name in ("p", "li", "option") and stack and stack[-1][0] == name:
+                if name in BLOCKS and open_names["p"]:
+                    # a block ends an open paragraph, and what is open inside it
+                    inner = next((n for n, x in enumerate(reversed(stack), 1) if x[0] in BLOCKS), 0)
+                    if inner and stack[-inner][0] == "p":
+                        for _ in range(inner):
+                            open_names[stack.pop()[0]] -= 1
+                if name in ("li", "option") and stack and stack[-1][0] == name:
                     open_names[stack.pop()[0]] -= 1
-                    furniture, article, block = stack[-1][1:] if stack else (False, False, "none")
+                furniture, article, block = stack[-1][1:] if stack else (False, False, "none")
                 inside = article or (self.trust and name in ("article", "main"))
-                stack.append((name, furniture or _furniture(name, m["rest"], article), inside,
+                stack.append((name, furniture or _furniture(name, m["rest"], article, self.strict), inside,
                               name if name in BLOCKS else block))
                 open_names[name] += 1
                 yield self._tag(name, *stack[-1][1:3])
@@ -192,8 +206,15 @@ def _score(key: str, inside: int, outside: int) -> float:
 
 
 def main_text(html: str, scores: dict[str, float]) -> str:
-    """Text of the best stretch of one page, block by block; empty when no word scores."""
-    tokens = list(Walk(html))
+    """Text of the best stretch of one page, block by block; empty when no word scores.
+
+    Where no article is marked and names make most of the words furniture, a wrapper only mentions it
+    ("sidebar-right"): then names count that are furniture as a whole.
+    """
+    walk = Walk(html)
+    tokens = list(walk)
+    if not walk.has_article and 2 * sum(t[1] for t in tokens if t[3] and t[1] > 0) > sum(t[1] for t in tokens if t[1] > 0):
+        tokens = list(Walk(html, strict=True))
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for i, (key, words, _, _) in enumerate(tokens):
         if words == 0:

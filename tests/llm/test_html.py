@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 
 from findery.llm import html
@@ -57,3 +59,56 @@ def test_anchors_and_parts_of_names_stay_in_an_article(spark, sf01):
     for scores in ({}, html.fit(table(spark, sf01, "pages"))):
         assert html.main_text(page, scores) == want
         assert html.main_text(page.replace("article", "main"), scores) == want
+
+
+def test_wrappers_that_mention_furniture(spark, sf01):
+    body = "<nav>Home</nav><p>" + "The text of a page goes on. " * 12 + "</p><div class='comments'><p>So true, says a reader.</p></div>"
+    want = ("The text of a page goes on. " * 12).strip()
+    for scores in ({}, html.fit(table(spark, sf01, "pages"))):
+        for wrapper in ('<div id="wrapper" class="sidebar-right">', '<div class="layout right-sidebar">', "<div>"):
+            assert html.main_text(f"<body>{wrapper}{body}</div></body>", scores) == want
+
+
+def test_parts_of_an_article_that_are_furniture():
+    page = ('<article><p>One two three four five.</p><div class="ad-slot">Buy it</div><p>Six seven eight nine.</p>'
+            '<div class="comment-list"><p>Nice one</p></div><div class="comments-area">Me too</div>'
+            '<div id="comments-section">And me</div><p>Ten.</p></article>')
+    assert html.main_text(page, {}) == "One two three four five.\nSix seven eight nine.\nTen."
+
+
+def test_marks_in_attributes_and_open_paragraphs():
+    assert html.main_text('<p title="a<b">First of all</p><p data-x=\'c>d\'>Second one</p>', {}) == "First of all\nSecond one"
+    page = '<p>Before it all</p><p class="advert">Buy <b>now<h2>Real heading</h2><p>The text below the heading.</p>'
+    assert html.main_text(page, {}) == "Before it all\nReal heading\nThe text below the heading."
+    assert html.main_text("<ul><li>one<p>two</p><li>three</ul>", {}) == "one\ntwo\nthree"
+
+
+def test_tags_that_never_end_take_no_square_time():
+    start = time.time()
+    for unit in ("<script", '<a "', "<a '<", '<a x="', "<!--", "<p", "<b x='y<z' "):
+        html.main_text(unit * 20_000, {})
+    assert time.time() - start < 40
+
+
+def best_stretch(values):
+    """By all pairs of ends."""
+    return max([0.0] + [sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)])
+
+
+def test_stretch_equals_all_pairs():
+    draw = random.Random(3)
+    for _ in range(200):
+        parts, values = [], []
+        for n in range(draw.randrange(1, 9)):
+            tag = draw.choice(["p", "div", "b", "li"])
+            words = draw.randrange(4)
+            parts.append(f"<{tag}>" + " ".join(f"w{n}x{k}" for k in range(words)) + f"</{tag}>")
+        page = "".join(parts)
+        scores = {key: draw.choice([-1.0, -0.4, 0.3, 1.0]) for key, *_ in html.Walk(page)}
+        tokens = [(key, w, t) for key, w, t, _ in html.Walk(page) if w]
+        values = [scores[key] * (w if w > 0 else 1) for key, w, _ in tokens]
+        chosen = "".join(html.main_text(page, scores).split())  # inline tags join words
+        total = best_stretch(values)
+        stretches = [(a, b) for a in range(len(values)) for b in range(a, len(values) + 1) if abs(sum(values[a:b]) - total) < 1e-9]
+        texts = ["".join("".join(t for _, w, t in tokens[a:b] if w > 0).split()) for a, b in stretches]
+        assert chosen in texts or (not chosen and total == 0.0)
