@@ -97,8 +97,10 @@ class Model:
 
 
 def _sample(labels: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, quality) of a bounded, hash-chosen sample; an id with both labels is left out."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("long").alias("quality"))
-    usable = usable.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    usable = usable.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max("quality").alias("quality"), F.min("quality").alias("_least")).where("quality = _least").drop("_least")
     picks = [usable.where(F.col("quality") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
              for v in (0, 1)]
     return picks[0].union(picks[1])
