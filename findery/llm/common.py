@@ -178,6 +178,7 @@ class Filter:
         bits = bytearray((1 << FILTER_BITS) // 8 + 2 * _BITMAP_BYTES)
         for row in parts:  # bitmaps are numbered from 1; 0 holds the place 0 alone
             bits[row["k"] * _BITMAP_BYTES: row["k"] * _BITMAP_BYTES + len(row["bits"])] = row["bits"]
+        bits[_BITMAP_BYTES - 1] |= (bits[0] & 1) << 7  # right before place 1, so that places follow each other
         self.shared = values.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def __getstate__(self):
@@ -185,11 +186,8 @@ class Filter:
 
     def passes(self, values: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self.shared.value, np.uint8)
-        place = values.astype(np.int64) & ((1 << FILTER_BITS) - 1)
-        per = _BITMAP_BYTES * 8
-        bucket = np.where(place > 0, 1 + (place - 1) // per, 0)
-        bit = np.where(place > 0, (place - 1) % per, 0)
-        return (bits[bucket * _BITMAP_BYTES + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
+        at = (values.astype(np.int64) & ((1 << FILTER_BITS) - 1)) + (_BITMAP_BYTES * 8 - 1)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def passing(df: DataFrame, column: str, wanted: Filter) -> DataFrame:

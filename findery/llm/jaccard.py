@@ -3,11 +3,12 @@
 Sets are put in one global order, rarest shingles first, and an inverted index holds the prefix in
 which any two linked sets must meet. Two relations between sets spare work:
 
-* inside the index: a list is cut into blocks by set size, blocks of sizes that cannot link are
-  skipped, and so are entries whose position in their sets leaves too few shingles to share;
+* inside the index: a list is cut into blocks by set size, and blocks of sizes that cannot link are
+  skipped; of pairs that met, those whose positions leave too few shingles to share go unchecked;
 * between answers: a set is first compared with the leader of the lists it shares most. What is
   connected then needs no other comparison, and the known distances of two sets to one leader
-  bound the distance between both, so most of a set's answers follow from its leader's.
+  bound the distance between both: pairs that cannot link by it are ruled out. No answer is taken
+  over from a leader.
 
 Links are checked on the whole sets, made from the whole texts.
 """
@@ -112,7 +113,10 @@ def _sets(rows: DataFrame, first: Filter, counted: DataFrame) -> DataFrame:
             n = len(tokens)
             if not n:
                 return 0, None, np.empty(0, np.int64), np.empty(0, np.int64)
-            level = sum(f.passes(tokens.view(np.int64)).astype(np.uint64) for f in levels)
+            level, at = np.zeros(n, np.uint64), np.arange(n)
+            for f in levels:  # a filter's values are among those of the one before, and so are its bits
+                at = at[f.passes(tokens[at].view(np.int64))]
+                level[at] += np.uint64(1)
             placed = (level << np.uint64(56)) | (tokens & PLACE)
             length = n + 1 - -(-LEAST_PERCENT * n // 100)
             prefix = np.sort(np.partition(placed, length - 1)[:length])
