@@ -45,3 +45,8 @@ def test_odd_tables(spark, odd_docs, no_docs):
         assert quality.resample(no_docs, own).count() == 0
         assert quality.keep_drawn(odd_docs, own).columns == odd_docs.columns
     assert quality.resample(odd_docs, labels.where("doc_id = -1")).count() == odd_docs.count()
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in quality._sample(labels, "doc_id").collect()) == [(2, 1), (3, 0)]

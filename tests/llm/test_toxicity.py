@@ -64,3 +64,11 @@ def test_rare_words_enter_the_lexicon_and_copies_do_not(spark):
     labels = spark.createDataFrame([(i, 1 if i >= 100 else i % 2) for i in range(160)], "doc_id long, toxic int")
     lexicon = toxicity.fit(make_docs(spark, rows), labels).lexicon
     assert any(x.startswith(" stup") for x in lexicon) and not any(x.startswith(" zebr") for x in lexicon)
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:3]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 0), (ids[1], 1), (ids[1], 1), (ids[2], 0)], "doc_id long, toxic int")
+    got = sorted(tuple(r) for r in toxicity.labelled(docs, labels, "doc_id", "text").collect())
+    assert got == [(0, f"text {ids[2]}"), (1, f"text {ids[1]}")]
