@@ -73,7 +73,7 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 class Index:
     """Pieces of benchmark items and the places of their q-grams, sorted by hash."""
 
-    items: list  # ids; a null one is kept
+    items: np.ndarray  # ids as objects, nulls included
     pieces: list[np.ndarray]
     edits: np.ndarray
     shared: np.ndarray
@@ -106,7 +106,7 @@ def build_index(rows: list[tuple[int | None, str]], rate: float = EDIT_RATE) ->
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[grams >> np.uint64(64 - FILTER_BITS)] = True
     return Index(
-        items, pieces, edits, size - Q + 1 - Q * edits, grams,
+        np.array(items, object), pieces, edits, size - Q + 1 - Q * edits, grams,
         np.append(first, len(every)),
         np.repeat(np.arange(len(pieces)), [len(h) for h in hashes])[order] if pieces else np.empty(0, np.int64),
         np.concatenate([np.arange(len(h)) for h in hashes])[order] if pieces else np.empty(0, np.int64), seen, short)
