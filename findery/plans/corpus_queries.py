@@ -28,7 +28,7 @@ def written_corpus(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text")).alias("line"), "doc_id")
     cut = F.when(F.pmod("doc_id", F.lit(97)) == 5, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
     path = scratch_path(spark, "passages")
-    P.write_passages(docs.select("passage_file", cut.alias("value")), path)
+    P.write_passages(docs.select("passage_file", cut.alias("value"), "doc_id"), path, order_col="doc_id")
     return L.scan_text(spark, path)
 
 

@@ -25,8 +25,16 @@ def parse_passages(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_passages(passages: DataFrame, path: str, file_col: str = "passage_file") -> None:
-    """JSON lines, one folder per passage file; rows stay in the tasks that hold them."""
+def write_passages(passages: DataFrame, path: str, file_col: str = "passage_file", order_col: str | None = None) -> None:
+    """JSON lines, one folder per passage file.
+
+    With ``order_col`` the lines of a file follow it, over all part files. Else rows stay in the tasks that hold them,
+    and lines lie as the scan dealt them: a table of several files is not scanned in the order of their names.
+    """
+    if order_col is not None:
+        # a null name would make the writer sort again, by the name alone
+        named = passages.withColumn(file_col, F.coalesce(file_col, F.lit("")))
+        passages = named.repartitionByRange(file_col, order_col).sortWithinPartitions(file_col, order_col)
     passages.select(file_col, "value").write.partitionBy(file_col).text(path)
 
 

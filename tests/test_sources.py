@@ -242,3 +242,13 @@ def test_request_checks(spark):
     valid, rejected = S.split_requests(requests)
     assert valid.first()["n_docs"] == 1 and valid.first()["nprobe"] == 32 and valid.count() == 1
     assert {r["query_id"]: r["error"] for r in rejected.collect()} == {2: "missing_lambda", 3: "missing_query"}
+
+
+def test_lines_of_a_passage_file_follow_the_ids_whatever_the_scan_order(spark, tmp_path):
+    docs = spark.range(4000).repartition(7).withColumn("passage_file", F.concat(
+        F.lit("d"), F.pmod("id", F.lit(3)).cast("string"), F.lit("--raw_passages_0-0-of-1.jsonl")))
+    out = str(tmp_path / "passages")
+    P.write_passages(docs.select("passage_file", F.to_json(F.struct("id")).alias("value"), "id"), out, order_col="id")
+    lines = L.number_lines(L.scan_text(spark, out, range_bytes=2048)).select("filename", "line_no", "value").collect()
+    assert sorted((r["filename"], r["line_no"], json.loads(r["value"])["id"]) for r in lines) == sorted(
+        (f"d{i % 3}--raw_passages_0-0-of-1.jsonl", i // 3, i) for i in range(4000))
