@@ -67,7 +67,7 @@ def train_coarse(sample: DataFrame, n_lists: int, iterations: int = 10, **names)
 
 
 def probed_lists(queries: DataFrame, centroids: Packed, nprobe: int | str, query_col: str, query_vec: str,
-                 keep: list[str] | None = None) -> DataFrame:
+                 keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """(query, list_id, ...): the ``nprobe`` best lists of every query, chosen in the tasks that read the queries.
 
     ``nprobe`` is one number, or a column whose nulls mean the default. Centroids are broadcast: as many as were
@@ -76,14 +76,14 @@ def probed_lists(queries: DataFrame, centroids: Packed, nprobe: int | str, query
     depth = F.lit(nprobe) if isinstance(nprobe, int) else F.coalesce(F.col(nprobe), F.lit(DEFAULT_NPROBE))
     asked = queries.withColumn("_depth", depth.cast("long"))
     deepest = nprobe if isinstance(nprobe, int) else asked.agg(F.max("_depth")).first()[0] or 1
-    near = row_topk(asked, query_col, query_vec, centroids, deepest, "list_id", ["_depth", *(keep or [])])
+    near = row_topk(asked, query_col, query_vec, centroids, deepest, "list_id", ["_depth", *(keep or [])], digits=digits)
     return near.where(F.col("rank") <= F.col("_depth")).select(query_col, "list_id", *(keep or []))
 
 
 def probes_of(queries: DataFrame, packed: Packed, centroids: Packed, nprobe: int | str, query_col: str,
-              query_vec: str) -> dict[int, np.ndarray]:
+              query_vec: str, digits: int | None = None) -> dict[int, np.ndarray]:
     """For each list, the positions of the packed queries whose best centroids include it."""
-    pairs = probed_lists(queries, centroids, nprobe, query_col, query_vec).toArrow()  # a block's queries x nprobe
+    pairs = probed_lists(queries, centroids, nprobe, query_col, query_vec, digits=digits).toArrow()  # a block's queries x nprobe
     lists, at = pairs.column("list_id").to_numpy(), np.searchsorted(packed.ids, pairs.column(query_col).to_numpy())
     order = np.lexsort((at, lists))
     names, first = np.unique(lists[order], return_index=True)
@@ -91,15 +91,15 @@ def probes_of(queries: DataFrame, packed: Packed, centroids: Packed, nprobe: int
 
 
 def build_postings(vectors: DataFrame, centroids: Packed, id_col: str = "vec_id",
-                   vec_col: str = "embedding") -> DataFrame:
+                   vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """Every vector with its list; a map-only pass."""
-    return assign(vectors, centroids, id_col, vec_col, keep=[vec_col]).select("list_id", id_col, vec_col)
+    return assign(vectors, centroids, id_col, vec_col, keep=[vec_col], digits=digits).select("list_id", id_col, vec_col)
 
 
 def append_postings(postings: DataFrame, fresh: DataFrame, centroids: Packed, id_col: str = "vec_id",
-                    vec_col: str = "embedding") -> DataFrame:
+                    vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """Add new vectors to a trained index without touching what is there."""
-    return postings.unionByName(build_postings(fresh, centroids, id_col, vec_col))
+    return postings.unionByName(build_postings(fresh, centroids, id_col, vec_col, digits))
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -138,18 +138,21 @@ def knn_ivf(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Top-k over the ``nprobe`` best lists of each query; ``nprobe`` may name a column.
 
     Postings that are stored by list (:func:`write_postings`) are read only where a query looks.
     """
-    return probed_topk(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes)
+    return probed_topk(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes,
+                       digits=digits)
 
 
 def probed_topk(
     queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
     query_vec: str, id_col: str, vec_col: str, max_bytes: int, extra_bytes: int = 0,
     read: Callable[[pa.Array], np.ndarray] = list_matrix, scorer: Callable[[np.ndarray], Scorer] = inner_products,
+    digits: int | None = None,
 ) -> DataFrame:
     """Top-k of every query over the lists it probes.
 
@@ -159,22 +162,23 @@ def probed_topk(
     n, block = block_size(queries, query_vec, k, max_bytes, extra_bytes)
     if n > block:
         hits = list_join(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes,
-                         read, scorer)
+                         read, scorer, digits)
         return best_per_query(hits, k, query_col, id_col)
     packed = pack(queries, query_col, query_vec)
-    probes = probes_of(queries, packed, centroids, nprobe, query_col, query_vec) if packed.rows else {}
+    probes = probes_of(queries, packed, centroids, nprobe, query_col, query_vec, digits) if packed.rows else {}
     named = [int(x) for x in probes]
     probed = postings.where(F.col("list_id").isin(named))
     if GROUP_COL in postings.columns:
         probed = probed.where(F.col(GROUP_COL).isin(sorted({x // GROUP_LISTS for x in named})))
-    hits = barred_topk(probed, packed, k, id_col, vec_col, query_col, probes=probes, read=read, scorer=scorer)
+    hits = barred_topk(probed, packed, k, id_col, vec_col, query_col, probes=probes, read=read, scorer=scorer,
+                       digits=digits)
     return best_per_query(hits, k, query_col, id_col)
 
 
 def list_join(
     queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
     query_vec: str, id_col: str, vec_col: str, max_bytes: int, read: Callable[[pa.Array], np.ndarray],
-    scorer: Callable[[np.ndarray], Scorer],
+    scorer: Callable[[np.ndarray], Scorer], digits: int | None = None,
 ) -> DataFrame:
     """Candidates of any number of queries: queries and postings of a list meet in cells of bounded size.
 
@@ -182,7 +186,7 @@ def list_join(
     dealt over its rows by their id and queries over its columns by theirs, so a hot list becomes many cells. A
     cell keeps the k best of each of its queries.
     """
-    pairs = materialize(probed_lists(queries, centroids, nprobe, query_col, query_vec, [query_vec]))
+    pairs = materialize(probed_lists(queries, centroids, nprobe, query_col, query_vec, [query_vec], digits))
     probing = pairs.groupBy("list_id").agg(F.count("*").alias("_m"))
     sizes = postings.groupBy("list_id").agg(F.count("*").alias("_n"))
     width = max(1, centroids.matrix.shape[1] if centroids.matrix.size else 1)
@@ -211,7 +215,7 @@ def list_join(
         qids, qmat = asking.column("q").to_numpy(), list_matrix(asking.column("v"))
         order = np.argsort(qids, kind="stable")
         qids, qmat = qids[order], qmat[order]
-        running, score, everyone = RunningTopK(lengths(qmat), k), scorer(qmat), np.arange(len(qids))
+        running, score, everyone = RunningTopK(lengths(qmat), k, digits=digits), scorer(qmat), np.arange(len(qids))
         ids, one = found.column("i").to_numpy(), int(found.column("list_id")[0].as_py())
         vectors = read(found.column("v").combine_chunks())
         for part in row_blocks(len(ids), len(qids)):
@@ -248,9 +252,9 @@ class IvfIndex:
 
 def build_index(vectors: DataFrame, n_lists: int, sample_size: int, n_shards: int = 1,
                 shard_col: str | None = None, iterations: int = 10, id_col: str = "vec_id",
-                vec_col: str = "embedding") -> IvfIndex:
+                vec_col: str = "embedding", digits: int | None = None) -> IvfIndex:
     """Sample, train, assign."""
     base = vectors if shard_col else vectors.withColumn("shard_id", F.lit(0))
     sample = train_sample(base, sample_size, n_shards, shard_col or "shard_id", id_col)
-    centroids = train_coarse(sample, n_lists, iterations, id_col=id_col, vec_col=vec_col)
-    return IvfIndex(centroids, build_postings(vectors, centroids, id_col, vec_col))
+    centroids = train_coarse(sample, n_lists, iterations, id_col=id_col, vec_col=vec_col, digits=digits)
+    return IvfIndex(centroids, build_postings(vectors, centroids, id_col, vec_col, digits))

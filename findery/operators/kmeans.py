@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.draws import DRAW_RANGE, hash32
 from findery.functions.vectors import NORM_FLOOR
-from findery.operators.topk import BROADCAST_BYTES, Packed, lengths, list_matrix, row_blocks, row_topk, snap
+from findery.operators.topk import BROADCAST_BYTES, Packed, comparable, lengths, list_matrix, row_blocks, row_topk
 from findery.session import materialize
 
 SUMS_SCHEMA = "g long, n long, s array<double>"
@@ -136,6 +136,7 @@ def train_centroids(
     vec_col: str = "embedding",
     seed: str = "coarse",
     max_bytes: int = BROADCAST_BYTES,
+    digits: int | None = None,
 ) -> Packed:
     """Spherical k-means: assign by inner product, average, scale to unit length.
 
@@ -148,7 +149,7 @@ def train_centroids(
     vectors = materialize(vectors.select(id_col, vec_col))
     centroids = unit_rows(start_vectors(vectors, id_col, vec_col, n_lists, seed))
     if centroids.nbytes > max_bytes:
-        return _train_in_blocks(vectors, centroids, iterations, id_col, vec_col, max_bytes)
+        return _train_in_blocks(vectors, centroids, iterations, id_col, vec_col, max_bytes, digits)
     sc = vectors.sparkSession.sparkContext
     for _ in range(iterations):
         shared = sc.broadcast(centroids)
@@ -163,7 +164,7 @@ def train_centroids(
                 whole = list_matrix(batch.column(0))
                 for part in row_blocks(len(whole), len(current)):
                     mat = whole[part]
-                    owner = np.argmax(snap(mat @ current.T, lengths(mat)[:, None], sizes), axis=1)
+                    owner = np.argmax(comparable(mat @ current.T, lengths(mat)[:, None], sizes, digits), axis=1)
                     np.add.at(sums, owner, mat)
                     counts += np.bincount(owner, minlength=len(current))
             used = np.flatnonzero(counts)
@@ -179,11 +180,12 @@ def train_centroids(
     return Packed(np.arange(len(centroids), dtype=np.int64), centroids)
 
 
-def _train_in_blocks(vectors: DataFrame, centroids: np.ndarray, iterations: int, id_col: str, vec_col: str, max_bytes: int) -> Packed:
+def _train_in_blocks(vectors: DataFrame, centroids: np.ndarray, iterations: int, id_col: str, vec_col: str, max_bytes: int,
+                     digits: int | None = None) -> Packed:
     """Steps of k-means for centroids that no task can hold at once."""
     for _ in range(iterations):
         known = Packed(np.arange(len(centroids), dtype=np.int64), centroids)
-        owned = row_topk(vectors, id_col, vec_col, known, 1, "list_id", [vec_col], max_bytes)
+        owned = row_topk(vectors, id_col, vec_col, known, 1, "list_id", [vec_col], max_bytes, digits)
         got = group_means(owned, "list_id", vec_col).toArrow()
         centroids = centroids.copy()
         if got.num_rows:
@@ -199,7 +201,7 @@ def packed_frame(spark, packed: Packed, id_col: str, vec_col: str) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centroids: Packed, id_col: str = "vec_id", vec_col: str = "embedding",
-           keep: list[str] | None = None) -> DataFrame:
+           keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Best centroid of every vector by inner product; ties go to the smaller list."""
-    best = row_topk(vectors, id_col, vec_col, centroids, 1, "list_id", keep)
+    best = row_topk(vectors, id_col, vec_col, centroids, 1, "list_id", keep, digits=digits)
     return best.drop("rank")

@@ -20,9 +20,9 @@ from findery.operators.topk import (
     BROADCAST_BYTES,
     Packed,
     Scorer,
+    comparable,
     lengths,
     list_matrix,
-    snap,
 )
 from findery.session import materialize
 
@@ -67,7 +67,7 @@ def _residuals(mat: np.ndarray, lists: np.ndarray, centroids: Packed) -> np.ndar
     return mat - centroids.matrix[np.searchsorted(centroids.ids, lists)]
 
 
-def nearest_codes(residuals: np.ndarray, words: np.ndarray) -> np.ndarray:
+def nearest_codes(residuals: np.ndarray, words: np.ndarray, digits: int | None = None) -> np.ndarray:
     """Index of the nearest codeword per row and sub-space; ties go to the smaller code."""
     m, _, d = words.shape
     codes = np.empty((len(residuals), m), np.int64)
@@ -75,13 +75,14 @@ def nearest_codes(residuals: np.ndarray, words: np.ndarray) -> np.ndarray:
         part = residuals[:, s * d:(s + 1) * d]
         far = (words[s] ** 2).sum(axis=1)
         gap = far[None, :] - 2.0 * part @ words[s].T
-        codes[:, s] = np.argmin(snap(gap, (part ** 2).sum(axis=1)[:, None] + far.max()), axis=1)
+        codes[:, s] = np.argmin(comparable(gap, (part ** 2).sum(axis=1)[:, None] + far.max(), digits=digits), axis=1)
     return codes
 
 
 def train_codebooks(
     postings: DataFrame, centroids: Packed, m: int, n_words: int, iterations: int = 10,
     id_col: str = "vec_id", vec_col: str = "embedding", seed: str = "codes",
+    digits: int | None = None,
 ) -> Codebooks:
     """Per sub-space Euclidean k-means over residuals; all sub-spaces share each pass.
 
@@ -110,7 +111,7 @@ def train_codebooks(
                     continue
                 lists = batch.column(0).to_numpy(zero_copy_only=False)
                 rest = _residuals(list_matrix(batch.column(1)), lists, known)
-                codes = nearest_codes(rest, now)
+                codes = nearest_codes(rest, now, digits)
                 for s in range(now.shape[0]):
                     np.add.at(sums[s], codes[:, s], rest[:, s * dim:(s + 1) * dim])
                     counts[s] += np.bincount(codes[:, s], minlength=now.shape[1])
@@ -150,7 +151,7 @@ def residual_table(postings: DataFrame, centroids: Packed, id_col: str = "vec_id
 
 
 def encode(postings: DataFrame, centroids: Packed, books: Codebooks, id_col: str = "vec_id",
-           vec_col: str = "embedding") -> DataFrame:
+           vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """(list_id, id, code): a map-only pass with both small tables broadcast."""
     shared = postings.sparkSession.sparkContext.broadcast((centroids.ids, centroids.matrix, books.words))
 
@@ -161,7 +162,7 @@ def encode(postings: DataFrame, centroids: Packed, books: Codebooks, id_col: str
             if batch.num_rows == 0:
                 continue
             lists = batch.column(0).to_numpy(zero_copy_only=False)
-            codes = nearest_codes(_residuals(list_matrix(batch.column(2)), lists, known), words)
+            codes = nearest_codes(_residuals(list_matrix(batch.column(2)), lists, known), words, digits)
             offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
             body = pa.py_buffer(codes.astype(np.uint8).tobytes())
             packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), body])
@@ -200,6 +201,7 @@ def knn_ivfpq(
     nprobe: int | str = DEFAULT_NPROBE,
     query_col: str = "query_id", query_vec: str = "query_emb", id_col: str = "vec_id",
     max_bytes: int = BROADCAST_BYTES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Top-k by table lookup over the probed lists.
 
@@ -223,11 +225,12 @@ def knn_ivfpq(
         return score
 
     return probed_topk(queries, codes, centroids, k, nprobe, query_col, query_vec, id_col, "code", max_bytes,
-                       extra_bytes=books.words.shape[0] * books.words.shape[1] * 8, read=byte_matrix, scorer=scorer)
+                       extra_bytes=books.words.shape[0] * books.words.shape[1] * 8, read=byte_matrix, scorer=scorer,
+                       digits=digits)
 
 
 def append_codes(codes: DataFrame, fresh: DataFrame, centroids: Packed, books: Codebooks, id_col: str = "vec_id",
-                 vec_col: str = "embedding") -> DataFrame:
+                 vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """Add new vectors to a coded index without touching what is there."""
-    coded = encode(build_postings(fresh, centroids, id_col, vec_col), centroids, books, id_col, vec_col)
+    coded = encode(build_postings(fresh, centroids, id_col, vec_col, digits), centroids, books, id_col, vec_col, digits)
     return codes.select("list_id", id_col, "code").unionByName(coded)

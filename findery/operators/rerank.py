@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from findery.functions.vectors import NORM_FLOOR, cosine, l2_distance
 from findery.operators.containment import first_apart
 from findery.operators.passages import bounded
-from findery.operators.topk import SCORE_DIGITS
+from findery.operators.topk import SCORE_DIGITS, rounded
 
 
 def candidate_l2(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, query_col: str = "query_id",
@@ -95,19 +95,23 @@ def rerank_exact(candidates: DataFrame, query_vec: str, vec_col: str, query_col:
     return scored.withColumn(rank_col, F.row_number().over(w).cast("long"))
 
 
-def mmr_order(mat: np.ndarray, relevance: np.ndarray, weight: float, wanted: int) -> tuple[list[int], list[float], int]:
+def mmr_order(mat: np.ndarray, relevance: np.ndarray, weight: float, wanted: int,
+              digits: int | None = None) -> tuple[list[int], list[float], int]:
     """Greedy picks among unit rows, their scores, and the products of rows it took.
 
     A candidate's redundancy only grows with the picks, so a score worked out earlier is an upper bound. Candidates
     wait in a heap by such bounds; the first one is brought up to date, and is the next pick if it stays first.
-    Scores are compared to nine decimals of the largest one possible, ties by place.
+    Scores are compared to nine decimals of the largest one possible, or to ``digits`` decimals, ties by place.
     """
+    def shown(x, unit):
+        return np.round(x / unit, SCORE_DIGITS) if digits is None else rounded(x, digits)
+
     size = weight * np.abs(relevance).max(initial=0.0) + (1.0 - weight) or 1.0
     rank = np.abs(relevance).max(initial=0.0) or 1.0
-    first = int(np.argmax(np.round(relevance / rank, SCORE_DIGITS))) if len(relevance) else 0
+    first = int(np.argmax(shown(relevance, rank))) if len(relevance) else 0
     picks, values, products = ([first], [float(relevance[first])], 0) if wanted and len(relevance) else ([], [], 0)
     closest, seen = np.full(len(mat), -np.inf), np.zeros(len(mat), np.int64)
-    bound = np.round((weight * relevance + (1.0 - weight)) / size, SCORE_DIGITS)  # no cosine is below -1
+    bound = shown(weight * relevance + (1.0 - weight), size)  # no cosine is below -1
     heap = [(-b, i) for i, b in enumerate(bound.tolist()) if i != first]
     heapify(heap)
     chosen = mat[picks[:1]] if picks else mat[:0]
@@ -124,14 +128,14 @@ def mmr_order(mat: np.ndarray, relevance: np.ndarray, weight: float, wanted: int
         products += len(new)
         closest[at], seen[at] = max(closest[at], new.max()), len(picks)
         score = weight * relevance[at] - (1.0 - weight) * closest[at]
-        heapreplace(heap, (-round(score / size, SCORE_DIGITS), at))
+        heapreplace(heap, (-float(shown(score, size)), at))
     return picks, values, products
 
 
 def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relevance: float | None = None,
                lambda_col: str | None = None, limit_col: str | None = None, limit: int | None = None,
                query_col: str = "query_id", id_col: str = "vec_id", rank_col: str = "rank",
-               keep: list[str] | None = None) -> DataFrame:
+               keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Maximal marginal relevance: (query, id, rank, mmr_score) and the ``keep`` columns.
 
     The most relevant candidate first, then repeatedly the one with the largest
@@ -153,7 +157,8 @@ def rerank_mmr(candidates: DataFrame, vec_col: str, relevance: str, lambda_relev
         pdf = pdf.sort_values("_r", ignore_index=True)
         weight = min(1.0, max(0.0, float(pdf["_lam"].iat[0])))
         wanted = len(pdf) if pd.isna(pdf["_top"].iat[0]) else min(len(pdf), int(pdf["_top"].iat[0]))
-        picks, values, _ = mmr_order(_unit(pdf["_v"]), pdf["_rel"].to_numpy(dtype=np.float64), weight, wanted)
+        picks, values, _ = mmr_order(_unit(pdf["_v"]), pdf["_rel"].to_numpy(dtype=np.float64), weight, wanted,
+                                     digits)
         return pd.DataFrame({
             query_col: pdf[query_col].to_numpy()[picks], id_col: pdf[id_col].to_numpy()[picks],
             "rank": np.arange(1, len(picks) + 1), "mmr_score": values,

@@ -10,7 +10,8 @@
 A probe list restricts which vectors a query may see (``list_id``), which makes the same code
 serve the flat and the inverted-list searches. Scores are compared on a grid that follows the
 lengths of both vectors: equal vectors tie exactly, however the rows were batched, the smaller id
-then wins, and short vectors are told apart as well as long ones.
+then wins, and short vectors are told apart as well as long ones. With ``digits`` scores are rounded to
+that many decimals instead, whatever the lengths, which is what SQL's ``round`` compares.
 """
 
 from __future__ import annotations
@@ -51,6 +52,17 @@ def snap(x: np.ndarray, scale: np.ndarray, other: np.ndarray | float = 1.0) -> n
     return np.rint(x * up * more) / up / more
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Values with ``digits`` decimals, halves away from zero as in SQL."""
+    scaled = np.asarray(x, dtype=np.float64) * 10.0 ** digits
+    return np.trunc(scaled + np.copysign(0.5, scaled)) / 10.0 ** digits
+
+
+def comparable(x: np.ndarray, scale: np.ndarray, other: np.ndarray | float = 1.0, digits: int | None = None) -> np.ndarray:
+    """Values as they are compared: with ``digits`` decimals, or on the grid of their lengths."""
+    return snap(x, scale, other) if digits is None else rounded(x, digits)
+
+
 def lengths(mat: np.ndarray) -> np.ndarray:
     return np.sqrt((mat * mat).sum(axis=1))
 
@@ -151,9 +163,9 @@ class RunningTopK:
     bars, then one partial selection per query merges the rest in.
     """
 
-    def __init__(self, query_lengths: np.ndarray, k: int, bar: np.ndarray | None = None):
+    def __init__(self, query_lengths: np.ndarray, k: int, bar: np.ndarray | None = None, digits: int | None = None):
         n = len(query_lengths)
-        self.k, self.lengths = k, query_lengths
+        self.k, self.lengths, self.digits = k, query_lengths, digits
         self.bar = np.full(n, -np.inf) if bar is None else bar.copy()
         self.scores = np.full((n, k), -np.inf)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
@@ -162,11 +174,11 @@ class RunningTopK:
         """Add a block: ``scores[r, j]`` is query ``rows[r]`` against ``ids[j]``, a vector as long as ``scale[j]``."""
         if scores.size == 0:
             return
-        near = self.lengths[rows] * (scale.max() * 2.0 ** (3 - GRID_BITS))
+        near = self.lengths[rows] * (scale.max() * 2.0 ** (3 - GRID_BITS)) if self.digits is None else 10.0 ** -self.digits
         r, j = np.nonzero(scores >= (self.bar[rows] - near)[:, None])
         if not len(r):
             return
-        value = snap(scores[r, j], self.lengths[rows][r], scale[j])
+        value = comparable(scores[r, j], self.lengths[rows][r], scale[j], self.digits)
         value[~(value >= self.bar[rows][r])] = -np.inf
         # what is left of each query, moved together to the left
         counts = np.bincount(r, minlength=len(rows))
@@ -225,6 +237,7 @@ def scan_topk(
     scorer: Callable[[np.ndarray], Scorer] = inner_products,
     bar: np.ndarray | None = None,
     stride: int = 1,
+    digits: int | None = None,
 ) -> DataFrame:
     """Per-task candidates of a broadcast query block over one scan of ``vectors``.
 
@@ -246,7 +259,7 @@ def scan_topk(
         if len(qids) == 0:
             return
         everyone = np.arange(len(qids))
-        running, score = RunningTopK(lengths(qmat), k, floor), scorer(qmat)
+        running, score = RunningTopK(lengths(qmat), k, floor, digits), scorer(qmat)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -275,7 +288,7 @@ def scan_topk(
 
 def scan_blocks(
     vectors: DataFrame, blocks: list[Broadcast], k: int, id_col: str, vec_col: str, query_col: str = "query_id",
-    bars: list[np.ndarray] | None = None, stride: int = 1,
+    bars: list[np.ndarray] | None = None, stride: int = 1, digits: int | None = None,
 ) -> DataFrame:
     """Candidates of many query blocks, each a broadcast (ids, matrix), over a single scan of ``vectors``.
 
@@ -288,7 +301,7 @@ def scan_blocks(
         sizes = lengths(mat)
         for at, shared in enumerate(blocks):
             qids, qmat = shared.value
-            running = RunningTopK(lengths(qmat), k, None if floors.value is None else floors.value[at])
+            running = RunningTopK(lengths(qmat), k, None if floors.value is None else floors.value[at], digits)
             everyone = np.arange(len(qids))
             for part in row_blocks(len(ids), len(qids)):
                 running.offer(everyone, qmat @ mat[part].T, ids[part], sizes[part])
@@ -348,7 +361,7 @@ def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how)
 
 def blocks_topk(
     vectors: DataFrame, blocks: Iterator[Packed], k: int, id_col: str, vec_col: str, query_col: str,
-    scan_bytes: int = SCAN_BYTES,
+    scan_bytes: int = SCAN_BYTES, digits: int | None = None,
 ) -> list[DataFrame]:
     """Candidates of many query blocks: as many blocks as fit ``scan_bytes`` share one scan (and one for their bars).
 
@@ -360,10 +373,10 @@ def blocks_topk(
         bars = None
         if stride is not None:
             every = np.concatenate(ids)  # blocks follow the order of the ids
-            some = scan_blocks(vectors, shared, k, id_col, vec_col, query_col, stride=stride)
+            some = scan_blocks(vectors, shared, k, id_col, vec_col, query_col, stride=stride, digits=digits)
             whole = kth_scores(some, every, k, id_col, query_col)
             bars = np.split(whole, np.cumsum([len(x) for x in ids])[:-1])
-        return scan_blocks(vectors, shared, k, id_col, vec_col, query_col, bars)
+        return scan_blocks(vectors, shared, k, id_col, vec_col, query_col, bars, digits=digits)
 
     shared, ids, size = [], [], 0
     for block in blocks:
@@ -392,6 +405,7 @@ def row_topk(
     small_id: str,
     keep: list[str] | None = None,
     max_bytes: int = BROADCAST_BYTES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Each row's best k of a broadcast table, finished inside its own task.
 
@@ -411,12 +425,12 @@ def row_topk(
         vecs = list_matrix(batch.column(1))
         sizes = lengths(vecs)
         parts = list(row_blocks(len(vecs), step))
-        state = [RunningTopK(sizes[part], most) for part in parts] if len(blocks) > 1 else None
+        state = [RunningTopK(sizes[part], most, digits=digits) for part in parts] if len(blocks) > 1 else None
         for at, shared in enumerate(blocks):
             ids, mat = shared.value
             far = lengths(mat)
             for n, part in enumerate(parts):
-                running = state[n] if state else RunningTopK(sizes[part], most)
+                running = state[n] if state else RunningTopK(sizes[part], most, digits=digits)
                 running.offer(np.arange(part.stop - part.start), vecs[part] @ mat.T, ids, far)
                 if at == len(blocks) - 1:
                     q, s, i = running.best()
@@ -458,19 +472,21 @@ def knn_flat(
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
     scan_bytes: int = SCAN_BYTES,
+    digits: int | None = None,
 ) -> DataFrame:
     """Exact inner-product top-k of every query over every vector.
 
     Beyond one block of queries (``max_bytes``) a small vector table is broadcast instead; over a large one many
     blocks (``scan_bytes`` of query vectors) share a scan. What is shuffled stays in proportion to queries x k.
+    ``digits`` compares scores rounded to so many decimals, not on the grid of the lengths.
     """
     n, block = block_size(queries, query_vec, k, max_bytes)
     if n <= block:
-        hits = barred_topk(vectors, pack(queries, query_col, query_vec), k, id_col, vec_col, query_col)
+        hits = barred_topk(vectors, pack(queries, query_col, query_vec), k, id_col, vec_col, query_col, digits=digits)
         return best_per_query(hits, k, query_col, id_col)
     if (small := pack_if_small(vectors, id_col, vec_col, max_bytes)) is not None:
-        done = row_topk(queries, query_col, query_vec, small, k, id_col)
+        done = row_topk(queries, query_col, query_vec, small, k, id_col, digits=digits)
         return done.select(query_col, "rank", id_col, "score")
     hits = blocks_topk(vectors, query_blocks(queries, query_col, query_vec, k, max_bytes), k, id_col, vec_col, query_col,
-                       scan_bytes)
+                       scan_bytes, digits)
     return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)

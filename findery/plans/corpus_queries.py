@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findery.functions.text import word_count
 from findery.operators.passages import expand_context, fetch_passages
 from findery.operators.prefix import blocked_running_sum, id_block
-from findery.operators.topk import knn_flat
+from findery.operators.topk import SCORE_DIGITS, knn_flat
 from findery.plans.registry import query
 from findery.plans.search import expand_requests
 from findery.plans.text_queries import documents
@@ -194,7 +194,7 @@ STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+|[\s\p{{Z}}\x0b\
 def topic_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """Hits of the topic queries as index ids, and a proven bound on their number."""
     asked = topics(spark, sf)
-    hits = knn_flat(asked, embeddings(spark, sf), K).withColumnRenamed("vec_id", "index_id")
+    hits = knn_flat(asked, embeddings(spark, sf), K, digits=SCORE_DIGITS).withColumnRenamed("vec_id", "index_id")
     return hits, asked.count() * K
 
 

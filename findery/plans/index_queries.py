@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findery.operators import ivf, pq
 from findery.operators.encode import embed_texts
 from findery.operators.passages import write_blocks
-from findery.operators.topk import Packed, list_matrix
+from findery.operators.topk import SCORE_DIGITS, Packed, list_matrix
 from findery.plans import search as S
 from findery.plans.corpus_queries import passages
 from findery.plans.registry import query
@@ -54,7 +54,7 @@ def search_mixed_batch(spark, sf):
     """A shallow fetch, some deep requests, and documents without a vector in the second stage."""
     vectors = document_vectors(spark, sf)
     second = vectors.where("vec_id % 11 <> 0")
-    return _rows(S.search(mixed(spark, sf), S.FlatIndex(vectors), second, passages(spark, sf), SHALLOW))
+    return _rows(S.search(mixed(spark, sf), S.FlatIndex(vectors, SCORE_DIGITS), second, passages(spark, sf), SHALLOW))
 
 
 # ---- stored indexes: the first documents' vectors are centroids, their slices codewords ----
@@ -101,20 +101,20 @@ def stored_lists(spark: SparkSession, vectors: DataFrame) -> S.ListIndex:
     """Centroids and postings written, then read back for the probe."""
     path, first = scratch_path(spark, "lists"), _first(vectors)
     ivf.write_centroids(spark, first, f"{path}-centroids")
-    ivf.write_postings(ivf.build_postings(vectors, first), path)
-    return S.ListIndex(ivf.read_centroids(spark, f"{path}-centroids"), ivf.read_postings(spark, path))
+    ivf.write_postings(ivf.build_postings(vectors, first, digits=SCORE_DIGITS), path)
+    return S.ListIndex(ivf.read_centroids(spark, f"{path}-centroids"), ivf.read_postings(spark, path), SCORE_DIGITS)
 
 
 def stored_codes(spark: SparkSession, vectors: DataFrame) -> S.CodeIndex:
     """Codes of the even documents, the odd ones appended; all parts written and read back."""
     path, first = scratch_path(spark, "codes"), _first(vectors)
     books = _books(first)
-    old = pq.encode(ivf.build_postings(vectors.where("vec_id % 2 = 0"), first), first, books)
+    old = pq.encode(ivf.build_postings(vectors.where("vec_id % 2 = 0"), first, digits=SCORE_DIGITS), first, books, digits=SCORE_DIGITS)
     ivf.write_centroids(spark, first, f"{path}-centroids")
     pq.write_codebooks(spark, books, f"{path}-books")
-    ivf.write_postings(pq.append_codes(old, vectors.where("vec_id % 2 = 1"), first, books), path)
+    ivf.write_postings(pq.append_codes(old, vectors.where("vec_id % 2 = 1"), first, books, digits=SCORE_DIGITS), path)
     return S.CodeIndex(ivf.read_centroids(spark, f"{path}-centroids"), pq.read_codebooks(spark, f"{path}-books"),
-                       ivf.read_postings(spark, path))
+                       ivf.read_postings(spark, path), SCORE_DIGITS)
 
 
 def stored_blocks(spark: SparkSession, rows: DataFrame, id_col: str) -> DataFrame:

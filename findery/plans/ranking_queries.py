@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findery.operators import metrics, ranks
 from findery.operators.prefix import blocked_row_number, id_block
-from findery.operators.topk import knn_flat
+from findery.operators.topk import SCORE_DIGITS, knn_flat
 from findery.plans.registry import query
 from findery.plans.vector_queries import K, TOPICS_SQL, embeddings, hits_sql, topics
 from findery.session import materialize, table
@@ -23,7 +23,7 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    run = knn_flat(topics(spark, sf), embeddings(spark, sf), K).withColumnRenamed("vec_id", "doc_id")
+    run = knn_flat(topics(spark, sf), embeddings(spark, sf), K, digits=SCORE_DIGITS).withColumnRenamed("vec_id", "doc_id")
     return metrics.evaluate_run(run, qrels(spark, sf), KS)
 
 

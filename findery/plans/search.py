@@ -28,12 +28,13 @@ MAX_DOCS, MAX_OFFSET = 100_000, 1_000
 
 @dataclass(frozen=True)
 class FlatIndex:
-    """Exact search over the vector table."""
+    """Exact search over the vector table; ``digits`` as in :func:`knn_flat`."""
 
     vectors: DataFrame
+    digits: int | None = None
 
     def search(self, queries: DataFrame, k: int, nprobe: int | str = ivf.DEFAULT_NPROBE) -> DataFrame:
-        return knn_flat(queries, self.vectors, k)
+        return knn_flat(queries, self.vectors, k, digits=self.digits)
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,10 @@ class ListIndex:
 
     centroids: Packed
     postings: DataFrame
+    digits: int | None = None
 
     def search(self, queries: DataFrame, k: int, nprobe: int | str = ivf.DEFAULT_NPROBE) -> DataFrame:
-        return ivf.knn_ivf(queries, self.postings, self.centroids, k, nprobe)
+        return ivf.knn_ivf(queries, self.postings, self.centroids, k, nprobe, digits=self.digits)
 
 
 @dataclass(frozen=True)
@@ -54,9 +56,10 @@ class CodeIndex:
     centroids: Packed
     books: pq.Codebooks
     codes: DataFrame
+    digits: int | None = None
 
     def search(self, queries: DataFrame, k: int, nprobe: int | str = ivf.DEFAULT_NPROBE) -> DataFrame:
-        return pq.knn_ivfpq(queries, self.codes, self.centroids, self.books, k, nprobe)
+        return pq.knn_ivfpq(queries, self.codes, self.centroids, self.books, k, nprobe, digits=self.digits)
 
 
 Index = FlatIndex | ListIndex | CodeIndex
@@ -160,12 +163,12 @@ def plain_order(scored: DataFrame, requests: DataFrame) -> DataFrame:
         "query_id", "index_id", F.col("_n").alias("rank"), F.col("score").alias("retrieval_score"), "exact_score")
 
 
-def diverse_order(scored: DataFrame, requests: DataFrame) -> DataFrame:
+def diverse_order(scored: DataFrame, requests: DataFrame, digits: int | None = None) -> DataFrame:
     """First ``n_docs`` of the diverse requests by MMR on the exact score, else on the retrieval score."""
     mine = requests.where("diverse_search").select("query_id", "n_docs", "lambda")
     rows = scored.join(mine, "query_id").withColumn("_rel", F.coalesce("exact_score", "score"))
     picked = rerank_mmr(rows, "embedding", "_rel", lambda_col="lambda", limit_col="n_docs", id_col="index_id",
-                        keep=["score", "exact_score"])
+                        keep=["score", "exact_score"], digits=digits)
     return picked.select("query_id", "index_id", "rank", F.col("score").alias("retrieval_score"), "exact_score")
 
 
@@ -204,7 +207,7 @@ def search(requests: DataFrame, index: Index, vectors: DataFrame, passages: Data
         plain = plain.join(requests.where(~weighed).select("query_id"), "query_id", "left_semi")
         ranked = plain_order(plain.unionByName(mine.drop("embedding")), requests)
         if needs["diverse"]:
-            ranked = ranked.unionByName(diverse_order(mine, requests))
+            ranked = ranked.unionByName(diverse_order(mine, requests, index.digits))
     else:
         ranked = plain_order(plain, requests)
     if not with_text:

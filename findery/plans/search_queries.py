@@ -14,7 +14,7 @@ from findery.operators.kmeans import group_means
 from findery.operators.metrics import hit_curve
 from findery.operators.passages import bounded
 from findery.operators.rerank import drop_redundant, rerank_exact, rerank_mmr
-from findery.operators.topk import knn_flat
+from findery.operators.topk import SCORE_DIGITS, knn_flat
 from findery.plans import search as S
 from findery.plans import sqltext as Q
 from findery.plans.corpus_queries import PASSAGES_SQL, STRIP, passages
@@ -61,7 +61,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf: str, with_text: bool = True) -> DataFrame:
     vectors = document_vectors(spark, sf)
-    return S.search(asked(spark, sf), S.FlatIndex(vectors), vectors, passages(spark, sf), FETCH, with_text)
+    return S.search(asked(spark, sf), S.FlatIndex(vectors, SCORE_DIGITS), vectors, passages(spark, sf), FETCH, with_text)
 
 
 def vectors_sql(name: str, source: str, key: str, text: str) -> str:
@@ -254,7 +254,7 @@ def stream_search(spark, sf):
     requests(spark, sf).repartition(4).write.json(log)
     stream = spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", 2).json(log)
     vectors = document_vectors(spark, sf)
-    answer_requests(stream, S.FlatIndex(vectors), vectors, passages(spark, sf), encoder, out,
+    answer_requests(stream, S.FlatIndex(vectors, SCORE_DIGITS), vectors, passages(spark, sf), encoder, out,
                     scratch_path(spark, "request-offsets"), FETCH, **ENCODE).awaitTermination()
     done = spark.read.parquet(f"{out}/answers")
     return done.select("query_id", "rank", "index_id", F.round("retrieval_score", 6).alias("retrieval_score"), "passage_id")
@@ -279,8 +279,8 @@ def rerank_exact_codes(spark, sf):
     """Candidates found on codes, reordered by the exact cosine."""
     index, books = _books(spark, sf)
     asked_topics = topics(spark, sf)
-    codes = pq.encode(index.postings, index.centroids, books)
-    hits = pq.knn_ivfpq(asked_topics, codes, index.centroids, books, K, NPROBE)
+    codes = pq.encode(index.postings, index.centroids, books, digits=SCORE_DIGITS)
+    hits = pq.knn_ivfpq(asked_topics, codes, index.centroids, books, K, NPROBE, digits=SCORE_DIGITS)
     near = hits.join(embeddings(spark, sf).select("vec_id", "embedding"), "vec_id").join(asked_topics, "query_id")
     out = rerank_exact(near, "query_emb", "embedding")
     return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("retrieval_score"),
@@ -293,8 +293,8 @@ pool AS (SELECT h.*, v.embedding::DOUBLE[] AS e, {LAMBDA} AS lam FROM hits h JOI
 {' UNION ALL '.join(f'SELECT query_id, vec_id, {n}::BIGINT AS rank, round(mmr, 6) AS mmr_score FROM pick{n}' for n in range(1, MMR_PICKS + 1))}""")
 def rerank_mmr_topics(spark, sf):
     vectors = embeddings(spark, sf)
-    near = knn_flat(topics(spark, sf), vectors, MMR_FETCH).join(vectors.select("vec_id", "embedding"), "vec_id")
-    out = rerank_mmr(near, "embedding", "score", LAMBDA, limit=MMR_PICKS)
+    near = knn_flat(topics(spark, sf), vectors, MMR_FETCH, digits=SCORE_DIGITS).join(vectors.select("vec_id", "embedding"), "vec_id")
+    out = rerank_mmr(near, "embedding", "score", LAMBDA, limit=MMR_PICKS, digits=SCORE_DIGITS)
     return out.withColumn("mmr_score", F.round("mmr_score", 6))
 
 
@@ -314,8 +314,8 @@ SELECT query_id, vec_id, step AS rank, round(mmr, 3) AS mmr_score FROM walk WHER
 def rerank_mmr_full(spark, sf):
     """The whole order of a deep candidate set."""
     vectors = embeddings(spark, sf)
-    near = knn_flat(topics(spark, sf), vectors, FETCH).join(vectors.select("vec_id", "embedding"), "vec_id")
-    return rerank_mmr(near, "embedding", "score", LAMBDA).withColumn("mmr_score", F.round("mmr_score", 3))
+    near = knn_flat(topics(spark, sf), vectors, FETCH, digits=SCORE_DIGITS).join(vectors.select("vec_id", "embedding"), "vec_id")
+    return rerank_mmr(near, "embedding", "score", LAMBDA, digits=SCORE_DIGITS).withColumn("mmr_score", F.round("mmr_score", 3))
 
 
 # ---- text hits ---------------------------------------------------------------------
@@ -334,7 +334,7 @@ def text_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Best documents of every benchmark passage, with both texts."""
     items = table(spark, sf, "benchmark")
     ask = embed_texts(items, "item_id", "text", encoder, out="query_emb", **ENCODE).withColumnRenamed("item_id", "query_id")
-    hits = knn_flat(ask, document_vectors(spark, sf), TOP).drop("score")
+    hits = knn_flat(ask, document_vectors(spark, sf), TOP, digits=SCORE_DIGITS).drop("score")
     texts = documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
     answer = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     return texts.join(bounded(hits, items.count() * TOP), "vec_id").join(answer, "query_id")

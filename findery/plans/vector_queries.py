@@ -9,7 +9,7 @@ from findery.functions import vectors as V
 from findery.operators import ivf, pq
 from findery.operators.kmeans import assign, group_means, packed_frame
 from findery.operators.rerank import candidate_l2, pairwise_cosine
-from findery.operators.topk import Packed, knn_flat
+from findery.operators.topk import SCORE_DIGITS, Packed, knn_flat
 from findery.plans.registry import query
 from findery.session import scratch_path, table
 from findery.sources import vectors as S
@@ -50,12 +50,12 @@ def sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coarse(spark: SparkSession, sf: str) -> Packed:
-    return ivf.train_coarse(sample(spark, sf), N_LISTS, TRAIN_STEPS)
+    return ivf.train_coarse(sample(spark, sf), N_LISTS, TRAIN_STEPS, digits=SCORE_DIGITS)
 
 
 def with_index(spark: SparkSession, sf: str) -> ivf.IvfIndex:
     centroids = coarse(spark, sf)
-    return ivf.IvfIndex(centroids, ivf.build_postings(embeddings(spark, sf), centroids))
+    return ivf.IvfIndex(centroids, ivf.build_postings(embeddings(spark, sf), centroids, digits=SCORE_DIGITS))
 
 
 # ---- the same in SQL ---------------------------------------------------------------
@@ -227,7 +227,7 @@ def fp16_roundtrip(spark, sf):
 @query("knn_flat", f"""WITH {TOPICS_SQL}, {hits_sql(K)}
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM hits""")
 def knn_flat_topics(spark, sf):
-    hits = knn_flat(topics(spark, sf), embeddings(spark, sf), K)
+    hits = knn_flat(topics(spark, sf), embeddings(spark, sf), K, digits=SCORE_DIGITS)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -235,7 +235,7 @@ def knn_flat_topics(spark, sf):
 SELECT query_id, rank, vec_id, round(score, 3) AS score FROM hits""")
 def knn_flat_deep(spark, sf):
     """Deep answers to many blocks of queries in one scan."""
-    hits = knn_flat(every_vector(spark, sf), embeddings(spark, sf), DEEP_K, max_bytes=SMALL_BLOCK)
+    hits = knn_flat(every_vector(spark, sf), embeddings(spark, sf), DEEP_K, max_bytes=SMALL_BLOCK, digits=SCORE_DIGITS)
     return hits.withColumn("score", F.round("score", 3))
 
 
@@ -244,7 +244,7 @@ SELECT query_id, vec_id, round(-list_distance(q, embedding::DOUBLE[]), 6) AS neg
 FROM hits JOIN topics USING (query_id) JOIN embeddings USING (vec_id)""")
 def candidate_l2_topics(spark, sf):
     t, e = topics(spark, sf), embeddings(spark, sf)
-    scored = candidate_l2(knn_flat(t, e, K), t, e, max_candidates=t.count() * K)
+    scored = candidate_l2(knn_flat(t, e, K, digits=SCORE_DIGITS), t, e, max_candidates=t.count() * K)
     return scored.select("query_id", "vec_id", F.round("neg_l2", 6).alias("neg_l2"))
 
 
@@ -258,7 +258,7 @@ SELECT query_id, rank, vec_id, round(max(c) FILTER (other <> rank), 6) AS max_ot
 FROM p GROUP BY query_id, rank, vec_id""")
 def pairwise_cosine_topics(spark, sf):
     e = embeddings(spark, sf)
-    out = pairwise_cosine(knn_flat(topics(spark, sf), e, K).join(e.select("vec_id", "embedding"), "vec_id"))
+    out = pairwise_cosine(knn_flat(topics(spark, sf), e, K, digits=SCORE_DIGITS).join(e.select("vec_id", "embedding"), "vec_id"))
     return out.select("query_id", "rank", "vec_id",
                       *[F.round(c, 6).alias(c) for c in ("max_other", "max_earlier", "mean_cosine")])
 
@@ -281,7 +281,7 @@ def train_coarse(spark, sf):
 
 @query("ivf_assign", f"WITH {COARSE_SQL} SELECT vec_id, list_id, round(score, 6) AS score FROM owned")
 def ivf_assign(spark, sf):
-    out = assign(embeddings(spark, sf), coarse(spark, sf))
+    out = assign(embeddings(spark, sf), coarse(spark, sf), digits=SCORE_DIGITS)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -296,7 +296,7 @@ WHERE rank <= {K}"""
 @query("knn_ivf", f"WITH {TOPICS_SQL}, {IVF_HITS_SQL}")
 def knn_ivf(spark, sf):
     index = with_index(spark, sf)
-    hits = ivf.knn_ivf(topics(spark, sf), index.postings, index.centroids, K, NPROBE)
+    hits = ivf.knn_ivf(topics(spark, sf), index.postings, index.centroids, K, NPROBE, digits=SCORE_DIGITS)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -304,7 +304,8 @@ def knn_ivf(spark, sf):
 def knn_ivf_join(spark, sf):
     """More queries than a block holds: they meet the postings in cells of a list."""
     index = with_index(spark, sf)
-    hits = ivf.knn_ivf(every_vector(spark, sf), index.postings, index.centroids, K, NPROBE, max_bytes=SMALL_BLOCK)
+    hits = ivf.knn_ivf(every_vector(spark, sf), index.postings, index.centroids, K, NPROBE, max_bytes=SMALL_BLOCK,
+                       digits=SCORE_DIGITS)
     return hits.withColumn("score", F.round("score", 3))
 
 
@@ -323,8 +324,8 @@ def ivf_append(spark, sf):
     centroids, rows = coarse(spark, sf), sharded(spark, sf)
     path = scratch_path(spark, "postings")
     old, new = rows.where("shard_id < 3"), rows.where("shard_id = 3")
-    ivf.write_postings(ivf.build_postings(old, centroids).withColumn("appended", F.lit(False)), path)
-    ivf.write_postings(ivf.build_postings(new, centroids).withColumn("appended", F.lit(True)), path, "append")
+    ivf.write_postings(ivf.build_postings(old, centroids, digits=SCORE_DIGITS).withColumn("appended", F.lit(False)), path)
+    ivf.write_postings(ivf.build_postings(new, centroids, digits=SCORE_DIGITS).withColumn("appended", F.lit(True)), path, "append")
     return spark.read.parquet(path).select(F.col("list_id").cast("long").alias("list_id"), "vec_id", "appended")
 
 
@@ -332,8 +333,8 @@ def ivf_append(spark, sf):
 
 def _books(spark, sf):
     index = with_index(spark, sf)
-    learn = ivf.build_postings(sample(spark, sf), index.centroids)
-    return index, pq.train_codebooks(learn, index.centroids, N_SUB, N_WORDS, PQ_STEPS)
+    learn = ivf.build_postings(sample(spark, sf), index.centroids, digits=SCORE_DIGITS)
+    return index, pq.train_codebooks(learn, index.centroids, N_SUB, N_WORDS, PQ_STEPS, digits=SCORE_DIGITS)
 
 
 @query("train_pq", f"""WITH {COARSE_SQL}, {CODES_SQL}
@@ -349,7 +350,7 @@ def train_pq(spark, sf):
 SELECT vec_id, list_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS code FROM codes GROUP BY vec_id, list_id""")
 def pq_encode(spark, sf):
     index, books = _books(spark, sf)
-    codes = pq.encode(index.postings, index.centroids, books)
+    codes = pq.encode(index.postings, index.centroids, books, digits=SCORE_DIGITS)
     each = F.transform(F.sequence(F.lit(1), F.lit(N_SUB)),
                        lambda m: F.conv(F.hex(F.substring("code", m, F.lit(1))), 16, 10))
     return codes.select("vec_id", "list_id", F.array_join(each, ",").alias("code"))
@@ -360,7 +361,7 @@ SELECT vec_id, (k.m * {64 // N_SUB} + j)::BIGINT AS d, round(k.w[j + 1] + c.c[k.
 FROM codes k JOIN coarse c USING (list_id), range({64 // N_SUB}) g(j)""")
 def pq_decode(spark, sf):
     index, books = _books(spark, sf)
-    approx = pq.decode(pq.encode(index.postings, index.centroids, books), index.centroids, books)
+    approx = pq.decode(pq.encode(index.postings, index.centroids, books, digits=SCORE_DIGITS), index.centroids, books)
     out = approx.select("vec_id", F.posexplode("approx").alias("d", "x"))
     return out.select("vec_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
@@ -377,8 +378,8 @@ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
 WHERE rank <= {K}""")
 def knn_ivfpq(spark, sf):
     index, books = _books(spark, sf)
-    codes = pq.encode(index.postings, index.centroids, books)
-    hits = pq.knn_ivfpq(topics(spark, sf), codes, index.centroids, books, K, NPROBE)
+    codes = pq.encode(index.postings, index.centroids, books, digits=SCORE_DIGITS)
+    hits = pq.knn_ivfpq(topics(spark, sf), codes, index.centroids, books, K, NPROBE, digits=SCORE_DIGITS)
     return hits.withColumn("score", F.round("score", 6))
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from findery.operators import ivf, kmeans, pq, topk
+from findery.operators import ivf, kmeans, pq, rerank, topk
 from findery.operators.kmeans import group_means
 
 
@@ -279,3 +279,24 @@ def test_folds_in_two_levels_are_the_same(spark, data, monkeypatch):
     for g in want:
         assert got[g][0] == want[g][0]
         np.testing.assert_allclose(got[g][1], want[g][1])
+
+
+@pytest.mark.parametrize("budget_q, budget_v", [(1 << 20, 1 << 20), (100, 1 << 20), (100, 1)])
+def test_with_digits_scores_tie_that_sql_rounds_to_the_same(spark, monkeypatch, budget_q, budget_v):
+    first = np.array([0.3, 0.3 + 3e-10, 0.3 - 2e-10, 0.3 + 2e-9, 2.0 ** -10, 2.0 ** -10 + 4e-10])  # 2^-10: half a billionth
+    vecs = np.stack([first, np.zeros(6)], axis=1)
+    q = frame(spark, [0, 1], np.array([[1.0, 0.0], [1.0, 0.0]]), "query_id", "query_emb")
+    v = frame(spark, range(6), vecs, "vec_id", "embedding").repartition(3)
+    real = topk.pack_if_small
+    monkeypatch.setattr(topk, "pack_if_small", lambda df, i, c, _: real(df, i, c, budget_v))
+    best = topk.knn_flat(q, v, 6, max_bytes=budget_q, digits=9).collect()
+    for one in (0, 1):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in best if r["query_id"] == one)
+        assert [i for _, i, _ in mine] == [3, 0, 1, 2, 4, 5]
+        assert [s for *_, s in mine] == [0.300000002, 0.3, 0.3, 0.3, 0.000976563, 0.000976563]
+
+
+def test_with_digits_a_diverse_order_ties_by_place():
+    mat = np.eye(3)
+    assert rerank.mmr_order(mat, np.array([0.5, 0.5 + 3e-10, 0.2]), 0.5, 3, digits=9)[0] == [0, 1, 2]
+    assert rerank.mmr_order(mat, np.array([0.5, 0.5 + 6e-9, 0.2]), 0.5, 3, digits=9)[0] == [1, 0, 2]
