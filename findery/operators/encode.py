@@ -16,7 +16,7 @@ from findery.functions.vectors import unit
 
 Encoder = Callable[[list[str]], np.ndarray]
 MAX_BATCH = 128
-MAX_REMEMBERED = 1 << 18
+MAX_REMEMBERED = 1 << 16
 
 
 class _Slots(dict):
@@ -46,6 +46,12 @@ def hashed_words(dim: int = 64) -> Encoder:
     return partial(_encode_words, slots=_Slots(dim))
 
 
+def encoded_rows(texts: pa.Array, encoder: Encoder, step: int) -> np.ndarray:
+    """Vectors of a column of texts; only ``step`` texts are Python strings at a time."""
+    parts = (texts.slice(a, step).to_pylist() for a in range(0, len(texts), step))
+    return np.concatenate([np.asarray(encoder(part), dtype=np.float64) for part in parts])
+
+
 def embed_texts(
     df: DataFrame, id_col: str, text_col: str, make_encoder: Callable[[], Encoder], batch_size: int = MAX_BATCH,
     instruction: str = "", lower: bool = False, normalize_text: bool = False, normalize: bool = False,
@@ -68,9 +74,7 @@ def embed_texts(
             if batch.num_rows == 0:
                 continue
             encoder = encoder or make_encoder()
-            texts = batch.column(1).to_pylist()
-            mat = np.concatenate([np.asarray(encoder(texts[a:a + step]), dtype=np.float64)
-                                  for a in range(0, len(texts), step)])
+            mat = encoded_rows(batch.column(1), encoder, step)
             offsets = np.arange(0, mat.size + 1, mat.shape[1], dtype=np.int32)
             vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(mat.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[id_col, out])

@@ -38,7 +38,8 @@ BROADCAST_BYTES = 64 << 20
 #: Query vectors that one scan of the corpus serves, and vectors that a task holds while they pass.
 SCAN_BYTES, CHUNK_BYTES = 2 << 30, 64 << 20
 BAR_PARTITIONS = 16
-_SCORE_BLOCK = 1 << 22
+#: Scores a task makes at once; choosing among them takes about ten times their bytes.
+_SCORE_BLOCK = 1 << 20
 
 #: (list, query positions, block of vectors or codes) -> scores, and a length for each row of the block
 Scorer = Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]

@@ -2,14 +2,16 @@
 
 import gzip
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from findery.operators import cache as cache_module
 from findery.operators.cache import embed_with_cache, merge_cache
-from findery.operators.encode import embed_texts, hashed_words
+from findery.operators.encode import embed_texts, encoded_rows, hashed_words
 from findery.plans import search as S
 from findery.sources import lines as L
 from findery.sources import passages as P
@@ -252,3 +254,13 @@ def test_lines_of_a_passage_file_follow_the_ids_whatever_the_scan_order(spark, t
     lines = L.number_lines(L.scan_text(spark, out, range_bytes=2048)).select("filename", "line_no", "value").collect()
     assert sorted((r["filename"], r["line_no"], json.loads(r["value"])["id"]) for r in lines) == sorted(
         (f"d{i % 3}--raw_passages_0-0-of-1.jsonl", i // 3, i) for i in range(4000))
+
+
+def test_an_encoder_holds_few_texts_of_a_batch(spark):
+    texts = pa.array([f"{i} " * 10_000 for i in range(1500)])  # about 60 MB
+    encoder = lambda part: np.array([[len(t)] for t in part], np.float64)
+    tracemalloc.start()
+    got = encoded_rows(texts, encoder, 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:, 0].tolist() == [len(t.as_py()) for t in texts] and most < 20 << 20

@@ -1,5 +1,7 @@
 """The nearest-neighbour plans against brute force, hot groups included."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -300,3 +302,16 @@ def test_with_digits_a_diverse_order_ties_by_place():
     mat = np.eye(3)
     assert rerank.mmr_order(mat, np.array([0.5, 0.5 + 3e-10, 0.2]), 0.5, 3, digits=9)[0] == [0, 1, 2]
     assert rerank.mmr_order(mat, np.array([0.5, 0.5 + 6e-9, 0.2]), 0.5, 3, digits=9)[0] == [1, 0, 2]
+
+
+def test_choosing_the_best_holds_little_beside_the_vectors():
+    rng = np.random.default_rng(1)
+    qs, vecs = rng.normal(size=(400, 8)), rng.normal(size=(10_000, 8))
+    running = topk.RunningTopK(topk.lengths(qs), 100)
+    tracemalloc.start()
+    for part in topk.row_blocks(len(vecs), len(qs)):
+        running.offer(np.arange(400), qs @ vecs[part].T, np.arange(10_000)[part], topk.lengths(vecs[part]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 << 20
+    assert running.best()[2].reshape(400, 100).tolist() == np.argsort(-(qs @ vecs.T), axis=1)[:, :100].tolist()
