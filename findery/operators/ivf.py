@@ -34,6 +34,8 @@ DEFAULT_NPROBE = 32
 #: Neighbouring lists that share a folder, and the column that names it.
 GROUP_LISTS, GROUP_COL = 64, "list_group"
 SAMPLE_BLOCKS = 1 << 16
+#: Postings, and queries with their best rows, that a cell of a list holds.
+CELL_BYTES = 32 << 20
 
 
 def train_sample(
@@ -139,29 +141,31 @@ def knn_ivf(
     vec_col: str = "embedding",
     max_bytes: int = BROADCAST_BYTES,
     digits: int | None = None,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Top-k over the ``nprobe`` best lists of each query; ``nprobe`` may name a column.
 
     Postings that are stored by list (:func:`write_postings`) are read only where a query looks.
     """
     return probed_topk(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes,
-                       digits=digits)
+                       digits=digits, cell_bytes=cell_bytes)
 
 
 def probed_topk(
     queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
     query_vec: str, id_col: str, vec_col: str, max_bytes: int, extra_bytes: int = 0,
     read: Callable[[pa.Array], np.ndarray] = list_matrix, scorer: Callable[[np.ndarray], Scorer] = inner_products,
-    digits: int | None = None,
+    digits: int | None = None, cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Top-k of every query over the lists it probes.
 
-    One block of queries is broadcast and meets the lists where they lie. More of them meet their lists in a
-    join by list, which reads and moves the probed postings once, however many queries there are.
+    One block of queries (``max_bytes``) is broadcast and meets the lists where they lie. More of them meet their
+    lists in a join by list. A list that fills one cell (``cell_bytes``) is moved once; one of R x C cells moves its
+    queries R times and its postings C times, so cells are as large as a task's memory allows, not as a block.
     """
     n, block = block_size(queries, query_vec, k, max_bytes, extra_bytes)
     if n > block:
-        hits = list_join(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, max_bytes,
+        hits = list_join(queries, postings, centroids, k, nprobe, query_col, query_vec, id_col, vec_col, cell_bytes,
                          read, scorer, digits)
         return best_per_query(hits, k, query_col, id_col)
     packed = pack(queries, query_col, query_vec)
@@ -177,7 +181,7 @@ def probed_topk(
 
 def list_join(
     queries: DataFrame, postings: DataFrame, centroids: Packed, k: int, nprobe: int | str, query_col: str,
-    query_vec: str, id_col: str, vec_col: str, max_bytes: int, read: Callable[[pa.Array], np.ndarray],
+    query_vec: str, id_col: str, vec_col: str, cell_bytes: int, read: Callable[[pa.Array], np.ndarray],
     scorer: Callable[[np.ndarray], Scorer], digits: int | None = None,
 ) -> DataFrame:
     """Candidates of any number of queries: queries and postings of a list meet in cells of bounded size.
@@ -190,8 +194,8 @@ def list_join(
     probing = pairs.groupBy("list_id").agg(F.count("*").alias("_m"))
     sizes = postings.groupBy("list_id").agg(F.count("*").alias("_n"))
     width = max(1, centroids.matrix.shape[1] if centroids.matrix.size else 1)
-    most = max(1, max_bytes // (8 * width))  # rows of a cell, and queries of a cell
-    most_queries = max(1, max_bytes // (8 * width + 16 * k))
+    most = max(1, cell_bytes // (8 * width))  # rows of a cell, and queries of a cell
+    most_queries = max(1, cell_bytes // (8 * width + 16 * k))
     grid = sizes.join(probing, "list_id").select(
         "list_id", F.ceil(F.col("_n") / most).cast("int").alias("_rows"), F.ceil(F.col("_m") / most_queries).cast("int").alias("_cols"))
     grid = materialize(grid)
@@ -200,7 +204,7 @@ def list_join(
         postings = postings.where(F.col(GROUP_COL).isin([r["g"] for r in groups]))
     grid = bounded(grid, centroids.rows)
     asked = pairs.join(grid.select("list_id", "_rows", "_cols"), "list_id").select(
-        "list_id", F.col(query_col).alias("q"), F.col(query_vec).cast("array<double>").alias("v"),
+        "list_id", F.col(query_col).alias("q"), F.col(query_vec).alias("v"),
         F.pmod(F.xxhash64(query_col), F.col("_cols")).cast("int").alias("_col"), F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_row"))
     held = postings.join(grid, "list_id").select(
         "list_id", F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"),

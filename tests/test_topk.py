@@ -243,6 +243,19 @@ def test_list_join_with_hot_lists(spark, data, index, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan
 
 
+def test_cells_of_a_list_are_not_as_small_as_a_block(spark, data, index, monkeypatch):
+    vecs, _ = data
+    qs = np.random.default_rng(6).normal(size=(200, 16))
+    q = frame(spark, range(200), qs, "query_id", "query_emb")
+    real, grids = ivf.bounded, []
+    monkeypatch.setattr(ivf, "bounded", lambda df, most: real(grids.append(df) or df, most))
+    whole = rows(ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe=4, max_bytes=2_000))
+    assert {(r["_rows"], r["_cols"]) for r in grids[-1].collect()} == {(1, 1)}
+    cut = rows(ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe=4, max_bytes=2_000, cell_bytes=2_000))
+    assert max(r["_rows"] * r["_cols"] for r in grids[-1].collect()) > 4
+    assert whole == cut == rows(ivf.knn_ivf(q, index.postings, index.centroids, 10, nprobe=4))
+
+
 def test_list_join_prunes_stored_folders(spark, data, tmp_path):
     vecs, _ = data
     index = ivf.build_index(frame(spark, range(600), vecs, "vec_id", "embedding"), n_lists=130, sample_size=600, iterations=1)
