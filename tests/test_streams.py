@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from findery.plans import stream_queries
 from findery.schemas import QUERY_EVENT
 from findery.streaming import keyed
 
@@ -92,3 +93,17 @@ def test_plain_counts_equal_the_windows(spark, tmp_path):
     got = {r["window_start"]: r["n_requests"] for r in spark.read.parquet(out).collect()}
     assert got == {h * 3600: 60 for h in range(10)}
     assert spark.read.json(log).agg(F.count("*")).first()[0] == 602
+
+
+def test_events_of_a_log_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(seq):
+        made.add(1)
+        return seq
+
+    real = stream_queries.vote_events
+    monkeypatch.setattr(stream_queries, "vote_events", lambda s, sf: real(s, sf).withColumn("seq", seen("seq")))
+    sf = "/root/testdata/sf0.001"
+    assert stream_queries.stream_vote_log(spark, sf).count() == real(spark, sf).count() == made.value
