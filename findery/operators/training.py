@@ -19,6 +19,9 @@ from findery.operators.prefix import ranged_running_sum
 #: Equal parts of the unit interval in which dataset shares are looked up.
 MIX_CELLS = 1 << 12
 
+#: More than any position: the factor that leaves a position the low bits below a hash of 32 bits.
+POSITIONS = 1 << 31
+
 
 def token_ids(text: Column, vocabulary: int = 30_000) -> Column:
     """Word ids by hash; stands in for a sub-word tokeniser."""
@@ -96,24 +99,29 @@ def mask_words(tokens: Column, mask_id: int, p: float, seed: str, *key: Column)
 
 
 def shuffle_words(tokens: Column, p: float, seed: str, *key: Column) -> Column:
-    """As many positions as draws below ``p`` are chosen and their tokens permuted."""
+    """As many positions as draws below ``p`` are chosen and their tokens permuted.
+
+    Orders are sorts of whole numbers: a hash or a position in the high bits, a position in the low ones.
+    """
+    low = lambda v: v.bitwiseAND(F.lit(POSITIONS - 1)).cast("int")
+    over = lambda high, i: high.cast("long") * F.lit(POSITIONS) + i
 
     def spots(h: Column) -> Column:
-        ranked = F.sort_array(F.transform(tokens, lambda t, i: F.struct(
-            position_hash(h["spot"], i).alias("h"), i.alias("i"), t.alias("t"))))
+        ranked = F.sort_array(F.transform(tokens, lambda t, i: over(position_hash(h["spot"], i), i)))
         count = F.size(F.filter(tokens, lambda t, i: position_draw(h["n"], i) < p))
-        return F.struct(F.slice(ranked, 1, count).alias("chosen"),
-                        F.slice(ranked, count + 1, F.size(tokens)).alias("others"))
+        # the count is one number, so it is not worked out again for each slice
+        return let(F.struct(ranked.alias("all"), count.alias("n")), lambda r: F.struct(
+            F.transform(F.slice(r["all"], 1, r["n"]), low).alias("chosen"),
+            F.transform(F.slice(r["all"], r["n"] + 1, F.size(tokens)), low).alias("others")))
 
     def moved(chosen: Column, h: Column) -> Column:
-        return F.sort_array(F.transform(chosen, lambda s: F.struct(
-            position_hash(h["move"], s["i"]).alias("h"), s["i"].alias("i"), s["t"].alias("t"))))
+        return F.transform(F.sort_array(F.transform(chosen, lambda i: over(position_hash(h["move"], i), i))), low)
 
     def placed(s: Column, new: Column) -> Column:
-        # by position again: the chosen spots with their new tokens among the others
-        pairs = F.transform(s["chosen"], lambda c, j: F.struct(c["i"].alias("i"), F.get(new, j)["t"].alias("t")))
-        rest = F.transform(s["others"], lambda c: F.struct(c["i"].alias("i"), c["t"].alias("t")))
-        return F.transform(F.sort_array(F.concat(pairs, rest)), lambda c: c["t"])
+        # by position again: the chosen spots with the positions of their new tokens among the others
+        pairs = F.transform(s["chosen"], lambda i, j: over(i, F.get(new, j)))
+        rest = F.transform(s["others"], lambda i: over(i, i))
+        return F.transform(F.sort_array(F.concat(pairs, rest)), lambda v: F.get(tokens, low(v)))
 
     hashes = F.struct(hash32(seed, *key).alias("n"), hash32(f"{seed}-spot", *key).alias("spot"),
                       hash32(f"{seed}-move", *key).alias("move"))

@@ -371,3 +371,14 @@ def test_running_sums_over_sparse_ids(spark):
     got = prefix.ranged_running_sum(rows, ["g"], [F.col("id")], F.col("n"), "at").toPandas().sort_values(["g", "id"])
     want = got.groupby("g").n.cumsum() - got.n
     assert len(got) == 5000 and (got["at"] == want).all()
+
+
+def test_shuffled_tokens_are_moved_but_never_compared(spark):
+    rows = spark.range(20).select("id", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.create_map(i, i)).alias("t"))
+    moved = training.shuffle_words(F.col("t"), 0.5, "s", F.col("id"))
+    out = rows.select("id", F.transform(moved, lambda m: F.map_keys(m)[0]).alias("t"))
+    plain = rows.select("id", F.transform("t", lambda m: F.map_keys(m)[0]).alias("t"))
+    plain = plain.select("id", moved.alias("t"))
+    got = {r["id"]: r["t"] for r in out.collect()}
+    assert got == {r["id"]: r["t"] for r in plain.collect()}
+    assert all(sorted(t) == list(range(30)) for t in got.values()) and sum(t != list(range(30)) for t in got.values()) > 15
