@@ -9,17 +9,17 @@ line by line beyond it, as far as its first occurrence reads the same, and all b
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from findery.llm.common import Filter, codes, map_texts, mix64, passing, powers, stage, text_rows
+from findery.llm.common import Filter, codes, mix64, powers, stage, text_rows
 
 #: Words that the rolling hash covers.
 WINDOW = 2
@@ -31,6 +31,8 @@ LEAST_WORDS = 12
 SPARSE = 32
 
 
+#: Chunks whose hash occurs more often are common: no task holds all rows of one.
+COMMON = 1000
 #: Characters of texts that are read at once.
 AT_ONCE = 1 << 17
 
@@ -58,19 +60,23 @@ def _places(hashes: np.ndarray, segment: np.ndarray) -> np.ndarray:
 def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, number of the text, start and end of the chunks of several texts, in order."""
     c = codes("\n".join(texts))
-    blank = (c == 32) | ((c >= 9) & (c <= 13))
-    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    blank = np.flatnonzero(c <= 32)
+    kind = c[blank]
+    held = (kind == 32) | ((kind >= 9) & (kind <= 13))
+    blank, kind = blank[held], kind[held]
+    bounds = np.concatenate(([-1], blank, [len(c)]))
+    word = np.flatnonzero(np.diff(bounds) > 1)
+    starts, ends = bounds[word] + 1, bounds[word + 1]
     n = len(starts)
     if not n:
         return np.empty(0, np.int64), *(np.empty(0, np.int64) for _ in range(3))
     up, down = powers(len(c) + 1)
     sums = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum((c.astype(np.uint64) + np.uint64(977)) * up[: len(c)], out=sums[1:])
+    np.cumsum(np.multiply(c + np.uint32(977), up[: len(c)]), out=sums[1:])
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     origin = np.cumsum(size + 1) - size - 1
     text_of = np.searchsorted(origin, starts, "right") - 1
-    line = np.cumsum(c == 10)[starts]
+    line = np.concatenate(([0], np.cumsum(kind == 10)))[word]
     opens = np.concatenate(([True], line[1:] != line[:-1]))
     number = np.cumsum(opens) - 1
     firsts = np.flatnonzero(opens)
@@ -93,7 +99,8 @@ def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     low = np.concatenate((low, marks[:-1][bare]))
     high = np.concatenate((high, marks[1:][bare] - 1))
     low, high = np.where(short[low], firsts[number[low]], low), np.where(short[high], lasts[number[high]], high)
-    low, high = np.divmod(np.unique(low * n + high), n)
+    both = np.sort(low * n + high)
+    low, high = np.divmod(both[np.append(True, both[1:] != both[:-1])] if len(both) else both, n)
     a, b, of = starts[low], ends[high], text_of[low]
     hashes = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
     return hashes, of, a - origin[of], b - origin[of]
@@ -121,28 +128,53 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-BLANK = frozenset(" \t\n\v\f\r")
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def same_length(one: str, other: str) -> int:
-    """Characters both have in common from the start: whole words of the first line, whole lines after it."""
-    most = min(len(one), len(other))
-    if one[:most] == other[:most]:
-        n = most
-    else:
-        n = bisect_left(range(most), True, key=lambda i: one[: i + 1] != other[: i + 1])
-    line = one.find("\n")
-    while n:
-        if n < most and one[n - 1] not in BLANK and (
-                one[n] == other[n] == "\n" if 0 <= line < n else one[n] in BLANK and other[n] in BLANK):
-            return n
-        n -= 1
-    return 0
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, and where each begins and ends."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    texts = texts.cast(pa.large_string())
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset: texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), at
+
+
+def same_length(one: pa.Array, other: pa.Array, back: bool = False) -> np.ndarray:
+    """Characters that each text and its other have in common from the start, or ``back`` from the end: whole
+    words of the first line, whole lines after it. What follows them is a blank, or a line end, in both.
+    """
+    (a, a_at), (b, b_at) = _bytes(one), _bytes(other)
+    size = np.minimum(np.diff(a_at), np.diff(b_at))
+    out, until, first = np.zeros(len(size), np.int64), np.cumsum(size), 0
+    while first < len(size):
+        done = until[first] - size[first]
+        last = max(first + 1, int(np.searchsorted(until, done + AT_ONCE, "right")))
+        n, stop = size[first:last], until[first:last] - done
+        step = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        x, y = (t[np.repeat(at[first + 1: last + 1] - 1, n) - step if back else np.repeat(at[first:last], n) + step]
+                for t, at in ((a, a_at), (b, b_at)))
+        blank = BLANK[x]
+        edge = 1 + np.flatnonzero(blank[1:] & BLANK[y[1:]] & ~blank[:-1])
+        row = np.searchsorted(stop, edge, "right")
+        begin = (stop - n)[row]
+        differ, lines, chars = (np.concatenate(([0], np.cumsum(m))) for m in (x != y, x == 10, (x & 0xC0) != 0x80))
+        fits = (edge > begin) & (differ[edge] == differ[begin]) & (
+            (lines[edge] == lines[begin]) | (x[edge] == 10) & (y[edge] == 10))
+        edge, row, begin = edge[fits], row[fits], begin[fits]
+        longest = np.append(row[1:] != row[:-1], True)[: len(row)]
+        out[first + row[longest]] = (chars[edge] - chars[begin])[longest]
+        first = last
+    return out
 
 
 CHUNK = StructType([
-    StructField("hash", LongType()), StructField("start", LongType()), StructField("end", LongType()),
-    StructField("lead", LongType()), StructField("near", StringType())])
+    StructField("hash", LongType()), StructField("common", BooleanType()), StructField("start", LongType()),
+    StructField("before", StringType()), StructField("body", StringType()), StructField("behind", StringType())])
+#: What a chunk takes over from its first occurrence.
+KEPT = ["doc_id", "start", "before", "behind"]
+SPAN = ["start", "end", "copies", "keep_doc_id", "keep_start", "removed"]
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
@@ -154,26 +186,11 @@ def _hashes(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, StructType([StructField("hash", LongType())]))
 
 
-def _near(text: str, low: int, high: int) -> str:
-    """The text from low to high and a character more at both sides; a line end stands for the ends of the text."""
-    return ("" if low else "\n") + text[max(0, low - 1): high + 1] + ("" if high < len(text) else "\n")
-
-
-def _beyond(of: np.ndarray, at: np.ndarray, last: np.ndarray | int) -> np.ndarray:
-    """The next larger value of ``at`` within each text, or ``last``."""
-    order = of * (1 << 40) + at
-    known = np.unique(order)
-    following = np.searchsorted(known, order, "right")
-    there = following < len(known)
-    value = known[np.where(there, following, 0)]
-    same = there & ((value + (1 << 39)) >> 40 == of)
-    return np.where(same, value - of * (1 << 40), last)
-
+def _found(rows: DataFrame, wanted: Filter, common: Filter) -> DataFrame:
+    """(doc_id, hash, common, start, before, body, behind): wanted chunks, and the text around them.
 
-def _found(rows: DataFrame, wanted: Filter) -> DataFrame:
-    """(doc_id, hash, start, end, lead, near): chunks that the filter passes, in the text around them.
-
-    It goes from the last start before the chunk's own to the next end behind its own; ``lead`` characters precede the chunk.
+    ``before`` goes back to the last start before the chunk's own, ``behind`` on to the next end behind its own, each
+    with a character more; a line end stands for the ends of the text.
     """
     schema = StructType([rows.schema["doc_id"], *CHUNK.fields])
 
@@ -186,34 +203,74 @@ def _found(rows: DataFrame, wanted: Filter) -> DataFrame:
                 likely = np.flatnonzero(wanted.passes(hashes)) if len(hashes) else np.empty(0, np.int64)
                 if not len(likely):
                     continue
+                # chunks are in order of their starts
+                begins, closes = (of << 40) + starts, np.sort((of << 40) + ends)
+                last = np.searchsorted(begins, begins[likely]) - 1
+                following = np.searchsorted(closes, ((of << 40) + ends)[likely], "right")
+                of, starts, ends = of[likely], starts[likely], ends[likely]
                 size = np.fromiter(map(len, texts), np.int64, len(texts))[of]
-                low = _beyond(of, -starts, 0)
-                high = _beyond(of, ends, size)
-                low = np.where(low < 0, -low, 0)
-                near = [_near(texts[t], a, b) for t, a, b in zip(
-                    of[likely].tolist(), low[likely].tolist(), high[likely].tolist())]
-                lead = (starts - low + 1)[likely]
-                columns = [ids.take(pa.array(of[likely] + first)), pa.array(hashes[likely]), pa.array(starts[likely]),
-                           pa.array(ends[likely]), pa.array(lead), pa.array(near, pa.string())]
+                last = begins[np.maximum(last, 0)] - (of << 40)
+                following = closes[np.minimum(following, len(closes) - 1)] - (of << 40)
+                low = np.where((last >= 0) & (last < starts), last, 0)
+                high = np.where((following > ends) & (following <= size), following, size)
+                before, body, behind = [], [], []
+                for t, low_at, a, b, high_at in zip(*(x.tolist() for x in (of, low, starts, ends, high))):
+                    text = texts[t]
+                    before.append(text[low_at - 1: a] if low_at else "\n" + text[:a])
+                    body.append(text[a:b])
+                    behind.append(text[b: high_at + 1] if high_at < len(text) else text[b:] + "\n")
+                hashes = hashes[likely]
+                columns = [ids.take(pa.array(of + first)), pa.array(hashes), pa.array(common.passes(hashes)), pa.array(starts)]
+                columns += [pa.array(x, pa.string()) for x in (before, body, behind)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Likely chunks in their surroundings, and the occurrences of those that do occur again."""
+def _extended(met: DataFrame) -> DataFrame:
+    """Chunks that stand beside the one kept: the columns of SPAN, with ``low`` and ``high``, how far both read alike.
+
+    Columns of CHUNK go on for common chunks only.
+    """
+    stays = F.struct("doc_id", "start").eqNullSafe(F.struct("keep_doc_id", "keep_start"))
+    met = met.withColumns({"end": F.col("start") + F.length("body"), "removed": ~stays})
+    there = {f.name: f for f in met.schema.fields}
+    kept = [there[c] for c in ("doc_id", *SPAN)]
+    text = [StructField(c, there[c].dataType) for c in ("hash", "before", "body", "behind")]
+    schema = StructType([*kept, there["common"], *text, StructField("low", LongType()), StructField("high", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            left = same_length(batch.column("before"), batch.column("keep_before"), back=True)
+            right = same_length(batch.column("behind"), batch.column("keep_behind"))
+            common = batch.column("common")
+            columns = [*(batch.column(f.name) for f in kept), common]
+            columns += [pc.if_else(common, batch.column(f.name), None) for f in text]
+            columns += [pa.array(batch.column("start").to_numpy() - left), pa.array(batch.column("end").to_numpy() + right)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return met.mapInArrow(run, schema)
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Occurrences of chunks that occur again: doc_id, the columns of SPAN, low, high."""
     rows = text_rows(docs, id_col, text_col)
-    again = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = stage(_found(rows, Filter(again)), "line-chunks")
-    body = F.substring(F.col("near"), (F.col("lead") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    places = found.select("doc_id", "start", "end", "hash", body.alias("body"))
-    # grouping by the body compares bytes; partial sums keep a very common chunk small
-    groups = places.groupBy("hash", "body").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("keep")).where("copies > 1")
-    met = places.join(groups.hint("merge"), ["hash", "body"])
-    return found, met.select(
-        "doc_id", "start", "end", "copies", F.col("keep.doc_id").alias("keep_doc_id"),
-        F.col("keep.start").alias("keep_start"), (~F.struct("doc_id", "start").eqNullSafe(F.col("keep"))).alias("removed"))
+    again = stage(_hashes(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "line-hashes")
+    found = _found(rows, Filter(again.select("hash")), Filter(again.where(F.col("n") > COMMON).select("hash")))
+    # grouping by the body compares bytes; a common chunk's rows are dealt out one by one, and meet below
+    found = found.withColumn("spread", F.when(F.col("common"), F.xxhash64("doc_id", "start")))
+    group = Window.partitionBy("hash", "body", "spread").orderBy("doc_id", "start").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    met = found.select("*", F.count("*").over(group).alias("copies"), *[F.first(c).over(group).alias(f"keep_{c}") for c in KEPT])
+    met = stage(_extended(met.where("common or copies > 1")), "line-met")
+    common = met.where("common").select("doc_id", *CHUNK.names)
+    # partial minima and counts keep a common chunk small
+    first = common.groupBy("hash", "body").agg(F.count("*").alias("copies"), F.min(F.struct(*KEPT)).alias("keep"))
+    common = common.join(first.where("copies > 1").hint("merge"), ["hash", "body"])
+    common = _extended(common.select("*", *[F.col(f"keep.{c}").alias(f"keep_{c}") for c in KEPT]))
+    columns = ["doc_id", *SPAN, "low", "high"]
+    return met.where("not common").select(*columns).unionByName(common.select(*columns))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,75 +281,20 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts; of repeated rows (same id, same text) the chunks are the same occurrence. Nulls among the
     ids come first.
     """
-    return _repeats(docs, id_col, text_col)[1]
-
-
-SPAN = ["start", "end", "copies", "keep_doc_id", "keep_start", "removed"]
-
+    return _repeats(docs, id_col, text_col).select("doc_id", *SPAN)
 
-def _joined(spans: DataFrame, ends: bool) -> DataFrame:
-    """Spans that overlap and stand alike to one document, as one; with ``ends``, also its first and last chunk."""
-    # the spans of one document
-    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct(*SPAN)).alias("spans"))
-    more = [StructField("head", LongType()), StructField("tail", LongType())] if ends else []
-    schema = StructType([StructField(f.name, f.dataType) for f in spans.select(*SPAN).schema] + more)
 
-    def order(s: dict) -> tuple:
-        return s["removed"], s["keep_doc_id"] is not None, s["keep_doc_id"], s["keep_start"] - s["start"], s["start"], s["end"]
-
-    def one(found: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for s in sorted(found, key=order):
-            last = out[-1] if out else None
-            if last and order(s)[:4] == order(last)[:4] and s["start"] <= last["end"]:
-                if s["end"] > last["end"]:
-                    last["end"], last["tail"] = s["end"], s["start"]
-                last["copies"] = max(last["copies"], s["copies"])
-            else:
-                out.append({**s, "head": s["end"], "tail": s["start"]})
-        return out
-
-    def make() -> Callable[[list], dict]:
-        return lambda lists: {"joined": [one(x) for x in lists]}
-
-    merged = map_texts(listed, "spans", make, [StructField("joined", ArrayType(schema))])
-    return merged.select("doc_id", F.explode("joined").alias("j")).select("doc_id", "j.*")
-
-
-def _extended(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs of chunks (doc_id, the columns of SPAN, head, tail) with ``left`` and ``right``: by how many
-    characters they and their first occurrence go on alike.
-
-    Head is the end of the first chunk, tail the start of the last one.
-    """
-    shift = F.col("keep_start") - F.col("start")
-    runs = runs.withColumn("run", F.struct("doc_id", "start", "end", "keep_doc_id", "keep_start"))
-    asked = []
-    for right, a, b in ((False, F.col("start"), F.col("head")), (True, F.col("tail"), F.col("end"))):
-        for mine, doc, by in ((True, "doc_id", F.lit(0)), (False, "keep_doc_id", shift)):
-            asked.append(runs.select(F.struct(F.col(doc).alias("doc_id"), (a + by).alias("start"), (b + by).alias("end")
-                                              ).alias("place"), "run", F.lit(right).alias("right"), F.lit(mine).alias("mine")))
-    wanted = stage(asked[0].union(asked[1]).union(asked[2]).union(asked[3]), "line-edges")
-    key = F.xxhash64("place")
-    held = found.select(F.struct("doc_id", "start", "end").alias("place"), "lead", "near",
-                        (F.col("end") - F.col("start")).alias("size")).withColumn("key", key)
-    held = passing(held.select("key", "place.*", "lead", "near", "size"), "key", Filter(wanted.select(key.alias("key"))))
-    held = held.select(F.struct("doc_id", "start", "end").alias("place"), "lead", "near", "size").dropDuplicates(["place"])
-    before = F.reverse(F.substring(F.col("near"), F.lit(1), F.col("lead").cast("int")))
-    behind = F.substring(F.col("near"), (F.col("lead") + F.col("size") + 1).cast("int"), F.length("near"))
-    sides = wanted.join(held.hint("merge"), "place").select(
-        "run", "right", "mine", F.when(F.col("right"), behind).otherwise(before).alias("beside"))
-    pairs = sides.groupBy("run", "right").agg(
-        F.max(F.when(F.col("mine"), F.col("beside"))).alias("one"), F.max(F.when(~F.col("mine"), F.col("beside"))).alias("other"))
-
-    def make() -> Callable[[list], dict]:
-        return lambda both: {"same": [same_length(x["one"], x["other"]) for x in both]}
-
-    same = map_texts(pairs.select("run", "right", F.struct("one", "other").alias("both")), "both", make,
-                     [StructField("same", LongType())])
-    same = same.groupBy("run").agg(F.max(F.when(~F.col("right"), F.col("same"))).alias("left"),
-                                   F.max(F.when(F.col("right"), F.col("same"))).alias("right"))
-    return runs.join(same.hint("merge"), "run").drop("run")
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans that overlap and stand alike to one document, as one that goes from its least ``low`` to its largest ``high``."""
+    alike = ["doc_id", "removed", "keep_doc_id", "shift"]
+    order = Window.partitionBy(*alike).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("start") <= reach, 0).otherwise(1)
+    runs = spans.withColumn("shift", F.col("keep_start") - F.col("start")).withColumn("opens", opens).withColumn(
+        "run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*alike, "run").agg(
+        F.min("low").alias("start"), F.max("high").alias("end"), F.max("copies").alias("copies"))
+    return runs.withColumn("keep_start", F.col("start") + F.col("shift")).select("doc_id", *SPAN)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,19 +305,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep_start; the others, which stay, name their own place. Copies are those of the most frequent
     chunk. Documents of one id have one text.
     """
-    found, chunks_met = _repeats(docs, id_col, text_col)
-    runs = stage(_joined(chunks_met.where("removed"), True), "line-runs")
-    long = stage(_extended(found, runs), "line-extended")
-    later = long.select(
-        "doc_id", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
-        "copies", "keep_doc_id", (F.col("keep_start") - F.col("left")).alias("keep_start"), F.lit(True).alias("removed"))
+    # no chunk of a run reads alike beyond the next one's edge, so the ends of a run are those of its outer chunks
+    later = stage(_joined(_repeats(docs, id_col, text_col).where("removed")), "line-runs")
     first = later.select(
         F.col("keep_doc_id").alias("doc_id"), F.col("keep_start").alias("start"),
         (F.col("keep_start") + F.col("end") - F.col("start")).alias("end"), "copies")
     first = first.groupBy("doc_id", "start", "end").agg(F.max("copies").alias("copies"))
     first = first.select("*", F.col("doc_id").alias("keep_doc_id"), F.col("start").alias("keep_start"),
                          F.lit(False).alias("removed"))
-    return _joined(later.unionByName(first), False)
+    return _joined(later.unionByName(first).withColumns({"low": F.col("start"), "high": F.col("end")}))
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

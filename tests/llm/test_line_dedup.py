@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from findery.llm import line_dedup
 from findery.session import table
 from tests.llm.conftest import make_docs
@@ -101,3 +103,50 @@ def test_passages_of_short_lines_come_out_whole(spark):
     for k in range(60):
         assert cut[2 * k] == rows[2 * k][1]
         assert cut[2 * k + 1].split("\n") == [*lines(f"a{k}1", 5), *lines(f"b{k}1", 4)]
+
+
+def test_common_chunks_meet_like_rare_ones(spark, sf01, monkeypatch):
+    docs = table(spark, sf01, "documents")
+    rare = {tuple(r) for r in line_dedup.repeated_passages(docs).collect()}
+    monkeypatch.setattr(line_dedup, "COMMON", 2)
+    got = line_dedup.repeated_chunks(docs)
+    rows = [tuple(r) for r in got.select("doc_id", "start", "end", "copies", "keep_doc_id", "keep_start", "removed").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(docs) and any(r[3] > 2 for r in rows) and any(r[3] == 2 for r in rows)
+    assert {tuple(r) for r in line_dedup.repeated_passages(docs).collect()} == rare
+
+
+def plain_length(one, other):
+    most, blank, best = min(len(one), len(other)), " \t\n\v\f\r", 0
+    for n in range(1, most):
+        if one[:n] == other[:n] and one[n - 1] not in blank and (
+                one[n] == other[n] == "\n" if "\n" in one[:n] else one[n] in blank and other[n] in blank):
+            best = n
+    return best
+
+
+def test_same_length_equals_its_definition(monkeypatch):
+    draw, one, other = random.Random(1), [], []
+    for _ in range(5000):
+        text = "".join(draw.choices("ab \n\té文\U0001f600 c", k=draw.randint(0, 14)))
+        one.append(text)
+        other.append(text[:draw.randint(0, len(text))] + "".join(draw.choices("ab \né", k=draw.randint(0, 6))))
+    want = [plain_length(a, b) for a, b in zip(one, other)]
+    assert sum(map(bool, want)) > 500
+    for at_once in (line_dedup.AT_ONCE, 20):
+        monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+        assert line_dedup.same_length(pa.array(one), pa.array(other)).tolist() == want
+        assert line_dedup.same_length(pa.array(one).slice(9), pa.array(other).slice(9)).tolist() == want[9:]
+        back = [pa.array([t[::-1] for t in texts]) for texts in (one, other)]
+        assert line_dedup.same_length(*back, back=True).tolist() == want
+
+
+def test_text_is_moved_a_few_times_only(spark, sf01, monkeypatch):
+    plans, stage = [], line_dedup.stage
+
+    def noted(df, label):
+        plans.append(df)
+        return stage(df, label)
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    plans.append(line_dedup.repeated_passages(table(spark, sf01, "documents")))
+    assert sum(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in plans) <= 8
