@@ -33,6 +33,8 @@ SPARSE = 32
 
 #: Chunks whose hash occurs more often are common: no task holds all rows of one.
 COMMON = 1000
+#: Rows of a common chunk are dealt out so many times, which its first occurrence follows.
+DEALS = 16
 #: Characters of texts that are read at once.
 AT_ONCE = 1 << 17
 
@@ -267,7 +269,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     common = met.where("common").select("doc_id", *CHUNK.names)
     # partial minima and counts keep a common chunk small
     first = common.groupBy("hash", "body").agg(F.count("*").alias("copies"), F.min(F.struct(*KEPT)).alias("keep"))
-    common = common.join(first.where("copies > 1").hint("merge"), ["hash", "body"])
+    first = first.where("copies > 1").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    common = common.withColumn("deal", F.pmod(F.hash("doc_id", "start"), F.lit(DEALS)))
+    common = common.join(first.hint("merge"), ["hash", "body", "deal"])
     common = _extended(common.select("*", *[F.col(f"keep.{c}").alias(f"keep_{c}") for c in KEPT]))
     columns = ["doc_id", *SPAN, "low", "high"]
     return met.where("not common").select(*columns).unionByName(common.select(*columns))
