@@ -259,7 +259,8 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Occurrences of chunks that occur again: doc_id, the columns of SPAN, low, high."""
     rows = text_rows(docs, id_col, text_col)
     again = stage(_hashes(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "line-hashes")
-    found = _found(rows, Filter(again.select("hash")), Filter(again.where(F.col("n") > COMMON).select("hash")))
+    wanted = Filter(again.select("hash"), again.count())
+    found = _found(rows, wanted, Filter(again.where(F.col("n") > COMMON).select("hash")))
     # grouping by the body compares bytes; a common chunk's rows are dealt out one by one, and meet below
     found = found.withColumn("spread", F.when(F.col("common"), F.xxhash64("doc_id", "start")))
     group = Window.partitionBy("hash", "body", "spread").orderBy("doc_id", "start").rowsBetween(

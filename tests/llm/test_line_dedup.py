@@ -1,9 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
-from findery.llm import line_dedup
+from findery.llm import common, line_dedup
 from findery.session import table
 from tests.llm.conftest import make_docs
 
@@ -150,3 +151,13 @@ def test_text_is_moved_a_few_times_only(spark, sf01, monkeypatch):
     monkeypatch.setattr(line_dedup, "stage", noted)
     plans.append(line_dedup.repeated_passages(table(spark, sf01, "documents")))
     assert sum(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in plans) <= 8
+
+
+def test_filter_grows_with_its_values(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 16)
+    hashes = [r[0] for r in spark.range(60_000).selectExpr("xxhash64(id)").collect()]
+    held, others = np.array(hashes[:30_000]), np.array(hashes[30_000:])
+    values = spark.createDataFrame([(h,) for h in hashes[:30_000]], "hash long")
+    narrow, wide = common.Filter(values), common.Filter(values, 30_000)
+    assert narrow.passes(held).all() and wide.passes(held).all()
+    assert wide.passes(others).mean() < 0.13 < narrow.passes(others).mean()
