@@ -4,6 +4,8 @@
   the corpus is scanned, and every task keeps a running top-k. Many blocks share a scan: a task
   holds a chunk of vectors while the blocks pass over it. A score bar from a few partitions keeps
   what the tasks ship small;
+* so many queries that their best rows outweigh the vectors -> the blocks are gathered in cells, every
+  cell has a task that all vectors of the scan pass, and a query is finished there: its rows stay where they are;
 * many queries over few vectors (centroids, say) -> broadcast those and finish each query row in
   place: no shuffle at all.
 
@@ -23,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +43,10 @@ SCAN_BYTES, CHUNK_BYTES = 2 << 30, 64 << 20
 BAR_PARTITIONS = 16
 #: Scores a task makes at once; choosing among them takes about ten times their bytes.
 _SCORE_BLOCK = 1 << 20
+#: Queries of a cell that are scored together; a cell has so many at least, and more where each core has so many cells.
+TILE, CELL_QUERIES, CORE_CELLS = 64, 1 << 10, 4
+#: Bytes of a candidate that is shipped.
+_HIT_BYTES = 24
 
 #: (list, query positions, block of vectors or codes) -> scores, and a length for each row of the block
 Scorer = Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -122,25 +129,38 @@ def pack_if_small(
     return pack(df, id_col, vec_col) if n * (8 * dim + 8) <= max_bytes else None
 
 
+def queries_within(max_bytes: int, dim: int, k: int, extra_bytes: int = 0) -> int:
+    """How many queries with k best rows and ``extra_bytes`` each fit the budget, one at least."""
+    return max(1, max_bytes // (8 * dim + 8 + 16 * k + extra_bytes))
+
+
 def block_size(
     queries: DataFrame, vec_col: str, k: int, max_bytes: int = BROADCAST_BYTES, extra_bytes: int = 0,
 ) -> tuple[int, int]:
     """How many queries there are, and how many of them with k best rows and ``extra_bytes`` each fit the budget."""
     n, dim = _measure(queries, vec_col)
-    return n, max(1, max_bytes // (8 * dim + 8 + 16 * k + extra_bytes))
+    return n, queries_within(max_bytes, dim, k, extra_bytes)
 
 
 def query_blocks(
     queries: DataFrame, query_col: str, vec_col: str, k: int, max_bytes: int = BROADCAST_BYTES, extra_bytes: int = 0,
 ) -> Iterator[Packed]:
-    """The queries as arrays, in blocks that fit the budget; the driver holds one at a time."""
-    n, block = block_size(queries, vec_col, k, max_bytes, extra_bytes)
+    """The queries as arrays, in blocks that fit the budget.
+
+    The driver reads one block at a time, of small ones as many as BROADCAST_BYTES hold: a job for each of them would
+    cost more than its search.
+    """
+    n, dim = _measure(queries, vec_col)
+    block = queries_within(max_bytes, dim, k, extra_bytes)
     if n <= block:
         yield pack(queries, query_col, vec_col)
         return
     numbered = materialize(ranked_rows(queries.select(query_col, vec_col), [], [F.col(query_col)], "_n"))
-    for start in range(0, n, block):
-        yield pack(numbered.where(F.col("_n").between(start + 1, start + block)), query_col, vec_col)
+    step = block * max(1, BROADCAST_BYTES // (block * (8 * dim + 8)))
+    for start in range(0, n, step):
+        some = pack(numbered.where(F.col("_n").between(start + 1, start + step)), query_col, vec_col)
+        for at in range(0, some.rows, block):
+            yield Packed(some.ids[at: at + block], some.matrix[at: at + block])
 
 
 def rank_in_group(q: np.ndarray) -> np.ndarray:
@@ -176,7 +196,15 @@ class RunningTopK:
         if scores.size == 0:
             return
         near = self.lengths[rows] * (scale.max() * 2.0 ** (3 - GRID_BITS)) if self.digits is None else 10.0 ** -self.digits
-        r, j = np.nonzero(scores >= (self.bar[rows] - near)[:, None])
+        floor = self.bar[rows] - near
+        fresh = np.flatnonzero(np.isneginf(floor))
+        if scores.shape[1] > self.k and len(fresh):
+            # no bar yet: the block's own k-th score, lowered by what rounding and a tie may move
+            top = np.partition(scores[fresh], scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k:]
+            last = np.minimum(top[:, 0], np.finfo(np.float64).max)
+            lowered = last - 2 * np.broadcast_to(near, len(rows))[fresh] - 1e-15 * np.abs(last)
+            floor[fresh] = np.where(np.isnan(top).any(axis=1), -np.inf, lowered)  # NaN sorts above all scores
+        r, j = np.nonzero(scores >= floor[:, None])
         if not len(r):
             return
         value = comparable(scores[r, j], self.lengths[rows][r], scale[j], self.digits)
@@ -203,10 +231,10 @@ class RunningTopK:
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, score, id) of all rows kept, each query's best first."""
-        q, at = np.nonzero(self.scores > -np.inf)
-        s, i = self.scores[q, at], self.ids[q, at]
-        order = np.lexsort((i, -s, q))
-        return q[order], s[order], i[order]
+        order = np.lexsort((self.ids, -self.scores), axis=1)
+        s, i = np.take_along_axis(self.scores, order, 1), np.take_along_axis(self.ids, order, 1)
+        q, at = np.nonzero(s > -np.inf)
+        return q, s[q, at], i[q, at]
 
 
 def row_blocks(n_rows: int, n_queries: int) -> Iterator[slice]:
@@ -288,10 +316,10 @@ def scan_topk(
 
 
 def scan_blocks(
-    vectors: DataFrame, blocks: list[Broadcast], k: int, id_col: str, vec_col: str, query_col: str = "query_id",
+    vectors: DataFrame, cells: list[Broadcast], block: int, k: int, id_col: str, vec_col: str, query_col: str = "query_id",
     bars: list[np.ndarray] | None = None, stride: int = 1, digits: int | None = None,
 ) -> DataFrame:
-    """Candidates of many query blocks, each a broadcast (ids, matrix), over a single scan of ``vectors``.
+    """Candidates of many query blocks over a single scan of ``vectors``; a cell is a broadcast (ids, matrix) of blocks.
 
     A task holds CHUNK_BYTES of vectors and lets one block after the other pass over them; what a block finds
     in a chunk is put out at once, so neither the blocks nor their best rows are held together.
@@ -300,41 +328,100 @@ def scan_blocks(
 
     def found(ids: np.ndarray, mat: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = lengths(mat)
-        for at, shared in enumerate(blocks):
-            qids, qmat = shared.value
-            running = RunningTopK(lengths(qmat), k, None if floors.value is None else floors.value[at], digits)
-            everyone = np.arange(len(qids))
-            for part in row_blocks(len(ids), len(qids)):
-                running.offer(everyone, qmat @ mat[part].T, ids[part], sizes[part])
-            q, s, i = running.best()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[q]), pa.array(i), pa.array(s)], names=[query_col, id_col, "score"])
+        for at, shared in enumerate(cells):
+            every_id, every = shared.value
+            for start in range(0, len(every_id), block):
+                qids, qmat = every_id[start: start + block], every[start: start + block]
+                bar = None if floors.value is None else floors.value[at][start: start + block]
+                running, everyone = RunningTopK(lengths(qmat), k, bar, digits), np.arange(len(qids))
+                for part in row_blocks(len(ids), len(qids)):
+                    running.offer(everyone, qmat @ mat[part].T, ids[part], sizes[part])
+                q, s, i = running.best()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[q]), pa.array(i), pa.array(s)], names=[query_col, id_col, "score"])
             if getattr(shared, "_path", None):
                 vars(shared).pop("_value", None)  # read again from the executor's disk for the next chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if TaskContext.get().partitionId() % stride:
             return
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1))))
-            size += held[-1][1].nbytes
-            if size >= CHUNK_BYTES:
-                yield from found(*(np.concatenate(x) for x in zip(*held)))
-                held, size = [], 0
-        if held:
-            yield from found(*(np.concatenate(x) for x in zip(*held)))
+        for ids, mat, _ in chunks(batches):
+            yield from found(ids, mat)
 
     chosen = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
     return chosen.mapInArrow(run, f"{query_col} long, {id_col} long, score double")
 
 
-def scan_stride(vectors: DataFrame) -> int | None:
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(ids, matrix, is the last one) of about CHUNK_BYTES of vectors each, from batches of (id, vector, ...)."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        if size >= CHUNK_BYTES:
+            yield *(np.concatenate(x) for x in zip(*held)), False
+            held, size = [], 0
+        held.append((batch.column(0).to_numpy(zero_copy_only=False), list_matrix(batch.column(1))))
+        size += held[-1][1].nbytes
+    if held:
+        yield *(np.concatenate(x) for x in zip(*held)), True
+
+
+def dealt_topk(
+    vectors: DataFrame, cells: list[Broadcast], k: int, id_col: str, vec_col: str, query_col: str = "query_id",
+    digits: int | None = None,
+) -> DataFrame:
+    """Ranked best k of each query row: a cell, a broadcast (ids, matrix), has a task, and all vectors pass every task.
+
+    A task holds CHUNK_BYTES of vectors at a time. While there are more to come it keeps k best rows of each query
+    of its cell; with the last chunk the queries are finished tile by tile.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: set[int] = set()
+
+        def checked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own.update(pc.unique(batch.column(2)).to_pylist())
+                if len(own) > 1:
+                    raise ValueError("a task has one cell of queries")
+                yield batch
+
+        qids, state = None, {}
+        for ids, mat, last in chunks(checked()):
+            if qids is None:
+                shared = cells[min(own)]
+                qids, qmat = shared.value
+                if getattr(shared, "_path", None):
+                    vars(shared).pop("_value", None)
+            sizes = lengths(mat)
+            for start in range(0, len(qids), TILE):
+                asking = qmat[start: start + TILE]
+                running = state.pop(start, None) or RunningTopK(lengths(asking), k, digits=digits)
+                for part in row_blocks(len(ids), TILE):
+                    running.offer(np.arange(len(asking)), asking @ mat[part].T, ids[part], sizes[part])
+                if not last:
+                    state[start] = running
+                    continue
+                q, s, i = running.best()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[start + q]), pa.array(1 + rank_in_group(q)), pa.array(i), pa.array(s)],
+                    names=[query_col, "rank", id_col, "score"])
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))).alias("c")
+    dealt = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"), each)
+    return dealt.repartitionById(len(cells), "c").mapInArrow(
+        run, f"{query_col} long, rank long, {id_col} long, score double")
+
+
+def scan_parts(vectors: DataFrame) -> int:
+    """Partitions of a scan, as far as the last one with rows."""
+    last = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def scan_stride(parts: int) -> int | None:
     """Every how many partitions one is read for the bars; None where there are too few to need any."""
-    parts = vectors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
-    return None if parts is None or parts + 1 < BAR_PARTITIONS else math.isqrt(parts + 1)
+    return None if parts < BAR_PARTITIONS else math.isqrt(parts)
 
 
 def kth_scores(some: DataFrame, ids: np.ndarray, k: int, id_col: str, query_col: str) -> np.ndarray:
@@ -353,7 +440,7 @@ def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how)
     ships about ``sqrt(P) * k`` rows per query instead of ``P * k``. Few partitions
     need no bar.
     """
-    stride = scan_stride(vectors) if queries.rows else None
+    stride = scan_stride(scan_parts(vectors)) if queries.rows else None
     if stride is None:
         return None
     some = scan_topk(vectors, queries, k, *names, stride=stride, **how)
@@ -362,34 +449,60 @@ def entry_bars(vectors: DataFrame, queries: Packed, k: int, *names: str, **how)
 
 def blocks_topk(
     vectors: DataFrame, blocks: Iterator[Packed], k: int, id_col: str, vec_col: str, query_col: str,
-    scan_bytes: int = SCAN_BYTES, digits: int | None = None,
-) -> list[DataFrame]:
-    """Candidates of many query blocks: as many blocks as fit ``scan_bytes`` share one scan (and one for their bars).
+    n_queries: int, block: int, scan_bytes: int = SCAN_BYTES, digits: int | None = None,
+) -> DataFrame:
+    """Best k of many query blocks: as many blocks as fit ``scan_bytes`` share one scan (and one for their bars).
 
-    Blocks go to the executors' disks one by one as broadcasts of bounded size; the driver keeps ids only.
+    Blocks go to the executors' disks as broadcasts of bounded size, cells of blocks; the driver keeps ids only. Few
+    queries go to the vectors. Where the rows that tasks would ship outweigh a copy of the vectors for each cell,
+    the vectors go to the cells.
     """
-    sc, stride, out = vectors.sparkSession.sparkContext, scan_stride(vectors), []
-
-    def scanned(shared: list[Broadcast], ids: list[np.ndarray]) -> DataFrame:
+    sc, parts = vectors.sparkSession.sparkContext, scan_parts(vectors)
+    n_vectors, dim = _measure(vectors, vec_col)
+    stride, cores = scan_stride(parts), sc.defaultParallelism
+    even = max(CELL_QUERIES, -(-n_queries // (CORE_CELLS * cores)))
+    most = min(queries_within(BROADCAST_BYTES, dim, k), scan_bytes // max(1, 8 * dim))
+    size = block * max(1, min(-(-even // block), most // block))  # queries of a cell: whole blocks
+    n_cells = -(-n_queries // size)
+    shipped = n_queries * min(n_vectors, k * (parts if stride is None else 2 * stride)) * _HIT_BYTES
+    dealt = n_cells >= min(parts, cores) and n_cells * n_vectors * (8 * dim + 8) <= shipped
+
+    def scanned(cells: list[Broadcast], ids: list[np.ndarray]) -> DataFrame:
+        if dealt:
+            return dealt_topk(vectors, cells, k, id_col, vec_col, query_col, digits)
         bars = None
         if stride is not None:
             every = np.concatenate(ids)  # blocks follow the order of the ids
-            some = scan_blocks(vectors, shared, k, id_col, vec_col, query_col, stride=stride, digits=digits)
+            some = scan_blocks(vectors, cells, block, k, id_col, vec_col, query_col, stride=stride, digits=digits)
             whole = kth_scores(some, every, k, id_col, query_col)
             bars = np.split(whole, np.cumsum([len(x) for x in ids])[:-1])
-        return scan_blocks(vectors, shared, k, id_col, vec_col, query_col, bars, digits=digits)
-
-    shared, ids, size = [], [], 0
-    for block in blocks:
-        shared.append(sc.broadcast((block.ids, block.matrix)))
-        ids.append(block.ids)
-        size += block.matrix.nbytes
-        if size >= scan_bytes:
-            out.append(scanned(shared, ids))
-            shared, ids, size = [], [], 0
-    if shared:
-        out.append(scanned(shared, ids))
-    return out
+        return scan_blocks(vectors, cells, block, k, id_col, vec_col, query_col, bars, digits=digits)
+
+    out, cells, ids, held, taken, last, unique = [], [], [], [], 0, None, True
+
+    def close() -> None:
+        nonlocal held, last, unique
+        whole = Packed(*(np.concatenate(x) for x in zip(*((b.ids, b.matrix) for b in held))))
+        cells.append(sc.broadcast((whole.ids, whole.matrix)))
+        ids.append(whole.ids)
+        unique = unique and last != whole.ids[0] and bool((whole.ids[1:] != whole.ids[:-1]).all())
+        last, held = whole.ids[-1], []
+
+    for one in blocks:
+        held.append(one)
+        taken += one.matrix.nbytes
+        if len(held) * block >= size or taken >= scan_bytes:
+            close()
+        if taken >= scan_bytes:
+            out.append(scanned(cells, ids))
+            cells, ids, taken = [], [], 0
+    if held:
+        close()
+    if cells:
+        out.append(scanned(cells, ids))
+    hits = reduce(DataFrame.unionByName, out)
+    # rows of one query id meet in the final cut; a cell has ranked each of its rows by itself
+    return hits if dealt and unique else best_per_query(hits, k, query_col, id_col)
 
 
 def barred_topk(vectors: DataFrame, queries: Packed, k: int, *names: str, **how) -> DataFrame:
@@ -478,7 +591,8 @@ def knn_flat(
     """Exact inner-product top-k of every query over every vector.
 
     Beyond one block of queries (``max_bytes``) a small vector table is broadcast instead; over a large one many
-    blocks (``scan_bytes`` of query vectors) share a scan. What is shuffled stays in proportion to queries x k.
+    blocks (``scan_bytes`` of query vectors) share a scan. What is shuffled stays in proportion to queries x k, or is
+    the vectors once for each cell of queries where that is less.
     ``digits`` compares scores rounded to so many decimals, not on the grid of the lengths.
     """
     n, block = block_size(queries, query_vec, k, max_bytes)
@@ -488,6 +602,5 @@ def knn_flat(
     if (small := pack_if_small(vectors, id_col, vec_col, max_bytes)) is not None:
         done = row_topk(queries, query_col, query_vec, small, k, id_col, digits=digits)
         return done.select(query_col, "rank", id_col, "score")
-    hits = blocks_topk(vectors, query_blocks(queries, query_col, query_vec, k, max_bytes), k, id_col, vec_col, query_col,
-                       scan_bytes, digits)
-    return best_per_query(reduce(DataFrame.unionByName, hits), k, query_col, id_col)
+    return blocks_topk(vectors, query_blocks(queries, query_col, query_vec, k, max_bytes), k, id_col, vec_col, query_col,
+                       n, block, scan_bytes, digits)

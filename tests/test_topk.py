@@ -328,3 +328,78 @@ def test_choosing_the_best_holds_little_beside_the_vectors():
     tracemalloc.stop()
     assert most < 160 << 20
     assert running.best()[2].reshape(400, 100).tolist() == np.argsort(-(qs @ vecs.T), axis=1)[:, :100].tolist()
+
+
+def test_small_blocks_of_queries_are_read_together(spark, data, monkeypatch):
+    vecs, _ = data
+    q = frame(spark, range(60), vecs[:60], "query_id", "query_emb").repartition(4)
+    real, reads = topk.pack, []
+    monkeypatch.setattr(topk, "pack", lambda *a: reads.append(real(*a)) or reads[-1])
+    budget = 3 * (8 * 16 + 8 + 16 * 25)
+    for read, sizes in ((topk.BROADCAST_BYTES, [60]), (7 * (8 * 16 + 8), [6] * 10)):  # whole blocks of a read
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", read)
+        reads.clear()
+        blocks = list(topk.query_blocks(q, "query_id", "query_emb", 25, budget))
+        assert [r.rows for r in reads] == sizes
+        assert [b.rows for b in blocks] == [3] * 20
+        assert np.array_equal(np.concatenate([b.ids for b in blocks]), np.arange(60))
+        assert np.array_equal(np.concatenate([b.matrix for b in blocks]), vecs[:60])
+
+
+@pytest.fixture
+def deep(spark, data, tmp_path, monkeypatch):
+    """Vectors in a file of six parts, and small cells: six at least, so that their tasks are as many."""
+    vecs, _ = data
+    frame(spark, range(600), vecs, "vec_id", "embedding").repartition(6).write.parquet(str(tmp_path / "v"))
+    monkeypatch.setattr(topk, "pack_if_small", lambda *_: None)
+    monkeypatch.setattr(topk, "CELL_QUERIES", 7)
+    return spark.read.parquet(str(tmp_path / "v")), 3 * (8 * 16 + 8 + 16 * 100)
+
+
+def test_deep_answers_are_finished_where_they_are_found(spark, data, deep, monkeypatch):
+    vecs, (v, budget) = data[0], deep
+    qs = np.random.default_rng(8).normal(size=(60, 16))
+    q = frame(spark, range(60), qs, "query_id", "query_emb")
+    monkeypatch.setattr(topk, "TILE", 4)
+    found = topk.knn_flat(q, v, 100, max_bytes=budget)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("FileScan parquet") == 1
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    assert rows(found) == brute(qs, vecs, 100)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 40 * 16 * 8)  # best rows are kept from chunk to chunk
+    assert rows(topk.knn_flat(q, v.repartition(6), 100, max_bytes=budget, digits=9)) == brute(qs, vecs, 100)
+    several = topk.knn_flat(q, v, 100, max_bytes=budget, scan_bytes=15 * 16 * 8)
+    assert several._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 4
+    assert rows(several) == brute(qs, vecs, 100)
+
+
+def test_rows_of_one_query_id_share_its_deep_answer(spark, data, deep):
+    vecs, (v, budget) = data[0], deep
+    qs = np.random.default_rng(9).normal(size=(60, 16))
+    ids = sorted([0, 0, 0, 0, 0, 1, 2, 3] + list(range(4, 30)) * 2)  # some come twice, one fills more than a block
+    got = topk.knn_flat(frame(spark, ids, qs, "query_id", "query_emb"), v, 100, max_bytes=budget, digits=9)
+    want = []
+    scores = topk.rounded(qs @ vecs.T, 9)
+    for one in set(ids):
+        mine = sorted((-s, i) for at, other in enumerate(ids) if other == one for i, s in enumerate(scores[at]))
+        want += [(one, n + 1, i) for n, (_, i) in enumerate(mine[:100])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("digits", [None, 9])
+def test_the_first_bar_of_a_block_loses_no_row(digits):
+    rng = np.random.default_rng(10)
+    vecs = rng.integers(-2, 3, size=(500, 4)) / 7.0  # few scores, so ties at every depth
+    qs = rng.integers(-2, 3, size=(20, 4)) / 3.0
+    scores, sizes = qs @ vecs.T, topk.lengths(vecs)
+    spoiled = scores.copy()
+    spoiled[:, ::9] = np.nan  # sorted above all numbers, but never among the best
+    for given in (scores, spoiled):
+        running = topk.RunningTopK(topk.lengths(qs), 30, digits=digits)
+        running.offer(np.arange(20), given, np.arange(500), sizes)
+        q, s, i = running.best()
+        for one in range(20):
+            near = topk.comparable(given[one], topk.lengths(qs)[one], sizes, digits)
+            left = [x for x in range(500) if not np.isnan(near[x])]
+            want = sorted(left, key=lambda x: (-near[x], x))[:30]
+            assert i[q == one].tolist() == want and s[q == one].tolist() == near[want].tolist()
