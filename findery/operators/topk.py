@@ -453,19 +453,29 @@ def blocks_topk(
 ) -> DataFrame:
     """Best k of many query blocks: as many blocks as fit ``scan_bytes`` share one scan (and one for their bars).
 
-    Blocks go to the executors' disks as broadcasts of bounded size, cells of blocks; the driver keeps ids only. Few
-    queries go to the vectors. Where the rows that tasks would ship outweigh a copy of the vectors for each cell,
+    Blocks go to the executors' disks as broadcasts of bounded size, cells of small blocks or pieces of large ones; the
+    driver keeps ids only. Few queries go to the vectors. Where the rows that tasks would ship outweigh a copy of the vectors for each cell,
     the vectors go to the cells.
     """
     sc, parts = vectors.sparkSession.sparkContext, scan_parts(vectors)
     n_vectors, dim = _measure(vectors, vec_col)
     stride, cores = scan_stride(parts), sc.defaultParallelism
-    even = max(CELL_QUERIES, -(-n_queries // (CORE_CELLS * cores)))
-    most = min(queries_within(BROADCAST_BYTES, dim, k), scan_bytes // max(1, 8 * dim))
-    size = block * max(1, min(-(-even // block), most // block))  # queries of a cell: whole blocks
-    n_cells = -(-n_queries // size)
+    copy = max(1, n_vectors * (8 * dim + 8))
     shipped = n_queries * min(n_vectors, k * (parts if stride is None else 2 * stride)) * _HIT_BYTES
-    dealt = n_cells >= min(parts, cores) and n_cells * n_vectors * (8 * dim + 8) <= shipped
+    most = max(1, min(queries_within(BROADCAST_BYTES, dim, k), scan_bytes // max(1, 8 * dim)))
+
+    def whole_blocks(wanted: int) -> int:
+        return block * max(1, min(-(-wanted // block), most // block))
+
+    # queries of a cell: for every core, but no more copies than the rows that they spare
+    even = max(min(CELL_QUERIES, -(-n_queries // cores)), -(-n_queries // (CORE_CELLS * cores)),
+               -(-n_queries // max(1, shipped // copy)))
+    even = min(even, most)
+    size = whole_blocks(even) if even >= block else even
+    n_cells = -(-n_queries // size)
+    dealt = 2 * n_cells >= min(parts, cores) and n_cells * copy <= shipped
+    size = size if dealt else whole_blocks(CELL_QUERIES)
+    piece = min(size, block)
 
     def scanned(cells: list[Broadcast], ids: list[np.ndarray]) -> DataFrame:
         if dealt:
@@ -482,20 +492,21 @@ def blocks_topk(
 
     def close() -> None:
         nonlocal held, last, unique
-        whole = Packed(*(np.concatenate(x) for x in zip(*((b.ids, b.matrix) for b in held))))
-        cells.append(sc.broadcast((whole.ids, whole.matrix)))
-        ids.append(whole.ids)
-        unique = unique and last != whole.ids[0] and bool((whole.ids[1:] != whole.ids[:-1]).all())
-        last, held = whole.ids[-1], []
+        whole = [np.concatenate(x) for x in zip(*held)]
+        cells.append(sc.broadcast(tuple(whole)))
+        ids.append(whole[0])
+        unique = unique and last != whole[0][0] and bool((whole[0][1:] != whole[0][:-1]).all())
+        last, held = whole[0][-1], []
 
     for one in blocks:
-        held.append(one)
-        taken += one.matrix.nbytes
-        if len(held) * block >= size or taken >= scan_bytes:
-            close()
-        if taken >= scan_bytes:
-            out.append(scanned(cells, ids))
-            cells, ids, taken = [], [], 0
+        for at in range(0, one.rows, piece):
+            held.append((one.ids[at: at + piece], one.matrix[at: at + piece]))
+            taken += held[-1][1].nbytes
+            if len(held) * piece >= size or taken >= scan_bytes:
+                close()
+            if taken >= scan_bytes:
+                out.append(scanned(cells, ids))
+                cells, ids, taken = [], [], 0
     if held:
         close()
     if cells:

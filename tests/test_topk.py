@@ -373,6 +373,16 @@ def test_deep_answers_are_finished_where_they_are_found(spark, data, deep, monke
     assert rows(several) == brute(qs, vecs, 100)
 
 
+def test_a_large_block_is_cut_for_the_cores(spark, data, deep, monkeypatch):
+    vecs, (v, _) = data[0], deep
+    qs = np.random.default_rng(11).normal(size=(60, 16))
+    real, sizes = topk.dealt_topk, []
+    monkeypatch.setattr(topk, "dealt_topk", lambda v, cells, *a: sizes.extend(len(c.value[0]) for c in cells) or real(v, cells, *a))
+    found = topk.knn_flat(frame(spark, range(60), qs, "query_id", "query_emb"), v, 100, max_bytes=30 * (8 * 16 + 8 + 16 * 100))
+    assert sizes == [7, 7, 7, 7, 2] * 2
+    assert rows(found) == brute(qs, vecs, 100)
+
+
 def test_rows_of_one_query_id_share_its_deep_answer(spark, data, deep):
     vecs, (v, budget) = data[0], deep
     qs = np.random.default_rng(9).normal(size=(60, 16))
