@@ -28,7 +28,7 @@ from pyspark.sql.types import (
 )
 
 from findery.llm.common import (
-    Filter, components, map_texts, passing, shingles, stage, text_rows, utf8, word_hashes,
+    Filter, components, map_texts, passing, placed_words, shingles, stage, text_rows, utf8, word_hashes,
 )
 
 SHINGLE = 5
@@ -44,40 +44,97 @@ PLACE = np.uint64((1 << 56) - 1)
 LONG_LIST = 64
 #: Size blocks of a list grow by more than the largest ratio of linked sizes, 100 / 75.
 BLOCK_RATIO = 1.34
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 16
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Each value once, ascending. Sorting beats ``np.unique``, which hashes, on sets of this size."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
 
 
 def shingle_set(text: str) -> np.ndarray:
     """Distinct 64-bit shingle hashes, ascending; with fewer words the whole sequence is one."""
-    return np.unique(shingles(word_hashes(utf8(text)), SHINGLE))
+    return distinct(shingles(word_hashes(utf8(text)), SHINGLE))
 
 
-def _tokens(rows: DataFrame, pick: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(token): the shingles that ``pick`` takes from each document's shingles in text order, each once."""
+def _together(texts: list) -> Iterator[list[bytes]]:
+    """Neighbouring texts as bytes, ASCII capitals lowered, TOGETHER bytes at a time; a longer text is alone."""
+    some, length = [], 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass").lower()
+        if some and length + len(data) > TOGETHER:
+            yield some
+            some, length = [], 0
+        some.append(data)
+        length += len(data) + 1
+    if some:
+        yield some
 
-    def make() -> Callable[[list], dict]:
-        def one(text: str) -> np.ndarray:
-            return np.unique(pick(shingles(word_hashes(utf8(text)), SHINGLE))).view(np.int64)
 
-        return lambda texts: {"tokens": [one(t or "") for t in texts]}
+def shingle_lists(texts: list) -> Iterator[list[np.ndarray]]:
+    """Each text's shingles in text order, as many texts at a time as are hashed in one go."""
+    for some in _together(texts):
+        words, places = placed_words(np.frombuffer(b" ".join(some), np.uint8))
+        begins = np.searchsorted(places, np.cumsum([0] + [len(data) + 1 for data in some])).tolist()
+        runs = shingles(words, SHINGLE)  # those that reach into the next text are left out
+        yield [runs[a: b - SHINGLE + 1] if b - a >= SHINGLE else shingles(words[a:b], SHINGLE)
+               for a, b in zip(begins, begins[1:])]
+
+
+def _joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All lists in one, and the bounds between them."""
+    return np.concatenate(lists), np.cumsum([0] + [len(one) for one in lists])
+
+
+def _tokens(rows: DataFrame, pick: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """(token): the shingles that ``pick`` takes from the shingles of each of some documents, each once."""
+    schema = StructType([StructField("token", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked = [one for lists in shingle_lists(batch.column("text").to_pylist()) for one in pick(lists)]
+            if picked:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked).view(np.int64))], names=["token"])
+
+    return rows.select("text").mapInArrow(run, schema)
 
-    listed = map_texts(rows.select("text"), "text", make, [StructField("tokens", ArrayType(LongType()))])
-    return listed.select(F.explode("tokens").alias("token"))
 
+def _sampled(lists: list[np.ndarray]) -> list[np.ndarray]:
+    return [distinct(listed[listed % SAMPLED == 0]) for listed in lists]
 
-def _around(tokens: np.ndarray, common: Filter) -> np.ndarray:
-    """Shingles, in text order, within REACH of a sampled one that is common."""
+
+def _around(lists: list[np.ndarray], common: Filter) -> list[np.ndarray]:
+    """Shingles of each list, in text order, within REACH of a sampled one that is common."""
+    tokens, bounds = _joined(lists)
     at = np.flatnonzero(tokens % SAMPLED == 0)
     at = at[common.passes(tokens[at].view(np.int64))]
+    own = np.searchsorted(bounds, at, "right")
     steps = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(steps, np.maximum(at - REACH, 0), 1)
-    np.add.at(steps, np.minimum(at + REACH + 1, len(tokens)), -1)
-    return tokens[np.cumsum(steps)[:-1] > 0]
+    np.add.at(steps, np.maximum(at - REACH, bounds[own - 1]), 1)
+    np.add.at(steps, np.minimum(at + REACH + 1, bounds[own]), -1)
+    near = np.cumsum(steps)[:-1] > 0
+    return [tokens[a:b][near[a:b]] for a, b in zip(bounds, bounds[1:])]
+
+
+def _limit(tokens: np.ndarray) -> np.uint64:
+    """The place that the lowest third of a set ends at, somewhat more than a prefix; ``tokens`` are distinct."""
+    last = min(len(tokens), len(tokens) // 3 + 2) - 1
+    return np.partition(tokens & PLACE, last)[last]
 
 
-def _lowest(tokens: np.ndarray) -> np.ndarray:
-    """The third of a set with the lowest places, somewhat more than a prefix; ``tokens`` are distinct."""
-    length = min(len(tokens), len(tokens) // 3 + 2)
-    return tokens[np.argsort(tokens & PLACE, kind="stable")[:length]]
+def _near_and_lowest(lists: list[np.ndarray], common: Filter) -> list[np.ndarray]:
+    """Of each list, what is around common shingles and the third of the set with the lowest places."""
+    found = []
+    for listed, near in zip(lists, _around(lists, common)):
+        lowest = distinct(listed)
+        if len(lowest):
+            lowest = lowest[lowest & PLACE <= _limit(lowest)]
+        found.append(distinct(np.concatenate((near, lowest))) if len(near) else lowest)
+    return found
 
 
 def _counted(rows: DataFrame) -> tuple[Filter, DataFrame]:
@@ -87,9 +144,9 @@ def _counted(rows: DataFrame) -> tuple[Filter, DataFrame]:
     documents share hold some of those, so the shingles around the common ones are counted next,
     together with those that would stand in a prefix by their hash alone.
     """
-    sampled = _tokens(rows, lambda t: t[t % SAMPLED == 0]).groupBy("token").agg(F.count("*").alias("n"))
+    sampled = _tokens(rows, _sampled).groupBy("token").agg(F.count("*").alias("n"))
     first = Filter(sampled.where(F.col("n") > COMMON[0]).select("token"))
-    near = _tokens(rows, lambda t: np.concatenate((_around(t, first), _lowest(np.unique(t)))))
+    near = _tokens(rows, lambda lists: _near_and_lowest(lists, first))
     counted = near.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     return first, stage(counted, "jaccard-counted")
 
@@ -107,25 +164,29 @@ def _sets(rows: DataFrame, first: Filter, counted: DataFrame) -> DataFrame:
     levels = [Filter(counted.where(F.col("n") > level).select("token")) for level in COMMON]
 
     def make() -> Callable[[list], dict]:
-        def one(text: str) -> tuple[int, bytes | None, np.ndarray, np.ndarray]:
-            listed = shingles(word_hashes(utf8(text)), SHINGLE)
-            tokens = np.unique(listed)
+        def one(tokens: np.ndarray, placed: np.ndarray, near: np.ndarray) -> tuple[int, bytes | None, np.ndarray, np.ndarray]:
             n = len(tokens)
             if not n:
                 return 0, None, np.empty(0, np.int64), np.empty(0, np.int64)
-            level, at = np.zeros(n, np.uint64), np.arange(n)
-            for f in levels:  # a filter's values are among those of the one before, and so are its bits
-                at = at[f.passes(tokens[at].view(np.int64))]
-                level[at] += np.uint64(1)
-            placed = (level << np.uint64(56)) | (tokens & PLACE)
             length = n + 1 - -(-LEAST_PERCENT * n // 100)
             prefix = np.sort(np.partition(placed, length - 1)[:length])
-            seen = np.concatenate((_around(listed, first), _lowest(tokens))) & PLACE
-            late = prefix[np.isin(prefix & PLACE, seen, invert=True)]
+            late = prefix[prefix & PLACE > _limit(tokens)]
+            if len(late) and len(near):
+                late = late[np.isin(late & PLACE, near & PLACE, invert=True)]
             return n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), prefix.view(np.int64), late.view(np.int64)
 
+        def several(lists: list[np.ndarray]) -> Iterator[tuple]:
+            sets = [distinct(listed) for listed in lists]
+            tokens, bounds = _joined(sets)
+            level, at = np.zeros(len(tokens), np.uint64), np.arange(len(tokens))
+            for f in levels:  # a filter's values are among those of the one before, and so are its bits
+                at = at[f.passes(tokens[at].view(np.int64))]
+                level[at] += np.uint64(1)
+            placed = np.split((level << np.uint64(56)) | (tokens & PLACE), bounds[1:-1])
+            return map(one, sets, placed, _around(lists, first))
+
         def work(texts: list) -> dict:
-            made = [one(t or "") for t in texts]
+            made = [m for lists in shingle_lists(texts) for m in several(lists)]
             return {f.name: [m[i] for m in made] for i, f in enumerate(SETS)}
 
         return work

@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from findery.llm import jaccard
+from findery.llm.common import placed_words, shingles, utf8, word_hashes
 from findery.session import table
 from tests.llm.conftest import LONG, make_docs
 
@@ -81,3 +84,34 @@ def test_odd_tables(spark, odd_docs, no_docs):
         [1, 7, 8, 9, 10, 12, 13, 14, None], key=repr)
     short = make_docs(spark, [(1, "One Two"), (2, "one two"), (3, "two one"), (4, "one two"), (5, LONG + "x"), (6, LONG)])
     assert rows(short) == brute(short)
+
+
+def test_texts_hashed_together_keep_their_own_shingles(monkeypatch):
+    texts = ["", None, "a", "a b c d", "A  b\tc\nd e f", "   ", " x y z é Ü ", "one two three four five six", "w " * 400, "p q", ""]
+    alone = [shingles(word_hashes(utf8(t or "")), jaccard.SHINGLE) for t in texts]
+    calls = []
+    monkeypatch.setattr(jaccard, "placed_words", lambda data: calls.append(len(data)) or placed_words(data))
+    for most, times in ((1 << 16, 1), (64, 4), (1, 10)):
+        calls.clear()
+        monkeypatch.setattr(jaccard, "TOGETHER", most)
+        found = [one for lists in jaccard.shingle_lists(texts) for one in lists]
+        assert [one.tolist() for one in found] == [one.tolist() for one in alone]
+        assert len(calls) == times
+    assert list(jaccard.shingle_lists([])) == []
+
+
+def test_around_stays_in_its_text():
+    class Common:
+        def passes(self, values):
+            return values == 8
+
+    lists = [np.array(one, np.uint64) for one in ([1, 2, 3], [], [8, 4, 5], [6, 7])]
+    assert [one.tolist() for one in jaccard._around(lists, Common())] == [[], [], [8, 4, 5], []]
+
+
+def test_counted_shingles_come_without_lists(spark):
+    docs = make_docs(spark, [(1, "a b c d e f"), (2, None), (3, ""), (4, "a b c d e a b c d e")])
+    tokens = jaccard._tokens(docs, lambda lists: [jaccard.distinct(one) for one in lists])
+    assert "Generate" not in tokens._jdf.queryExecution().toString()
+    expected = [int(x) for t in ("a b c d e f", "a b c d e a b c d e") for x in jaccard.shingle_set(t).view(np.int64)]
+    assert sorted(r["token"] for r in tokens.collect()) == sorted(expected)
