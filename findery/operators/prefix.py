eval_batch: inversions move a row once, not once for each bit

Symptom: eval_batch shuffles 15 MB written and 17 MB read for 100 000 events, a table of 2 MB.
Evidence: stages of the event log: each row was copied for every bit of its value and then dealt out, 700 000 rows and 8.1 MB; starts of its blocks went through three more shuffles (3.7 MB), though every start was zero.
Fix: rows are dealt out by list and block of 4096 values and get the bits inside a block there; a running sum whose block is one of its keys has no starts to join. The bits above are counted as before, for lists of several blocks only. No table is broadcast by hint. The partition count is the session's, so Spark does not merge small partitions that grow by their bits.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 366 -> 338 s, shuffle 1.08 -> 0.40 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 5 -> 3 s, most memory of a task 454 -> 101 MB; at 6 GB of input CPU 1159 -> 892 s, shuffle 6.87 -> 2.66 GB, spill 0.00 -> 0.00 GB, read 0.75 -> 0.75 GB, longest task 10 -> 8 s, most memory of a task 470 -> 336 MB; with hot keys, at 1 GB of input CPU 527 -> 442 s, shuffle 2.15 -> 0.64 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 8 -> 4 s, most memory of a task 756 -> 168 MB.

@@ -32,11 +32,15 @@ def blocked_running_sum(
     """Running sum of ``value`` over ``keys`` in the order (block, order...).
 
     ``block`` must be monotone in the wanted order and bound the rows that share
-    one value of it. The current row counts only when ``inclusive``.
+    one value of it. The current row counts only when ``inclusive``. Rows without a
+    key or block are left out. Where ``block`` is one of the keys, no block comes before
+    another, and rows that are hashed by some of the keys stay where they are.
     """
     end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    w = Window.partitionBy(*dict.fromkeys([*keys, block])).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     inside = df.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    if block in keys:
+        return inside.dropna(subset=keys).withColumnRenamed("_in", out)
     starts = _starts(df, keys, block, value)
     return (
         inside.join(starts.hint("merge"), [*keys, block])

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from findery.operators.prefix import blocked_running_sum, id_block, ranked_rows
 
+#: Bits of a value inside its block; a block's rows times these stay below those of a block of positions.
+LOW_BITS = 12
+
 
 def ranking_from_scores(scores: DataFrame, list_col: str, item_col: str, score_col: str) -> DataFrame:
     """Order the items of every list by score, best first; equal scores keep the gold order."""
@@ -25,15 +28,32 @@ def inversions(ranking: DataFrame, list_col: str) -> DataFrame:
     Two values differ first at some bit; the larger one has it set. So for each bit
     and shared higher part, every unset value adds the set values placed before it.
     That is one running count per bit, n log n rows in all.
+
+    Values that differ in their LOW_BITS last bits only lie in one block of values: rows are dealt
+    out by list and block, and get their bits where they are. The other bits matter to lists of
+    several blocks only. The partitions are as many as the session asks for, because small ones
+    that Spark would merge hold LOW_BITS times the rows after that.
     """
     top = ranking.agg(F.max("val")).first()[0] or 0
     n_bits = max(1, int(top).bit_length())
-    bits = ranking.withColumn("_bit", F.explode(F.array(*[F.lit(b) for b in range(n_bits)])))
-    marked = bits.select(
-        list_col, "pos", "_bit", F.expr("shiftright(val, _bit + 1)").alias("_high"),
-        F.expr("shiftright(val, _bit) & 1").cast("long").alias("_set"),
-    ).withColumn("_b", id_block("pos"))
-    counted = blocked_running_sum(marked, [list_col, "_bit", "_high"], "_b", ["pos"], F.col("_set"), "_before")
+    placed = ranking.where("pos is not null").select(
+        list_col, "pos", "val", F.expr(f"shiftright(val, {LOW_BITS})").alias("_values"))
+
+    def marked(rows: DataFrame, bits: range) -> DataFrame:
+        return rows.withColumn("_bit", F.explode(F.array(*[F.lit(b) for b in bits]))).select(
+            list_col, "_values", "pos", "_bit", F.expr("shiftright(val, _bit + 1)").alias("_high"),
+            F.expr("shiftright(val, _bit) & 1").cast("long").alias("_set"))
+
+    parts = int(ranking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = marked(placed.repartition(parts, list_col, "_values"), range(min(n_bits, LOW_BITS)))
+    counted = blocked_running_sum(
+        low, [list_col, "_values", "_bit", "_high"], "_values", ["pos"], F.col("_set"), "_before")
+    if n_bits > LOW_BITS:
+        several = placed.groupBy(list_col).agg(F.min("_values").alias("_lo"), F.max("_values").alias("_hi")).where("_lo < _hi")
+        high = marked(placed.join(several.select(list_col), list_col, "left_semi"), range(LOW_BITS, n_bits))
+        counted = counted.unionByName(blocked_running_sum(
+            high.withColumn("_b", id_block("pos")), [list_col, "_bit", "_high"], "_b", ["pos"], F.col("_set"), "_before",
+        ).select(counted.columns))
     return counted.groupBy(list_col).agg(
         F.coalesce(F.sum(F.when(F.col("_set") == 0, F.col("_before"))), F.lit(0)).alias("inversions"))
 

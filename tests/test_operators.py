@@ -51,6 +51,29 @@ def test_inversions_without_pairs(spark):
     assert got == {k: sum(int(a > b) for i, a in enumerate(x) for b in x[i + 1:]) for k, x in lists.items()}
 
 
+def test_inversions_of_long_lists_and_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    lists = {0: rng.permutation(9000), 1: rng.permutation(4097), 2: rng.permutation(4096), 3: np.array([4096, 1, 8191, 4095]), 4: np.array([7])}
+    rows = [(k, p, int(v)) for k, x in lists.items() for p, v in enumerate(x)]
+    odd = [(None, 0, 5), (None, 1, 4), (4, None, 0), (4, 1, None), (5, None, 1), (6, 0, 3), (6, 1, 3), (6, 2, 1), (6, 2, 1)]
+    ranking = spark.createDataFrame(rows + odd, "list long, pos long, val long")
+    got = {r["list"]: r["inversions"] for r in ranks.inversions(ranking, "list").collect()}
+    assert got == {k: int(sum((x[i + 1:] < x[i]).sum() for i in range(len(x)))) for k, x in lists.items()} | {6: 4}
+
+
+def test_inversions_move_rows_before_they_get_bits(spark):
+    ranking = spark.createDataFrame([(0, p, 99 - p) for p in range(100)], "list long, pos long, val long")
+    plan = ranks.inversions(ranking, "list")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("_bit" in line for line in dealt) and "Join" not in plan
+
+
+def test_running_sum_by_block_as_key(spark):
+    rows = spark.createDataFrame([(0, 0, 1, 5), (0, 0, 2, 6), (0, 1, 3, 7), (None, 0, 1, 8), (0, None, 1, 9)], "g int, b int, i int, v int")
+    got = prefix.blocked_running_sum(rows, ["g", "b"], "b", ["i"], F.col("v"), "before").orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 1, 5, 0), (0, 0, 2, 6, 5), (0, 1, 3, 7, 0)]
+
+
 def test_rank_agreement(spark):
     x = [2, 0, 5, 1, 3, 4]
     ranking = spark.createDataFrame([(0, p, v) for p, v in enumerate(x)], "list long, pos long, val long")
