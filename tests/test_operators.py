@@ -1,6 +1,7 @@
 """Prefix sums, reranking, expansion, ranks and training rules against plain Python."""
 
 import random
+import re
 import time
 import tracemalloc
 
@@ -68,6 +69,13 @@ def test_inversions_move_rows_before_they_get_bits(spark):
     assert dealt and not any("_bit" in line for line in dealt) and "Join" not in plan
 
 
+def test_inversions_of_a_long_list_leave_one_task(spark):
+    ranking = spark.createDataFrame([(0, p, 4999 - p) for p in range(5000)], "list long, pos long, val long")
+    plan = ranks.inversions(ranking, "list")._jdf.queryExecution().executedPlan().toString()
+    dealt = [re.sub(r"#\d+L?", "", line) for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("(list, _bit, _high, _b, 8), REPARTITION_BY_COL" in line for line in dealt)
+
+
 def test_running_sum_by_block_as_key(spark):
     rows = spark.createDataFrame([(0, 0, 1, 5), (0, 0, 2, 6), (0, 1, 3, 7), (None, 0, 1, 8), (0, None, 1, 9)], "g int, b int, i int, v int")
     got = prefix.blocked_running_sum(rows, ["g", "b"], "b", ["i"], F.col("v"), "before").orderBy("i").collect()
